@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, sharding
-from skein.llm.common import table
+from skein.llm import decontaminate, exact_dedup, langid, packing, secrets, sharding
+from skein.llm.common import crc32_of_id, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(crc32_of_id() % 5 != 0))
+    held_out = (crc32_of_id() % 5 == 0).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
     return rows.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -25,7 +40,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op5_language, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
