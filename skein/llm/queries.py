@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, packing, secrets, sharding
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets, sharding
 from skein.llm.common import crc32_of_id, table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(crc32_of_id() % 5 != 0))
@@ -40,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_language, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op5_language, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
