@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, secrets, sharding
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, secrets, sharding
 from skein.llm.common import crc32_of_id, table
 
 
@@ -26,6 +26,13 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = quality.learn(docs, labels.where(crc32_of_id() % 3 != 1))
+    held_out = (crc32_of_id() % 3 == 1).alias("held_out")
+    return quality.score_quality(docs, field).select("doc_id", held_out, "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op5_language, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
