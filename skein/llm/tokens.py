@@ -1,22 +1,33 @@
 """Token ids by the tokenizers library, with the ids of recurring words remembered.
 
-The tokenizer named here drops white space and never joins across it, and its
-normaliser lower-cases; so a text's ids are the ids of its ASCII-lower-cased,
-white-space-separated parts, one after another.  Each distinct part goes to the
-library once per worker (until the memory of parts is emptied at ``most``).
-Texts with a special token's opening ``<|`` go to the library whole.
+The tokenizer named here normalises (NFC, lower case), cuts the text into words
+(a fixed pattern, white space dropped) and encodes every word on its own.  So a
+text's ids are its words' ids, one after another, and each distinct word needs
+to go to the library once per worker (until the remembered words exceed
+``most`` and are forgotten).
+
+* Texts of ASCII and Latin-1 letters are cut here, by the same pattern; there
+  NFC changes nothing, and lower-casing A-Z first saves remembering both cases.
+* Other texts are cut at ASCII white space only, which no word crosses.
+* Texts with a special token's opening ``<|`` go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections import defaultdict
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 
 from skein.llm.common import offsets
 
+#: The tokenizer's word pattern, for bytes of ASCII and Latin-1 letters.
+_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc3\x80-\xbf]+|[0-9]|[^\sa-z0-9\xc3\x80-\xbf]+")
+_LATIN = bytes(range(128)) + b"\xc3" + bytes(range(0x80, 0xC0))
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -34,51 +45,73 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.sizes = np.zeros(1 << 14, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, parts: list[bytes], first: int) -> None:
-        encoded = self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        total, end = int(sizes.sum()), first + len(parts)
+    def _remember(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, end = len(ids), first + len(sizes)
         if end > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(end, len(self.starts)), dtype=np.int64)])
-            self.sizes = np.concatenate([self.sizes, np.zeros(max(end, len(self.sizes)), dtype=np.int64)])
+            more = np.zeros(max(end, len(self.starts)), dtype=np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), dtype=np.uint32)])
         self.sizes[first:end] = sizes
         self.starts[first:end] = self.used + offsets(sizes)[:-1]
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=total)
+        self.pool[self.used : self.used + total] = ids
         self.used += total
 
+    def _learn_one_by_one(self, first: int, parts: list[bytes]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self._remember(first, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes)
+
+    def _learn_words(self, first: int, parts: list[bytes]) -> None:
+        together = self.tokenizer.encode(b" ".join(parts).decode(), add_special_tokens=False)
+        word = np.array(together.word_ids, dtype=np.int64)
+        if len(word) and word[-1] == len(parts) - 1:
+            self._remember(first, np.array(together.ids, dtype=np.uint32), np.bincount(word, minlength=len(parts)))
+        else:
+            self._learn_one_by_one(first, parts)
+
+    def _numbers(self, parts: list[list[bytes]], learn) -> np.ndarray:
+        first = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
+        if fresh := len(self.number) - first:
+            learn(first, list(islice(reversed(self.number), fresh))[::-1])
+        return at
+
+    def _ids(self, parts: list[list[bytes]], learn) -> list[np.ndarray]:
+        at = self._numbers(parts, learn)
+        sizes = self.sizes[at]
+        begin = offsets(sizes)
+        index = np.repeat(self.starts[at] - begin[:-1], sizes)
+        index += np.arange(begin[-1])
+        flat = self.pool[index]
+        ends = begin[offsets([len(p) for p in parts])]
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: none), as uint32 arrays."""
         if len(self.number) > self.most:
             self._forget()
-        number, first = self.number, len(self.number)
-        parts, whole = [], {}
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)] * len(texts)
+        cut: dict[int, list[bytes]] = {}
+        spaced: dict[int, list[bytes]] = {}
         for k, text in enumerate(texts):
-            if text and "<|" in text:
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-                parts.append([])
+            if not text:
+                continue
+            if "<|" in text:
+                out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+                continue
+            raw = text.encode().lower()
+            if raw.translate(None, _LATIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+                spaced[k] = raw.split()
             else:
-                parts.append(text.encode().lower().split() if text else [])
-        fresh = list(set(chain.from_iterable(parts)).difference(number))
-        for k, p in enumerate(fresh, first):
-            number[p] = k
-        if fresh:
-            self._learn(fresh, first)
-        counts = [len(p) for p in parts]
-        n = sum(counts)
-        at = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=n)
-        sizes = self.sizes[at]
-        begin = offsets(sizes)
-        index = np.repeat(self.starts[at] - begin[:-1], sizes)
-        index += np.arange(begin[-1])
-        flat = self.pool[index]
-        ends = begin[offsets(counts)]
-        return [whole[k] if k in whole else flat[ends[k] : ends[k + 1]] for k in range(len(parts))]
+                cut[k] = _WORD.findall(raw)
+        for parts, learn in ((cut, self._learn_words), (spaced, self._learn_one_by_one)):
+            for k, ids in zip(parts, self._ids(list(parts.values()), learn), strict=True):
+                out[k] = ids
+        return out
