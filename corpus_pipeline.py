@@ -1,16 +1,66 @@
-"""The corpus pipeline: a list of stages, each a function of the documents that the one before it kept."""
+"""The corpus pipeline: stages that each take the documents that the one before kept.
+
+Every stage is a function of (spark, docs, sf_dir).  ``docs`` is what the
+predecessor returned, written as Parquet and read again; all stages but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing
+from skein.llm.common import shared_folder
+
+#: Near copies: Jaccard similarity of five-word shingles.
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or that no language fits better than another, go."""
+    return langid.keep_language(docs, langid.learn(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return exact_dedup.exact_dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest doc_id stays."""
+    return ngram_join.drop_near_copies(docs, words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_free),
+    ("best-fit packing", packed),
+]
 
+#: Language ID, near copies and packing are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

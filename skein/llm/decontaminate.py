@@ -179,6 +179,25 @@ def find_contamination(
     return rows.drop("text")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no pattern occurs."""
+    small_batches(docs.sparkSession)
+    at, names = docs.columns.index(text_col), docs.columns
+    for k, block in enumerate(benchmark_blocks(benchmark.select(F.lit("").alias("i"), F.col(item_text).alias("t")), "i", "t", PATTERN_WORDS), 1):
+        tables = [WuManber(p, n) for n, p in sorted(patterns_of([w for _, w in block], window).items())]
+
+        def run(batches: Iterator[pa.RecordBatch], tables: list[WuManber] = tables) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                texts = [words(t) for t in batch.column(at).to_pylist()]
+                clean = [all(next(table.find(w), None) is None for table in tables) for w in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k % PASSES == 0:
+            docs = cut(docs)
+    return docs.select(names)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = find_contamination(docs, benchmark, **options)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import cut
+
 SALTS = 16
 
 
@@ -56,10 +58,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows that repeat the winning doc_id with the same text stay once each.
+    Only texts whose digest occurs more than once take part in the combining.
+    Rows that repeat the winning doc_id with the same text all stay.
     """
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+    digest = F.unhex(F.sha2(normalised(text_col), 256))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    repeated = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    copies = cut(keyed.join(repeated, "digest", "left_semi").select("doc_id", "text"))
+    losers = exact_groups(copies).where("not kept").select(
+        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
+    )
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    return docs.join(losers.distinct(), same, "left_anti")
 
 
 ORACLE_SQL = r"""

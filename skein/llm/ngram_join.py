@@ -10,7 +10,10 @@ documents link when their sets' Jaccard similarity reaches ``num / den``.
    non-empty part at least; a part's digest is a signature.  (A set with more
    than SPARE empty parts offers its empty parts too.)  Sizes fall in classes
    so chosen that linked sets lie in one class or in neighbours; each set
-   signs for both.  Repeated signatures are merged within each task first.
+   signs for both.  Repeated signatures are merged within each task first, and
+   travel as packed arrays, dealt by ranges of their values; signatures and the
+   names of sets are cut to NAME bytes there, so a chance equality may add a
+   candidate but never hides one.
 3. Sets that signatures connect form a block; a large block is dealt over
    chunks.  Within a chunk the sets, in one global order of their n-grams, form
    a trie.  Each set walks it, sharing the overlap with every common prefix;
@@ -36,7 +39,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import Interned, cut, offsets, pieces, small_batches
@@ -47,6 +50,9 @@ SPARE = 2
 CHUNK = 64
 #: Signatures that a task merges at once.
 MERGED = 1 << 20
+NAME = 5
+#: Ranges of signature values for each shuffle partition.
+RANGES = 8
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -175,33 +181,62 @@ def _meta(words: int, split):
 
 
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64)
+    """A name of NAME bytes for each set."""
+    names = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], dtype=np.uint64)
+    return (names & np.uint64((1 << 8 * NAME) - 1)).view(np.int64)
 
 
-def _signed(words: int, split, num: int, den: int):
+def _pack(values: np.ndarray) -> np.ndarray:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME]
+
+
+def _unpack(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :NAME] = raw
+    return out.view("<u8").ravel()
+
+
+def _signed(words: int, split, num: int, den: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes = Shingler(words, split), SizeClasses(num, den)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             sig, node = merge_signatures(*map(np.concatenate, zip(*waiting, strict=True)))
             waiting.clear()
-            for a in range(0, len(sig), 1 << 16):
-                part = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[part].view(np.int64)), pa.array(node[part])], names=["sig", "node"])
+            at = ((sig >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
+            order = np.argsort(at, kind="stable")
+            packed = np.hstack([_pack(sig[order]), _pack(node[order])])
+            ends = np.searchsorted(at[order], np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(ends))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())],
+                names=["range", "signed"],
+            )
 
         for batch in pieces(batches):
             sets = [s for s in shingler.sets(batch.column(0).to_pylist()) if len(s)]
             if sets:
                 waiting.append(signatures(sets, _nodes(sets), classes))
             if sum(len(s) for s, _ in waiting) >= MERGED:
-                yield from flush()
+                yield flush()
         if waiting:
-            yield from flush()
+            yield flush()
 
     return run
 
 
+def _collisions(rows: pa.Table) -> pa.Table:
+    """Each set with the one before it among those that share a signature."""
+    raw = np.frombuffer(b"".join(rows.column("signed").to_pylist()), dtype=np.uint8).reshape(-1, 2 * NAME)
+    sig, node = _unpack(raw[:, :NAME]), _unpack(raw[:, NAME:]).view(np.int64)
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    meet = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
+    pairs = np.unique(np.stack([node[meet + 1], node[meet]], axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
 class Trie:
     """Sorted sets by common prefixes; sets are numbered in lexicographic order."""
 
@@ -369,10 +404,9 @@ def jaccard_components(
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     meta = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long"))
-    signed = texts.select("text").mapInArrow(_signed(words, split, num, den), "sig long, node long")
-    near = Window.partitionBy("sig").orderBy("node")
-    edges = signed.withColumn("b", F.lag("node").over(near)).where("b <> node").select(F.col("node").alias("a"), "b").distinct()
-    blocks = components(cut(edges))
+    ranges = max(64, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    signed = texts.select("text").mapInArrow(_signed(words, split, num, den, ranges), "range long, signed binary")
+    blocks = components(cut(signed.groupBy("range").applyInArrow(_collisions, "a long, b long").distinct()))
 
     classes = meta.where("n > 0").join(blocks, "node").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("component").alias("comp"))
     classes = cut(classes.where("rep is not null"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, secrets, sharding
-from skein.llm.common import crc32_of_id, table
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, secrets, sharding, token_file
+from skein.llm.common import crc32_of_id, shared_folder, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_file.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_file.read_token_files(spark, path)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(crc32_of_id() % 5 != 0))
@@ -51,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op4_token_files, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
