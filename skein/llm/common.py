@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.lineage import cut, shared_folder
+
+__all__ = ["cut", "shared_folder", "table", "small_batches", "pieces", "crc32_of_id", "Interned", "offsets"]
+
 #: Rows of text handed to Python at once.  Long texts are bounded by bytes too.
 BATCH_ROWS = 1000
 BATCH_BYTES = 32 << 20
@@ -25,24 +28,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written tables, which all executors see.
-
-    It is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (local tests) a temporary one is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back from there, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Slice Arrow batches to at most ``rows`` rows and about BATCH_BYTES bytes."""
     for batch in batches:

@@ -21,7 +21,8 @@ the most labelled rows wins (then the first in the alphabet), with score 0.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -103,15 +104,21 @@ class LanguageModel:
         self.texts = [f" {texts[k][:size]} " for k in self.langs]
 
     def parser(self) -> Parser:
-        return Parser(self)
+        return worker_parser(tuple(self.langs), tuple(self.texts))
+
+
+@lru_cache(maxsize=1)
+def worker_parser(langs: tuple[str, ...], texts: tuple[str, ...]) -> Parser:
+    """The parser of this Python worker, with the words that earlier tasks met."""
+    return Parser(langs, texts)
 
 
 class Parser:
     """The automata, built where they are used, and the words parsed so far."""
 
-    def __init__(self, model: LanguageModel):
-        self.langs = model.langs
-        self.automata = [SuffixAutomaton(t) for t in model.texts]
+    def __init__(self, langs: Sequence[str], texts: Sequence[str]):
+        self.langs = list(langs)
+        self.automata = [SuffixAutomaton(t) for t in texts]
         self.rows = np.zeros((1 << 14, len(self.langs)), dtype=np.int32)
         self.known = Interned(self._parse)
 

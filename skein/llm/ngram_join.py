@@ -39,7 +39,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import Interned, cut, offsets, pieces, small_batches
@@ -196,6 +196,24 @@ def _unpack(raw: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def block_ranges(spark: SparkSession) -> int:
+    """How many ranges signatures are dealt by; it grows with the shuffle partitions of the cluster."""
+    return max(64, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def pack_ranges(sig: np.ndarray, node: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row per range of signatures, with the signatures and nodes in it."""
+    at = ((sig >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
+    order = np.argsort(at, kind="stable")
+    packed = np.hstack([_pack(sig[order]), _pack(node[order])])
+    ends = np.searchsorted(at[order], np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(ends))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int64()), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())],
+        names=["range", "signed"],
+    )
+
+
 def _signed(words: int, split, num: int, den: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes = Shingler(words, split), SizeClasses(num, den)
@@ -204,15 +222,7 @@ def _signed(words: int, split, num: int, den: int, ranges: int):
         def flush() -> pa.RecordBatch:
             sig, node = merge_signatures(*map(np.concatenate, zip(*waiting, strict=True)))
             waiting.clear()
-            at = ((sig >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-            order = np.argsort(at, kind="stable")
-            packed = np.hstack([_pack(sig[order]), _pack(node[order])])
-            ends = np.searchsorted(at[order], np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(ends))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int64()), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())],
-                names=["range", "signed"],
-            )
+            return pack_ranges(sig, node, ranges)
 
         for batch in pieces(batches):
             sets = [s for s in shingler.sets(batch.column(0).to_pylist()) if len(s)]
@@ -226,7 +236,7 @@ def _signed(words: int, split, num: int, den: int, ranges: int):
     return run
 
 
-def _collisions(rows: pa.Table) -> pa.Table:
+def collisions(rows: pa.Table) -> pa.Table:
     """Each set with the one before it among those that share a signature."""
     raw = np.frombuffer(b"".join(rows.column("signed").to_pylist()), dtype=np.uint8).reshape(-1, 2 * NAME)
     sig, node = _unpack(raw[:, :NAME]), _unpack(raw[:, NAME:]).view(np.int64)
@@ -390,35 +400,17 @@ def _grams(words: int, split):
     return run
 
 
-def jaccard_components(
-    docs: DataFrame,
-    words: int = WORDS,
-    num: int = NUM,
-    den: int = DEN,
-    split: Callable[[str | None], list[bytes]] = split_words,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Per row: doc_id (a whole number), n_shingles, component_id (the least doc_id that links reach)."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long"))
-    ranges = max(64, RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = texts.select("text").mapInArrow(_signed(words, split, num, den, ranges), "range long, signed binary")
-    blocks = components(cut(signed.groupBy("range").applyInArrow(_collisions, "a long, b long").distinct()))
+def connect(sets: DataFrame, sizes: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
+    """rep and root (the least rep that links reach) of all ``sets`` (comp, rep, grams: sorted digests) in their blocks.
 
-    classes = meta.where("n > 0").join(blocks, "node").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("component").alias("comp"))
-    classes = cut(classes.where("rep is not null"))
-    sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    chosen = classes.join(sizes, "comp").select("comp", "k", "rep")
-    wanted = texts.join(chosen.select("rep", "comp"), texts["doc_id"] == F.col("rep")).select("comp", "rep", "text")
-    grams = wanted.mapInArrow(_grams(words, split), "comp long, rep long, grams binary")
+    ``sizes`` (comp, k) tells how many sets each block has.
+    """
     per = F.greatest(F.lit(chunk), F.ceil(F.sqrt("k")))
-    dealt = grams.join(sizes, "comp").select(
+    dealt = sets.join(sizes, "comp").select(
         "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / per)).alias("chunk"), F.ceil(F.col("k") / per).alias("chunks"), "rep", "grams"
     )
-    dealt = cut(dealt)
+    # By chunk, for a block's rows would otherwise stay in the one task that the join by block put them in.
+    dealt = cut(dealt.repartition("comp", "chunk"))
     inner = cut(
         dealt.groupBy("comp", "chunk").applyInArrow(_within(num, den), "comp long, chunk long, rep long, root long, main boolean")
     )
@@ -448,10 +440,37 @@ def jaccard_components(
     tries = there.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1))).select(
         "comp", "chunk", "round", "rep", "grams", "label", F.lit(False).alias("probe")
     )
-    crossed = tries.unionByName(probes).groupBy("comp", "chunk", "round").applyInArrow(_across(num, den), "a long, b long")
+    crossed = tries.unionByName(probes).repartition("comp", "chunk", "round").groupBy("comp", "chunk", "round").applyInArrow(_across(num, den), "a long, b long")
     links = links.unionByName(crossed)
 
-    roots = components(cut(links)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    return components(cut(links)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+
+
+def jaccard_components(
+    docs: DataFrame,
+    words: int = WORDS,
+    num: int = NUM,
+    den: int = DEN,
+    split: Callable[[str | None], list[bytes]] = split_words,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Per row: doc_id (a whole number), n_shingles, component_id (the least doc_id that links reach)."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    meta = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long"))
+    ranges = block_ranges(docs.sparkSession)
+    signed = texts.select("text").mapInArrow(_signed(words, split, num, den, ranges), "range long, signed binary")
+    blocks = components(cut(signed.groupBy("range").applyInArrow(collisions, "a long, b long").distinct()))
+
+    classes = meta.where("n > 0").join(blocks, "node").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("component").alias("comp"))
+    classes = cut(classes.where("rep is not null"))
+    sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    chosen = classes.join(sizes, "comp").select("comp", "k", "rep")
+    wanted = texts.join(chosen.select("rep", "comp"), texts["doc_id"] == F.col("rep")).select("comp", "rep", "text")
+    grams = wanted.mapInArrow(_grams(words, split), "comp long, rep long, grams binary")
+    roots = connect(grams, sizes, num, den, chunk)
     named = classes.join(roots, "rep").select("key", "root")
     firsts = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     final = firsts.join(named, "key", "left").select("key", F.coalesce("root", "first").alias("component_id"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import cut, pieces, small_batches
-from skein.llm.tokens import Encoder
+from skein.llm.tokens import worker_encoder
 
 CAPACITY = 2048
 CELLS = 256
@@ -39,7 +39,7 @@ CELLS = 256
 
 def _cut_pieces(path: str | None, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in pieces(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, tokens in enumerate(encoder.encode(batch.column(1).to_pylist())):

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, quality, secrets, sharding, token_file
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, passages, quality, secrets, sharding, token_file
 from skein.llm.common import crc32_of_id, shared_folder, table
 
 
@@ -20,6 +20,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_file.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -58,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op4_token_files, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_passages, op4_token_files, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

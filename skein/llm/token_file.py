@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import offsets, pieces, small_batches
-from skein.llm.tokens import Encoder
+from skein.llm.tokens import worker_encoder
 
 BLOCK = 2048
 CHAPTER = 4 << 20
@@ -268,7 +268,7 @@ def read_chapter(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndar
 
 def _chapters(path: str | None, end_id: int, block: int, chapter: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         names: list[int | None] = []
         parts: list[np.ndarray] = []
         before = waiting = number = 0

@@ -18,6 +18,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
@@ -35,6 +36,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str | None) -> Encoder:
+    """The encoder of this Python worker, with the words that earlier tasks met."""
+    return Encoder(path)
+
+
 class Encoder:
     def __init__(self, path: str | None = None, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
