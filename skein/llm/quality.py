@@ -170,9 +170,11 @@ def learn(
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, docs_per_label / n).otherwise(share)
-    chosen = marked.withColumn("place", place).where(F.col("place") < share)
+    chosen = marked.withColumn("place", place).where(F.col("place") < share).distinct().collect()
+    # The chosen ids, about docs_per_label of each label, are what the documents meet: no text is shuffled.
+    ids = docs.sparkSession.createDataFrame(chosen, f"i {dict(marked.dtypes)['i']}, y int, place double")
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
-    rows = sorted(chosen.join(texts, "i").select("place", "y", "text").collect(), key=tuple)
+    rows = sorted(texts.join(F.broadcast(ids), "i").select("place", "y", "text").collect(), key=tuple)
     return LineField().fit([r["text"] for r in rows], [r["y"] for r in rows]) if rows else LineField()
 
 
