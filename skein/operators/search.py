@@ -17,6 +17,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def occurrences(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
@@ -37,7 +41,7 @@ def bm25(rows: DataFrame, query: str, columns: list[str], id_col: str = "id") ->
     counted = pooled.select(
         "id",
         F.size("words").alias("length"),
-        *(F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{k}") for k, t in enumerate(terms)),
+        *(occurrences(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(terms)),
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),
