@@ -52,7 +52,6 @@ def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str
     one task.  This is the exact all-pairs join: its work is quadratic in the
     rows, its memory two blocks per task.
     """
-    spark = rows.sparkSession
     kept = cut(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull()))
     blocks = max(1, math.ceil(kept.count() / block))
     placed = kept.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
@@ -80,9 +79,9 @@ def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str
                 x, y, s = x[up], y[up], s[up]
             swap = x > y
             found.append(pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "score": s}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "score": []})
+        none = pd.Series([], dtype=pdf["id"].dtype)
+        return pd.concat(found) if found else pd.DataFrame({"a": none, "b": none, "score": pd.Series([], dtype=float)})
 
-    del spark
     return left.unionByName(right).groupBy("block", "other").applyInPandas(run, f"a {kind}, b {kind}, score double")
 
 

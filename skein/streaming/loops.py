@@ -99,4 +99,4 @@ def grounding(hits: DataFrame, diagnostics: DataFrame, floor: float, most: int =
     best = first_per(hits.where(F.col("score") >= floor), ["id"], [F.desc("score")])
     kept = best.orderBy(F.desc("score"), "id").limit(most)
     flagged = diagnostics.where("code like 'security.%'").select(F.col("node_id").alias("id")).distinct().withColumn("injected", F.lit(True))
-    return kept.join(flagged, "id", "left").select("id", "score", F.coalesce("injected", F.lit(False)).alias("injected"))
+    return kept.join(flagged, "id", "left").select("id", "score", F.coalesce("injected", F.lit(False)).alias("injected")).orderBy(F.desc("score"), "id")
