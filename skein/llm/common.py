@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from skein.lineage import cut, shared_folder
 
-__all__ = ["cut", "shared_folder", "table", "small_batches", "pieces", "crc32_of_id", "Interned", "offsets"]
+__all__ = ["cut", "shared_folder", "table", "small_batches", "pieces", "join_ids", "crc32_of_id", "resident", "Interned", "offsets"]
 
 #: Rows of text handed to Python at once.  Long texts are bounded by bytes too.
 BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,16 +39,39 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, step)
 
 
+#: Ids that may be sent to every executor (some 24 bytes each); more are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of ids and little else, sent to all executors if it is counted to be small.
+
+    ``ids`` is read twice: write it down first.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, keys, how)
+
+
 def crc32_of_id(col: str = "doc_id"):
     """Unsigned crc32 of the id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make):
+    """What ``make`` builds, kept in this Python worker for later tasks; one thing at a time, so memory stays bounded."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class Interned(dict):
     """word -> value, computed by ``make`` on first sight, emptied when it grows
     beyond ``most`` entries (call ``trim`` between batches)."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

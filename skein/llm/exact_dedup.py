@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut
+from skein.llm.common import cut, join_ids
 
 SALTS = 16
 
@@ -64,12 +64,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest = F.unhex(F.sha2(normalised(text_col), 256))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
     repeated = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    copies = cut(keyed.join(repeated, "digest", "left_semi").select("doc_id", "text"))
-    losers = exact_groups(copies).where("not kept").select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
-    )
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
-    return docs.join(losers.distinct(), same, "left_anti")
+    copies = cut(join_ids(keyed, cut(repeated), ["digest"], "left_semi").select("doc_id", "text"))
+    losers = exact_groups(copies).where("not kept").select(F.col("doc_id").alias(id_col), F.unhex("text_sha256").alias("__digest"))
+    return join_ids(docs.withColumn("__digest", digest), cut(losers.distinct()), [id_col, "__digest"], "left_anti").drop("__digest")
 
 
 ORACLE_SQL = r"""

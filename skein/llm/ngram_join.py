@@ -6,21 +6,32 @@ documents link when their sets' Jaccard similarity reaches ``num / den``.
 1. Equal sets are one class, by a 128-bit digest of the whole set.
 2. Blocking, exact by the pigeonhole principle: linked sets of sizes a and b
    differ in at most H = (a + b)(den - num)/(den + num) n-grams.  The n-grams
-   are dealt by hash over H + 1 + SPARE parts, so linked sets agree on one
-   non-empty part at least; a part's digest is a signature.  (A set with more
-   than SPARE empty parts offers its empty parts too.)  Sizes fall in classes
+   are dealt by hash over H + 1 + spare parts, so linked sets agree on over
+   ``spare`` parts.  A part's digest is a signature.  A set withholds its empty
+   parts if they are at most spare + 1 - AGREED; so linked sets meet in AGREED
+   signatures at least, and pairs that meet in fewer are dropped.  Sizes fall in classes
    so chosen that linked sets lie in one class or in neighbours; each set
    signs for both.  Repeated signatures are merged within each task first, and
    travel as packed arrays, dealt by ranges of their values; signatures and the
    names of sets are cut to NAME bytes there, so a chance equality may add a
    candidate but never hides one.
-3. Sets that signatures connect form a block; a large block is dealt over
+   N-grams that very many sets have (by counts over all documents in a fixed
+   table of cells) would make signatures of passages, not of documents; so the
+   parts are first formed without them.  A set with more empty parts than it may
+   withhold also signs with all its n-grams, and if there are still as many,
+   with the empty ones too.  Which n-grams count as common changes how
+   many candidates there are, never which links are found.
+3. Where up to PAIRED sets share a signature, each pair of them is a candidate,
+   and is dropped if counts of the sets' n-grams by hash (SKETCH numbers per
+   set) already differ by more than H in sum.  Where more share one, each is
+   linked to its neighbour without that test.
+4. Sets that candidates connect form a block; a large block is dealt over
    chunks.  Within a chunk the sets, in one global order of their n-grams, form
    a trie.  Each set walks it, sharing the overlap with every common prefix;
    a subtree is left where the overlap so far and what can still follow miss
    the overlap that its sets require.  Sets that are already connected are not
    compared again.
-4. Between the chunks of a large block: one set of each chunk's largest class
+5. Between the chunks of a large block: one set of each chunk's largest class
    meets the others; then every set outside the largest class of the block
    walks the tries of all other chunks.  So no pair is left out but those
    known to be connected.
@@ -33,6 +44,7 @@ empty result.  Other columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -42,15 +54,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Interned, cut, offsets, pieces, small_batches
+from skein.llm.common import Interned, cut, join_ids, offsets, pieces, resident, small_batches
 from skein.llm.components import components
 
 WORDS, NUM, DEN = 3, 90, 100
-SPARE = 2
+#: Signatures in which linked sets meet at least.
+AGREED = 3
 CHUNK = 64
 #: Signatures that a task merges at once.
 MERGED = 1 << 20
 NAME = 5
+#: Bits of a set's name; the one above them marks rows that stand for merged ones.
+NAME_BITS = 8 * NAME - 1
+PAIRED = 48
+SKETCH = 64
+#: Cells of the table of n-gram counts, by the leading bits of the digests, and the slices it is summed in.
+CELL_BITS, SLICES = 22, 64
 #: Ranges of signature values for each shuffle partition.
 RANGES = 8
 
@@ -71,7 +90,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS, split: Callable[[str | None], list[bytes]] = split_words):
         self.words, self.split = words, split
-        self.digest = Interned(xxhash.xxh3_64_intdigest)
+        self.digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         self.digest.trim()
@@ -117,73 +136,125 @@ class SizeClasses:
         return 2 * top * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(sets: list[np.ndarray], nodes: np.ndarray, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, node) arrays for a list of non-empty sets."""
+def signatures(sets: list[np.ndarray], nodes: np.ndarray, classes: SizeClasses, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, node) arrays for a list of non-empty sets; ``common`` tells for each cell whether its n-grams are."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    per_gram = np.repeat(np.arange(len(sets)), sizes)
+    rare = np.ones(len(flat), dtype=bool) if common is None else ~common[(flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
     own = classes.of(sizes)
     found, owner = [], []
     for label in (own, own + 1):
         differ = classes.most_different(label)
+        spare = differ // 10 + AGREED + 3
         # Where sets may not differ at all, equal sets are one class already.
-        parts = np.where(differ > 0, differ + 1 + SPARE, 0)
-        base = offsets(parts)
-        per_gram = np.repeat(np.arange(len(sets)), sizes)
-        live = parts[per_gram] > 0
-        gram, row = flat[live], per_gram[live]
-        salted = mix(gram + np.repeat(mix(label.astype(np.uint64)), sizes)[live])
-        part = ((salted >> np.uint64(32)) * parts[row].astype(np.uint64)) >> np.uint64(32)
-        at = base[row] + part.astype(np.int64)
-        sums = np.zeros(base[-1], dtype=np.uint64)
-        np.add.at(sums, at, salted)
-        filled = np.zeros(base[-1], dtype=bool)
-        filled[at] = True
-        where = np.repeat(np.arange(len(sets)), parts)
-        number = np.arange(base[-1]) - base[where]
-        empties = np.bincount(where[~filled], minlength=len(sets)) if len(sets) else np.zeros(0, dtype=np.int64)
-        offered = filled | (empties[where] > SPARE)
-        name = mix(number.astype(np.uint64) + (label[where].astype(np.uint64) << np.uint64(32)))
-        found.append(mix(sums + name)[offered])
-        owner.append(nodes[where[offered]])
+        parts = np.where(differ > 0, differ + 1 + spare, 0)
+        most_held = spare + 1 - AGREED
+        bare = np.zeros(len(sets), dtype=bool)
+        for whole in (False, True):
+            use = (bare[per_gram] if whole else rare) & (parts[per_gram] > 0)
+            some = np.where(bare, parts, 0) if whole else parts
+            base = offsets(some)
+            gram, row = flat[use], per_gram[use]
+            salted = mix(gram + mix(label.astype(np.uint64))[row])
+            part = ((salted >> np.uint64(32)) * some[row].astype(np.uint64)) >> np.uint64(32)
+            at = base[row] + part.astype(np.int64)
+            sums = np.zeros(base[-1], dtype=np.uint64)
+            np.add.at(sums, at, salted)
+            filled = np.zeros(base[-1], dtype=bool)
+            filled[at] = True
+            where = np.repeat(np.arange(len(sets)), some)
+            number = np.arange(base[-1]) - base[where]
+            many = np.bincount(where[~filled], minlength=len(sets)) > most_held
+            offered = filled | (whole & many[where])
+            if not whole:
+                bare = many
+            name = mix(number.astype(np.uint64) + (label[where].astype(np.uint64) << np.uint64(32)) + np.uint64(whole))
+            found.append(mix(sums + name)[offered])
+            owner.append(nodes[where[offered]])
     return np.concatenate(found), np.concatenate(owner)
 
 
-def merge_signatures(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row per signature; its other nodes get a signature of their own with the one that stays."""
+def merge_signatures(sig: np.ndarray, node: np.ndarray, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated rows once; of over ``paired`` nodes with one signature the first stays, and each other is linked to it.
+
+    All rows that come from such merging are marked in their node, so whoever meets them takes the link for sure.
+    """
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
+    fresh = np.ones(len(sig), dtype=bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[fresh], node[fresh]
     first = np.ones(len(sig), dtype=bool)
     first[1:] = sig[1:] != sig[:-1]
-    kept = node[first]
-    leader = kept[np.cumsum(first) - 1]
-    other = ~first & (leader != node)
+    run = np.cumsum(first) - 1
+    crowd = np.bincount(run, minlength=0)[run] > paired if len(sig) else first
+    mark = np.int64(1 << NAME_BITS)
+    leader = node[first][run]
+    other = crowd & ~first
     pairs = np.unique(np.stack([leader[other], node[other]], axis=1), axis=0)
     name = mix(mix(pairs[:, 0].view(np.uint64)) + pairs[:, 1].view(np.uint64))
-    return np.concatenate([sig[first], name, name]), np.concatenate([kept, pairs[:, 0], pairs[:, 1]])
+    kept = np.where(crowd, node | mark, node)[~other]
+    return np.concatenate([sig[~other], name, name]), np.concatenate([kept, pairs[:, 0] | mark, pairs[:, 1] | mark])
 
 
 def _meta(words: int, split):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, split)
+        cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in pieces(batches):
             sets = shingler.sets(batch.column(1).to_pylist())
+            np.add.at(cells, (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                     pa.array(_nodes(sets), pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "key", "node"],
+                names=["doc_id", "n", "key", "node", "sketch"],
             )
+        # The task's counts, as rows with a negative n.
+        parts = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(SLICES, -1)]
+        none = pa.nulls(SLICES, pa.int64())
+        slices = pa.array([-1 - k for k in range(SLICES)], pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [none, slices, pa.array(parts, pa.binary()), none, pa.nulls(SLICES, pa.binary())], names=["doc_id", "n", "key", "node", "sketch"]
+        )
 
     return run
 
 
+def _common(rows: pa.Table) -> pa.Table:
+    """For one slice of cells, a bit per cell: whether its count stands out from what chance deals to a cell."""
+    cells = np.zeros((1 << CELL_BITS) // SLICES, dtype=np.int64)
+    for raw in rows.column("key"):
+        cells += np.frombuffer(zlib.decompress(raw.as_py()), dtype=np.uint32)
+    usual = float(np.median(cells))
+    bits = np.packbits(cells > usual + 6.0 * np.sqrt(usual) + PAIRED / 3)
+    return pa.table({"n": rows.column("n").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def common_cells(counts: DataFrame) -> np.ndarray:
+    """Whether each cell's n-grams are common: half a megabyte of bits, whatever the input."""
+    found = counts.select("n", "key").groupBy("n").applyInArrow(_common, "n long, bits binary").collect()
+    out = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), dtype=bool)
+    for r in found:
+        out[-1 - r["n"]] = np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool)
+    return np.packbits(out.ravel())
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams fall in each of SKETCH hash classes (255 stands for more)."""
+    counts = np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
-    """A name of NAME bytes for each set."""
+    """A name of NAME_BITS bits for each set."""
     names = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], dtype=np.uint64)
-    return (names & np.uint64((1 << 8 * NAME) - 1)).view(np.int64)
+    return (names & np.uint64((1 << NAME_BITS) - 1)).view(np.int64)
 
 
 def _pack(values: np.ndarray) -> np.ndarray:
@@ -214,9 +285,10 @@ def pack_ranges(sig: np.ndarray, node: np.ndarray, ranges: int) -> pa.RecordBatc
     )
 
 
-def _signed(words: int, split, num: int, den: int, ranges: int):
+def _signed(words: int, split, num: int, den: int, ranges: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes = Shingler(words, split), SizeClasses(num, den)
+        common = np.unpackbits(bits).astype(bool)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -227,7 +299,7 @@ def _signed(words: int, split, num: int, den: int, ranges: int):
         for batch in pieces(batches):
             sets = [s for s in shingler.sets(batch.column(0).to_pylist()) if len(s)]
             if sets:
-                waiting.append(signatures(sets, _nodes(sets), classes))
+                waiting.append(signatures(sets, _nodes(sets), classes, common))
             if sum(len(s) for s, _ in waiting) >= MERGED:
                 yield flush()
         if waiting:
@@ -236,15 +308,59 @@ def _signed(words: int, split, num: int, den: int, ranges: int):
     return run
 
 
-def collisions(rows: pa.Table) -> pa.Table:
-    """Each set with the one before it among those that share a signature."""
+def unpack_range(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, nodes and marks of a range, in order of the first two."""
     raw = np.frombuffer(b"".join(rows.column("signed").to_pylist()), dtype=np.uint8).reshape(-1, 2 * NAME)
     sig, node = _unpack(raw[:, :NAME]), _unpack(raw[:, NAME:]).view(np.int64)
+    marked = node >> NAME_BITS
+    node = node & ((1 << NAME_BITS) - 1)
     order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    meet = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
-    pairs = np.unique(np.stack([node[meet + 1], node[meet]], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return sig[order], node[order], marked[order].astype(bool)
+
+
+def colliding(sig: np.ndarray, node: np.ndarray, marked: np.ndarray, paired: int = PAIRED) -> np.ndarray:
+    """Rows (a, b, sure, times): pairs that share signatures, and how many.
+
+    Where over ``paired`` nodes share one, or one is marked, neighbours only, as sure.
+    """
+    if not len(sig):
+        return np.zeros((0, 4), dtype=np.int64)
+    again = np.zeros(len(sig), dtype=bool)
+    again[1:] = (sig[1:] == sig[:-1]) & (node[1:] == node[:-1])
+    first = np.ones(len(sig), dtype=bool)
+    first[1:] = sig[1:] != sig[:-1]
+    run = np.cumsum(first) - 1
+    crowd = (np.bincount(run[~again], minlength=run[-1] + 1) > paired) | (np.bincount(run, weights=marked, minlength=run[-1] + 1) > 0)
+    node, run = node[~again], run[~again]
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for step in range(1, paired):
+        at = np.flatnonzero((run[step:] == run[:-step]) & (~crowd[run[step:]] | (step == 1)))
+        if not len(at):
+            break
+        found.append(np.stack([node[at + step], node[at], crowd[run[at]].astype(np.int64)], axis=1))
+    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+    return np.column_stack([pairs, times])
+
+
+def collisions(rows: pa.Table) -> pa.Table:
+    pairs = colliding(*unpack_range(rows))
+    return pa.table(
+        {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "sure": pa.array(pairs[:, 2].astype(bool)), "times": pa.array(pairs[:, 3])}
+    )
+
+
+def _plausible(num: int, den: int):
+    """Pairs but those whose sizes or sketches rule out the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int64) for c in ("sa", "sb"))
+            near = np.abs(a - b).sum(axis=1) * (den + num) <= (na + nb) * (den - num)
+            near &= np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
+    return run
 
 
 class Trie:
@@ -459,16 +575,30 @@ def jaccard_components(
     """Per row: doc_id (a whole number), n_shingles, component_id (the least doc_id that links reach)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long"))
+    counted = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long, sketch binary"))
+    meta = counted.where("n >= 0")
+    bits = common_cells(counted.where("n < 0"))
     ranges = block_ranges(docs.sparkSession)
-    signed = texts.select("text").mapInArrow(_signed(words, split, num, den, ranges), "range long, signed binary")
-    blocks = components(cut(signed.groupBy("range").applyInArrow(collisions, "a long, b long").distinct()))
+    signed = texts.select("text").mapInArrow(_signed(words, split, num, den, ranges, bits), "range long, signed binary")
+    pairs = signed.groupBy("range").applyInArrow(collisions, "a long, b long, sure boolean, times long")
+    pairs = pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.sum("times").alias("times"))
+    pairs = cut(pairs.where(F.col("sure") | (F.col("times") >= AGREED)).drop("times"))
+    # A name that two different sets share (they are cut short) vouches for nothing.
+    lone = F.min("key") == F.max("key")
+    known = meta.where("n > 0").groupBy("node").agg(F.when(lone, F.first("n")).alias("n"), F.when(lone, F.first("sketch")).alias("s"))
+    told = (
+        pairs.join(known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+        .join(known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
+    )
+    sure = F.col("sure") | F.col("na").isNull() | F.col("nb").isNull()
+    tested = told.where(~sure).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(num, den), "a long, b long")
+    blocks = components(cut(told.where(sure).select("a", "b").unionByName(tested)))
 
     classes = meta.where("n > 0").join(blocks, "node").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("component").alias("comp"))
     classes = cut(classes.where("rep is not null"))
     sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     chosen = classes.join(sizes, "comp").select("comp", "k", "rep")
-    wanted = texts.join(chosen.select("rep", "comp"), texts["doc_id"] == F.col("rep")).select("comp", "rep", "text")
+    wanted = join_ids(texts, cut(chosen.select(F.col("rep").alias("doc_id"), "comp")), ["doc_id"]).select("comp", F.col("doc_id").alias("rep"), "text")
     grams = wanted.mapInArrow(_grams(words, split), "comp long, rep long, grams binary")
     roots = connect(grams, sizes, num, den, chunk)
     named = classes.join(roots, "rep").select("key", "root")
@@ -482,6 +612,6 @@ def jaccard_components(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component (one document of each group), with all their columns."""
-    kept = jaccard_components(docs, id_col=id_col, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs``, with all their columns, but those whose id does not name their component (one document of each group stays)."""
+    gone = jaccard_components(docs, id_col=id_col, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(id_col)).distinct()
+    return join_ids(docs, cut(gone), [id_col], "left_anti")
