@@ -262,10 +262,10 @@ def agg_retrieval_metrics(spark, sf):
     return out.select("cases", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
 
 
-@query("SELECT metric, v AS value, b AS was FROM (SELECT user_id AS metric, avg(value) FILTER (event_id % 2 = 0) AS v, avg(value) AS b FROM events GROUP BY 1) WHERE v < 0.95 * b")
+@query("SELECT metric, v AS value, b AS was FROM (SELECT user_id AS metric, avg(value) FILTER (event_type IN ('view', 'click')) AS v, avg(value) AS b FROM events GROUP BY 1) WHERE v < 0.95 * b")
 def agg_regression_gate(spark, sf):
     events = table(spark, sf, "events")
-    now = events.where("event_id % 2 = 0").groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
+    now = events.where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
     was = events.groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
     return evals.regressions(now, was)
 

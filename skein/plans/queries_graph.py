@@ -339,34 +339,34 @@ def rnk_cap_nodes(spark, sf):
 
 @query(
     oracle(
-        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND start_line <= 400),
+        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND file_path LIKE 'src/parts/Brand#1%'),
         c AS (SELECT t, count(*) AS n FROM defs GROUP BY t)
         SELECT DISTINCT node AS source, defs.id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN n > 1 THEN 2 ELSE 1 END AS provenance FROM refs JOIN defs USING (t) JOIN c USING (t) WHERE node <> defs.id"""
     )
 )
 def jon_link_references(spark, sf):
     parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
-    defs = parts.where("start_line <= 400").withColumn("name", F.col("content"))
+    defs = parts.where("file_path like 'src/parts/Brand#1%'").withColumn("name", F.col("content"))
     return linking.link_references(parts.select(F.col("content").alias("type_name"), F.col("id").alias("node_id")), defs, ("Part",))
 
 
 @query(
     oracle(
-        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND start_line <= 400),
+        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND file_path LIKE 'src/parts/Brand#1%'),
         p AS (SELECT DISTINCT node, defs.id, t FROM refs JOIN defs USING (t) WHERE node <> defs.id)
         SELECT DISTINCT node AS source, id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN count(*) OVER (PARTITION BY node, t) > 1 THEN 2 ELSE 1 END AS provenance FROM p"""
     )
 )
 def jon_link_unresolved(spark, sf):
     parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
-    defs = parts.where("start_line <= 400").withColumn("name", F.col("content"))
+    defs = parts.where("file_path like 'src/parts/Brand#1%'").withColumn("name", F.col("content"))
     return linking.link_unresolved(parts.select(F.col("content").alias("type_name"), F.col("id").alias("enclosing_id")), defs, ("Part",))
 
 
-@query(oracle(" SELECT DISTINCT a.id AS source, b.id AS target, 'BINDS_TO' AS relationship, 1 AS provenance FROM nodes a JOIN nodes b ON replace(lower(trim(a.content)), 'controller', '') = replace(lower(trim(b.content)), 'controller', '') WHERE a.type = 'Customer' AND b.type = 'Customer' AND b.start_line <= 10 AND trim(a.content) <> '' AND a.id <> b.id"))
+@query(oracle(" SELECT DISTINCT a.id AS source, b.id AS target, 'BINDS_TO' AS relationship, 1 AS provenance FROM nodes a JOIN nodes b ON replace(lower(trim(a.name)), 'controller', '') = replace(lower(trim(b.name)), 'controller', '') WHERE a.type = 'Part' AND b.type = 'Part' AND trim(a.name) <> '' AND a.id <> b.id"))
 def jon_bind_by_name(spark, sf):
-    people = driver_graph.nodes(spark, sf).where("type = 'Customer'").withColumn("name", F.col("content"))
-    return linking.bind_by_name(people, people.where("start_line <= 10"))
+    parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
+    return linking.bind_by_name(parts, parts)
 
 
 @query(oracle(" SELECT a.id AS source, min(b.id) AS target FROM nodes a JOIN nodes b ON a.content = b.content WHERE a.type = 'Part' AND b.type = 'Part' GROUP BY 1"))
@@ -396,16 +396,13 @@ def jon_dangling_targets(spark, sf):
 
 
 @query(
-    "SELECT l.l_orderkey AS chunk_id, e.event_id AS node_id FROM (SELECT l_orderkey, l_linenumber AS s, l_linenumber + 2 AS t, l_partkey % 500 AS f FROM lineitem WHERE l_linenumber = 1) l "
-    "JOIN (SELECT event_id, user_id AS f, event_id % 7 AS s, event_id % 7 + 1 AS t FROM events) e USING (f) WHERE e.s <= l.t AND l.s <= e.t"
+    "SELECT o.o_orderkey AS chunk_id, e.event_id AS node_id FROM orders o JOIN events e ON o.o_custkey = e.user_id "
+    "WHERE day(e.ts) <= day(o.o_orderdate) + 2 AND day(o.o_orderdate) <= day(e.ts) + 1"
 )
 def jon_overlapping_lines(spark, sf):
-    chunks = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 500).alias("file_path"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + 2).alias("end_line")
-    )
-    spans = table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("file_path"), (F.col("event_id") % 7).alias("start_line"), (F.col("event_id") % 7 + 1).alias("end_line")
-    )
+    day, seen = F.dayofmonth("o_orderdate"), F.dayofmonth("ts")
+    chunks = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("file_path"), day.alias("start_line"), (day + 2).alias("end_line"))
+    spans = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("file_path"), seen.alias("start_line"), (seen + 1).alias("end_line"))
     return linking.overlapping_lines(chunks, spans)
 
 
@@ -416,25 +413,25 @@ def jon_golden_match(spark, sf):
 
 
 @query(
-    """WITH e AS (SELECT user_id * 100 + day(ts) AS query, event_type AS t, value >= 50 AS m, event_id % 2 AS half FROM events),
-    a AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE half = 0 GROUP BY 1), b AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE half = 1 GROUP BY 1)
+    """WITH e AS (SELECT user_id * 100 + hour(ts) AS query, event_type AS t, value >= 50 AS m, ts < TIMESTAMP '2024-01-15' AS early FROM events),
+    a AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE early GROUP BY 1), b AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE NOT early GROUP BY 1)
     SELECT query, a.s.t AS before, b.s.t AS after, CASE WHEN NOT a.s.m AND b.s.m THEN 'fixed' WHEN a.s.m AND NOT b.s.m THEN 'broken' ELSE 'moved' END AS verdict FROM a JOIN b USING (query) WHERE a.s.t IS DISTINCT FROM b.s.t"""
 )
 def jon_compare_runs(spark, sf):
     events = table(spark, sf, "events")
-    runs = events.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("query"), F.col("event_type").alias("top1"), (F.col("value") >= 50).alias("matched"), (F.col("event_id") % 2).alias("half"))
-    return evals.compare_runs(runs.where("half = 0"), runs.where("half = 1"))
+    runs = events.select((F.col("user_id") * 100 + F.hour("ts")).alias("query"), F.col("event_type").alias("top1"), (F.col("value") >= 50).alias("matched"), (F.col("ts") < F.lit("2024-01-15").cast("timestamp")).alias("early"))
+    return evals.compare_runs(runs.where("early"), runs.where("not early"))
 
 
 @query(
-    """WITH i AS (SELECT o_orderkey AS f, md5(o_orderpriority) AS h FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT o_orderkey AS f, md5(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus END) AS h FROM orders WHERE o_orderkey % 5 <> 0)
+    """WITH i AS (SELECT o_orderkey AS f, md5(o_orderpriority) AS h FROM orders WHERE o_orderpriority <> '5-LOW'), p AS (SELECT o_orderkey AS f, md5(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE o_orderstatus END) AS h FROM orders WHERE o_orderstatus <> 'P')
     SELECT coalesce(i.f, p.f) AS file_path, CASE WHEN i.f IS NULL THEN 'new' WHEN p.f IS NULL THEN 'deleted' WHEN i.h <> p.h THEN 'changed' ELSE 'fresh' END AS state FROM i FULL JOIN p ON i.f = p.f"""
 )
 def jon_drift(spark, sf):
     orders = table(spark, sf, "orders")
-    was = orders.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("file_path"), F.md5("o_orderpriority").alias("content_hash"))
+    was = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("file_path"), F.md5("o_orderpriority").alias("content_hash"))
     text = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise(F.col("o_orderstatus"))
-    return files.drift(was, orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("file_path"), F.md5(text).alias("content_hash")))
+    return files.drift(was, orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("file_path"), F.md5(text).alias("content_hash")))
 
 
 # The store ------------------------------------------------------------------------
@@ -443,12 +440,12 @@ def jon_drift(spark, sf):
 def _snapshot(spark, sf):
     """Parts as enriched nodes, and a second reading of them in which some have changed."""
     part = table(spark, sf, "part")
-    old = part.where("p_partkey % 5 <> 0").select(
+    old = part.where("p_brand <> 'Brand#11'").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("content"), F.md5("p_name").alias("content_hash"), F.col("p_brand").alias("summary"),
         F.array(F.col("p_retailprice").cast("float")).alias("embedding"), F.lit(1).alias("embedding_dim"), F.lit("m1").alias("embedding_model"), F.lit(False).alias("needs_analysis"),
     )
     text = F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_name"))
-    new = part.where("p_partkey % 3 <> 0").select(
+    new = part.where("p_size <> 7").select(
         F.col("p_partkey").alias("id"), text.alias("content"), F.md5(text).alias("content_hash"), F.lit(None).cast("string").alias("summary"),
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("int").alias("embedding_dim"), F.lit(None).cast("string").alias("embedding_model"), F.lit(True).alias("needs_analysis"),
     )
@@ -456,8 +453,8 @@ def _snapshot(spark, sf):
 
 
 @query(
-    """WITH o AS (SELECT p_partkey AS id, p_name AS c, p_brand AS s FROM part WHERE p_partkey % 5 <> 0),
-    n AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN p_type ELSE p_name END AS c FROM part WHERE p_partkey % 3 <> 0)
+    """WITH o AS (SELECT p_partkey AS id, p_name AS c, p_brand AS s FROM part WHERE p_brand <> 'Brand#11'),
+    n AS (SELECT p_partkey AS id, CASE WHEN p_size > 25 THEN p_type ELSE p_name END AS c FROM part WHERE p_size <> 7)
     SELECT coalesce(o.id, n.id) AS id, coalesce(n.c, o.c) AS content, CASE WHEN n.id IS NULL OR o.c = n.c THEN o.s END AS summary,
     CASE WHEN n.id IS NULL OR o.c = n.c THEN 'm1' END AS embedding_model, NOT coalesce(n.id IS NULL OR o.c = n.c, FALSE) AS needs_analysis FROM o FULL JOIN n ON o.id = n.id"""
 )
@@ -598,11 +595,13 @@ def scl_suspicious(spark, sf):
 # Loops ------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey AS file_path, CASE WHEN o_orderkey % 4 = 0 THEN 'Deleted' WHEN o_orderkey % 3 = 0 THEN 'Stale' ELSE 'Fresh' END AS freshness FROM orders")
+@query("SELECT o_orderkey AS file_path, CASE WHEN o_orderpriority = '5-LOW' THEN 'Deleted' WHEN o_orderstatus = 'F' THEN 'Stale' ELSE 'Fresh' END AS freshness FROM orders")
 def str_freshness(spark, sf):
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("file_path"), F.md5("o_orderpriority").alias("content_hash"))
-    now = orders.where("file_path % 4 <> 0").withColumn("content_hash", F.when(F.col("file_path") % 3 == 0, "x").otherwise(F.col("content_hash")))
-    return loops.freshness(orders, now, orders)
+    orders = table(spark, sf, "orders")
+    was = orders.select(F.col("o_orderkey").alias("file_path"), F.md5("o_orderpriority").alias("content_hash"))
+    now = F.when(F.col("o_orderstatus") == "F", "x").otherwise(F.md5("o_orderpriority"))
+    present = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("file_path"), now.alias("content_hash"))
+    return loops.freshness(was, present, was)
 
 
 @query(
