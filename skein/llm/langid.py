@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Interned, offsets, pieces, small_batches
+from skein.llm.common import Interned, offsets, pieces, resident, small_batches
 
 DOCS_PER_LANG = 100
-CHARS_PER_LANG = 60_000
+CHARS_PER_LANG = 40_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -104,13 +103,8 @@ class LanguageModel:
         self.texts = [f" {texts[k][:size]} " for k in self.langs]
 
     def parser(self) -> Parser:
-        return worker_parser(tuple(self.langs), tuple(self.texts))
-
-
-@lru_cache(maxsize=1)
-def worker_parser(langs: tuple[str, ...], texts: tuple[str, ...]) -> Parser:
-    """The parser of this Python worker, with the words that earlier tasks met."""
-    return Parser(langs, texts)
+        """The parser of this Python worker, with the words that earlier tasks met."""
+        return resident(("languages", *self.langs, *self.texts), lambda: Parser(self.langs, self.texts))
 
 
 class Parser:

@@ -18,12 +18,11 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Sequence
-from functools import lru_cache
 from itertools import chain, count, islice
 
 import numpy as np
 
-from skein.llm.common import offsets
+from skein.llm.common import offsets, resident
 
 #: The tokenizer's word pattern, for bytes of ASCII and Latin-1 letters.
 _WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc3\x80-\xbf]+|[0-9]|[^\sa-z0-9\xc3\x80-\xbf]+")
@@ -36,14 +35,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=1)
 def worker_encoder(path: str | None) -> Encoder:
     """The encoder of this Python worker, with the words that earlier tasks met."""
-    return Encoder(path)
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 class Encoder:
-    def __init__(self, path: str | None = None, most: int = 800_000):
+    def __init__(self, path: str | None = None, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
