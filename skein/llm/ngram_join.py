@@ -18,8 +18,8 @@ documents link when their sets' Jaccard similarity reaches ``num / den``.
    N-grams that very many sets have (by counts over all documents in a fixed
    table of cells) would make signatures of passages, not of documents; so the
    parts are first formed without them.  A set with more empty parts than it may
-   withhold also signs with all its n-grams, and if there are still as many,
-   with the empty ones too.  Which n-grams count as common changes how
+   withhold signs again with more parts, at last with all its n-grams, and if
+   there are still as many, with the empty ones too.  Which n-grams count as common changes how
    many candidates there are, never which links are found.
 3. Where up to PAIRED sets share a signature, each pair of them is a candidate,
    and is dropped if counts of the sets' n-grams by hash (SKETCH numbers per
@@ -32,8 +32,9 @@ documents link when their sets' Jaccard similarity reaches ``num / den``.
    the overlap that its sets require.  Sets that are already connected are not
    compared again.
 5. Between the chunks of a large block: one set of each chunk's largest class
-   meets the others; then every set outside the largest class of the block
-   walks the tries of all other chunks.  So no pair is left out but those
+   meets the others; sets outside the largest class of the block meet that
+   class in TURNS other chunks; those still outside walk the tries of all other
+   chunks.  So no pair is left out but those
    known to be connected.
 
 Defined results: null and empty texts have an empty set and link with nothing;
@@ -61,6 +62,7 @@ WORDS, NUM, DEN = 3, 90, 100
 #: Signatures in which linked sets meet at least.
 AGREED = 3
 CHUNK = 64
+TURNS = 3
 #: Signatures that a task merges at once.
 MERGED = 1 << 20
 NAME = 5
@@ -68,6 +70,9 @@ NAME = 5
 NAME_BITS = 8 * NAME - 1
 PAIRED = 48
 SKETCH = 64
+#: Ways to sign, each for the sets that must withhold too many empty parts in those before: with all n-grams or without the
+#: common ones, and how many spare parts there are for each in which sets may differ.
+SCHEMES = ((False, 0.1), (False, 0.6), (False, 1.5), (True, 0.1))
 #: Cells of the table of n-gram counts, by the leading bits of the digests, and the slices it is summed in.
 CELL_BITS, SLICES = 22, 64
 #: Ranges of signature values for each shuffle partition.
@@ -146,14 +151,13 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, classes: SizeClasses,
     found, owner = [], []
     for label in (own, own + 1):
         differ = classes.most_different(label)
-        spare = differ // 10 + AGREED + 3
-        # Where sets may not differ at all, equal sets are one class already.
-        parts = np.where(differ > 0, differ + 1 + spare, 0)
-        most_held = spare + 1 - AGREED
-        bare = np.zeros(len(sets), dtype=bool)
-        for whole in (False, True):
-            use = (bare[per_gram] if whole else rare) & (parts[per_gram] > 0)
-            some = np.where(bare, parts, 0) if whole else parts
+        bare = np.ones(len(sets), dtype=bool)
+        for number_of, (whole, share) in enumerate(SCHEMES):
+            spare = (differ * share).astype(np.int64) + AGREED + 3
+            most_held = spare + 1 - AGREED
+            # Where sets may not differ at all, equal sets are one class already.
+            some = np.where(bare & (differ > 0), differ + 1 + spare, 0)
+            use = (some[per_gram] > 0) & (rare | whole)
             base = offsets(some)
             gram, row = flat[use], per_gram[use]
             salted = mix(gram + mix(label.astype(np.uint64))[row])
@@ -167,9 +171,8 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, classes: SizeClasses,
             number = np.arange(base[-1]) - base[where]
             many = np.bincount(where[~filled], minlength=len(sets)) > most_held
             offered = filled | (whole & many[where])
-            if not whole:
-                bare = many
-            name = mix(number.astype(np.uint64) + (label[where].astype(np.uint64) << np.uint64(32)) + np.uint64(whole))
+            bare = bare & many
+            name = mix(number.astype(np.uint64) + (label[where].astype(np.uint64) << np.uint64(32)) + (np.uint64(number_of) << np.uint64(56)))
             found.append(mix(sums + name)[offered])
             owner.append(nodes[where[offered]])
     return np.concatenate(found), np.concatenate(owner)
@@ -544,6 +547,21 @@ def connect(sets: DataFrame, sizes: DataFrame, num: int, den: int, chunk: int =
         .withColumn("outside", ~F.coalesce("giant", F.lit(False)))
         .select("comp", "chunk", "chunks", "rep", "grams", "label", "outside")
     )
+    labelled = cut(labelled)
+    # First each of them meets the largest class's part of one other chunk, a few times over: most find it there.
+    for turn in range(1, TURNS + 1):
+        outside = labelled.where("outside")
+        if outside.isEmpty():
+            break
+        moved = F.pmod(F.col("chunk") + turn, "chunks").alias("chunk")
+        probes = outside.select("comp", moved, "rep", "grams", "label", F.lit(True).alias("probe"))
+        tries = labelled.where("not outside").select("comp", "chunk", "rep", "grams", "label", F.lit(False).alias("probe"))
+        met = tries.unionByName(probes).repartition("comp", "chunk").groupBy("comp", "chunk").applyInArrow(_across(num, den), "a long, b long")
+        met = cut(met)
+        links = links.unionByName(met)
+        inside = met.select(F.col("b").alias("rep")).join(labelled.select("rep", "comp", "label"), "rep").select("comp", "label").distinct()
+        marked = labelled.join(inside.withColumn("in", F.lit(True)), ["comp", "label"], "left")
+        labelled = cut(marked.withColumn("outside", F.col("outside") & F.col("in").isNull()).select(*labelled.columns))
     loose = labelled.where("outside").groupBy("comp").agg(F.count(F.lit(1)).alias("u"))
     rounds = F.ceil(F.col("u") / F.greatest(F.lit(chunk), F.col("chunks")))
     there = labelled.join(loose, "comp").withColumn("rounds", rounds)
