@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,7 @@ __all__ = ["cut", "shared_folder", "table", "small_batches", "pieces", "join_ids
 
 #: Rows of text handed to Python at once.  Long texts are bounded by bytes too.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +62,20 @@ def crc32_of_id(col: str = "doc_id"):
 _RESIDENT: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which else stays with this worker for good."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def resident(key: tuple, make):
     """What ``make`` builds, kept in this Python worker for later tasks; one thing at a time, so memory stays bounded."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            give_back()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 

@@ -41,7 +41,7 @@ def worker_encoder(path: str | None) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str | None = None, most: int = 500_000):
+    def __init__(self, path: str | None = None, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
