@@ -11,16 +11,17 @@ paragraph; so short stock phrases stay.
    agree on all rows of a band collide.  With 4 bands of 3 rows a pair of
    similarity 0.9 collides with probability 0.995, one of 0.8 with 0.94, equal
    ones always.
-2. Colliding paragraphs form blocks; within them, in chunks and between chunks,
+2. Colliding pairs whose n-gram counts by hash differ too much for the
+   similarity are dropped; the others form blocks; within them, in chunks and between chunks,
    exact Jaccard similarity (at least num/den) links paragraphs, by the trie
    walk of the n-gram join.
 3. Paragraphs that links connect are one class.  Where a class occurs in more
-   than one document, its first place (least doc_id, then position) stays and
-   the others are marked for removal; marked words that touch or overlap are
+   than one document, its places in the first (the least doc_id) stay and those
+   in the others are marked for removal; marked words that touch or overlap are
    one span.  A text that only repeats itself is left alone.
 
 Defined results: null, empty and short texts have no paragraphs; rows that
-repeat an id are one document; an empty table gives an empty result.
+repeat an id are one document, rows without an id are left alone; an empty table gives an empty result.
 Other columns are not looked at.
 """
 
@@ -32,19 +33,20 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Interned, cut, offsets, pieces, small_batches
+from skein.llm.common import Interned, cut, join_ids, offsets, pieces, resident, small_batches
 from skein.llm.components import components
-from skein.llm.ngram_join import NAME, block_ranges, collisions, connect, merge_signatures, mix, pack_ranges, split_words
+from skein.llm.ngram_join import NAME_BITS, block_ranges, colliding, connect, mix, split_words
 
 GRAM = 5
 WIDTH = 25
 SPREAD = 27
 BANDS, ROWS = 4, 3
 NUM, DEN = 80, 100
-#: Paragraph signatures that a task merges at once.
+#: Paragraph signatures that a task packs at once.
 MERGED = 1 << 20
 
 
@@ -91,6 +93,15 @@ class Paragraphs:
             name = mix(name + self.grams[:, j])
         self.name = (name >> np.uint64(1)).view(np.int64)
 
+    def sketches(self) -> list[bytes]:
+        """How many distinct n-grams fall in each of 32 hash classes (15 stands for more), two to a byte."""
+        grams = np.sort(self.grams, axis=1)
+        once = np.ones(grams.shape, dtype=bool)
+        once[:, 1:] = grams[:, 1:] != grams[:, :-1]
+        cell = np.arange(len(grams))[:, None] * 32 + (grams & np.uint64(31)).astype(np.int64)
+        counts = np.minimum(np.bincount(cell[once], minlength=32 * len(grams)), 15).reshape(-1, 32)
+        return [r.tobytes() for r in (counts[:, ::2] * 16 + counts[:, 1::2]).astype(np.uint8)]
+
     def signatures(self) -> tuple[np.ndarray, np.ndarray]:
         found = []
         for band in range(BANDS):
@@ -103,39 +114,62 @@ class Paragraphs:
 
 
 def short_name(name: np.ndarray) -> np.ndarray:
-    return name & ((1 << 8 * NAME) - 1)
+    return name & ((1 << NAME_BITS) - 1)
 
 
 def _places(split):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Interned(xxhash.xxh3_64_intdigest)
+        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
             found = Paragraphs(batch.column(1).to_pylist(), digest, split)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found.row)), pa.array(found.start, pa.int32()), pa.array(found.name)],
-                names=["doc_id", "start_word", "name"],
+                [batch.column(0).take(pa.array(found.row)), pa.array(found.start, pa.int32()), pa.array(found.name), pa.array(short_name(found.name)), pa.array(found.sketches(), pa.binary())],
+                names=["doc_id", "start_word", "name", "node", "sketch"],
             )
 
     return run
 
 
+#: A paragraph's signature and name in bytes, and what tells its text from others (by chance alike for one pair in 65,536).
+SIG, NAMED, TAG = 5, 5, 2
+
+
 def _signed(split, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Interned(xxhash.xxh3_64_intdigest)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
+        context = TaskContext.get()
+        text = (context.partitionId() if context else 0) << 32
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            merged = merge_signatures(*map(np.concatenate, zip(*waiting, strict=True)))
+            sig, node, tag = (np.concatenate([w[k] for w in waiting]) for k in range(3))
             waiting.clear()
-            return pack_ranges(*merged, ranges)
+            order = np.lexsort((tag, node, sig))
+            sig, node, tag = sig[order], node[order], tag[order]
+            new = np.ones(len(sig), dtype=bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            # Of rows that name the same paragraph by the same signature, the first and the last tell whether texts differ.
+            kept = new | np.append(new[1:], True)
+            sig, node, tag = sig[kept], node[kept], tag[kept]
+            at = ((sig >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
+            order = np.argsort(at, kind="stable")
+            columns = ((sig, SIG), (node.view(np.uint64), NAMED), (tag, TAG))
+            packed = np.hstack([c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for c, size in columns])
+            ends = np.searchsorted(at[order], np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(ends))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], names=["range", "signed"]
+            )
 
         for batch in pieces(batches):
             digest.trim()
             found = Paragraphs(batch.column(0).to_pylist(), digest, split)
             if len(found.row):
-                waiting.append(found.signatures())
-            if sum(len(s) for s, _ in waiting) >= MERGED:
+                tag = mix((found.row + text).astype(np.uint64)) & np.uint64((1 << 8 * TAG) - 1)
+                waiting.append((*found.signatures(), np.tile(tag, BANDS)))
+            text += batch.num_rows
+            if sum(len(w[0]) for w in waiting) >= MERGED:
                 yield flush()
         if waiting:
             yield flush()
@@ -143,9 +177,50 @@ def _signed(split, ranges: int):
     return run
 
 
+def _collisions(rows: pa.Table) -> pa.Table:
+    """a, b, sure: pairs of paragraphs that share a signature which several texts have; each of them with itself, too."""
+    raw = np.frombuffer(b"".join(rows.column("signed").to_pylist()), dtype=np.uint8).reshape(-1, SIG + NAMED + TAG)
+
+    def column(first: int, size: int) -> np.ndarray:
+        out = np.zeros((len(raw), 8), dtype=np.uint8)
+        out[:, :size] = raw[:, first : first + size]
+        return out.view("<i8").ravel()
+
+    sig, node, tag = column(0, SIG), column(SIG, NAMED), column(SIG + NAMED, TAG)
+    order = np.lexsort((tag, node, sig))
+    sig, node, tag = sig[order], node[order], tag[order]
+    first = np.ones(len(sig), dtype=bool)
+    first[1:] = sig[1:] != sig[:-1]
+    starts = np.flatnonzero(first)
+    several = np.minimum.reduceat(tag, starts) != np.maximum.reduceat(tag, starts)
+    live = several[np.cumsum(first) - 1]
+    sig, node = sig[live], node[live]
+    pairs = colliding(sig, node, np.zeros(len(sig), dtype=bool))
+    alone = np.unique(node)
+    a, b = np.concatenate([alone, pairs[:, 0]]), np.concatenate([alone, pairs[:, 1]])
+    sure = np.concatenate([np.zeros(len(alone), dtype=bool), pairs[:, 2].astype(bool)])
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "sure": pa.array(sure)})
+
+
+def _plausible(num: int, den: int):
+    """Pairs (a, b, sa, sb) but those whose sketches rule out the similarity of paragraphs (of WIDTH - GRAM + 1 n-grams at most)."""
+    most = 2 * (WIDTH - GRAM + 1) * (den - num) // (den + num)
+
+    def counts(column: pa.Array) -> np.ndarray:
+        raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 16)
+        return np.hstack([raw >> 4, raw & 15]).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.abs(counts(batch.column("sa")) - counts(batch.column("sb"))).sum(axis=1) <= most
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
+    return run
+
+
 def _sets(split):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Interned(xxhash.xxh3_64_intdigest)
+        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
             found = Paragraphs(batch.column("text").to_pylist(), digest, split)
@@ -180,19 +255,38 @@ def repeated_passages(
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    places = cut(texts.mapInArrow(_places(split), "doc_id long, start_word int, name long"))
-    place = F.struct("doc_id", "start_word")
-    names = cut(places.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("doc_id").alias("last_doc")))
-
     ranges = block_ranges(spark)
     signed = texts.select("text").mapInArrow(_signed(split, ranges), "range long, signed binary")
-    blocks = components(cut(signed.groupBy("range").applyInArrow(collisions, "a long, b long").distinct()))
-    named = names.withColumn("node", F.col("name").bitwiseAND((1 << 8 * NAME) - 1)).join(blocks, "node")
-    members = cut(named.select("name", F.col("component").alias("comp"), F.col("first.doc_id").alias("doc_id")))
+    # Only paragraphs that share a signature with one of another text go on from here.
+    pairs = signed.groupBy("range").applyInArrow(_collisions, "a long, b long, sure boolean")
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    nodes = pairs.where("a = b").select(F.col("a").alias("node"))
+    every = texts.mapInArrow(_places(split), "doc_id long, start_word int, name long, node long, sketch binary")
+    places = cut(every.join(nodes, "node").select("doc_id", "start_word", "name", "node", "sketch"))
+    place = F.struct("doc_id", "start_word")
+    names = cut(
+        places.groupBy("name").agg(
+            F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), F.first("node").alias("node"), F.first("sketch").alias("sketch")
+        )
+    )
+    # A short name that two paragraphs share vouches for nothing.
+    known = names.groupBy("node").agg(F.when(F.min("name") == F.max("name"), F.first("sketch")).alias("s"))
+    told = (
+        pairs.where("a <> b")
+        .join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+        .join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    )
+    sure = F.col("sure") | F.col("sa").isNull() | F.col("sb").isNull()
+    tested = told.where(~sure).select("a", "b", "sa", "sb").mapInArrow(_plausible(num, den), "a long, b long")
+    blocks = components(cut(told.where(sure).select("a", "b").unionByName(tested)))
+    names = cut(names.drop("sketch").join(blocks, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "node"))
+    members = names.select("name", "comp", F.col("first.doc_id").alias("doc_id"))
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     # A document's own paragraphs bound the list of those wanted from it.
     wanted = members.join(sizes.select("comp"), "comp", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("name", "comp")).alias("wanted"))
-    sets = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets(split), "comp long, rep long, grams binary")
+    wanted = cut(wanted)
+    near = join_ids(texts, wanted.select("doc_id"), ["doc_id"], "left_semi")
+    sets = near.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets(split), "comp long, rep long, grams binary")
     classes = connect(sets, sizes, num, den).select(F.col("rep").alias("name"), F.col("root").alias("class_id"))
 
     classed = names.join(classes, "name", "left").withColumn("class_id", F.coalesce("class_id", "name"))
@@ -206,7 +300,7 @@ def repeated_passages(
         "class_id",
         "n_places",
         F.col("first.doc_id").alias("first_doc_id"),
-        place.eqNullSafe(F.col("first")).alias("kept"),
+        (F.col("doc_id") == F.col("first.doc_id")).alias("kept"),
     )
 
 
