@@ -201,7 +201,31 @@ def rnk_hotspots(spark, sf):
 
 @query()
 def grf_communities(spark, sf):
-    return analytics.modularity_communities(*_tree(spark, sf), structural=True)
+    return analytics.modularity_communities(*_graph(spark, sf))
+
+
+# The same measures of the whole graph, couplings only.  Recursive SQL is too slow for it; tests hold them against brute force.
+
+
+@query()
+def grf_components_all(spark, sf):
+    return analytics.connected_components(*_graph(spark, sf))
+
+
+@query()
+def agg_cluster_sizes_all(spark, sf):
+    return analytics.cluster_sizes(grf_components_all(spark, sf))
+
+
+@query()
+def grf_betweenness_all(spark, sf):
+    found = analytics.betweenness(*_graph(spark, sf))
+    return found.select("id", F.round("betweenness", 6).alias("betweenness"), "degree")
+
+
+@query()
+def rnk_hotspots_all(spark, sf):
+    return analytics.hotspots(grf_betweenness_all(spark, sf))
 
 
 # Search ------------------------------------------------------------------------
