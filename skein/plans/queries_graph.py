@@ -387,6 +387,31 @@ def jon_link_unresolved(spark, sf):
     return linking.link_unresolved(parts.select(F.col("content").alias("type_name"), F.col("id").alias("enclosing_id")), defs, ("Part",))
 
 
+_PARTS = ", refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part')"
+
+
+@query(
+    oracle(
+        f"""{_PARTS}, c AS (SELECT t, count(*) AS n FROM defs GROUP BY t)
+        SELECT DISTINCT node AS source, defs.id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN n > 1 THEN 2 ELSE 1 END AS provenance FROM refs JOIN defs USING (t) JOIN c USING (t) WHERE node <> defs.id"""
+    )
+)
+def jon_link_references_all(spark, sf):
+    parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
+    return linking.link_references(parts.select(F.col("content").alias("type_name"), F.col("id").alias("node_id")), parts.withColumn("name", F.col("content")), ("Part",))
+
+
+@query(
+    oracle(
+        f"""{_PARTS}, p AS (SELECT DISTINCT node, defs.id, t FROM refs JOIN defs USING (t) WHERE node <> defs.id)
+        SELECT DISTINCT node AS source, id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN count(*) OVER (PARTITION BY node, t) > 1 THEN 2 ELSE 1 END AS provenance FROM p"""
+    )
+)
+def jon_link_unresolved_all(spark, sf):
+    parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
+    return linking.link_unresolved(parts.select(F.col("content").alias("type_name"), F.col("id").alias("enclosing_id")), parts.withColumn("name", F.col("content")), ("Part",))
+
+
 @query(oracle(" SELECT DISTINCT a.id AS source, b.id AS target, 'BINDS_TO' AS relationship, 1 AS provenance FROM nodes a JOIN nodes b ON replace(lower(trim(a.name)), 'controller', '') = replace(lower(trim(b.name)), 'controller', '') WHERE a.type = 'Part' AND b.type = 'Part' AND trim(a.name) <> '' AND a.id <> b.id"))
 def jon_bind_by_name(spark, sf):
     parts = driver_graph.nodes(spark, sf).where("type = 'Part'")

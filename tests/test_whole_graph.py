@@ -84,3 +84,11 @@ def test_communities_of_the_whole_graph(spark, sf):
     assert set(found) == set(IDS) and all(parts[i] == parts[c] for i, c in found.items())
     assert all(found[i] == i for i in IDS if not near[i])
     assert all(any(found[i] == found[x] for x in near[i]) for i in IDS if near[i])
+
+
+REFERENCES = [(f"P:{a}", f"P:{b}", "REFERENCES_TYPE") for a in (1, 2, 4) for b in (1, 2, 4) if a != b]
+
+
+@pytest.mark.parametrize("name", ["jon_link_references_all", "jon_link_unresolved_all"])
+def test_links_to_all_definitions(spark, sf, name):
+    assert sorted(run(spark, sf, name)) == [(*r, 2) for r in REFERENCES]
