@@ -19,7 +19,7 @@ NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or that no language fits better than another, go."""
+    """Documents without a letter go."""
     return langid.keep_language(docs, langid.learn(docs))
 
 

@@ -202,7 +202,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_language(
     docs: DataFrame, model: LanguageModel, least: float = 0.0, langs: list[str] | None = None, text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known (and one of ``langs``) with a score above ``least``."""
+    """The rows of ``docs``, with all their columns, whose language is known (and one of ``langs``) with a score of ``least`` at least.
+
+    A tie (score 0) has a winner, so by default only rows without a letter go.
+    """
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     wanted = set(langs) if langs is not None else None
@@ -211,7 +214,7 @@ def keep_language(
         parser = model.parser()
         for batch in pieces(batches):
             lang, score = parser.predict(batch.column(at).to_pylist())
-            keep = [k != "und" and s > least and (wanted is None or k in wanted) for k, s in zip(lang, score, strict=True)]
+            keep = [k != "und" and s >= least and (wanted is None or k in wanted) for k, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

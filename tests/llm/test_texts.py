@@ -284,6 +284,15 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_ties_of_languages_are_kept(spark):
+    rows = [(1, "abab", "x"), (2, "baba", "y"), (3, "cdcd", "z"), (4, "ab", None), (5, "q", None), (6, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    tied = {r["doc_id"] for r in langid.identify(docs, model).collect() if r["score"] == 0 and r["lang_pred"] != "und"}
+    assert 5 in tied
+    assert {r["doc_id"] for r in langid.keep_language(docs, model).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = ["Plain words make a line of text here.\nAnd then another one follows it." for _ in range(20)]
