@@ -131,8 +131,8 @@ def _places(split):
     return run
 
 
-#: A paragraph's signature and name in bytes, and what tells its text from others (by chance alike for one pair in 65,536).
-SIG, NAMED, TAG = 5, 5, 2
+#: A paragraph's signature and name in bytes, and the partition and row number of its text, which no other text has.
+SIG, NAMED, TAG = 5, 5, 8
 
 
 def _signed(split, ranges: int):
@@ -166,7 +166,7 @@ def _signed(split, ranges: int):
             digest.trim()
             found = Paragraphs(batch.column(0).to_pylist(), digest, split)
             if len(found.row):
-                tag = mix((found.row + text).astype(np.uint64)) & np.uint64((1 << 8 * TAG) - 1)
+                tag = found.row + text
                 waiting.append((*found.signatures(), np.tile(tag, BANDS)))
             text += batch.num_rows
             if sum(len(w[0]) for w in waiting) >= MERGED:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -396,3 +397,15 @@ def test_shared_runs_share_a_paragraph(before, after, run, seed):
         rolled = passages.grams(flat)
         names.append({tuple(flat[a : a + passages.WIDTH].tolist()) for a in passages.anchors(rolled)})
     assert names[0] & names[1]
+
+
+def test_texts_are_told_apart_without_chance():
+    short = {}
+    for k, tag in enumerate((passages.mix(np.arange(5000, dtype=np.uint64)) & np.uint64(65535)).tolist()):
+        if tag in short:
+            break
+        short[tag] = k
+    texts = [""] * 5000
+    texts[short[tag]] = texts[k] = " ".join(f"w{k}" for k in range(30))
+    signed = list(passages._signed(passages.split_words, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
+    assert passages._collisions(pa.Table.from_batches(signed)).num_rows
