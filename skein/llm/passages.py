@@ -254,7 +254,7 @@ def repeated_passages(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     ranges = block_ranges(spark)
     signed = texts.select("text").mapInArrow(_signed(split, ranges), "range long, signed binary")
     # Only paragraphs that share a signature with one of another text go on from here.

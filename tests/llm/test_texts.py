@@ -409,3 +409,11 @@ def test_texts_are_told_apart_without_chance():
     texts[short[tag]] = texts[k] = " ".join(f"w{k}" for k in range(30))
     signed = list(passages._signed(passages.split_words, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
     assert passages._collisions(pa.Table.from_batches(signed)).num_rows
+
+
+def test_passages_with_a_row_without_id(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    docs = spark.createDataFrame([(None, shared), (1, shared), (2, shared)], "doc_id long, text string")
+    found = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["kept"]) for r in found} == {(1, True), (2, False)}
