@@ -19,6 +19,9 @@ paragraph; so short stock phrases stay.
    than one document, its places in the first (the least doc_id) stay and those
    in the others are marked for removal; marked words that touch or overlap are
    one span.  A text that only repeats itself is left alone.
+4. A place in another document is grown to the left and right, word by word, as
+   far as the words are those around the class's first place.  Places in the
+   first document stay as they are cut.
 
 Defined results: null, empty and short texts have no paragraphs; rows that
 repeat an id are one document, rows without an id are left alone; an empty table gives an empty result.
@@ -70,6 +73,14 @@ def anchors(rolled: np.ndarray, spread: int = SPREAD, span: int = WIDTH - GRAM +
     return np.unique(starts - 1 - at)
 
 
+def names(grams: np.ndarray) -> np.ndarray:
+    """The name of each row of n-grams, a paragraph."""
+    name = np.zeros(len(grams), dtype=np.uint64)
+    for j in range(grams.shape[1]):
+        name = mix(name + grams[:, j])
+    return (name >> np.uint64(1)).view(np.int64)
+
+
 class Paragraphs:
     """The paragraphs of a batch of texts: their text's number, start word, name and sorted distinct n-grams."""
 
@@ -88,10 +99,7 @@ class Paragraphs:
         self.row, self.start = np.concatenate(rows), np.concatenate(starts)
         first = ends[self.row] + self.start
         self.grams = rolled[first[:, None] + np.arange(WIDTH - GRAM + 1)]
-        name = np.zeros(len(first), dtype=np.uint64)
-        for j in range(self.grams.shape[1]):
-            name = mix(name + self.grams[:, j])
-        self.name = (name >> np.uint64(1)).view(np.int64)
+        self.name = names(self.grams)
 
     def sketches(self) -> list[bytes]:
         """How many distinct n-grams fall in each of 32 hash classes (15 stands for more), two to a byte."""
@@ -240,6 +248,66 @@ def _sets(split):
     return run
 
 
+def common_runs(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end in ``a`` of the paragraphs at ``at_a``, grown while the words on either side are those at ``at_b`` in ``b``."""
+    low, high, shifts = at_a.copy(), at_a + WIDTH, at_b - at_a
+    for shift in np.unique(shifts).tolist():
+        here = shifts == shift
+        least, most = max(0, -shift), min(len(a), len(b) - shift)
+        breaks = np.concatenate([[least - 1], np.flatnonzero(a[least:most] != b[least + shift : most + shift]) + least, [most]])
+        low[here] = breaks[np.searchsorted(breaks, at_a[here]) - 1] + 1
+        high[here] = breaks[np.searchsorted(breaks, at_a[here] + WIDTH)]
+    return low, high
+
+
+def _grown(split):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
+        kept: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
+
+        def words(side: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if side not in kept or kept[side][0] != text:
+                flat = np.fromiter(map(digest.__getitem__, split(text)), dtype=np.uint64)
+                kept[side] = text, flat, grams(flat)
+            return kept[side][1:]
+
+        def holds(rolled: np.ndarray, at: np.ndarray, name: np.ndarray) -> np.ndarray:
+            span = WIDTH - GRAM + 1
+            found = at + span <= len(rolled)
+            found[found] = names(rolled[at[found][:, None] + np.arange(span)]) == name[found]
+            return found
+
+        for batch in pieces(batches):
+            digest.trim()
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for doc, text, other, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first_text", "places")), strict=True):
+                start, name, at, called, class_id = (np.array([p[k] for p in places], dtype=np.int64) for k in ("start_word", "name", "first_start", "first_name", "class_id"))
+                (a, ga), (b, gb) = words(0, text), words(1, other)
+                # Rows may repeat an id: only texts that hold both paragraphs are compared.
+                both = holds(ga, start, name) & holds(gb, at, called)
+                low, high = common_runs(a, b, start[both], at[both])
+                for column, part in zip(out, (np.full(len(low), doc), start[both], class_id[both], low, high), strict=True):
+                    column.append(part)
+            doc, start, class_id, low, high = (np.concatenate(c) for c in out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(class_id, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
+                names=["doc_id", "at", "class_id", "low", "high"],
+            )
+
+    return run
+
+
+def _runs(texts: DataFrame, found: DataFrame, split) -> DataFrame:
+    """doc_id, at, class_id, low and high: the places in ``found`` that lie outside the class's first document, grown."""
+    place = F.struct("start_word", "name", F.col("first.start_word").alias("first_start"), F.col("first.name").alias("first_name"), "class_id")
+    pairs = cut(found.where("doc_id <> first.doc_id").groupBy("doc_id", F.col("first.doc_id").alias("first_id")).agg(F.collect_set(place).alias("places")))
+    firsts = join_ids(texts, cut(pairs.select(F.col("first_id").alias("doc_id")).distinct()), ["doc_id"], "left_semi")
+    firsts = firsts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
+    both = pairs.join(firsts, "first_id").join(texts, "doc_id").select("doc_id", "text", "first_text", "places")
+    grown = both.mapInArrow(_grown(split), "doc_id long, at int, class_id long, low int, high int")
+    return grown.groupBy("doc_id", "at", "class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -263,7 +331,7 @@ def repeated_passages(
     nodes = pairs.where("a = b").select(F.col("a").alias("node"))
     every = texts.mapInArrow(_places(split), "doc_id long, start_word int, name long, node long, sketch binary")
     places = cut(every.join(nodes, "node").select("doc_id", "start_word", "name", "node", "sketch"))
-    place = F.struct("doc_id", "start_word")
+    place = F.struct("doc_id", "start_word", "name")
     names = cut(
         places.groupBy("name").agg(
             F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), F.first("node").alias("node"), F.first("sketch").alias("sketch")
@@ -293,10 +361,12 @@ def repeated_passages(
     repeated = classed.groupBy("class_id").agg(F.sum("n").alias("n_places"), F.min("first").alias("first"), F.max("last_doc").alias("last_doc"))
     repeated = repeated.where("first.doc_id <> last_doc").drop("last_doc")
     marked = classed.select("name", "class_id").join(repeated, "class_id")
-    return places.join(marked, "name").select(
+    found = cut(places.join(marked, "name").select("doc_id", "start_word", "name", "class_id", "n_places", "first"))
+    grown = _runs(texts, found, split)
+    return found.withColumnRenamed("start_word", "at").join(grown, ["doc_id", "at", "class_id"], "left").select(
         "doc_id",
-        "start_word",
-        (F.col("start_word") + WIDTH).alias("end_word"),
+        F.coalesce("low", "at").alias("start_word"),
+        F.coalesce("high", F.col("at") + WIDTH).alias("end_word"),
         "class_id",
         "n_places",
         F.col("first.doc_id").alias("first_doc_id"),

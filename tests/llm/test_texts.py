@@ -12,6 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skein.llm import decontaminate, exact_dedup, langid, packing, passages, quality, secrets, sharding, token_file
 from skein.llm.tokens import Encoder, default_path
 
@@ -417,3 +419,25 @@ def test_passages_with_a_row_without_id(spark):
     docs = spark.createDataFrame([(None, shared), (1, shared), (2, shared)], "doc_id long, text string")
     found = passages.repeated_passages(docs).collect()
     assert {(r["doc_id"], r["kept"]) for r in found} == {(1, True), (2, False)}
+
+
+def test_passages_are_removed_whole(spark):
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    texts, want = [], {}
+    for k in range(20):
+        shared, lead = words(51 + 7 * k), rng.randrange(40)
+        texts += [" ".join(words(30) + shared + words(30)), " ".join(words(lead) + shared + words(25))]
+        want[2 * k + 1] = [(lead, lead + len(shared))]
+    docs = table(spark, texts)
+    # Another text with the same id is not where the passage lies.
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.lit(" ".join(words(200)))))
+    found = passages.removal_spans(passages.repeated_passages(docs)).collect()
+    assert {r["doc_id"] for r in found} == set(want)
+    for r in found:
+        # A paragraph of similarity 0.8 may hold two words beyond the passage.
+        [(start, end)], [(first, last)] = r["spans"], want[r["doc_id"]]
+        assert first - 2 <= start <= first and last <= end <= last + 2
