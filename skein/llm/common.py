@@ -80,6 +80,10 @@ def resident(key: tuple, make):
     return _RESIDENT[key]
 
 
+#: Longer words are computed anew each time, so that the bytes remembered are bounded too.
+LONGEST_KEPT = 128
+
+
 class Interned(dict):
     """word -> value, computed by ``make`` on first sight, emptied when it grows
     beyond ``most`` entries (call ``trim`` between batches)."""
@@ -89,7 +93,9 @@ class Interned(dict):
         self.make, self.most = make, most
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = value
         return value
 
     def trim(self) -> None:

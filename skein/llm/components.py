@@ -43,7 +43,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        stars = cut(small)
+        stars = cut(small, stars)
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

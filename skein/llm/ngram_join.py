@@ -25,17 +25,19 @@ documents link when their sets' Jaccard similarity reaches ``num / den``.
    and is dropped if counts of the sets' n-grams by hash (SKETCH numbers per
    set) already differ by more than H in sum.  Where more share one, each is
    linked to its neighbour without that test.
-4. Sets that candidates connect form a block; a large block is dealt over
-   chunks.  Within a chunk the sets, in one global order of their n-grams, form
-   a trie.  Each set walks it, sharing the overlap with every common prefix;
-   a subtree is left where the overlap so far and what can still follow miss
-   the overlap that its sets require.  Sets that are already connected are not
-   compared again.
-5. Between the chunks of a large block: one set of each chunk's largest class
-   meets the others; sets outside the largest class of the block meet that
-   class in TURNS other chunks; those still outside walk the tries of all other
-   chunks.  So no pair is left out but those
-   known to be connected.
+4. Sets that candidates connect form a block.  The n-grams that most sets of a
+   block have are its trunk; a set is kept as its deviations from it, rare ones
+   first in one global order, in a trie.  Sets so near the trunk that they must
+   be linked with the nearest one are.  Each other set walks the trie, sharing
+   the overlap with every common prefix; a subtree is left where the overlap so
+   far and what can still follow miss the overlap that a link requires
+   (``Metric``).  Sets that are already connected are not compared again.
+5. A large block is dealt.  Its trunk is that of one chunk of it (any trunk gives
+   the same links).  A set outside must share a deviation of its prefix with
+   whatever it is linked with, so each such deviation that several sets have, and in which
+   what they require can still be met, makes a smaller block, in which all this is
+   done again.  Deviations that the very same sets share count once.  So no pair is left out but those known to be
+   connected or too far apart, and no set goes to more blocks than its prefix has n-grams.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 rows with equal texts, or with one id, are in one component unless empty; a null id is
@@ -47,6 +49,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -55,14 +58,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Interned, cut, join_ids, offsets, pieces, resident, small_batches
+from skein.llm.common import MOST_SENT, Interned, cut, join_ids, offsets, pieces, resident, small_batches
 from skein.llm.components import components
 
 WORDS, NUM, DEN = 3, 90, 100
 #: Signatures in which linked sets meet at least.
 AGREED = 3
-CHUNK = 64
-TURNS = 3
+#: Sets and bytes of n-grams that are compared in one task; larger blocks are dealt, up to LEVELS times.
+CHUNK, CHUNK_BYTES = 256, 32 << 20
+LEVELS = 6
 #: Signatures that a task merges at once.
 MERGED = 1 << 20
 NAME = 5
@@ -206,24 +210,26 @@ def _meta(words: int, split):
         shingler = Shingler(words, split)
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in pieces(batches):
-            sets = shingler.sets(batch.column(1).to_pylist())
+            sets = shingler.sets(batch.column("text").to_pylist())
             np.add.at(cells, (np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
+                    batch.column("doc_id"),
+                    batch.column("same"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
                     pa.array(_nodes(sets), pa.int64()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "key", "node", "sketch"],
+                names=["doc_id", "same", "n", "key", "node", "sketch"],
             )
         # The task's counts, as rows with a negative n.
         parts = [zlib.compress(c.tobytes(), 1) for c in cells.reshape(SLICES, -1)]
         none = pa.nulls(SLICES, pa.int64())
         slices = pa.array([-1 - k for k in range(SLICES)], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, slices, pa.array(parts, pa.binary()), none, pa.nulls(SLICES, pa.binary())], names=["doc_id", "n", "key", "node", "sketch"]
+            [none, pa.nulls(SLICES, pa.string()), slices, pa.array(parts, pa.binary()), none, pa.nulls(SLICES, pa.binary())],
+            names=["doc_id", "same", "n", "key", "node", "sketch"],
         )
 
     return run
@@ -367,49 +373,51 @@ def _plausible(num: int, den: int):
 
 
 class Trie:
-    """Sorted sets by common prefixes; sets are numbered in lexicographic order."""
+    """Sets of numbers, each ascending in one global order, by common prefixes; sets are numbered in lexicographic order.
+
+    ``needs`` is what a set adds to the overlap that a link requires (see ``Metric``).
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], needs: np.ndarray):
         self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.sets = [sets[k] for k in self.order]
+        self.needs = needs[self.order]
         shared = [0]
         for a, b in zip(self.sets, self.sets[1:], strict=False):
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             shared.append(int(differ[0]) if len(differ) else n)
-        #: (from depth, to depth, first set, past last set, least size, largest size, children)
+        #: (from depth, to depth, first set, past last set, least need, largest size, children)
         self.nodes: list[tuple[int, int, int, int, int, int, list[int]]] = []
         todo = [(0, len(sets), 0, -1)] if sets else []
         while todo:
             lo, hi, depth, parent = todo.pop()
-            sizes = [len(s) for s in self.sets[lo:hi]]
-            to = sizes[0] if hi - lo == 1 else min(shared[lo + 1 : hi])
-            self.nodes.append((depth, to, lo, hi, min(sizes), max(sizes), []))
+            most = max(len(s) for s in self.sets[lo:hi])
+            to = len(self.sets[lo]) if hi - lo == 1 else min(shared[lo + 1 : hi])
+            self.nodes.append((depth, to, lo, hi, int(self.needs[lo:hi].min()), most, []))
             if parent >= 0:
                 self.nodes[parent][6].append(len(self.nodes) - 1)
             if hi - lo > 1:
                 starts = [lo] + [k for k in range(lo + 1, hi) if shared[k] == to] + [hi]
+                # Equal sets end at one node; each of them is a leaf below it.
                 todo += [(a, b, to, len(self.nodes) - 1) for a, b in zip(starts, starts[1:], strict=False)]
 
-    def walk(self, y: np.ndarray, num: int, den: int, before: int, known: Callable[[int], bool]) -> Iterator[int]:
-        """Numbers (below ``before``, in this trie's order) of the sets linked with ``y``, but those ``known``."""
+    def walk(self, y: np.ndarray, need: int, unit: int, known: Callable[[int], bool]) -> Iterator[int]:
+        """Numbers of the sets linked with ``y`` (those whose overlap, times ``unit``, covers both needs), but those ``known``."""
         todo = [(0, 0, 0)] if self.nodes else []
         n = len(y)
         while todo:
             at, overlap, passed = todo.pop()
             depth, to, lo, hi, least, most, children = self.nodes[at]
-            if lo >= before:
-                continue
-            if to > depth:
+            if to > depth and n:
                 edge = self.sets[lo][depth:to]
                 place = np.searchsorted(y, edge)
                 overlap += int(np.count_nonzero(y[np.minimum(place, n - 1)] == edge))
                 passed = int(np.searchsorted(y, edge[-1], side="right"))
-            best = overlap + min(most - to, n - passed)
-            if best * (num + den) < num * (least + n):
+            if (overlap + min(most - to, n - passed)) * unit < least + need:
                 continue
             if hi - lo == 1:
-                if not known(lo) and overlap * (num + den) >= num * (least + n):
+                if not known(lo):
                     yield lo
             else:
                 todo += [(c, overlap, passed) for c in children]
@@ -425,87 +433,81 @@ class Union:
             x = self.parent[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
         a, b = self.find(a), self.find(b)
         self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
-def _as_sets(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(b, dtype=np.uint64) for b in column.to_pylist()]
-
+class Metric:
+    """When sets link, told by how they deviate from any third set, the trunk.
 
-def _within(num: int, den: int):
-    """Classes of one chunk: rep, root, whether it is the chunk's largest, and for that root its set."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        reps, sets = rows.column("rep").to_pylist(), _as_sets(rows.column("grams"))
-        trie, union = Trie(sets), Union(len(sets))
-        for y in range(1, len(sets)):
-            for x in trie.walk(trie.sets[y], num, den, y, lambda x, y=y: union.find(x) == union.find(y)):
-                union.join(x, y)
-        roots = [union.find(k) for k in range(len(sets))]
-        count = np.bincount(roots, minlength=len(sets))
-        main = int(count.argmax())
-        names = [reps[k] for k in trie.order]
-        return pa.table(
-            {
-                "comp": rows.column("comp"),
-                "chunk": rows.column("chunk"),
-                "rep": pa.array(names, pa.int64()),
-                "root": pa.array([names[r] for r in roots], pa.int64()),
-                "main": pa.array([r == main for r in roots], pa.bool_()),
-            }
-        )
+    Sets A and B of a and b n-grams reach num / den when they differ in D n-grams with
+    D (den + num) <= (a + b)(den - num).  If they deviate from the trunk by the sets
+    X and Y, then D = |X| + |Y| - 2 |X & Y|; so they link when 2 (den + num) |X & Y|
+    covers need(A) + need(B), where need(A) = |X|(den + num) - a (den - num).
+    """
 
-    return run
+    def __init__(self, num: int, den: int):
+        self.far, self.near, self.unit = den + num, den - num, 2 * (den + num)
 
+    def need(self, deviations, size):
+        return deviations * self.far - size * self.near
 
-def _mains(num: int, den: int):
-    """Links among the sets of one block that stand for its chunks' largest classes."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        reps, sets = rows.column("rep").to_pylist(), _as_sets(rows.column("grams"))
-        trie, union = Trie(sets), Union(len(sets))
-        for y in range(1, len(sets)):
-            for x in trie.walk(trie.sets[y], num, den, y, lambda x, y=y: union.find(x) == union.find(y)):
-                union.join(x, y)
-        roots = [union.find(k) for k in range(len(sets))]
-        main = int(np.bincount(roots, minlength=len(sets)).argmax())
-        names = [reps[k] for k in trie.order]
-        return pa.table(
-            {
-                "comp": rows.column("comp"),
-                "root": pa.array(names, pa.int64()),
-                "to": pa.array([names[r] for r in roots], pa.int64()),
-                "giant": pa.array([r == main for r in roots], pa.bool_()),
-            }
-        )
+def trunk(sets: list[np.ndarray]) -> np.ndarray:
+    """The n-grams that more than half of the sets have."""
+    grams, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    return grams[2 * counts > len(sets)]
 
-    return run
 
+def block_links(sets: list[np.ndarray], sizes: np.ndarray, metric: Metric) -> list[tuple[int, int]]:
+    """Pairs of linked sets, enough to connect all that links connect.
 
-def _across(num: int, den: int):
-    """Links between the sets of one chunk (probe = false) and outsiders from other chunks (probe = true)."""
+    ``sets`` may be deviations from one trunk already; ``sizes`` are those of the sets themselves.
+    Whoever is so near the trunk that it must be linked with the nearest set is; the others walk the trie.
+    """
+    if len(sets) < 2:
+        return []
+    base = trunk(sets)
+    away = [np.setxor1d(s, base, assume_unique=True) for s in sets]
+    counts = np.array([len(x) for x in away], dtype=np.int64)
+    needs = metric.need(counts, sizes)
+    nearest = int(needs.argmin())
+    union, links = Union(len(sets)), []
+
+    def link(a: int, b: int) -> None:
+        if union.join(a, b):
+            links.append((a, b))
+
+    for k in np.flatnonzero(needs + needs[nearest] <= 0).tolist():
+        link(k, nearest)
+    outside = np.flatnonzero(needs + needs[nearest] > 0)
+    if not len(outside):
+        return links
+    # Rare first, so that a set which shares little is left early.
+    _, number, often = np.unique(np.concatenate(away), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ends = offsets(counts)
+    ranked = [np.sort(rank[number[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    several = offsets(often[number] > 1)[ends]
+    trie = None
+    for y in outside.tolist():
+        if int(several[y + 1] - several[y]) * metric.unit < needs[y] + needs[nearest]:
+            continue
+        trie = trie or Trie(ranked, needs)
+        for x in trie.walk(ranked[y], int(needs[y]), metric.unit, lambda x, y=y: union.find(trie.order[x]) == union.find(y)):
+            link(trie.order[x], y)
+    return links
+
+
+def _as_sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.uint64) for b in column.to_pylist()]
 
-    def run(rows: pa.Table) -> pa.Table:
-        probe = np.array(rows.column("probe").to_pylist(), dtype=bool)
-        reps = np.array(rows.column("rep").to_pylist(), dtype=np.int64)
-        label = rows.column("label").to_pylist()
-        sets = _as_sets(rows.column("grams"))
-        names = {k: i for i, k in enumerate(dict.fromkeys(label))}
-        union = Union(len(names))
-        own = np.flatnonzero(~probe)
-        trie = Trie([sets[k] for k in own])
-        at = [own[k] for k in trie.order]
-        out = []
-        for y in np.flatnonzero(probe):
-            mine = names[label[y]]
-            for x in trie.walk(sets[y], num, den, len(at), lambda x, m=mine: union.find(names[label[at[x]]]) == union.find(m)):
-                union.join(names[label[at[x]]], mine)
-                out.append((int(reps[at[x]]), int(reps[y])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return run
+_LINKS = "a long, b long"
+_STATE = "comp long, rep long, n long, grams binary"
 
 
 def _grams(words: int, split):
@@ -513,87 +515,145 @@ def _grams(words: int, split):
         shingler = Shingler(words, split)
         for batch in pieces(batches):
             sets = shingler.sets(batch.column("text").to_pylist())
-            kept = batch.select(["comp", "rep"])
+            kept = batch.select(["comp", "rep"]).append_column("n", pa.array([len(s) for s in sets], pa.int64()))
             yield kept.append_column("grams", pa.array([s.tobytes() for s in sets], pa.binary()))
 
     return run
 
 
-def connect(sets: DataFrame, sizes: DataFrame, num: int, den: int, chunk: int = CHUNK) -> DataFrame:
-    """rep and root (the least rep that links reach) of all ``sets`` (comp, rep, grams: sorted digests) in their blocks.
+def _links(num: int, den: int):
+    """Links of one block."""
+    metric = Metric(num, den)
 
-    ``sizes`` (comp, k) tells how many sets each block has.
-    """
-    per = F.greatest(F.lit(chunk), F.ceil(F.sqrt("k")))
-    dealt = sets.join(sizes, "comp").select(
-        "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / per)).alias("chunk"), F.ceil(F.col("k") / per).alias("chunks"), "rep", "grams"
-    )
-    # By chunk, for a block's rows would otherwise stay in the one task that the join by block put them in.
-    dealt = cut(dealt.repartition("comp", "chunk"))
-    inner = cut(
-        dealt.groupBy("comp", "chunk").applyInArrow(_within(num, den), "comp long, chunk long, rep long, root long, main boolean")
-    )
-    links = inner.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-
-    wide = dealt.where("chunks > 1")
-    mains = wide.join(inner.where("main and rep = root").select("comp", "chunk", "rep"), ["comp", "chunk", "rep"], "left_semi")
-    tops = cut(mains.select("comp", "rep", "grams").groupBy("comp").applyInArrow(_mains(num, den), "comp long, root long, to long, giant boolean"))
-    links = links.unionByName(tops.select(F.col("root").alias("a"), F.col("to").alias("b")))
-    # Sets outside the block's largest class meet every other chunk.
-    labelled = (
-        wide.join(inner.select("comp", "chunk", "rep", "root"), ["comp", "chunk", "rep"])
-        .join(tops, ["comp", "root"], "left")
-        .withColumn("label", F.coalesce("to", "root"))
-        .withColumn("outside", ~F.coalesce("giant", F.lit(False)))
-        .select("comp", "chunk", "chunks", "rep", "grams", "label", "outside")
-    )
-    labelled = cut(labelled)
-    # First each of them meets the largest class's part of one other chunk, a few times over: most find it there.
-    for turn in range(1, TURNS + 1):
-        outside = labelled.where("outside")
-        if outside.isEmpty():
-            break
-        moved = F.pmod(F.col("chunk") + turn, "chunks").alias("chunk")
-        probes = outside.select("comp", moved, "rep", "grams", "label", F.lit(True).alias("probe"))
-        tries = labelled.where("not outside").select("comp", "chunk", "rep", "grams", "label", F.lit(False).alias("probe"))
-        met = tries.unionByName(probes).repartition("comp", "chunk").groupBy("comp", "chunk").applyInArrow(_across(num, den), "a long, b long")
-        met = cut(met)
-        links = links.unionByName(met)
-        inside = met.select(F.col("b").alias("rep")).join(labelled.select("rep", "comp", "label"), "rep").select("comp", "label").distinct()
-        marked = labelled.join(inside.withColumn("in", F.lit(True)), ["comp", "label"], "left")
-        labelled = cut(marked.withColumn("outside", F.col("outside") & F.col("in").isNull()).select(*labelled.columns))
-    loose = labelled.where("outside").groupBy("comp").agg(F.count(F.lit(1)).alias("u"))
-    rounds = F.ceil(F.col("u") / F.greatest(F.lit(chunk), F.col("chunks")))
-    there = labelled.join(loose, "comp").withColumn("rounds", rounds)
-    probes = (
-        there.where("outside")
-        .withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .where("to <> chunk")
-        .select("comp", F.col("to").alias("chunk"), F.pmod(F.xxhash64("rep"), "rounds").alias("round"), "rep", "grams", "label", F.lit(True).alias("probe"))
-    )
-    tries = there.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1))).select(
-        "comp", "chunk", "round", "rep", "grams", "label", F.lit(False).alias("probe")
-    )
-    crossed = tries.unionByName(probes).repartition("comp", "chunk", "round").groupBy("comp", "chunk", "round").applyInArrow(_across(num, den), "a long, b long")
-    links = links.unionByName(crossed)
+    def run(rows: pa.Table) -> pa.Table:
+        found = block_links(_as_sets(rows.column("grams")), rows.column("n").to_numpy(), metric)
+        reps = rows.column("rep").to_numpy()
+        a, b = (np.array([pair[k] for pair in found], dtype=np.int64) for k in (0, 1))
+        return pa.table({"a": pa.array(reps[a]), "b": pa.array(reps[b])})
 
-    return components(cut(links)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    return run
 
 
-def jaccard_components(
-    docs: DataFrame,
-    words: int = WORDS,
-    num: int = NUM,
-    den: int = DEN,
-    split: Callable[[str | None], list[bytes]] = split_words,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Per row: doc_id (a whole number), n_shingles, component_id (the least doc_id that links reach)."""
+def _trunk(rows: pa.Table) -> pa.Table:
+    return pa.table({"comp": rows.column("comp").slice(0, 1), "base": pa.array([trunk(_as_sets(rows.column("grams"))).tobytes()], pa.binary())})
+
+
+def _deviate(num: int, den: int):
+    """Sets as deviations from their block's trunk: the n-grams they add, then those they lack."""
+    metric = Metric(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away, added = [], []
+            for own, base in zip(_as_sets(batch.column("grams")), _as_sets(batch.column("base")), strict=True):
+                more, less = np.setdiff1d(own, base, assume_unique=True), np.setdiff1d(base, own, assume_unique=True)
+                added.append(len(more))
+                # In the order of signed numbers, as Spark has it.
+                away.append(np.concatenate([np.sort(more.view(np.int64)), np.sort(less.view(np.int64))]).view(np.uint64))
+            counts = np.array([len(x) for x in away], dtype=np.int64)
+            out = batch.select(["comp", "rep", "n"])
+            out = out.append_column("need", pa.array(metric.need(counts, batch.column("n").to_numpy())))
+            out = out.append_column("added", pa.array(added, pa.int64()))
+            yield out.append_column("grams", pa.array([x.tobytes() for x in away], pa.binary()))
+
+    return run
+
+
+def _prefixes(num: int, den: int):
+    """The deviations of which a link of the set needs one at least: gram, whether it is lacked, and the most that a partner may need there."""
+    unit = Metric(num, den).unit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _as_sets(batch.column("grams"))
+            need, low, added = (batch.column(c).to_numpy() for c in ("need", "low", "added"))
+            counts = np.array([len(s) for s in sets], dtype=np.int64)
+            outside = need + low > 0
+            # A set outside shares so many deviations with any set; one inside, with those outside.
+            share = np.maximum(1, -(-np.where(outside, need + low, need - low + 1) // unit))
+            kept = np.maximum(0, counts - share + 1)
+            row = np.repeat(np.arange(len(sets)), kept)
+            place = np.arange(len(row)) - offsets(kept)[row]
+            gram = np.concatenate([s[:k] for s, k in zip(sets, kept, strict=True)] or [np.zeros(0, dtype=np.uint64)])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("comp").take(pa.array(row)),
+                    batch.column("rep").take(pa.array(row)),
+                    pa.array(gram.view(np.int64)),
+                    pa.array(place >= added[row]),
+                    pa.array(need[row]),
+                    pa.array(unit * (counts[row] - place) - need[row]),
+                    pa.array(outside[row]),
+                ],
+                names=["comp", "rep", "gram", "lacked", "need", "most", "outside"],
+            )
+
+    return run
+
+
+def _sent(table: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """``table`` (written down), marked for broadcast if its n-grams are measured to be few."""
+    size = table.agg(F.sum(F.length("base") + 16)).first()[0] or 0
+    return F.broadcast(table) if size <= most_bytes else table
+
+
+def connect(sets: DataFrame, num: int, den: int, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
+    """rep and root (the least rep that links reach) of ``sets`` (comp, rep, n, grams: sorted digests) that links connect in their blocks."""
+    spark = sets.sparkSession
+    links = []
+    state = cut(sets)
+    for level in range(levels + 1):
+        chunks = F.ceil(F.greatest(F.col("k") / chunk, F.col("bytes") / CHUNK_BYTES)).alias("chunks")
+        large = state.groupBy("comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.length("grams")).alias("bytes"))
+        large = cut(large.select("comp", "k", chunks).where("k > 2 and chunks > 1").drop("k"))
+        some = large.count()
+        if not some:
+            links.append(state.groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+            break
+        few = F.broadcast(large) if some <= MOST_SENT else large
+        links.append(state.join(few, "comp", "left_anti").groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+        wide = state.join(few, "comp").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
+        if level == levels:
+            # What shares one deviation after another without linking: every chunk meets every other.
+            pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+            met = wide.withColumn("other", pair).withColumn("comp", F.xxhash64("comp", F.least("chunk", "other"), F.greatest("chunk", "other")))
+            links.append(met.select("comp", "rep", "n", "grams").groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+            break
+        bases = cut(wide.where("chunk = 0").select("comp", "grams").groupBy("comp").applyInArrow(_trunk, "comp long, base binary"))
+        based = wide.join(_sent(bases), "comp", "left").select("comp", "rep", "n", "grams", F.coalesce("base", F.lit(b"")).alias("base"))
+        away = cut(based.mapInArrow(_deviate(num, den), "comp long, rep long, n long, need long, added long, grams binary"))
+        low = cut(away.groupBy("comp").agg(F.min(F.struct("need", "rep")).alias("low")))
+        away = away.join(F.broadcast(low) if some <= MOST_SENT else low, "comp")
+        links.append(away.where(F.col("need") + F.col("low.need") <= 0).select(F.col("rep").alias("a"), F.col("low.rep").alias("b")))
+        first = away.select("comp", "rep", "need", "added", "grams", F.col("low.need").alias("low"))
+        light = cut(first.mapInArrow(_prefixes(num, den), "comp long, rep long, gram long, lacked boolean, need long, most long, outside boolean"))
+        met = light.groupBy("comp", "gram").agg(
+            F.min("need").alias("least"),
+            F.max("most").alias("best"),
+            F.max("outside").alias("some"),
+            F.count(F.lit(1)).alias("k"),
+            F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
+            F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"),
+            F.min("lacked").alias("lacked"),
+        )
+        met = met.where("k > 1 and some and best >= least")
+        # Deviations that the same sets share: the first in order stands for all of them.
+        met = met.groupBy("comp", "k", "sum", "xor").agg(F.min(F.struct("lacked", "gram", "least")).alias("g"))
+        met = met.select("comp", F.col("g.gram").alias("gram"), F.col("g.least").alias("least"))
+        held = light.join(met, ["comp", "gram"]).where(F.col("most") >= F.col("least"))
+        held = held.select("comp", "rep", F.xxhash64("comp", "gram").alias("next")).distinct()
+        state = away.select("comp", "rep", "n", "grams").join(held, ["comp", "rep"]).select(F.col("next").alias("comp"), "rep", "n", "grams")
+        state = cut(state)
+    edges = reduce(DataFrame.unionByName, links) if links else spark.createDataFrame([], _LINKS)
+    return components(cut(edges)).select(F.col("node").alias("rep"), F.col("component").alias("root"))
+
+
+def _components(docs: DataFrame, words: int, num: int, den: int, split, id_col: str, text_col: str, chunk: int) -> DataFrame:
+    """As ``jaccard_components``, with ``same``: the text's digest where the id is null, which tells such rows apart."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counted = cut(texts.mapInArrow(_meta(words, split), "doc_id long, n long, key binary, node long, sketch binary"))
+    name, text = F.col(id_col).cast("long"), F.col(text_col)
+    texts = docs.select(name.alias("doc_id"), text.alias("text"), F.when(name.isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).alias("same"))
+    counted = cut(texts.mapInArrow(_meta(words, split), "doc_id long, same string, n long, key binary, node long, sketch binary"))
     meta = counted.where("n >= 0")
     bits = common_cells(counted.where("n < 0"))
     ranges = block_ranges(docs.sparkSession)
@@ -612,24 +672,53 @@ def jaccard_components(
     tested = told.where(~sure).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible(num, den), "a long, b long")
     blocks = components(cut(told.where(sure).select("a", "b").unionByName(tested)))
 
-    classes = meta.where("n > 0").join(blocks, "node").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("component").alias("comp"))
-    classes = cut(classes.where("rep is not null"))
+    keys = cut(meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("node").alias("node")))
+    classes = keys.where("rep is not null").join(blocks, "node").select("key", "rep", F.col("component").alias("comp"))
     sizes = classes.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    chosen = classes.join(sizes, "comp").select("comp", "k", "rep")
-    wanted = join_ids(texts, cut(chosen.select(F.col("rep").alias("doc_id"), "comp")), ["doc_id"]).select("comp", F.col("doc_id").alias("rep"), "text")
-    grams = wanted.mapInArrow(_grams(words, split), "comp long, rep long, grams binary")
-    roots = connect(grams, sizes, num, den, chunk)
-    named = classes.join(roots, "rep").select("key", "root")
-    firsts = meta.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    final = firsts.join(named, "key", "left").select("key", F.coalesce("root", "first").alias("component_id"))
-    return (
-        meta.select("doc_id", F.col("n").alias("n_shingles"), "key")
-        .join(final, "key", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    chosen = cut(classes.join(sizes, "comp").select("comp", "rep", "key"))
+    wanted = join_ids(texts, chosen.select(F.col("rep").alias("doc_id"), "comp"), ["doc_id"]).select("comp", F.col("doc_id").alias("rep"), "text")
+    roots = connect(wanted.mapInArrow(_grams(words, split), _STATE), num, den, chunk)
+    named = keys.join(chosen.join(roots, "rep").select("key", "root"), "key", "left").where("rows > 1 or root is not null")
+    final = cut(named.select("key", F.coalesce("root", "rep").alias("component_id")))
+    return join_ids(meta.select("doc_id", "same", F.col("n").alias("n_shingles"), "key"), final, ["key"], "left").select(
+        "doc_id", "same", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but those whose id does not name their component (one document of each group stays)."""
-    gone = jaccard_components(docs, id_col=id_col, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias(id_col)).distinct()
-    return join_ids(docs, cut(gone), [id_col], "left_anti")
+def jaccard_components(
+    docs: DataFrame,
+    words: int = WORDS,
+    num: int = NUM,
+    den: int = DEN,
+    split: Callable[[str | None], list[bytes]] = split_words,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Per row: doc_id (a whole number), n_shingles, component_id (the least doc_id that links reach)."""
+    return _components(docs, words, num, den, split, id_col, text_col, chunk).drop("same")
+
+
+def drop_near_copies(
+    docs: DataFrame,
+    words: int = WORDS,
+    num: int = NUM,
+    den: int = DEN,
+    split: Callable[[str | None], list[bytes]] = split_words,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those whose id does not name their component (one document of each group stays).
+
+    Rows without an id go by their text.
+    """
+    found = _components(docs, words, num, den, split, id_col, text_col, chunk)
+    gone = cut(found.where("not (doc_id <=> component_id)").select("doc_id", "same").distinct())
+    named = gone.where("doc_id is not null").select(F.col("doc_id").alias("gone_id"))
+    few = named.count() <= MOST_SENT
+    kept = docs.join(F.broadcast(named) if few else named, docs[id_col].cast("long") == named["gone_id"], "left_anti")
+    bare = gone.where("doc_id is null").select(F.col("same").alias("gone_text"))
+    if bare.isEmpty():
+        return kept
+    return kept.join(bare, docs[id_col].isNull() & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == bare["gone_text"]), "left_anti")

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -61,6 +62,40 @@ def test_join_finds_every_link(spark, seed, k, num, chunk):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == all_pairs(ids, texts, k, num)
 
 
+@pytest.mark.parametrize(("seed", "num", "chunk", "levels"), [(3, 80, 8, 6), (4, 90, 4, 6), (5, 80, 4, 1)])
+def test_connect_finds_every_link_of_large_blocks(spark, seed, num, chunk, levels):
+    """One block of families with edits in common, so that blocks are dealt several levels deep."""
+    rng = random.Random(seed)
+    sets = []
+    for _ in range(3):
+        base = rng.sample(range(10**6), 60)
+        for branch in range(4):
+            own = base[branch * 5 :] + rng.sample(range(10**6), branch * 5)
+            for _ in range(25):
+                one = list(own)
+                for _ in range(rng.choice([0, 1, 2, 4, 6, 8])):
+                    one[rng.randrange(len(one))] = rng.randrange(10**6)
+                sets.append(np.unique(np.array(one, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    rows = [(7, k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)]
+    state = spark.createDataFrame(rows, "comp long, rep long, n long, grams binary")
+    got = {r["rep"]: r["root"] for r in ngram_join.connect(state, num, 100, chunk, levels).collect()}
+    alike, parent = [set(s.tolist()) for s in sets], list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(alike[a] & alike[b]) >= num * len(alike[a] | alike[b]):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    want = {k: find(parent, k) for k in range(len(sets))}
+    assert {k: got.get(k, k) for k in want} == want and len(set(want.values())) > 3
+
+
+def test_near_copies_without_an_id_go(spark):
+    rows = [(3, "a b c d"), (None, "A B c d"), (None, "x y z"), (4, "p q r s"), (3, "a b c d")]
+    docs = spark.createDataFrame([(*r, "m") for r in rows], "doc_id long, text string, same string")
+    got = Counter((r["doc_id"], r["text"], r["same"]) for r in ngram_join.drop_near_copies(docs).collect())
+    assert got == Counter({(3, "a b c d", "m"): 2, (None, "x y z", "m"): 1, (4, "p q r s", "m"): 1})
+
+
 def test_join_odd_tables(spark):
     assert ngram_join.jaccard_components(table(spark, [])).count() == 0
     rows = spark.createDataFrame([(3, "a b c d"), (3, "a b c d"), (None, "a b c d"), (1, None)], "doc_id long, text string")
