@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.lineage import cut, shared_folder
+from skein.lineage import cut, release, remove, shared_folder
 
-__all__ = ["cut", "shared_folder", "table", "small_batches", "pieces", "join_ids", "crc32_of_id", "resident", "Interned", "offsets"]
+__all__ = ["cut", "release", "remove", "shared_folder", "table", "small_batches", "pieces", "join_ids", "crc32_of_id", "resident", "Interned", "offsets"]
 
 #: Rows of text handed to Python at once.  Long texts are bounded by bytes too.
 BATCH_ROWS = 1000

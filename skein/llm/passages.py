@@ -1,31 +1,38 @@
-"""Substring deduplication by MinHash banding of paragraphs.
-
-A repeated passage can start anywhere in a line, so paragraphs are cut by
-content: of every SPREAD consecutive word n-grams the one with the least digest
-is an anchor, and the WIDTH words from an anchor on are a paragraph.  Any run
-of SPREAD + WIDTH - 1 words or more (51 as set here) that two texts share thus
-gives both an equal paragraph, wherever it lies.  A shorter line or text is no
-paragraph; so short stock phrases stay.
-
-1. Each paragraph's n-grams get BANDS * ROWS MinHash values; paragraphs that
-   agree on all rows of a band collide.  With 4 bands of 3 rows a pair of
-   similarity 0.9 collides with probability 0.995, one of 0.8 with 0.94, equal
-   ones always.
-2. Colliding pairs whose n-gram counts by hash differ too much for the
-   similarity are dropped; the others form blocks; within them, in chunks and between chunks,
-   exact Jaccard similarity (at least num/den) links paragraphs, by the trie
-   walk of the n-gram join.
-3. Paragraphs that links connect are one class.  Where a class occurs in more
-   than one document, its places in the first (the least doc_id) stay and those
-   in the others are marked for removal; marked words that touch or overlap are
-   one span.  A text that only repeats itself is left alone.
-4. A place in another document is grown to the left and right, word by word, as
-   far as the words are those around the class's first place.  Places in the
-   first document stay as they are cut.
+"""Substring deduplication by paragraphs: MinHash banding, exact verification, components.
+
+A repeated passage may be a paragraph of its own, or lie anywhere in a line.  So
+there are two kinds of paragraphs, and a text shorter than LEAST words has none:
+
+* Lines of LEAST words or more.  Their word 5-grams get BANDS * ROWS MinHash
+  values; different lines that agree on all rows of a band collide (at a
+  similarity of 0.8 with probability 0.995).  Colliding lines form blocks, in
+  which exact Jaccard similarity (num / den at least) links them, by the trie
+  of the n-gram join.  Linked lines are one class (components).
+* Windows of WIDTH words, cut by content: of every SPREAD consecutive word
+  n-grams the one with the least digest is an anchor; the WIDTH words from an
+  anchor on are a window, and the WIDTH words that end CORE words after it are
+  another.  Any run of LEAST words that two texts share holds the same anchor in
+  both and at least one of its windows.  Equal windows are one class.
+
+Each place of a window is held against the first one (of the least doc_id).
+Windows are merged, where they overlap, into the runs that a text shares with
+that one; a run's words are compared as a whole, and it is grown to the left and
+right, word by word, as far as the words agree.  Where that does not come to
+LEAST words, another text may still share more than the first: then all places
+of the window are compared again by every stretch of LEAST words around it.  Runs of the same two texts with
+up to GAP words between them are one passage (an edit lies between); passages
+shorter than LEAST words are left alone.
+
+A place in the text with the least doc_id stays, those in others are marked for
+removal.  A text that only repeats itself is left alone.
+
+A window that very many texts have is resolved task by task: each task that
+meets it often points its places at its own least one, and only that goes on.
+So a common passage never gathers in one task.  Equal lines count once.
 
 Defined results: null, empty and short texts have no paragraphs; rows that
-repeat an id are one document, rows without an id are left alone; an empty table gives an empty result.
-Other columns are not looked at.
+repeat an id are one document; rows without an id are left alone; an empty table
+gives an empty result.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,21 +43,24 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Interned, cut, join_ids, offsets, pieces, resident, small_batches
+from skein.llm.common import MOST_SENT, Interned, cut, join_ids, offsets, pieces, resident, small_batches
 from skein.llm.components import components
-from skein.llm.ngram_join import NAME_BITS, block_ranges, colliding, connect, mix, split_words
+from skein.llm.ngram_join import block_ranges, connect, mix, split_words
 
 GRAM = 5
-WIDTH = 25
-SPREAD = 27
-BANDS, ROWS = 4, 3
+LEAST = 50
+CORE, WIDTH = 16, 33
+SPREAD = LEAST - CORE + 1
+GAP = 2
+BANDS, ROWS = 8, 3
 NUM, DEN = 80, 100
-#: Paragraph signatures that a task packs at once.
-MERGED = 1 << 20
+#: Windows that a task packs at once, and how often one must come there to be resolved in the task.
+MERGED, OFTEN = 1 << 20, 64
+#: The n-grams that cover a window.
+_COVER = [*range(0, WIDTH - GRAM, GRAM), WIDTH - GRAM]
 
 
 def grams(digests: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -61,123 +71,139 @@ def grams(digests: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return rolled
 
 
-def anchors(rolled: np.ndarray, spread: int = SPREAD, span: int = WIDTH - GRAM + 1) -> np.ndarray:
-    """Where paragraphs start: the (rightmost) least n-gram of each ``spread`` consecutive ones that start a whole paragraph."""
-    starts = len(rolled) - span + 1
-    if starts <= 0:
-        return np.zeros(0, dtype=np.int64)
-    if starts <= spread:
-        return np.array([starts - 1 - int(rolled[:starts][::-1].argmin())])
-    windows = np.lib.stride_tricks.sliding_window_view(rolled[:starts][::-1], spread)
-    at = windows.argmin(axis=1) + np.arange(len(windows))
-    return np.unique(starts - 1 - at)
-
-
-def names(grams: np.ndarray) -> np.ndarray:
-    """The name of each row of n-grams, a paragraph."""
-    name = np.zeros(len(grams), dtype=np.uint64)
-    for j in range(grams.shape[1]):
-        name = mix(name + grams[:, j])
-    return (name >> np.uint64(1)).view(np.int64)
+def least_of(values: np.ndarray, spread: int) -> np.ndarray:
+    """Where the (first) least of each ``spread`` consecutive values lies."""
+    at, size = np.arange(len(values)), 1
+    while size < spread:
+        step = min(size, spread - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        size += step
+    return at
 
 
 class Paragraphs:
-    """The paragraphs of a batch of texts: their text's number, start word, name and sorted distinct n-grams."""
+    """The paragraphs of a batch of texts."""
 
     def __init__(self, texts: list[str | None], digest: Interned, split: Callable[[str | None], list[bytes]]):
-        parts = [split(t) for t in texts]
-        counts = [len(p) for p in parts]
-        flat = np.fromiter(map(digest.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=sum(counts))
-        ends = offsets(counts)
-        rolled = grams(flat)
-        rows, starts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for k, n in enumerate(counts):
-            if n >= WIDTH:
-                at = anchors(rolled[ends[k] : ends[k] + n - GRAM + 1])
-                rows.append(np.full(len(at), k))
-                starts.append(at)
-        self.row, self.start = np.concatenate(rows), np.concatenate(starts)
-        first = ends[self.row] + self.start
-        self.grams = rolled[first[:, None] + np.arange(WIDTH - GRAM + 1)]
-        self.name = names(self.grams)
-
-    def sketches(self) -> list[bytes]:
-        """How many distinct n-grams fall in each of 32 hash classes (15 stands for more), two to a byte."""
-        grams = np.sort(self.grams, axis=1)
-        once = np.ones(grams.shape, dtype=bool)
-        once[:, 1:] = grams[:, 1:] != grams[:, :-1]
-        cell = np.arange(len(grams))[:, None] * 32 + (grams & np.uint64(31)).astype(np.int64)
-        counts = np.minimum(np.bincount(cell[once], minlength=32 * len(grams)), 15).reshape(-1, 32)
-        return [r.tobytes() for r in (counts[:, ::2] * 16 + counts[:, 1::2]).astype(np.uint8)]
-
-    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
-        found = []
+        lines = [[split(line) for line in t.split("\n")] if t else [] for t in texts]
+        per_line = np.fromiter((len(w) for text in lines for w in text), dtype=np.int64)
+        per_text = np.fromiter((sum(map(len, text)) for text in lines), dtype=np.int64, count=len(texts))
+        total = int(per_text.sum())
+        words = chain.from_iterable(chain.from_iterable(lines))
+        self.words = np.fromiter(map(digest.__getitem__, words), dtype=np.uint64, count=total)
+        self.ends = offsets(per_text)
+        self.rolled = grams(self.words)
+        row = np.repeat(np.arange(len(texts)), per_text)
+        place = np.arange(total) - self.ends[row]
+        if total >= LEAST:
+            spread = least_of(self.rolled[: total - CORE + 1], SPREAD)
+            whole = place[: len(spread)] + LEAST <= per_text[row[: len(spread)]]
+            anchor = np.unique(spread[whole])
+        else:
+            anchor = np.zeros(0, dtype=np.int64)
+        at = anchor[place[anchor] + WIDTH <= per_text[row[anchor]]]
+        before = anchor[place[anchor] >= WIDTH - CORE] - (WIDTH - CORE)
+        at = np.unique(np.concatenate([at, before]))
+        #: Row, start word and name of each window.
+        self.window_row, self.window_start = row[at], place[at]
+        self.window_name = np.full(len(at), 1, dtype=np.uint64)
+        for j in _COVER:
+            self.window_name = mix(self.window_name + self.rolled[at + j])
+        first = offsets(per_line)[:-1]
+        long = per_line >= LEAST
+        #: Row, start word and number of words of each line, and where its n-grams lie.
+        self.line_at, self.line_size = first[long], per_line[long]
+        self.line_row = row[self.line_at]
+        self.line_start = place[self.line_at]
+        self.line_name = np.array([xxhash.xxh3_64_intdigest(self.line_grams(k).tobytes()) for k in range(len(self.line_at))], dtype=np.uint64)
+
+    def line_grams(self, k: int) -> np.ndarray:
+        return self.rolled[self.line_at[k] : self.line_at[k] + self.line_size[k] - GRAM + 1]
+
+    def bands(self) -> list[np.ndarray]:
+        """For each band, the signature of every line."""
+        n = len(self.line_at)
+        if not n:
+            return [np.zeros(0, dtype=np.uint64)] * BANDS
+        flat = np.concatenate([self.line_grams(k) for k in range(n)])
+        starts = offsets(self.line_size - GRAM + 1)[:-1]
+        out = []
         for band in range(BANDS):
-            agreed = np.full(len(self.grams), band + 1, dtype=np.uint64)
-            for row in range(ROWS):
-                seed = mix(np.array([band * ROWS + row + 1], dtype=np.uint64))
-                agreed = mix(agreed + ((self.grams ^ seed) * (seed | np.uint64(1))).min(axis=1))
-            found.append(agreed)
-        return np.concatenate(found), np.tile(short_name(self.name), BANDS)
-
+            agreed = np.full(n, band + 1, dtype=np.uint64)
+            for number in range(ROWS):
+                seed = mix(np.array([band * ROWS + number + 1], dtype=np.uint64))
+                agreed = mix(agreed + np.minimum.reduceat((flat ^ seed) * (seed | np.uint64(1)), starts))
+            out.append(agreed)
+        return out
 
-def short_name(name: np.ndarray) -> np.ndarray:
-    return name & ((1 << NAME_BITS) - 1)
 
+_WINDOW = np.dtype([("name", "<u8"), ("doc", "<i8"), ("start", "<i4")])
+_HELD = np.dtype([("name", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("other", "<i8"), ("other_start", "<i4")])
+_LINE = np.dtype([("sig", "<u8"), ("name", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+_FOUND = "name long, lead long, doc long, start int, end int, other long, other_start int"
 
-def _places(split):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
-        for batch in pieces(batches):
-            digest.trim()
-            found = Paragraphs(batch.column(1).to_pylist(), digest, split)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(found.row)), pa.array(found.start, pa.int32()), pa.array(found.name), pa.array(short_name(found.name)), pa.array(found.sketches(), pa.binary())],
-                names=["doc_id", "start_word", "name", "node", "sketch"],
-            )
 
-    return run
+def _first_of(runs: np.ndarray) -> np.ndarray:
+    """Whether each row's key differs from that of the row before."""
+    first = np.ones(len(runs), dtype=bool)
+    first[1:] = runs[1:] != runs[:-1]
+    return first
 
 
-#: A paragraph's signature and name in bytes, and the partition and row number of its text, which no other text has.
-SIG, NAMED, TAG = 5, 5, 8
+def _atoms(rows: np.ndarray) -> np.ndarray:
+    """Windows in order of name and place, each pointed at the first of its name, but those in the first's own text."""
+    first = _first_of(rows["name"])
+    lead = rows[first][np.cumsum(first) - 1]
+    held = np.empty(len(rows), dtype=_HELD)
+    for c in _WINDOW.names:
+        held[c] = rows[c]
+    held["other"], held["other_start"] = lead["doc"], lead["start"]
+    return held[held["doc"] != held["other"]]
 
 
 def _signed(split, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
-        context = TaskContext.get()
-        text = (context.partitionId() if context else 0) << 32
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def deal(rows: np.ndarray, key: str) -> list[bytes]:
+            at = ((rows[key] >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
+            rows = rows[np.argsort(at, kind="stable")]
+            ends = np.searchsorted(np.sort(at), np.arange(ranges + 1))
+            return [rows[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
         def flush() -> pa.RecordBatch:
-            sig, node, tag = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+            windows, lines = (np.concatenate(c) for c in zip(*waiting, strict=True))
             waiting.clear()
-            order = np.lexsort((tag, node, sig))
-            sig, node, tag = sig[order], node[order], tag[order]
-            new = np.ones(len(sig), dtype=bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            # Of rows that name the same paragraph by the same signature, the first and the last tell whether texts differ.
-            kept = new | np.append(new[1:], True)
-            sig, node, tag = sig[kept], node[kept], tag[kept]
-            at = ((sig >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-            order = np.argsort(at, kind="stable")
-            columns = ((sig, SIG), (node.view(np.uint64), NAMED), (tag, TAG))
-            packed = np.hstack([c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for c, size in columns])
-            ends = np.searchsorted(at[order], np.arange(ranges + 1))
-            full = np.flatnonzero(np.diff(ends))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int64()), pa.array([packed[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], names=["range", "signed"]
-            )
+            windows = windows[np.lexsort((windows["start"], windows["doc"], windows["name"]))]
+            first = _first_of(windows["name"])
+            often = (np.bincount(np.cumsum(first) - 1) > OFTEN)[np.cumsum(first) - 1] if len(windows) else first
+            held = _atoms(windows[often])
+            windows = windows[~often | first]
+            lines = lines[np.lexsort((lines["start"], lines["doc"], lines["name"], lines["sig"]))]
+            lines = lines[_first_of(lines[["sig", "name"]])]
+            # What is resolved already goes anywhere.
+            scattered = held[np.argsort(held["doc"], kind="stable")]
+            cuts = np.linspace(0, len(scattered), ranges + 1).astype(np.int64)
+            columns = [deal(windows, "name"), deal(lines, "sig"), [scattered[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]]
+            full = [k for k in range(ranges) if any(c[k] for c in columns)]
+            arrays = [pa.array([c[k] for k in full], pa.binary()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *arrays], names=["range", "windows", "lines", "held"])
 
         for batch in pieces(batches):
             digest.trim()
-            found = Paragraphs(batch.column(0).to_pylist(), digest, split)
-            if len(found.row):
-                tag = found.row + text
-                waiting.append((*found.signatures(), np.tile(tag, BANDS)))
-            text += batch.num_rows
-            if sum(len(w[0]) for w in waiting) >= MERGED:
+            found = Paragraphs(batch.column("text").to_pylist(), digest, split)
+            doc = batch.column("doc_id").to_numpy()
+            windows = np.empty(len(found.window_row), dtype=_WINDOW)
+            windows["name"], windows["doc"], windows["start"] = found.window_name, doc[found.window_row], found.window_start
+            lines = np.empty((BANDS, len(found.line_row)), dtype=_LINE)
+            for band, sig in enumerate(found.bands()):
+                lines[band]["sig"] = sig
+            lines["name"], lines["doc"], lines["start"] = found.line_name, doc[found.line_row], found.line_start
+            lines["end"] = found.line_start + found.line_size
+            waiting.append((windows, lines.ravel()))
+            if sum(len(w) + len(n) for w, n in waiting) >= MERGED:
                 yield flush()
         if waiting:
             yield flush()
@@ -185,127 +211,192 @@ def _signed(split, ranges: int):
     return run
 
 
-def _collisions(rows: pa.Table) -> pa.Table:
-    """a, b, sure: pairs of paragraphs that share a signature which several texts have; each of them with itself, too."""
-    raw = np.frombuffer(b"".join(rows.column("signed").to_pylist()), dtype=np.uint8).reshape(-1, SIG + NAMED + TAG)
-
-    def column(first: int, size: int) -> np.ndarray:
-        out = np.zeros((len(raw), 8), dtype=np.uint8)
-        out[:, :size] = raw[:, first : first + size]
-        return out.view("<i8").ravel()
+def _collide(rows: pa.Table) -> pa.Table:
+    """Windows pointed at the first of their name; lines that share a signature with a different one, each with the bucket's first."""
+
+    def read(column: str, kind: np.dtype) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(column).to_pylist()), dtype=kind)
+
+    windows, lines = read("windows", _WINDOW), read("lines", _LINE)
+    held = np.concatenate([_atoms(windows[np.lexsort((windows["start"], windows["doc"], windows["name"]))]), read("held", _HELD)])
+    lines = lines[np.lexsort((lines["start"], lines["doc"], lines["name"], lines["sig"]))]
+    lines = lines[_first_of(lines[["sig", "name"]])]
+    first = _first_of(lines["sig"])
+    bucket = np.cumsum(first) - 1
+    lead = lines["name"][first][bucket]
+    several = np.bincount(bucket)[bucket] > 1 if len(lines) else first
+    lines, lead = lines[several], lead[several]
+    a, b = len(held), len(lines)
+    return pa.table(
+        {
+            "name": pa.array(np.concatenate([held["name"], lines["name"]]).view(np.int64)),
+            "lead": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(lead.view(np.int64))]),
+            "doc": pa.array(np.concatenate([held["doc"], lines["doc"]])),
+            "start": pa.array(np.concatenate([held["start"], lines["start"]])),
+            "end": pa.array(np.concatenate([held["start"] + WIDTH, lines["end"]]).astype(np.int32)),
+            "other": pa.concat_arrays([pa.array(held["other"]), pa.nulls(b, pa.int64())]),
+            "other_start": pa.concat_arrays([pa.array(held["other_start"]), pa.nulls(b, pa.int32())]),
+        }
+    )
 
-    sig, node, tag = column(0, SIG), column(SIG, NAMED), column(SIG + NAMED, TAG)
-    order = np.lexsort((tag, node, sig))
-    sig, node, tag = sig[order], node[order], tag[order]
-    first = np.ones(len(sig), dtype=bool)
-    first[1:] = sig[1:] != sig[:-1]
-    starts = np.flatnonzero(first)
-    several = np.minimum.reduceat(tag, starts) != np.maximum.reduceat(tag, starts)
-    live = several[np.cumsum(first) - 1]
-    sig, node = sig[live], node[live]
-    pairs = colliding(sig, node, np.zeros(len(sig), dtype=bool))
-    alone = np.unique(node)
-    a, b = np.concatenate([alone, pairs[:, 0]]), np.concatenate([alone, pairs[:, 1]])
-    sure = np.concatenate([np.zeros(len(alone), dtype=bool), pairs[:, 2].astype(bool)])
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "sure": pa.array(sure)})
 
+def _signed_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def _plausible(num: int, den: int):
-    """Pairs (a, b, sa, sb) but those whose sketches rule out the similarity of paragraphs (of WIDTH - GRAM + 1 n-grams at most)."""
-    most = 2 * (WIDTH - GRAM + 1) * (den - num) // (den + num)
 
-    def counts(column: pa.Array) -> np.ndarray:
-        raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 16)
-        return np.hstack([raw >> 4, raw & 15]).astype(np.int64)
+def _merged(width: int):
+    """Overlapping windows that a text has in common with another, at one distance, as runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.abs(counts(batch.column("sa")) - counts(batch.column("sb"))).sum(axis=1) <= most
-            yield batch.filter(pa.array(near)).select(["a", "b"])
+            out = []
+            for doc, other, windows in zip(batch.column("doc").to_pylist(), batch.column("other").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+                last = None
+                for w in sorted(windows, key=lambda w: (w["other_start"] - w["start"], w["start"])):
+                    shift, start = w["other_start"] - w["start"], w["start"]
+                    if last and last[4] == shift and start <= last[3]:
+                        last[3], last[5] = start + width, min(last[5], w["name"])
+                    else:
+                        last = [doc, other, start, start + width, shift, w["name"]]
+                        out.append(last)
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "other", "low", "high", "shift", "name"])
 
     return run
 
 
-def _sets(split):
+_RUNS = "doc long, other long, low int, high int, shift int, name long"
+
+
+def _merge(atoms: DataFrame, width: int) -> DataFrame:
+    windows = atoms.groupBy("doc", "other").agg(F.collect_set(F.struct("start", "other_start", "name")).alias("windows"))
+    return windows.mapInArrow(_merged(width), _RUNS)
+
+
+def _stretches(split):
+    """Every stretch of LEAST words around the windows that are asked for: its name, doc and start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
             found = Paragraphs(batch.column("text").to_pylist(), digest, split)
-            where = {k: i for i, k in enumerate(zip(found.row.tolist(), found.name.tolist(), strict=True))}
-            comp, rep, out = [], [], []
-            for k, wanted in enumerate(batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    at = where.get((k, w["name"]))
-                    if at is not None:
-                        comp.append(w["comp"])
-                        rep.append(w["name"])
-                        out.append(np.unique(found.grams[at]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(comp, pa.int64()), pa.array(rep, pa.int64()), pa.array(out, pa.binary())], names=["comp", "rep", "grams"]
-            )
+            names, docs, starts = [], [], []
+            for k, (doc, asked) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+                words = found.words[found.ends[k] : found.ends[k + 1]]
+                around = {at for start in asked for at in range(max(0, start - LEAST + WIDTH), min(start, len(words) - LEAST) + 1)}
+                for at in around:
+                    names.append(_signed_long(xxhash.xxh3_64_intdigest(words[at : at + LEAST].tobytes())))
+                    docs.append(doc)
+                    starts.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["name", "doc", "start"])
 
     return run
 
 
-def common_runs(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end in ``a`` of the paragraphs at ``at_a``, grown while the words on either side are those at ``at_b`` in ``b``."""
-    low, high, shifts = at_a.copy(), at_a + WIDTH, at_b - at_a
-    for shift in np.unique(shifts).tolist():
-        here = shifts == shift
-        least, most = max(0, -shift), min(len(a), len(b) - shift)
-        breaks = np.concatenate([[least - 1], np.flatnonzero(a[least:most] != b[least + shift : most + shift]) + least, [most]])
-        low[here] = breaks[np.searchsorted(breaks, at_a[here]) - 1] + 1
-        high[here] = breaks[np.searchsorted(breaks, at_a[here] + WIDTH)]
-    return low, high
+def _shared_with_others(texts: DataFrame, atoms: DataFrame, passages: DataFrame, split) -> DataFrame:
+    """Runs that texts share with others than the first of a window, for the windows that no passage with the first covers."""
+    done = passages.select(F.col("doc_id").alias("doc"), "start_word", "end_word")
+    within = (F.col("start_word") <= F.col("start")) & (F.col("start") + WIDTH <= F.col("end_word"))
+    covered = atoms.join(done, "doc", "left").groupBy("name", "doc", "start").agg(F.max(F.coalesce(within, F.lit(False))).alias("in"))
+    short = cut(covered.where("not in").select("name").distinct())
+    few = F.broadcast(short) if short.count() <= MOST_SENT else short
+    members = atoms.join(few, "name", "left_semi")
+    members = members.select("doc", "start").unionByName(members.select(F.col("other").alias("doc"), F.col("other_start").alias("start")))
+    asked = cut(members.groupBy("doc").agg(F.collect_set("start").alias("asked")))
+    near = join_ids(texts, asked.select("doc"), ["doc"], "left_semi").join(asked, "doc")
+    named = cut(near.mapInArrow(_stretches(split), "name long, doc long, start int"), short)
+    firsts = named.groupBy("name").agg(F.min(F.struct("doc", "start")).alias("p"), F.max("doc").alias("last")).where("p.doc <> last")
+    again = named.join(firsts, "name").where("doc <> p.doc").select("name", "doc", "start", F.col("p.doc").alias("other"), F.col("p.start").alias("other_start"))
+    return cut(_merge(again, LEAST), named, asked)
 
 
-def _grown(split):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
-        kept: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
+#: Words beside a run that are compared: the next anchor on either side would lie in them.
+_BESIDE = SPREAD
 
-        def words(side: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if side not in kept or kept[side][0] != text:
-                flat = np.fromiter(map(digest.__getitem__, split(text)), dtype=np.uint64)
-                kept[side] = text, flat, grams(flat)
-            return kept[side][1:]
 
-        def holds(rolled: np.ndarray, at: np.ndarray, name: np.ndarray) -> np.ndarray:
-            span = WIDTH - GRAM + 1
-            found = at + span <= len(rolled)
-            found[found] = names(rolled[at[found][:, None] + np.arange(span)]) == name[found]
-            return found
+def _fetched(split):
+    """What is asked of texts: for each stretch its digest, the words beside it, and if ``whole`` its n-grams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for doc, text, other, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "first_text", "places")), strict=True):
-                start, name, at, called, class_id = (np.array([p[k] for p in places], dtype=np.int64) for k in ("start_word", "name", "first_start", "first_name", "class_id"))
-                (a, ga), (b, gb) = words(0, text), words(1, other)
-                # Rows may repeat an id: only texts that hold both paragraphs are compared.
-                both = holds(ga, start, name) & holds(gb, at, called)
-                low, high = common_runs(a, b, start[both], at[both])
-                for column, part in zip(out, (np.full(len(low), doc), start[both], class_id[both], low, high), strict=True):
-                    column.append(part)
-            doc, start, class_id, low, high = (np.concatenate(c) for c in out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(class_id, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                names=["doc_id", "at", "class_id", "low", "high"],
-            )
+            found = Paragraphs(batch.column("text").to_pylist(), digest, split)
+            out: list[list] = [[] for _ in range(8)]
+            for k, (doc, asked) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+                words = found.words[found.ends[k] : found.ends[k + 1]]
+                for q in asked:
+                    low, high = q["low"], q["high"]
+                    if high > len(words):
+                        continue
+                    body = words[low:high]
+                    rolled = grams(body) if q["whole"] else None
+                    row = (
+                        doc, low, high, q["whole"],
+                        _signed_long(xxhash.xxh3_64_intdigest((rolled if q["whole"] else body).tobytes())),
+                        words[max(0, low - _BESIDE) : low].tobytes(),
+                        words[high : high + _BESIDE].tobytes(),
+                        np.unique(rolled).tobytes() if q["whole"] else None,
+                    )
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            names = ["doc", "low", "high", "whole", "body", "left", "right", "grams"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-def _runs(texts: DataFrame, found: DataFrame, split) -> DataFrame:
-    """doc_id, at, class_id, low and high: the places in ``found`` that lie outside the class's first document, grown."""
-    place = F.struct("start_word", "name", F.col("first.start_word").alias("first_start"), F.col("first.name").alias("first_name"), "class_id")
-    pairs = cut(found.where("doc_id <> first.doc_id").groupBy("doc_id", F.col("first.doc_id").alias("first_id")).agg(F.collect_set(place).alias("places")))
-    firsts = join_ids(texts, cut(pairs.select(F.col("first_id").alias("doc_id")).distinct()), ["doc_id"], "left_semi")
-    firsts = firsts.select(F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    both = pairs.join(firsts, "first_id").join(texts, "doc_id").select("doc_id", "text", "first_text", "places")
-    grown = both.mapInArrow(_grown(split), "doc_id long, at int, class_id long, low int, high int")
-    return grown.groupBy("doc_id", "at", "class_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+def _agree(a: bytes, b: bytes, back: bool) -> int:
+    """How many words agree, from the run outwards."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if back:
+        x, y = x[::-1], y[::-1]
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left = [_agree(a, b, True) for a, b in zip(batch.column("left").to_pylist(), batch.column("other_left").to_pylist(), strict=True)]
+        right = [_agree(a, b, False) for a, b in zip(batch.column("right").to_pylist(), batch.column("other_right").to_pylist(), strict=True)]
+        low = batch.column("low").to_numpy() - np.array(left, dtype=np.int32)
+        high = batch.column("high").to_numpy() + np.array(right, dtype=np.int32)
+        ends = [pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("other"), *ends, batch.column("shift"), batch.column("name")], names=["doc", "other", "low", "high", "shift", "name"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the same two texts that follow one another in both, as passages; those of LEAST words or more, and their counterparts."""
+    for batch in batches:
+        out = []
+        for doc, other, runs in zip(batch.column("doc").to_pylist(), batch.column("other").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            kept: list[list[int]] = []
+            for r in sorted(runs, key=lambda r: (r["low"], r["high"], r["shift"])):
+                low, high, there = r["low"], r["high"], r["low"] + r["shift"]
+                for p in kept[-4:]:
+                    if low - p[1] <= GAP and abs(there - p[3]) <= GAP + max(0, p[1] - low):
+                        p[1], p[3], p[4] = max(p[1], high), max(p[3], high + r["shift"]), min(p[4], r["name"])
+                        break
+                else:
+                    kept.append([low, high, there, high + r["shift"], r["name"]])
+            for low, high, there, end, name in kept:
+                if high - low >= LEAST:
+                    out += [(doc, low, high, name, other, False), (other, there, end, name, other, True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_PASSAGE)
+
+
+def _join(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc", "other").agg(F.collect_set(F.struct("low", "high", "shift", "name")).alias("runs")).mapInArrow(_joined, _PASSAGES)
+
+
+_PASSAGE = ["doc_id", "start_word", "end_word", "class_id", "first_doc_id", "kept"]
+_PASSAGES = "doc_id long, start_word int, end_word int, class_id long, first_doc_id long, kept boolean"
 
 
 def repeated_passages(
@@ -316,62 +407,61 @@ def repeated_passages(
     den: int = DEN,
     split: Callable[[str | None], list[bytes]] = split_words,
 ) -> DataFrame:
-    """One row per place of a repeated paragraph: doc_id (a whole number), start_word, end_word, class_id, n_places, first_doc_id, kept.
+    """A row per repeated passage and text: doc_id (a whole number), start_word, end_word, class_id, first_doc_id, kept.
 
-    Words are numbered from 0 and lie between ASCII white space; end_word is exclusive.
+    Words are numbered from 0 and lie between ASCII white space; end_word is
+    exclusive.  first_doc_id is the document, of a lesser id, that the passage
+    was found in again; the place there has a row of its own, with kept = true,
+    unless it goes because of a third document.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    ranges = block_ranges(spark)
-    signed = texts.select("text").mapInArrow(_signed(split, ranges), "range long, signed binary")
-    # Only paragraphs that share a signature with one of another text go on from here.
-    pairs = signed.groupBy("range").applyInArrow(_collisions, "a long, b long, sure boolean")
-    pairs = cut(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")))
-    nodes = pairs.where("a = b").select(F.col("a").alias("node"))
-    every = texts.mapInArrow(_places(split), "doc_id long, start_word int, name long, node long, sketch binary")
-    places = cut(every.join(nodes, "node").select("doc_id", "start_word", "name", "node", "sketch"))
-    place = F.struct("doc_id", "start_word", "name")
-    names = cut(
-        places.groupBy("name").agg(
-            F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), F.first("node").alias("node"), F.first("sketch").alias("sketch")
-        )
-    )
-    # A short name that two paragraphs share vouches for nothing.
-    known = names.groupBy("node").agg(F.when(F.min("name") == F.max("name"), F.first("sketch")).alias("s"))
-    told = (
-        pairs.where("a <> b")
-        .join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        .join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    )
-    sure = F.col("sure") | F.col("sa").isNull() | F.col("sb").isNull()
-    tested = told.where(~sure).select("a", "b", "sa", "sb").mapInArrow(_plausible(num, den), "a long, b long")
-    blocks = components(cut(told.where(sure).select("a", "b").unionByName(tested)))
-    names = cut(names.drop("sketch").join(blocks, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "node"))
-    members = names.select("name", "comp", F.col("first.doc_id").alias("doc_id"))
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    # A document's own paragraphs bound the list of those wanted from it.
-    wanted = members.join(sizes.select("comp"), "comp", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("name", "comp")).alias("wanted"))
-    wanted = cut(wanted)
-    near = join_ids(texts, wanted.select("doc_id"), ["doc_id"], "left_semi")
-    sets = near.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_sets(split), "comp long, rep long, grams binary")
-    classes = connect(sets, sizes, num, den).select(F.col("rep").alias("name"), F.col("root").alias("class_id"))
-
-    classed = names.join(classes, "name", "left").withColumn("class_id", F.coalesce("class_id", "name"))
-    repeated = classed.groupBy("class_id").agg(F.sum("n").alias("n_places"), F.min("first").alias("first"), F.max("last_doc").alias("last_doc"))
-    repeated = repeated.where("first.doc_id <> last_doc").drop("last_doc")
-    marked = classed.select("name", "class_id").join(repeated, "class_id")
-    found = cut(places.join(marked, "name").select("doc_id", "start_word", "name", "class_id", "n_places", "first"))
-    grown = _runs(texts, found, split)
-    return found.withColumnRenamed("start_word", "at").join(grown, ["doc_id", "at", "class_id"], "left").select(
-        "doc_id",
-        F.coalesce("low", "at").alias("start_word"),
-        F.coalesce("high", F.col("at") + WIDTH).alias("end_word"),
-        "class_id",
-        "n_places",
-        F.col("first.doc_id").alias("first_doc_id"),
-        (F.col("doc_id") == F.col("first.doc_id")).alias("kept"),
+    signed = texts.mapInArrow(_signed(split, block_ranges(spark)), "range long, windows binary, lines binary, held binary")
+    found = cut(signed.groupBy("range").applyInArrow(_collide, _FOUND))
+
+    atoms = found.where("lead is null").select("name", "doc", "start", "other", "other_start")
+    runs = cut(_merge(atoms, WIDTH))
+    # Equal lines are found by their windows, so each different line needs one place.
+    place = F.struct("doc", "start", "end")
+    lines = found.where("lead is not null")
+    edges = cut(lines.where("name <> lead").select(F.col("name").alias("a"), F.col("lead").alias("b")).distinct())
+    blocks = components(edges).select(F.col("node").alias("name"), F.col("component").alias("comp"))
+    lines = cut(lines.groupBy("name").agg(F.min(place).alias("p")).join(blocks, "name").select("name", "comp", "p.*"))
+
+    asked = runs.select("doc", "low", "high", F.lit(False).alias("whole"))
+    asked = asked.unionByName(runs.select(F.col("other").alias("doc"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"), F.lit(False).alias("whole")))
+    asked = asked.unionByName(lines.select("doc", F.col("start").alias("low"), F.col("end").alias("high"), F.lit(True).alias("whole")))
+    asked = cut(asked.distinct().groupBy("doc").agg(F.collect_list(F.struct("low", "high", "whole")).alias("asked")))
+    texts = texts.withColumnRenamed("doc_id", "doc")
+    near = join_ids(texts, asked.select("doc"), ["doc"], "left_semi").join(asked, "doc")
+    beside = cut(near.mapInArrow(_fetched(split), "doc long, low int, high int, whole boolean, body long, left binary, right binary, grams binary"))
+
+    # Rows may repeat an id: only texts that hold the same run are compared.
+    own = beside.where("not whole").select("doc", "low", "high", "body", "left", "right").distinct()
+    there = own.select(F.col("doc").alias("other"), F.col("low").alias("other_low"), F.col("body").alias("other_body"), F.col("high").alias("other_high"), F.col("left").alias("other_left"), F.col("right").alias("other_right"))
+    both = runs.join(own, ["doc", "low", "high"]).withColumns({"other_low": F.col("low") + F.col("shift"), "other_high": F.col("high") + F.col("shift")})
+    both = both.join(there, ["other", "other_low", "other_high"]).where("body = other_body")
+    grown = cut(both.select("doc", "other", "low", "high", "shift", "name", "left", "right", "other_left", "other_right").mapInArrow(_grown, _RUNS))
+    further = _shared_with_others(texts, atoms, _join(grown), split)
+    passages = _join(grown.unionByName(further))
+
+    named = lines.join(beside.where("whole").select("doc", F.col("low").alias("start"), F.col("high").alias("end"), "body", "grams"), ["doc", "start", "end"])
+    # A name is the digest of the line's n-grams.
+    sets = named.where("body = name").groupBy("name").agg(F.first("comp").alias("comp"), F.first("grams").alias("grams"))
+    sets = sets.select("comp", F.col("name").alias("rep"), (F.length("grams") / 8).cast("long").alias("n"), "grams")
+    classes = connect(sets, num, den).select(F.col("rep").alias("name"), F.col("root").alias("class_id"))
+    classed = cut(lines.select("name", "doc", "start", "end").join(classes, "name"))
+    firsts = classed.groupBy("class_id").agg(F.min(place).alias("p"), F.max("doc").alias("last")).where("p.doc <> last")
+    shared = classed.join(firsts, "class_id").where((F.col("doc") != F.col("p.doc")) | (F.col("start") == F.col("p.start")))
+    similar = shared.select(
+        F.col("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "class_id", F.col("p.doc").alias("first_doc_id"), (F.col("doc") == F.col("p.doc")).alias("kept")
     )
+    every = cut(passages.unionByName(similar).distinct(), found, runs, lines, edges, asked, beside, grown, further, classed)
+    # What goes itself because of a third text stays nowhere.
+    gone = every.where("not kept").select("doc_id", F.col("start_word").alias("low"), F.col("end_word").alias("high"))
+    stays = every.where("kept").join(gone, "doc_id", "left").groupBy(*_PASSAGE).agg(F.max((F.col("low") < F.col("end_word")) & (F.col("start_word") < F.col("high"))).alias("met"))
+    return every.where("not kept").unionByName(stays.where("met is null or not met").select(*_PASSAGE))
 
 
 def removal_spans(passages: DataFrame) -> DataFrame:

@@ -389,28 +389,99 @@ def test_passages_are_found_wherever_they_lie(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.integers(0, 200), st.integers(0, 200), st.integers(51, 80), st.integers(0, 10**6))
-def test_shared_runs_share_a_paragraph(before, after, run, seed):
-    rng = np.random.default_rng(seed)
-    common = rng.integers(0, 1 << 63, run).astype(np.uint64)
-    names = []
+@given(st.integers(0, 200), st.integers(0, 200), st.integers(50, 80), st.integers(0, 10**6))
+def test_shared_runs_share_a_window(before, after, run, seed):
+    rng = random.Random(seed)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    common, names = words(run), []
     for lead in (before, after):
-        flat = np.concatenate([rng.integers(0, 1 << 63, lead).astype(np.uint64), common, rng.integers(0, 1 << 63, 3).astype(np.uint64)])
-        rolled = passages.grams(flat)
-        names.append({tuple(flat[a : a + passages.WIDTH].tolist()) for a in passages.anchors(rolled)})
+        text = words(lead) + common + words(3)
+        found = passages.Paragraphs([" ".join(words(60)), " ".join(text)], passages.Interned(passages.xxhash.xxh3_64_intdigest), passages.split_words)
+        own = found.window_row == 1
+        inside = own & (found.window_start >= lead) & (found.window_start + passages.WIDTH <= lead + run)
+        names.append(set(found.window_name[inside].tolist()))
     assert names[0] & names[1]
 
 
-def test_texts_are_told_apart_without_chance():
-    short = {}
-    for k, tag in enumerate((passages.mix(np.arange(5000, dtype=np.uint64)) & np.uint64(65535)).tolist()):
-        if tag in short:
-            break
-        short[tag] = k
-    texts = [""] * 5000
-    texts[short[tag]] = texts[k] = " ".join(f"w{k}" for k in range(30))
-    signed = list(passages._signed(passages.split_words, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})])))
-    assert passages._collisions(pa.Table.from_batches(signed)).num_rows
+def test_two_texts_among_many_are_found(spark):
+    rng = random.Random(2)
+
+    def words(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    shared = words(55)
+    texts = [" ".join(words(60)) for _ in range(3000)]
+    texts[700] = " ".join(words(20) + shared)
+    texts[2100] = " ".join(shared + words(9))
+    found = passages.repeated_passages(table(spark, texts)).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"], r["kept"]) for r in found} == {(700, 20, 75, True), (2100, 0, 55, False)}
+
+
+def test_passages_against_all_pairs(spark):
+    """Runs of 50 words and more exactly; lines whose similarity is 0.8 or more, at a recall of 0.9 or more; others not at all."""
+    rng = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(400)]
+
+    def words(n):
+        return rng.choices(vocabulary, k=n)
+
+    def edited(line, n):
+        line = list(line)
+        for at in rng.sample(range(len(line)), n):
+            line[at] = rng.choice(vocabulary)
+        return line
+
+    bases = [words(rng.choice([60, 80, 100, 150])) for _ in range(16)]
+    texts = []
+    for k in range(200):
+        lines = [words(rng.choice([3, 12, 30, 70])) for _ in range(rng.randrange(1, 4))]
+        act, base = k % 4, rng.choice(bases)
+        if act == 0:
+            lines.insert(1, edited(base, rng.randrange(0, 1 + len(base) // 30)))
+        elif act == 1:
+            at = rng.randrange(0, 20)
+            lines[0] = lines[0] + base[at : at + rng.choice([30, 45, 49, 50, 58])] + words(8)
+        elif act == 2:
+            # One edit in the middle, so that no run is long.
+            middle = rng.choice([b for b in bases if len(b) in (60, 80)])
+            lines.append([*middle[: len(middle) // 2], rng.choice(vocabulary), *middle[len(middle) // 2 + 1 :]])
+        texts.append("\n".join(" ".join(w) for w in lines))
+    texts += [texts[0], "", None]
+    found = passages.repeated_passages(table(spark, texts)).collect()
+    split = [(t or "").split() for t in texts]
+
+    def windows(text, size):
+        return {tuple(text[a : a + size]): a for a in range(len(text) - size + 1)}
+
+    own = [windows(w, 50) for w in split]
+    runs, flagged = set(), {r["doc_id"] for r in found}
+    for a in range(len(texts)):
+        for b in range(a):
+            if own[a].keys() & own[b].keys():
+                runs |= {a, b}
+    assert len(runs) > 30 and runs <= flagged
+    lines = [(k, line.split()) for k, t in enumerate(texts) for line in (t or "").split("\n") if len(line.split()) >= 50]
+    sets = [set(windows(w, 5)) for _, w in lines]
+    near = {(lines[i][0], lines[j][0]) for i in range(len(lines)) for j in range(i) if lines[i][0] != lines[j][0] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    only = {p for p in near if not (own[p[0]].keys() & own[p[1]].keys())}
+    assert len(only) > 20 and sum(a in flagged and b in flagged for a, b in only) >= 0.9 * len(only)
+    # Two runs with an edit between them count together, so a text may be found by less than 50 words in a row.
+    loose = [windows(w, passages.WIDTH) for w in split]
+    related = {k for p in near for k in p} | {k for a in range(len(texts)) for b in range(a) if loose[a].keys() & loose[b].keys() for k in (a, b)}
+    assert flagged <= related
+
+
+def test_common_passages_are_resolved_in_their_tasks(spark):
+    rng = random.Random(6)
+    shared = " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    docs = table(spark, [f"{shared} {k} x{k}" for k in range(500)]).repartition(3)
+    found = passages.repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in found if not r["kept"]} == set(range(1, 500)) and 0 in {r["doc_id"] for r in found if r["kept"]}
+    # The lines as wholes, of 62 words, are similar too.
+    assert all(r["start_word"] == 0 and r["end_word"] in (60, 62) and r["first_doc_id"] <= r["doc_id"] for r in found)
 
 
 def test_passages_with_a_row_without_id(spark):
