@@ -6,25 +6,25 @@ block is coded on its own: models and coder start afresh, and the block's crc32
 is checked when it is read.  The blocks of a chapter are coded in step, as the
 lanes of arrays.
 
-An id is predicted by its two predecessors (order 2), by its predecessor
-(order 1), and by the frequencies of all ids so far (order 0).  Binary
-decisions, each with an adaptive probability, say whether order 2 or else
-order 1 was right; how far either was right before, for the contexts at hand,
-selects the probability, so the two are mixed.  An id that neither predicts is
-coded by order 0: its magnitude by a tree of four decisions, mixed with the
-magnitude of its predecessor, the bits after its leading one by a tree of
-three, the rest evenly.  The decisions drive a carry-less range coder with 64
-bits of state; as no probability is below 1/64, several decisions fit between
-two looks at which bytes are settled.
-
-Chapter layout (little-endian): magic "SKT1", u32 documents, u64 ids, u64 ids
-of the same part before it, u32 block size, then per document i64 id and u64
+The two ids before an id foretell it (order 2), so does the one before it
+(order 1), each by what followed there last and how often it did; and there are
+the frequencies of all ids so far in the block (order 0), a tree of four
+hexadecimal digits whose counts grow with every id.  Whether the id that order 2
+foretells is right is one decision, whose probability mixes what all three
+orders say of that id (a probability for each state, learnt as it goes; their
+logits are summed with weights that are learnt too).  If it is not, the same is
+asked of order 1, mixed with order 0; an id that neither foretold is coded by its
+frequencies.  All this drives a carry-less range coder with 64 bits of state, in
+whole numbers, so every machine decodes alike.
+
+Chapter layout (little-endian): magic "SKT2", u32 documents, u64 ids, u64 ids
+of the same part before it, u32 block size, u32 largest id, then per document i64 id and u64
 length (ids equal to NULL_ID stand for a null), per block u32 coded bytes and u32 crc32 of its ids
 as unsigned 32-bit numbers, then the coded blocks.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an
-id follow one another in no fixed order; ids must lie below 65,535; a document
-of any length lies in one chapter; an empty table gives no chapters and an
+id follow one another in no fixed order; ids may have 32 bits (all but the last
+value); a document of any length lies in one chapter; an empty table gives no chapters and an
 empty result.
 """
 
@@ -42,21 +42,19 @@ from pyspark.sql import functions as F
 from skein.llm.common import offsets, pieces, small_batches
 from skein.llm.tokens import worker_encoder
 
-BLOCK = 2048
+BLOCK = 4096
 CHAPTER = 4 << 20
-MAGIC = b"SKT1"
+MAGIC = b"SKT2"
 NULL_ID = -(1 << 63)
-_SLOTS = 1024
 _TOP = np.uint64((1 << 64) - 1)
-#: After a look at the bytes every interval is this wide: room for 30 bits of decisions and more.
+#: After a look at the bytes every interval is this wide: room for a decision and a choice, and some more.
 _NARROW = np.uint64(1 << 40)
-_HEAD = np.uint64(56)
+_HEAD, _HEAD_BIT = np.uint64(56), np.uint64(1 << 56)
 _EIGHT = np.uint64(8)
-_RATE = 4
 
 
 class Lanes:
-    """Range coder and models of many blocks in step.  With ``coded`` it decodes, else it encodes."""
+    """Range coder of many blocks in step.  With ``coded`` it decodes, else it encodes."""
 
     def __init__(self, lanes: int, room: int, coded: list[bytes] | None = None):
         self.low = np.zeros(lanes, dtype=np.uint64)
@@ -74,12 +72,6 @@ class Lanes:
             self.at += 8
         else:
             self.bytes = np.zeros((lanes, room), dtype=np.uint8)
-        self.models = {
-            "two": np.full(lanes * 32, 1 << 15, dtype=np.int32),
-            "one": np.full(lanes * 4, 1 << 15, dtype=np.int32),
-            "size": np.full(lanes * 17 * 16, 1 << 15, dtype=np.int32),
-            "lead": np.full(lanes * 17 * 8, 1 << 15, dtype=np.int32),
-        }
 
     def begin(self, rows: np.ndarray) -> None:
         """From here on the lanes ``rows`` take part."""
@@ -88,6 +80,7 @@ class Lanes:
         self.x = self.code[rows] if self.decoding else None
 
     def end(self) -> None:
+        self.settle()
         self.low[self.rows], self.high[self.rows] = self.a, self.b
         if self.decoding:
             self.code[self.rows] = self.x
@@ -95,7 +88,7 @@ class Lanes:
     def settle(self) -> None:
         """Shift out the bytes on which both ends agree; cut an interval that became too narrow."""
         while True:
-            same = (self.a ^ self.b) >> _HEAD == 0
+            same = (self.a ^ self.b) < _HEAD_BIT
             tight = self.b - self.a < _NARROW
             tight &= ~same
             if tight.any():
@@ -119,26 +112,26 @@ class Lanes:
             self.a[k] = a << _EIGHT
             self.b[k] = (b << _EIGHT) | np.uint64(255)
 
-    def decide(self, model: str, context: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code one decision (0 or 1) per lane by the probability that ``context`` selects.  Takes up to 6 bits of width."""
-        table = self.models[model]
-        p = table[context]
-        share = (p - (p >> 5) + 1024).astype(np.uint64)
-        middle = self.a + ((self.b - self.a) >> np.uint64(16)) * share
+    def decide(self, share: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code one yes or no per lane, yes with a probability of share / 65536.  Takes up to 12 bits of width."""
+        middle = self.a + ((self.b - self.a) >> np.uint64(16)) * share.astype(np.uint64)
         yes = self.x <= middle if self.decoding else bit
         self.b = np.where(yes, middle, self.b)
         self.a = np.where(yes, self.a, middle + np.uint64(1))
-        table[context] = p + ((np.where(yes, 65_536, 0) - p) >> _RATE)
         return yes
 
-    def evenly(self, bits: np.ndarray, value: np.ndarray | None) -> np.ndarray:
-        """Code a number of so many bits (up to 13) per lane, all values alike."""
-        step = (self.b - self.a) >> bits
+    def choose(self, sums: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
+        """Code one of the columns of ``sums``, running sums of their frequencies.  Takes up to 16 bits of width."""
+        step = (self.b - self.a) // sums[:, -1]
         if self.decoding:
-            value = np.minimum((self.x - self.a) // step, (np.uint64(1) << bits) - np.uint64(1))
-        self.a = self.a + step * value
-        self.b = self.a + step - np.uint64(1)
-        return value
+            target = np.minimum((self.x - self.a) // step, sums[:, -1].astype(np.uint64) - np.uint64(1))
+            digit = (sums <= target[:, None]).sum(axis=1)
+        lane = np.arange(len(digit))
+        above = sums[lane, digit].astype(np.uint64)
+        below = np.where(digit > 0, sums[lane, digit - 1], 0).astype(np.uint64)
+        self.b = self.a + step * above - np.uint64(1)
+        self.a = self.a + step * below
+        return digit
 
     def finish(self) -> list[bytes]:
         """The coded bytes of every lane."""
@@ -147,78 +140,147 @@ class Lanes:
         return [self.bytes[k, : n + 8].tobytes() for k, n in enumerate(self.at)]
 
 
-_MAGNITUDE = np.zeros(1 << 16, dtype=np.int64)
-for _bits in range(1, 17):
-    _MAGNITUDE[1 << (_bits - 1) : 1 << _bits] = _bits
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """ln(p / (1 - p)) of 12-bit probabilities in steps of 1/256, and its inverse from -2047 on."""
+    p = (np.arange(4096) + 0.5) / 4096
+    stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
+    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int64)
+    return stretch, squash
 
 
-def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None) -> np.ndarray:
-    """Code ``ids`` (block after block), or decode them; sizes must not increase but for the last."""
+_STRETCH, _SQUASH = _logistic()
+
+
+class Mixer:
+    """Whether a guessed id is right, told by the contexts that speak of it.
+
+    Every context's state (how often it was right before) has an adaptive
+    probability; the probabilities' logits are summed with adaptive weights.
+    """
+
+    def __init__(self, lanes: int, states: list[int]):
+        self.tables = [np.full((lanes, n), 1 << 14, dtype=np.int64) for n in states]
+        self.weights = np.full((len(states), lanes), 28_000, dtype=np.int64)
+
+    def code(self, coder: Lanes, rows: np.ndarray, states: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
+        known = [t[rows, s] for t, s in zip(self.tables, states, strict=True)]
+        logits = np.stack([_STRETCH[p >> 4] for p in known])
+        weights = self.weights[:, rows]
+        mixed = (weights * logits).sum(axis=0) >> 16
+        p = _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
+        yes = coder.decide(p << 4, bit)
+        right = yes.astype(np.int64)
+        self.weights[:, rows] = weights + ((logits * ((right << 12) - p)) >> 9)
+        for t, s, q in zip(self.tables, states, known, strict=True):
+            t[rows, s] = q + (((right * 65_535) - q) >> 5)
+        return yes
+
+
+def _prior() -> list[np.ndarray]:
+    """Running sums of the first frequencies at every node: 16 children of a node, low ids likelier."""
+    mass = 1.0 / (np.arange(1 << 16) + 512.0)
+    out = []
+    for level in range(4):
+        share = mass.reshape(16 ** (level + 1), -1).sum(axis=1).reshape(-1, 16)
+        share = np.maximum(1, np.rint(16 * (4 - level) * share / share.sum(axis=1, keepdims=True)))
+        out.append(np.cumsum(share, axis=1).astype(np.int64))
+    return out
+
+
+_PRIOR = _prior()
+#: What one sight of an id adds to the frequency of each of its four digits.
+_SIGHT = (6, 8, 10, 12)
+
+
+class Frequencies:
+    """Order 0: how often each id came so far (ids that a longer context foretold aside), in a tree of four hexadecimal digits."""
+
+    def __init__(self, lanes: int, block: int):
+        kind = np.uint16 if max(_SIGHT) * block + 256 < 1 << 16 else np.uint32
+        self.sums = [np.broadcast_to(p.astype(kind), (lanes, *p.shape)).reshape(-1, 16).copy() for p in _PRIOR]
+        self.add = [(np.tri(16, dtype=kind).T * kind(s)) for s in _SIGHT]
+
+    def seen(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How often an id came, in classes."""
+        node, digit = rows * 4096 + (ids >> 4), ids & 15
+        sums = self.sums[3]
+        count = sums[node, digit].astype(np.int64) - np.where(digit > 0, sums[node, digit - 1], 0)
+        return _CLASS[np.minimum(count // _SIGHT[3], 15)]
+
+    def code(self, coder: Lanes, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        node, found = rows, np.zeros(len(rows), dtype=np.int64)
+        for level in range(4):
+            sums = self.sums[level][node]
+            digit = coder.choose(sums, None if ids is None else (ids >> (12 - 4 * level)) & 15)
+            coder.settle()
+            self.sums[level][node] = sums + self.add[level][digit]
+            node, found = node * 16 + digit, found * 16 + digit
+        return found
+
+
+_CLASS = np.array([0, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 6])
+
+
+def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None, top: int) -> np.ndarray:
+    """Code ``ids`` (block after block), none above ``top``, or decode them; sizes must not increase but for the last."""
     n = len(sizes)
     starts = offsets(sizes)[:-1]
     out = np.zeros(int(sizes.sum()), dtype=np.uint32) if ids is None else ids
-    guess2, guess1 = np.zeros(n * _SLOTS, dtype=np.uint16), np.zeros(n * _SLOTS, dtype=np.uint16)
-    sure2, sure1 = np.zeros(n * _SLOTS, dtype=np.uint8), np.zeros(n * _SLOTS, dtype=np.uint8)
+    slots = 1 << max(4, int(sizes.max() - 1).bit_length())
+    #: By the last two ids, and by the last: the id that followed (0: none yet), and how often it did, up to 3.
+    guess2, guess1 = np.zeros((n, slots), dtype=np.uint32), np.zeros((n, slots), dtype=np.uint32)
+    sure2, sure1 = np.zeros((n, slots), dtype=np.uint8), np.zeros((n, slots), dtype=np.uint8)
+    first, second = Mixer(n, [4, 9, 8]), Mixer(n, [4, 8])
+    frequencies = Frequencies(n, int(sizes.max()))
+    high = max(0, (top >> 16).bit_length())
     before, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     every = np.arange(n)
-    for t in range(int(sizes.max()) if n else 0):
+    for t in range(int(sizes.max())):
         rows = every if sizes[-1] > t else every[sizes > t]
         u, w = last[rows], before[rows]
-        slot1 = rows * _SLOTS + ((u * 40503) >> 6 & (_SLOTS - 1))
-        slot2 = rows * _SLOTS + ((u * 40503 + w * 30011) >> 5 & (_SLOTS - 1))
-        g2, g1 = guess2[slot2].astype(np.int64), guess1[slot1].astype(np.int64)
-        s2, s1 = sure2[slot2], sure1[slot1]
-        token = None if ids is None else out[starts[rows] + t].astype(np.int64) + 1  # 0 stands for no guess yet
-        lanes.begin(rows)
-        hit2 = lanes.decide("two", rows * 32 + s2 * 8 + s1 * 2 + (g1 == g2), None if token is None else token == g2)
-        found = np.where(hit2, g2, 0)
-        lanes.settle()
-        lanes.end()
-        rest = np.flatnonzero(~hit2)
-        if len(rest):
-            r = rows[rest]
+        slot1 = ((u * 40_503) >> 6) & (slots - 1)
+        slot2 = ((u * 40_503 + w * 30_011) >> 5) & (slots - 1)
+        g2, g1 = guess2[rows, slot2].astype(np.int64), guess1[rows, slot1].astype(np.int64)
+        s2, s1 = sure2[rows, slot2], sure1[rows, slot1]
+        token = None if ids is None else out[starts[rows] + t].astype(np.int64) + 1
+        found = np.zeros(len(rows), dtype=np.int64)
+        rest = np.arange(len(rows))
+        # Order 2 guesses; orders 1 and 0 have their say in how likely that is.
+        ask = np.flatnonzero(g2 > 0)
+        if len(ask):
+            r, g = rows[ask], g2[ask]
+            lanes.begin(r)
+            other = np.where(g1[ask] == g, 4 + s1[ask], np.where(g1[ask] > 0, s1[ask], 8))
+            hit = first.code(lanes, r, [s2[ask], other, frequencies.seen(r, (g - 1) & 0xFFFF)], None if token is None else token[ask] == g)
+            lanes.end()
+            found[ask[hit]] = g[hit]
+            rest = np.flatnonzero(found == 0)
+        # Then order 1, where it says otherwise.
+        ask = rest[(g1[rest] > 0) & (g1[rest] != g2[rest])]
+        if len(ask):
+            r, g = rows[ask], g1[ask]
             lanes.begin(r)
-            tok = None if token is None else token[rest]
-            hit1 = lanes.decide("one", r * 4 + s1[rest], None if tok is None else tok == g1[rest])
-            lanes.settle()
+            hit = second.code(lanes, r, [s1[ask], frequencies.seen(r, (g - 1) & 0xFFFF)], None if token is None else token[ask] == g)
             lanes.end()
-            found[rest[hit1]] = g1[rest[hit1]]
-            rest = rest[~hit1]
+            found[ask[hit]] = g[hit]
+            rest = np.flatnonzero(found == 0)
         if len(rest):
             r = rows[rest]
             lanes.begin(r)
-            tok = None if token is None else token[rest]
-            size = None if tok is None else _MAGNITUDE[tok] - 1
-            node = np.ones(len(r), dtype=np.int64)
-            context = (r * 17 + _MAGNITUDE[u[rest]]) * 16
-            for k in (3, 2, 1, 0):
-                bit = lanes.decide("size", context + node, None if size is None else (size >> k & 1).astype(bool))
-                node = node * 2 + bit
-            lanes.settle()
-            size = node - 16
-            lead = np.minimum(size, 3)
-            node = np.ones(len(r), dtype=np.int64)
-            context = (r * 17 + size) * 8
-            for k in range(3):
-                # A number with fewer bits codes a 0 in their stead, which its model soon expects.
-                live = lead > k
-                bit = None if tok is None else (live & (tok >> np.maximum(size - 1 - k, 0) & 1)).astype(bool)
-                got = lanes.decide("lead", context + node, bit)
-                node = np.where(live, node * 2 + got, node)
-            lanes.settle()
-            free = size - lead
-            low = None if tok is None else (tok & ((1 << free) - 1)).astype(np.uint64)
-            low = lanes.evenly(free.astype(np.uint64), low)
-            lanes.settle()
+            tok = None if token is None else token[rest] - 1
+            over = np.zeros(len(r), dtype=np.int64)
+            for k in range(0, high, 8):
+                even = np.broadcast_to(np.arange(1, 257, dtype=np.uint64), (len(r), 256))
+                over |= lanes.choose(even, None if tok is None else (tok >> (16 + k)) & 255) << k
+                lanes.settle()
+            found[rest] = (over << 16 | frequencies.code(lanes, r, None if tok is None else tok & 0xFFFF)) + 1
             lanes.end()
-            found[rest] = (node << free) | low.astype(np.int64)
         if ids is None:
             out[starts[rows] + t] = found - 1
-        right2, right1 = found == g2, found == g1
-        sure2[slot2] = np.where(right2, np.minimum(s2 + 1, 3), s2 >> 1)
-        sure1[slot1] = np.where(right1, np.minimum(s1 + 1, 3), s1 >> 1)
-        guess2[slot2] = np.where(right2 | (s2 == 0), found, g2)
-        guess1[slot1] = np.where(right1 | (s1 == 0), found, g1)
+        for guess, sure, slot, g, s in ((guess2, sure2, slot2, g2, s2), (guess1, sure1, slot1, g1, s1)):
+            right = found == g
+            sure[rows, slot] = np.where(right, np.minimum(s + 1, 3), s >> 1)
+            guess[rows, slot] = np.where(right | (s == 0), found, g)
         before[rows], last[rows] = u, found
     return out
 
@@ -229,11 +291,13 @@ def _block_sizes(total: int, block: int) -> np.ndarray:
 
 def write_chapter(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], before: int, block: int = BLOCK) -> bytes:
     ids = ids.astype("<u4")
-    if len(ids) and ids.max() >= 65_535:
-        raise ValueError("ids must lie below 65,535")
+    top = int(ids.max()) if len(ids) else 0
+    if top == (1 << 32) - 1:
+        raise ValueError("the largest 32-bit number cannot be an id")
     sizes = _block_sizes(len(ids), block)
-    lanes = Lanes(len(sizes), 4 * block + 64)
-    _transform(sizes, lanes, ids)
+    lanes = Lanes(len(sizes), 8 * block + 64)
+    if len(sizes):
+        _transform(sizes, lanes, ids, top)
     coded = lanes.finish()
     ends = offsets(sizes)
     table = b"".join(
@@ -242,15 +306,15 @@ def write_chapter(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]
     docs = np.empty(len(lengths), dtype=[("id", "<i8"), ("n", "<u8")])
     docs["id"] = [NULL_ID if d is None else d for d in doc_ids]
     docs["n"] = lengths
-    return b"".join([MAGIC, struct.pack("<IQQI", len(lengths), len(ids), before, block), docs.tobytes(), table, *coded])
+    return b"".join([MAGIC, struct.pack("<IQQII", len(lengths), len(ids), before, block, top), docs.tobytes(), table, *coded])
 
 
 def read_chapter(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndarray]:
     """(document ids, their lengths, ids of the part before the chapter, all ids)."""
     if raw[:4] != MAGIC:
         raise ValueError("not a chapter of token ids")
-    n, total, before, block = struct.unpack_from("<IQQI", raw, 4)
-    at = 4 + struct.calcsize("<IQQI")
+    n, total, before, block, top = struct.unpack_from("<IQQII", raw, 4)
+    at = 4 + struct.calcsize("<IQQII")
     docs = np.frombuffer(raw, dtype=[("id", "<i8"), ("n", "<u8")], count=n, offset=at)
     at += docs.nbytes
     sizes = _block_sizes(total, block)
@@ -258,7 +322,7 @@ def read_chapter(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndar
     at += table.nbytes
     begin = at + offsets(table[:, 0])
     coded = [raw[a:b] for a, b in zip(begin, begin[1:], strict=False)]
-    ids = _transform(sizes, Lanes(len(sizes), 0, coded), None) if len(sizes) else np.zeros(0, dtype=np.uint32)
+    ids = _transform(sizes, Lanes(len(sizes), 0, coded), None, top) if len(sizes) else np.zeros(0, dtype=np.uint32)
     ends = offsets(sizes)
     for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         if zlib.crc32(ids[a:b].astype("<u4").tobytes()) != table[k, 1]:
