@@ -54,12 +54,13 @@ class WuManber:
         self.length, self.block = length, min(block, length)
         self.jump = length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[int]]] = {}
+        #: By the last words of a pattern, then by its first.
+        self.bucket: dict[tuple[bytes, ...], dict[bytes, list[tuple[tuple[bytes, ...], list[int]]]]] = {}
         for pattern, owners in patterns.items():
             for end in range(self.block, length + 1):
                 key = pattern[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.bucket.setdefault(pattern[length - self.block :], {})[pattern] = owners
+            self.bucket.setdefault(pattern[length - self.block :], {}).setdefault(pattern[0], []).append((pattern, owners))
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(start, owners) of every occurrence."""
@@ -71,7 +72,7 @@ class WuManber:
             if step:
                 at += step
                 continue
-            for pattern, owners in self.bucket[key].items():
+            for pattern, owners in self.bucket[key].get(text[at - self.length], ()):
                 if all(a == b for a, b in zip(pattern, text[at - self.length : at], strict=True)):
                     yield at - self.length, owners
             at += 1
@@ -170,12 +171,16 @@ def find_contamination(
     rows = rows.withColumns(
         {"n_words": none.cast("long"), "starts": none.cast("array<int>"), "ends": none.cast("array<int>"), "items": none.cast("array<string>")}
     )
-    blocks = list(benchmark_blocks(benchmark, item_id, item_text, most_words))
-    for k, block in enumerate(blocks):
+    # Two blocks of the benchmark are held at a time.
+    blocks = benchmark_blocks(benchmark, item_id, item_text, most_words)
+    block, k = next(blocks), 0
+    while block is not None:
+        after = next(blocks, None)
         tables = [WuManber(p, n) for n, p in sorted(patterns_of([w for _, w in block], window).items())]
-        rows = rows.mapInArrow(_search(tables, [n for n, _ in block], k == len(blocks) - 1), schema)
-        if k % PASSES == PASSES - 1 and k < len(blocks) - 1:
+        rows = rows.mapInArrow(_search(tables, [n for n, _ in block], after is None), schema)
+        if k % PASSES == PASSES - 1 and after is not None:
             rows = cut(rows)
+        block, k = after, k + 1
     return rows.drop("text")
 
 

@@ -10,6 +10,8 @@ which compares the whole text next to its digest:
    over several tasks;
 3. the winners of the salts meet by (digest, text).
 
+The outcome goes back the same way, to every (digest, salt) that occurs.
+
 Defined results: a null text counts as empty; rows that repeat a doc_id with
 equal texts all carry the same answer; a null doc_id never wins against a
 number, and a group of null ids only keeps them all; an empty table gives an
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, join_ids
+from skein.llm.common import MOST_SENT, cut, join_ids
 
 SALTS = 16
 
@@ -33,10 +35,13 @@ def normalised(text: str = "text"):
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    base = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
+    # Rows without an id are told apart by what else they have.
+    others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and kind not in ("void", "variant")]
+    bare = F.xxhash64(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0).cast("long")
+    salt = F.pmod(F.when(F.col(id_col).isNull(), bare).otherwise(F.xxhash64(id_col)), F.lit(salts))
+    base = docs.select(F.col(id_col).alias("doc_id"), salt.alias("salt"), normalised(text_col).alias("norm"))
     base = base.withColumn("digest", F.unhex(F.sha2(F.col("norm"), 256)))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
-    salted = base.groupBy("digest", salt.alias("salt"), "norm").agg(
+    salted = base.groupBy("digest", "salt", "norm").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")
     )
     whole = salted.groupBy("digest", "norm").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -46,7 +51,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.raise_error(F.lit("two different texts have one SHA-256 digest")).cast("long")
     )
     groups = whole.groupBy("digest").agg(one.alias("keep_id"), F.min("group_size").alias("group_size"))
-    return base.select("doc_id", "digest").join(groups, "digest").select(
+    # The answer goes to each salt under which the digest occurs, and the rows meet it there.
+    answers = salted.select("digest", "salt").join(groups, "digest").repartition("digest", "salt")
+    return base.select("doc_id", "digest", "salt").join(answers, ["digest", "salt"]).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -65,8 +72,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest"))
     repeated = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     copies = cut(join_ids(keyed, cut(repeated), ["digest"], "left_semi").select("doc_id", "text"))
-    losers = exact_groups(copies).where("not kept").select(F.col("doc_id").alias(id_col), F.unhex("text_sha256").alias("__digest"))
-    return join_ids(docs.withColumn("__digest", digest), cut(losers.distinct()), [id_col, "__digest"], "left_anti").drop("__digest")
+    losers = cut(exact_groups(copies).where("not kept").select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone")).distinct())
+    few = F.broadcast(losers) if losers.count() <= MOST_SENT else losers
+    return docs.join(few, docs[id_col].eqNullSafe(losers["gone_id"]) & (digest == losers["gone"]), "left_anti")
 
 
 ORACLE_SQL = r"""

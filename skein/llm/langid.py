@@ -3,14 +3,18 @@
 For each language a suffix automaton holds labelled text.  A text is parsed
 against it into phrases: from each position the longest match found in the
 labelled text is one phrase (a letter never seen is a phrase of its own).  The
-fewer phrases per letter, the lower the cross-entropy; the language that needs
-fewest wins.  Words, with a space on either side, are parsed one by one, so a
+fewer phrases per letter, the lower the cross-entropy.  A phrase is a pointer
+into the labelled text, so counts are normalised by the bits of such a pointer
+(``phrase_cost``), as labelled texts may differ in length; the language that needs
+least wins.  Words, with a space on either side, are parsed one by one, so a
 word's phrase count under every language is remembered while it recurs; the
 counts are summed over all words of the whole text.
 
 The automata learn from a bounded sample: about ``docs_per_lang`` labelled
 documents of each language, chosen by a hash of the id, and of them the first
-``chars_per_lang`` characters in hash order, the same for every language.
+``chars_per_lang`` characters in hash order (no document gives more than that,
+and only so much of it leaves the executors).  A language with fewer keeps what
+it has, and takes nothing from the others.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter;
 with one learned language every other text gets it, with score 1; with none
@@ -91,6 +95,15 @@ class SuffixAutomaton:
         return count - fresh
 
 
+#: Bits that tell where a phrase ends, beside those that tell where in the labelled text it lies.
+LENGTH_BITS = 8.0
+
+
+def phrase_cost(text: str) -> float:
+    """Bits to point at a phrase of the labelled text: what makes counts of unequal labelled texts comparable."""
+    return float(np.log2(max(2, len(text)))) + LENGTH_BITS
+
+
 class LanguageModel:
     def __init__(self, samples: dict[str, list[str]], counts: dict[str, int], chars: int = CHARS_PER_LANG):
         texts = {}
@@ -98,9 +111,8 @@ class LanguageModel:
             text = " ".join(chain.from_iterable(letter_words(d) for d in docs))
             if text:
                 texts[lang] = text
-        size = min([chars, *map(len, texts.values())])
         self.langs = sorted(texts, key=lambda k: (-counts[k], k))
-        self.texts = [f" {texts[k][:size]} " for k in self.langs]
+        self.texts = [f" {texts[k][:chars]} " for k in self.langs]
 
     def parser(self) -> Parser:
         """The parser of this Python worker, with the words that earlier tasks met."""
@@ -113,6 +125,7 @@ class Parser:
     def __init__(self, langs: Sequence[str], texts: Sequence[str]):
         self.langs = list(langs)
         self.automata = [SuffixAutomaton(t) for t in texts]
+        self.cost = np.array([phrase_cost(t) for t in texts])
         self.rows = np.zeros((1 << 14, len(self.langs)), dtype=np.int32)
         self.known = Interned(self._parse)
 
@@ -135,6 +148,7 @@ class Parser:
         np.cumsum(self.rows[at], axis=0, out=sums[1:])
         ends = offsets(counts)
         totals = sums[ends[1:]] - sums[ends[:-1]]
+        totals = totals * self.cost
         best = totals.argmin(axis=1)
         least = totals.min(axis=1)
         if len(self.langs) > 1:
@@ -157,7 +171,7 @@ def learn(
     """A model of the labelled rows in ``docs``; null labels and texts teach nothing.
 
     One count per language comes to the driver, then about ``docs_per_lang``
-    whole documents of each.
+    documents of each, cut to ``chars_per_lang`` characters.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "lang is not null"
@@ -169,7 +183,8 @@ def learn(
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, docs_per_lang / n).otherwise(share)
-    chosen = rows.withColumn("place", place).where(F.col("place") < share).where("text is not null").select("place", "lang", "text")
+    chosen = rows.withColumn("place", place).where(F.col("place") < share).where("text is not null")
+    chosen = chosen.select("place", "lang", F.substring("text", 1, chars_per_lang).alias("text"))
     samples: dict[str, list[str]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["place"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])

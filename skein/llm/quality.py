@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import offsets, pieces, small_batches
 
 DOCS_PER_LABEL = 600
+CHARS_PER_DOC = 50_000
 STEPS = 80
 RIDGE = 1e-3
 
@@ -156,11 +157,12 @@ class LineField:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL, chars_per_doc: int = CHARS_PER_DOC, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"
 ) -> LineField:
     """A field fitted to the labelled rows (0 or 1; others teach nothing) of ``docs``.
 
-    Two counts come to the driver, then about ``docs_per_label`` texts of each label.
+    Two counts come to the driver, then about ``docs_per_label`` texts of each
+    label, of which the first ``chars_per_doc`` characters teach.
     """
     marked = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
@@ -174,7 +176,7 @@ def learn(
     # The chosen ids, about docs_per_label of each label, are what the documents meet: no text is shuffled.
     ids = docs.sparkSession.createDataFrame(chosen, f"i {dict(marked.dtypes)['i']}, y int, place double")
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
-    rows = sorted(texts.join(F.broadcast(ids), "i").select("place", "y", "text").collect(), key=tuple)
+    rows = sorted(texts.join(F.broadcast(ids), "i").select("place", "y", F.substring("text", 1, chars_per_doc).alias("text")).collect(), key=tuple)
     return LineField().fit([r["text"] for r in rows], [r["y"] for r in rows]) if rows else LineField()
 
 

@@ -11,7 +11,7 @@ driver; there the overflow is settled and the outcome, a list of (cell, rank
 interval, shard, first slot), goes back as a table of as bounded a size.  Each
 row then needs its rank within its cell, from one shuffle of ids without texts.
 
-Defined results: ids order the keys, a null id hashes like any other value and
+Defined results: ids order the keys, a row without an id is dealt by its text and
 ranks first; rows that repeat an id are ranked by their text's crc and length,
 and lie on neighbouring slots; a null text has size 1 and crc 0; an empty table
 gives an empty result.
@@ -86,8 +86,10 @@ def shard_rows(
 ) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, shard, slot."""
     spark = docs.sparkSession
-    cell = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - cell_bits)
-    ids = docs.select(F.col(id_col).alias("doc_id")).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    # A row without an id has its text for a key.
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+    cell = F.shiftrightunsigned(key, 64 - cell_bits).alias("cell")
+    ids = docs.select(cell).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["cell"]: r["n"] for r in ids.collect()}  # at most 2 ** cell_bits rows
     if not counts:
         placed = []
@@ -102,7 +104,8 @@ def shard_rows(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("cell", cell)
+        cell,
+    )
     order = Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size")
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     inside = (ranked["cell"] == where["cell"]) & (ranked["rank"] >= where["lo"]) & (ranked["rank"] < where["hi"])
@@ -114,12 +117,22 @@ def shard_rows(
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", **options) -> None:
     """The rows of ``docs`` under path/shard=k, in slot order within each file.
 
-    Needs unique ids: a row finds its shard by its id.
+    Needs unique ids: a row finds its shard by its id.  A column of the input
+    that is named shard is written as shard_1 (or the next name that is free).
     """
-    placed = shard_rows(docs, shards, id_col=id_col, **options).select(
-        F.col("doc_id").alias("__id"), "shard", F.col("slot").alias("__slot")
-    )
-    rows = docs.drop("shard").join(placed, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    rows.repartition("shard", F.floor(F.col("__slot") / 100_000)).sortWithinPartitions("shard", "__slot").drop(
-        "__slot"
-    ).write.partitionBy("shard").parquet(path)
+    taken = set(docs.columns)
+
+    def free(name: str) -> str:
+        while name in taken:
+            stem, _, number = name.rpartition("_")
+            name = f"{stem}_{int(number) + 1}" if stem and number.isdigit() else f"{name}_1"
+        taken.add(name)
+        return name
+
+    placed = shard_rows(docs, shards, id_col=id_col, **options)
+    if "shard" in taken:
+        docs = docs.withColumnRenamed("shard", free("shard"))
+    name, slot = free("placed_id"), free("slot")
+    placed = placed.select(F.col("doc_id").alias(name), "shard", F.col("slot").alias(slot))
+    rows = docs.join(placed, docs[id_col].eqNullSafe(placed[name])).drop(name)
+    rows.repartition("shard", F.floor(F.col(slot) / 100_000)).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,6 +72,24 @@ def test_exact_groups_null_and_repeated_ids(spark):
 # Sharding ------------------------------------------------------------------------
 
 
+def test_copies_without_an_id_go(spark):
+    rows = [(3, "a  b", 1), (None, "a b", 1), (None, "a b", 2), (None, "c", 1), (9, "A b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long")
+    got = Counter(tuple(r) for r in exact_dedup.exact_dedup(docs).collect())
+    assert got == Counter([(3, "a  b", 1), (None, "c", 1), (9, "A b", 1)])
+    want = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect()}
+    assert want == {(3, 3, 3), (None, 3, 3), (None, None, 1), (9, 9, 1)}
+
+
+def test_written_shards_keep_every_column(spark, tmp_path):
+    docs = table(spark, ["a", "b", None, "d"]).withColumns({"shard": F.lit("mine"), "slot": F.col("doc_id") * 2, "placed_id": F.lit(1)})
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {*docs.columns, "shard_1"}
+    assert {(r["doc_id"], r["shard_1"], r["slot"], r["placed_id"]) for r in back.collect()} == {(k, "mine", 2 * k, 1) for k in range(4)}
+    assert Counter(r["shard"] for r in back.collect()) == {0: 2, 1: 2}
+
+
 def test_shards(spark):
     docs = clashing(table(spark, [None, "", "é", LONG] + ["t"] * 95))
     rows = sharding.shard_rows(docs, 8).collect()
@@ -307,6 +326,23 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_a_rare_language_leaves_the_others_alone(spark):
+    rng = random.Random(5)
+    made = {lang: ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(40)] for lang, letters in (("aa", "abcde"), ("bb", "cdefg"), ("cc", "efghi"))}
+    rows = [(k, " ".join(rng.choices(made[lang], k=60)), lang) for k, lang in enumerate(list(made) * 40)]
+    held = [(k, " ".join(rng.choices(made[lang], k=9)), lang) for k, lang in enumerate(list(made) * 30)]
+    docs, new = (spark.createDataFrame(r, "doc_id long, text string, lang string") for r in (rows, held))
+    rare = docs.unionByName(spark.createDataFrame([(10**6, "xyz", "zz")], docs.schema))
+    truth = {k: lang for k, _, lang in held}
+
+    def right(model):
+        return sum(r["lang_pred"] == truth[r["doc_id"]] for r in langid.identify(new, model).collect())
+
+    assert right(langid.learn(rare)) >= right(langid.learn(docs)) - 1 >= 0.9 * len(held)
+    probe = spark.createDataFrame([(1, "xyz xyz")], "doc_id long, text string")
+    assert langid.identify(probe, langid.learn(rare)).first()["lang_pred"] == "zz"
+
+
 def test_ties_of_languages_are_kept(spark):
     rows = [(1, "abab", "x"), (2, "baba", "y"), (3, "cdcd", "z"), (4, "ab", None), (5, "q", None), (6, "12 !", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -384,6 +420,17 @@ def test_secrets_report(spark):
     assert secrets.secrets_report(table(spark, [])).count() == 0
 
 
+def test_long_runs_take_linear_time():
+    scan = secrets.scanner(secrets.BASE + secrets.MORE)
+    jwt = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10
+    texts = ["eyJ" * 350_000 + ".eyJ", "eyJ" * 100_000 + " " + jwt, "AKIA" * 250_000, "token" * 200_000, "password" + " " * 1_000_000, "-----BEGIN " * 100_000]
+    began = time.time()
+    found = scan(texts)
+    assert time.time() - began < 20
+    names = [r.kind for r in secrets.BASE + secrets.MORE]
+    assert [(names[k], b - a) for a, k, b in found[1] if names[k] == "jwt"] == [("jwt", len(jwt))] and len(found[2]) == 1
+
+
 # Passages ------------------------------------------------------------------------------
 
 
