@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut
+from skein.llm.common import MOST_SENT, cut
 
 
 def _least(arcs: DataFrame) -> DataFrame:
@@ -27,15 +27,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
     stars = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars = cut(stars)
-    before = None
+    before, size = None, stars.count()
     for _ in range(most_rounds):
         # Large star: the larger neighbours of u hang on the least node around u.
         arcs = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(arcs).select("u", F.least("u", "m").alias("m"))
+        # A node appears in as many rows as it has edges, which no join by node then gathers.
+        sent = F.broadcast if 2 * size <= MOST_SENT else lambda df: df
+        least = sent(_least(arcs).select("u", F.least("u", "m").alias("m")))
         grown = arcs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours hang on the least of them.
         grown = grown.where("u <> v").distinct()
-        least = _least(grown)
+        least = sent(_least(grown))
         small = (
             grown.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
@@ -47,8 +49,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, size = now, now[0]
     else:
         raise RuntimeError("the components did not settle")
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(F.broadcast(roots) if size <= MOST_SENT else roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

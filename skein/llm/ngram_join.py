@@ -67,6 +67,7 @@ AGREED = 3
 #: Sets and bytes of n-grams that are compared in one task; larger blocks are dealt, up to LEVELS times.
 CHUNK, CHUNK_BYTES = 256, 32 << 20
 LEVELS = 6
+SALTS = 4
 #: Signatures that a task merges at once.
 MERGED = 1 << 20
 NAME = 5
@@ -559,38 +560,116 @@ def _deviate(num: int, den: int):
     return run
 
 
-def _prefixes(num: int, den: int):
-    """The deviations of which a link of the set needs one at least: gram, whether it is lacked, and the most that a partner may need there."""
+#: What sets say of one deviation, summed up; and a set that has it.
+_TOLD = np.dtype(
+    [("comp", "<i8"), ("gram", "<i8"), ("lacked", "u1"), ("least", "<i8"), ("best", "<i8"), ("some", "u1"), ("k", "<i8"), ("sum", "<u8"), ("xor", "<u8")]
+)
+_HAS = np.dtype([("comp", "<i8"), ("gram", "<i8"), ("rep", "<i8"), ("most", "<i8")])
+_LIVE = "range long, comp long, gram long, lacked boolean, least long, k long, sum long, xor long"
+
+
+def _prefixes(batch: pa.RecordBatch, unit: int) -> tuple[np.ndarray, ...]:
+    """The deviations of which a link of a set needs one at least: comp, gram, whether it is lacked, rep, need, the most that a partner may need there, outside."""
+    sets = _as_sets(batch.column("grams"))
+    comp, rep, need, low, added = (batch.column(c).to_numpy() for c in ("comp", "rep", "need", "low", "added"))
+    counts = np.array([len(s) for s in sets], dtype=np.int64)
+    outside = need + low > 0
+    # A set outside shares so many deviations with any set; one inside, with those outside.
+    share = np.maximum(1, -(-np.where(outside, need + low, need - low + 1) // unit))
+    kept = np.maximum(0, counts - share + 1)
+    row = np.repeat(np.arange(len(sets)), kept)
+    place = np.arange(len(row)) - offsets(kept)[row]
+    gram = np.concatenate([s[:k] for s, k in zip(sets, kept, strict=True)] or [np.zeros(0, dtype=np.uint64)]).view(np.int64)
+    return comp[row], gram, place >= added[row], rep[row], need[row], unit * (counts[row] - place) - need[row], outside[row]
+
+
+def _dealt(rows: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """A row per range of deviations, with what is said of those in it."""
+    at = (mix(mix(rows["comp"].view(np.uint64)) + rows["gram"].view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(ends))
+    rows = rows[order]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in full], pa.binary())], names=["range", "told"])
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """One row for each deviation of each block."""
+    rows = rows[np.lexsort((rows["gram"], rows["comp"]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows["comp"][1:] != rows["comp"][:-1]) | (rows["gram"][1:] != rows["gram"][:-1])
+    at = np.flatnonzero(new)
+    out = rows[at]
+    if len(at):
+        out["least"], out["best"], out["some"] = np.minimum.reduceat(rows["least"], at), np.maximum.reduceat(rows["best"], at), np.maximum.reduceat(rows["some"], at)
+        out["k"], out["sum"], out["xor"] = np.add.reduceat(rows["k"], at), np.add.reduceat(rows["sum"], at), np.bitwise_xor.reduceat(rows["xor"], at)
+    return out
+
+
+def _telling(num: int, den: int, ranges: int):
+    """What a task's sets say of each deviation, summed up in the task."""
     unit = Metric(num, den).unit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
         for batch in batches:
-            sets = _as_sets(batch.column("grams"))
-            need, low, added = (batch.column(c).to_numpy() for c in ("need", "low", "added"))
-            counts = np.array([len(s) for s in sets], dtype=np.int64)
-            outside = need + low > 0
-            # A set outside shares so many deviations with any set; one inside, with those outside.
-            share = np.maximum(1, -(-np.where(outside, need + low, need - low + 1) // unit))
-            kept = np.maximum(0, counts - share + 1)
-            row = np.repeat(np.arange(len(sets)), kept)
-            place = np.arange(len(row)) - offsets(kept)[row]
-            gram = np.concatenate([s[:k] for s, k in zip(sets, kept, strict=True)] or [np.zeros(0, dtype=np.uint64)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("comp").take(pa.array(row)),
-                    batch.column("rep").take(pa.array(row)),
-                    pa.array(gram.view(np.int64)),
-                    pa.array(place >= added[row]),
-                    pa.array(need[row]),
-                    pa.array(unit * (counts[row] - place) - need[row]),
-                    pa.array(outside[row]),
-                ],
-                names=["comp", "rep", "gram", "lacked", "need", "most", "outside"],
-            )
+            comp, gram, lacked, rep, need, most, outside = _prefixes(batch, unit)
+            rows = np.empty(len(comp), dtype=_TOLD)
+            rows["comp"], rows["gram"], rows["lacked"], rows["least"], rows["best"], rows["some"], rows["k"] = comp, gram, lacked, need, most, outside, 1
+            rows["sum"] = mix(rep.view(np.uint64) + np.uint64(1))
+            rows["xor"] = mix(rows["sum"])
+            waiting.append(_summed(rows))
+            if sum(map(len, waiting)) >= MERGED:
+                yield _dealt(_summed(np.concatenate(waiting)), ranges)
+                waiting.clear()
+        if waiting:
+            yield _dealt(_summed(np.concatenate(waiting)), ranges)
 
     return run
 
 
+def _live(rows: pa.Table) -> pa.Table:
+    """The deviations that several sets have, one of them outside, and where what they need can be met."""
+    told = _summed(np.frombuffer(b"".join(rows.column("told").to_pylist()), dtype=_TOLD))
+    told = told[(told["k"] > 1) & (told["some"] > 0) & (told["best"] >= told["least"])]
+    plain = {c: pa.array(told[c].view(np.int64) if told[c].dtype == np.uint64 else told[c]) for c in ("comp", "gram", "least", "k", "sum", "xor")}
+    return pa.table(
+        {
+            "range": pa.array(np.full(len(told), rows.column("range")[0].as_py())),
+            "comp": plain["comp"],
+            "gram": plain["gram"],
+            "lacked": pa.array(told["lacked"].astype(bool)),
+            **{c: plain[c] for c in ("least", "k", "sum", "xor")},
+        }
+    )
+
+
+def _having(num: int, den: int, ranges: int):
+    unit = Metric(num, den).unit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            comp, gram, _, rep, _, most, _ = _prefixes(batch, unit)
+            rows = np.empty(len(comp), dtype=_HAS)
+            rows["comp"], rows["gram"], rows["rep"], rows["most"] = comp, gram, rep, most
+            dealt = _dealt(rows, ranges)
+            yield dealt.append_column("salt", pa.array(np.full(dealt.num_rows, int(rep[0]) % SALTS if len(rep) else 0)))
+
+    return run
+
+
+def _held(has: pa.Table, live: pa.Table) -> pa.Table:
+    """The sets that have live deviations and can meet what is needed there: comp, rep, gram."""
+    rows = np.frombuffer(b"".join(has.column("told").to_pylist()), dtype=_HAS)
+    comp, gram, least = (live.column(c).to_numpy() for c in ("comp", "gram", "least"))
+    number = {k: i for i, k in enumerate(zip(comp.tolist(), gram.tolist(), strict=True))}
+    at = np.fromiter((number.get(k, -1) for k in zip(rows["comp"].tolist(), rows["gram"].tolist(), strict=True)), dtype=np.int64, count=len(rows))
+    kept = at >= 0
+    kept[kept] = rows["most"][kept] >= least[at[kept]]
+    rows = rows[kept]
+    return pa.table({"comp": pa.array(rows["comp"].copy()), "rep": pa.array(rows["rep"].copy()), "gram": pa.array(rows["gram"].copy())})
+
+
 def _sent(table: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     """``table`` (written down), marked for broadcast if its n-grams are measured to be few."""
     size = table.agg(F.sum(F.length("base") + 16)).first()[0] or 0
@@ -626,21 +705,16 @@ def connect(sets: DataFrame, num: int, den: int, chunk: int = CHUNK, levels: int
         away = away.join(F.broadcast(low) if some <= MOST_SENT else low, "comp")
         links.append(away.where(F.col("need") + F.col("low.need") <= 0).select(F.col("rep").alias("a"), F.col("low.rep").alias("b")))
         first = away.select("comp", "rep", "need", "added", "grams", F.col("low.need").alias("low"))
-        light = cut(first.mapInArrow(_prefixes(num, den), "comp long, rep long, gram long, lacked boolean, need long, most long, outside boolean"))
-        met = light.groupBy("comp", "gram").agg(
-            F.min("need").alias("least"),
-            F.max("most").alias("best"),
-            F.max("outside").alias("some"),
-            F.count(F.lit(1)).alias("k"),
-            F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
-            F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("xor"),
-            F.min("lacked").alias("lacked"),
-        )
-        met = met.where("k > 1 and some and best >= least")
+        ranges = block_ranges(spark)
+        told = first.mapInArrow(_telling(num, den, ranges), "range long, told binary")
+        live = told.groupBy("range").applyInArrow(_live, _LIVE)
         # Deviations that the same sets share: the first in order stands for all of them.
-        met = met.groupBy("comp", "k", "sum", "xor").agg(F.min(F.struct("lacked", "gram", "least")).alias("g"))
-        met = met.select("comp", F.col("g.gram").alias("gram"), F.col("g.least").alias("least"))
-        held = light.join(met, ["comp", "gram"]).where(F.col("most") >= F.col("least"))
+        live = live.groupBy("comp", "k", "sum", "xor").agg(F.min(F.struct("lacked", "gram", "least", "range")).alias("g"))
+        live = cut(live.select("comp", F.col("g.gram").alias("gram"), F.col("g.least").alias("least"), F.col("g.range").alias("range")))
+        # A deviation that very many sets have is looked up in several tasks.
+        asked = live.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        has = first.mapInArrow(_having(num, den, ranges), "range long, told binary, salt long")
+        held = has.groupBy("range", "salt").cogroup(asked.groupBy("range", "salt")).applyInArrow(_held, "comp long, rep long, gram long")
         held = held.select("comp", "rep", F.xxhash64("comp", "gram").alias("next")).distinct()
         state = away.select("comp", "rep", "n", "grams").join(held, ["comp", "rep"]).select(F.col("next").alias("comp"), "rep", "n", "grams")
         state = cut(state)
