@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an id and little else that may be sent to every executor (some 24 bytes each).
+MOST_SENT = 500_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written tables, which all executors see.
 

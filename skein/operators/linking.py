@@ -15,7 +15,7 @@ def _definitions(nodes: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 def _as_edges(pairs: DataFrame, relationship: str, candidates: Column) -> DataFrame:
     tier = F.when(candidates > 1, AMBIGUOUS).otherwise(INFERRED)
-    return pairs.select("source", "target", F.lit(relationship).alias("relationship"), tier.alias("provenance")).distinct()
+    return pairs.select("source", "target", F.lit(relationship).alias("relationship"), tier.alias("provenance"))
 
 
 def link_references(references: DataFrame, nodes: DataFrame, types: tuple[str, ...] = DEFINITION_TYPES) -> DataFrame:
@@ -25,7 +25,9 @@ def link_references(references: DataFrame, nodes: DataFrame, types: tuple[str, .
     """
     found = _definitions(nodes, types)
     counts = found.groupBy("type_name").agg(F.count(F.lit(1)).alias("n"))
-    pairs = references.select("type_name", F.col("node_id").alias("source")).join(found, "type_name").join(counts, "type_name").where("source <> target")
+    # A definition has one name, so distinct references and definitions make distinct pairs: what a join makes is not shuffled again.
+    wanted = references.select("type_name", F.col("node_id").alias("source")).distinct().join(counts, "type_name")
+    pairs = wanted.join(found.distinct(), "type_name").where("source <> target")
     return _as_edges(pairs, "REFERENCES_TYPE", F.col("n"))
 
 
@@ -41,9 +43,13 @@ def relink_file(nodes: DataFrame, edges: DataFrame, path: str, types: tuple[str,
 
 def link_unresolved(unresolved: DataFrame, nodes: DataFrame, types: tuple[str, ...] = DEFINITION_TYPES) -> DataFrame:
     """Like ``link_references`` for (enclosing_id, type_name), but a node does not count among its own candidates."""
-    pairs = unresolved.select("type_name", F.col("enclosing_id").alias("source")).distinct().join(_definitions(nodes, types), "type_name").where("source <> target")
-    counts = pairs.groupBy("source", "type_name").agg(F.count(F.lit(1)).alias("n"))
-    return _as_edges(pairs.join(counts, ["source", "type_name"]), "REFERENCES_TYPE", F.col("n"))
+    wanted = unresolved.select("type_name", F.col("enclosing_id").alias("source")).distinct()
+    found = _definitions(nodes, types).distinct()
+    counts = found.groupBy("type_name").agg(F.count(F.lit(1)).alias("n"))
+    own = found.select("type_name", F.col("target").alias("source"), F.lit(1).alias("own"))
+    wanted = wanted.join(counts, "type_name").join(own, ["type_name", "source"], "left")
+    pairs = wanted.join(found, "type_name").where("source <> target")
+    return _as_edges(pairs, "REFERENCES_TYPE", F.col("n") - F.coalesce("own", F.lit(0)))
 
 
 def plain_name(name: Column) -> Column:

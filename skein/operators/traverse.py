@@ -32,12 +32,12 @@ def couplings(edges: DataFrame, most_tier: int | None = None, relations: tuple[s
 
 def frontier(starts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
     """id and depth of everything within ``hops`` steps (u to v) of ``starts`` (id), each at its least depth."""
-    steps = steps.select("u", "v").distinct()
     layer = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     layers = [layer]
     for depth in range(1, hops + 1):
         seen = union_all(layers).select("id")
-        reached = layer.join(steps, layer["id"] == steps["u"]).select(F.col("v").alias("id")).distinct()
+        # The written layer has a known size, so a small one is sent to the edges instead of shuffling them.
+        reached = steps.join(layer.select(F.col("id").alias("u")), "u", "left_semi").select(F.col("v").alias("id")).distinct()
         layer = cut(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if layer.isEmpty():
             break

@@ -157,44 +157,33 @@ def jon_edges_between(spark, sf):
 # Measures ------------------------------------------------------------------------
 
 
-def _tree(spark, sf):
-    """Nations, regions and what nations contain: the structural part of the graph."""
-    nodes, edges = _graph(spark, sf)
-    kept = nodes.where(F.col("type").isin("Region", "Nation", "Customer", "Supplier"))
-    return kept, edges.where(F.col("relationship").isin("CONTAINS", "BELONGS_TO_MODULE"))
-
-
-_TREE = """ , t AS (
-  SELECT 'R:' || r_regionkey AS id, r_regionkey AS r FROM region UNION ALL SELECT 'N:' || n_nationkey, n_regionkey FROM nation
-  UNION ALL SELECT 'C:' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
-  UNION ALL SELECT 'S:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+# Links of the whole graph, couplings only; a component's name spreads from the nodes whose name got smaller.
+_LINKS = f", links AS (SELECT source AS a, target AS b FROM edges WHERE {_USED} AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))"
+_COMPONENTS = f"""{_LINKS}, arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+cc(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+  SELECT r.id, min(u.component) FROM cc u JOIN arcs ON u.id = arcs.a JOIN recurring.cc r ON r.id = arcs.b WHERE u.component < r.component GROUP BY r.id)"""
 
 
-@query(oracle(f"{_TREE} SELECT id, min(id) OVER (PARTITION BY r) AS component FROM t"))
+@query(oracle(f"{_COMPONENTS} SELECT id, component FROM cc"))
 def grf_components(spark, sf):
-    return analytics.connected_components(*_tree(spark, sf), structural=True)
+    return analytics.connected_components(*_graph(spark, sf))
 
 
-@query(oracle(f"{_TREE} SELECT min(id) AS component, count(*) AS size FROM t GROUP BY r"))
+@query(oracle(f"{_COMPONENTS} SELECT component, count(*) AS size, array_to_string(list_slice(list_sort(list(id)), 1, 10), ',') AS first_members FROM cc GROUP BY component"))
 def agg_cluster_sizes(spark, sf):
-    return analytics.cluster_sizes(analytics.connected_components(*_tree(spark, sf), structural=True))
+    return analytics.cluster_sizes(grf_components(spark, sf))
 
 
-# In a tree a node lies between exactly the pairs that its removal separates.
-_BETWEEN = """, n AS (SELECT n_nationkey, n_regionkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS leaves FROM nation),
-g AS (SELECT n_regionkey AS r, sum(leaves + 1) AS below, sum((leaves + 1) * (leaves + 1)) AS squares FROM n GROUP BY 1)
-SELECT 'R:' || r_regionkey AS id, round(coalesce((below * below - squares) / 2, 0), 6) AS betweenness, (SELECT count(*) FROM n WHERE n_regionkey = r_regionkey) AS degree FROM region LEFT JOIN g ON r = r_regionkey
-UNION ALL SELECT 'N:' || n_nationkey, round((CAST(below AS DOUBLE) * below - leaves - (below - leaves) * (below - leaves)) / 2, 6), leaves + 1 FROM n JOIN g ON r = n_regionkey
-UNION ALL SELECT 'C:' || c_custkey, 0, 1 FROM customer UNION ALL SELECT 'S:' || s_suppkey, 0, 1 FROM supplier"""
+# Shortest paths between all pairs are too slow in SQL on whole tables; tests hold these against brute force.
 
 
-@query(oracle(_BETWEEN))
+@query()
 def grf_betweenness(spark, sf):
-    found = analytics.betweenness(*_tree(spark, sf), structural=True)
+    found = analytics.betweenness(*_graph(spark, sf))
     return found.select("id", F.round("betweenness", 6).alias("betweenness"), "degree")
 
 
-@query(oracle(f", m AS (SELECT * FROM ({_BETWEEN.replace(', n AS', 'WITH n AS', 1)})) SELECT id, betweenness, degree FROM m WHERE degree > 0 ORDER BY betweenness DESC, degree DESC, id LIMIT 10"))
+@query()
 def rnk_hotspots(spark, sf):
     return analytics.hotspots(grf_betweenness(spark, sf))
 
@@ -204,30 +193,6 @@ def grf_communities(spark, sf):
     return analytics.modularity_communities(*_graph(spark, sf))
 
 
-# The same measures of the whole graph, couplings only.  Recursive SQL is too slow for it; tests hold them against brute force.
-
-
-@query()
-def grf_components_all(spark, sf):
-    return analytics.connected_components(*_graph(spark, sf))
-
-
-@query()
-def agg_cluster_sizes_all(spark, sf):
-    return analytics.cluster_sizes(grf_components_all(spark, sf))
-
-
-@query()
-def grf_betweenness_all(spark, sf):
-    found = analytics.betweenness(*_graph(spark, sf))
-    return found.select("id", F.round("betweenness", 6).alias("betweenness"), "degree")
-
-
-@query()
-def rnk_hotspots_all(spark, sf):
-    return analytics.hotspots(grf_betweenness_all(spark, sf))
-
-
 # Search ------------------------------------------------------------------------
 
 
@@ -361,32 +326,6 @@ def rnk_cap_nodes(spark, sf):
 # Links ------------------------------------------------------------------------
 
 
-@query(
-    oracle(
-        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND file_path LIKE 'src/parts/Brand#1%'),
-        c AS (SELECT t, count(*) AS n FROM defs GROUP BY t)
-        SELECT DISTINCT node AS source, defs.id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN n > 1 THEN 2 ELSE 1 END AS provenance FROM refs JOIN defs USING (t) JOIN c USING (t) WHERE node <> defs.id"""
-    )
-)
-def jon_link_references(spark, sf):
-    parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
-    defs = parts.where("file_path like 'src/parts/Brand#1%'").withColumn("name", F.col("content"))
-    return linking.link_references(parts.select(F.col("content").alias("type_name"), F.col("id").alias("node_id")), defs, ("Part",))
-
-
-@query(
-    oracle(
-        """, refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part' AND file_path LIKE 'src/parts/Brand#1%'),
-        p AS (SELECT DISTINCT node, defs.id, t FROM refs JOIN defs USING (t) WHERE node <> defs.id)
-        SELECT DISTINCT node AS source, id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN count(*) OVER (PARTITION BY node, t) > 1 THEN 2 ELSE 1 END AS provenance FROM p"""
-    )
-)
-def jon_link_unresolved(spark, sf):
-    parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
-    defs = parts.where("file_path like 'src/parts/Brand#1%'").withColumn("name", F.col("content"))
-    return linking.link_unresolved(parts.select(F.col("content").alias("type_name"), F.col("id").alias("enclosing_id")), defs, ("Part",))
-
-
 _PARTS = ", refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Part'), defs AS (SELECT content AS t, id FROM nodes WHERE type = 'Part')"
 
 
@@ -396,7 +335,7 @@ _PARTS = ", refs AS (SELECT id AS node, content AS t FROM nodes WHERE type = 'Pa
         SELECT DISTINCT node AS source, defs.id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN n > 1 THEN 2 ELSE 1 END AS provenance FROM refs JOIN defs USING (t) JOIN c USING (t) WHERE node <> defs.id"""
     )
 )
-def jon_link_references_all(spark, sf):
+def jon_link_references(spark, sf):
     parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
     return linking.link_references(parts.select(F.col("content").alias("type_name"), F.col("id").alias("node_id")), parts.withColumn("name", F.col("content")), ("Part",))
 
@@ -407,7 +346,7 @@ def jon_link_references_all(spark, sf):
         SELECT DISTINCT node AS source, id AS target, 'REFERENCES_TYPE' AS relationship, CASE WHEN count(*) OVER (PARTITION BY node, t) > 1 THEN 2 ELSE 1 END AS provenance FROM p"""
     )
 )
-def jon_link_unresolved_all(spark, sf):
+def jon_link_unresolved(spark, sf):
     parts = driver_graph.nodes(spark, sf).where("type = 'Part'")
     return linking.link_unresolved(parts.select(F.col("content").alias("type_name"), F.col("id").alias("enclosing_id")), parts.withColumn("name", F.col("content")), ("Part",))
 
