@@ -136,3 +136,75 @@ def embedding_document(kind: Column, name: Column, signature: Column, summary: C
     """What is embedded for a node: type and name, signature, summary, and the body's head and tail."""
     short = F.when(F.length(body) <= head + tail, body).otherwise(F.concat(F.substring(body, 1, head), F.lit("\n…\n"), F.right(body, F.lit(tail))))
     return F.concat_ws("\n", F.concat_ws(" ", kind, name), F.when(signature != "", signature), F.when(summary != "", summary), short)
+
+
+def map_to_json(properties: Column) -> Column:
+    """A map as a JSON object; null or empty is {}."""
+    return F.coalesce(F.to_json(properties), F.lit("{}"))
+
+
+def map_from_json(text: Column) -> Column:
+    """The map of a JSON object of strings; empty where the text is null or no such object."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.from_json(F.coalesce(text, F.lit("{}")), "map<string,string>"), empty)
+
+
+def lenient_number(value: Column, fallback: float, low: float | None = None, high: float | None = None, whole: bool = False) -> Column:
+    """A number given as such or as text, ``fallback`` where it is neither, held between ``low`` and ``high``.
+
+    A whole number's text must be one; a fraction given as a number is cut.
+    """
+    given = F.trim(value.cast("string"))
+    plain = given.rlike(r"^[+-]?\d+(\.0*)?$") if whole else given.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    kind = "bigint" if whole else "double"
+    out = F.coalesce(F.when(plain, given.try_cast("double")), F.lit(float(fallback)))
+    if low is not None:
+        out = F.greatest(out, F.lit(float(low)))
+    if high is not None:
+        out = F.least(out, F.lit(float(high)))
+    return out.cast(kind)
+
+
+def signature(kind: Column, name: Column, properties: Column) -> Column:
+    """A declaration on one line: modifiers, then what kind of thing it is asks for; parts that are blank leave no space."""
+
+    def part(text: Column) -> Column:
+        return F.when(F.trim(text) != "", F.trim(text))
+
+    def of(key: str) -> Column:
+        return F.coalesce(F.try_element_at(properties, F.lit(key)), F.lit(""))
+
+    call = F.concat(F.coalesce(name, F.lit("")), F.lit("("), F.trim(of("parameters")), F.lit(")"))
+    modifiers, returned = part(of("modifiers")), part(of("returnType"))
+    return (
+        F.when(kind.isin("Method", "Constructor"), F.concat_ws(" ", modifiers, returned, call))
+        .when(kind == "Property", F.concat_ws(" ", modifiers, returned, part(name)))
+        .otherwise(F.concat_ws(" ", modifiers, part(F.lower(kind)), part(name)))
+    )
+
+
+def location(name: Column, id: Column, path: Column, start_line: Column, summary: Column, base: str = "") -> Column:
+    """Where a thing is, on one line: name -> path:line | summary."""
+    place = F.coalesce(F.when(path != "", path), id)
+    place = handle(place, base) if base else place
+    line = F.coalesce(F.concat(F.lit(":"), start_line.cast("string")), F.lit(""))
+    told = F.when(summary != "", F.concat(F.lit(" | "), summary)).otherwise("")
+    return F.concat(F.coalesce(name, F.lit("")), F.lit(" -> "), place, line, F.coalesce(told, F.lit("")))
+
+
+# Folders that hold what an evaluation is made of.
+META_FOLDERS = ("bench/golden", "tickets", "review")
+
+
+def under(path: Column, folder: str) -> Column:
+    """Whether a path lies in a folder of this name, at the top or further down, whatever the case and the slashes."""
+    plain = F.concat(F.lit("/"), F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))))
+    return F.contains(plain, F.lit(f"/{folder.lower()}/"))
+
+
+def is_evaluation_meta(path: Column, indexed: bool = True) -> Column:
+    """Files that would leak the questions into an evaluation; with ``indexed`` also notes that stay in the index."""
+    hit = F.lit(False)
+    for folder in META_FOLDERS:
+        hit = hit | under(path, folder)
+    return hit | (under(path, "bench") & F.coalesce(F.endswith(F.lower(path), F.lit(".md")), F.lit(False))) if indexed else hit

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import location
 from skein.schema import DECLARATION_TYPES
 
 # Fixed values of the ranking formula.
@@ -81,6 +82,15 @@ def like(rows: DataFrame, query: str, columns: list[str], id_col: str = "id") ->
     return rows.where(hit).select(F.col(id_col).alias("id"), F.lit(1.0).alias("score"))
 
 
+def locate(nodes: DataFrame, query: str, limit: int = 15, base: str = "") -> DataFrame:
+    """The hits of a query in order, each as one line that tells where it is."""
+    hits = search(nodes, query, limit).join(nodes, "id")
+    absent = {c: F.lit(None).cast(t) for c, t in (("start_line", "int"), ("summary", "string")) if c not in nodes.columns}
+    hits = hits.withColumns(absent) if absent else hits
+    line = location(F.col("name"), F.col("id"), F.col("file_path"), F.col("start_line"), F.col("summary"), base)
+    return hits.select("id", "score", line.alias("line")).orderBy(F.desc("score"), "id")
+
+
 def attach_edges(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Every hit with its edges, either direction, a loop once: id, source, target, relationship."""
     ends = edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id"), "source", "target", "relationship")

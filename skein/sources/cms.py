@@ -76,42 +76,71 @@ def _local(element: ET.Element) -> str:
     return element.tag.split("}")[-1]
 
 
+class Declared:
+    """How a configuration section names types: the elements that lead there, where the type stands, and what goes with it."""
+
+    def __init__(self, path: str, types: str, relationship: str, **properties: str):
+        self.path, self.types, self.relationship, self.properties = path.split("/"), types.split(), relationship, properties
+
+
+# Sections of a configuration file (* is any element) and the relationships that graphs on disk use.  A
+# property is @attribute or element() of the element at a depth of the path.
+DECLARED = (
+    Declared("pipelines/*/processor", "type", "REGISTERS_PROCESSOR", pipeline="1:element()"),
+    Declared("services/register", "implementationType concreteType", "REGISTERS_SERVICE", serviceType="1:@serviceType", lifetime="1:@lifetime"),
+    Declared("services/configurator", "type", "REGISTERS_CONFIGURATOR"),
+    Declared("events/event/handler", "type", "HANDLES_EVENT", event="1:@name"),
+)
+SETTINGS_KEPT = 50
+
+
+def _chains(at: ET.Element, most: int, above: tuple = ()) -> Iterator[tuple[ET.Element, ...]]:
+    """Every way down from an element, in the order of the file, up to ``most`` elements."""
+    for child in at:
+        chain = (*above, child)
+        yield chain
+        if len(chain) < most:
+            yield from _chains(child, most, chain)
+
+
+def type_name(value: str | None) -> str:
+    """A type without its assembly."""
+    return (value or "").partition(",")[0].strip()
+
+
 def parse_config(path: str, text: str) -> tuple[list[dict], list[dict]]:
-    """A configuration file: processors, services, configurators and event handlers by the types that they name."""
+    """A configuration file: processors, services, configurators and event handlers by the types that they name, and its settings."""
     try:
-        root = ET.fromstring(text)
+        top = next((e for e in ET.fromstring(text).iter() if _local(e) == "sitecore"), None)
     except ET.ParseError:
-        return [], []
-    top = root if _local(root) == "sitecore" else next((e for e in root if _local(e) == "sitecore"), None)
+        top = None
     if top is None:
         return [], []
-    nodes, edges = [_node(path, "SitecoreConfig", path.split("/")[-1], text, path)], []
-    known = set()
-
-    def register(value: str | None, relationship: str) -> None:
-        full = (value or "").split(",")[0].strip()
-        if not full:
-            return
-        if full not in known:
-            known.add(full)
-            nodes.append(_node(f"clrtype:{full}", "ClrType", re.split(r"[.+]", full)[-1], full, path))
-        edges.append(edge(path, f"clrtype:{full}", relationship, INFERRED))
-
-    for section in top:
-        for child in section:
-            kind = _local(section)
-            if kind == "pipelines":
-                for p in child:
-                    if _local(p) == "processor":
-                        register(p.get("type"), "REGISTERS_PROCESSOR")
-            elif kind == "services" and _local(child) == "register":
-                register(child.get("implementationType") or child.get("concreteType"), "REGISTERS_SERVICE")
-            elif kind == "services" and _local(child) == "configurator":
-                register(child.get("type"), "REGISTERS_CONFIGURATOR")
-            elif kind == "events" and _local(child) == "event":
-                for h in child:
-                    if _local(h) == "handler":
-                        register(h.get("type"), "HANDLES_EVENT")
+    edges, settings = [], []
+    types: dict[str, None] = {}
+
+    def told(chain: tuple[ET.Element, ...], where: str) -> str:
+        depth, _, what = where.partition(":")
+        element = chain[int(depth)]
+        value = _local(element) if what == "element()" else element.get(what[1:], "")
+        return type_name(value) if what.endswith("Type") else value
+
+    for chain in _chains(top, max(len(d.path) for d in DECLARED)):
+        names = [_local(e) for e in chain]
+        if names == ["settings", "setting"] and chain[-1].get("name"):
+            settings.append(chain[-1].get("name"))
+        for d in DECLARED:
+            if len(names) != len(d.path) or any(n != w for n, w in zip(names, d.path, strict=True) if w != "*"):
+                continue
+            full = next(filter(None, (type_name(chain[-1].get(t)) for t in d.types)), "")
+            if full:
+                types[full] = None
+                properties = {k: told(chain, where) for k, where in d.properties.items()}
+                edges.append({**edge(path, f"clrtype:{full}", d.relationship, INFERRED), "properties": properties})
+    about = {"cms": "Sitecore"} | ({"settingCount": str(len(settings)), "settings": ",".join(settings[:SETTINGS_KEPT])} if settings else {})
+    nodes = [{**_node(path, "SitecoreConfig", path.split("/")[-1], text, path), "properties": about}]
+    for full in types:
+        nodes.append({**_node(f"clrtype:{full}", "ClrType", full.rpartition(".")[2] or full, full, path), "properties": {"clrType": full}})
     return nodes, edges
 
 
