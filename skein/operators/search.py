@@ -4,71 +4,48 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import location
+from skein.operators import fts
 from skein.schema import DECLARATION_TYPES
 
-# Fixed values of the ranking formula.
-K1, B = 1.2, 0.75
-
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
-def occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
 
 def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
-def is_plain_query(query: str) -> bool:
-    """Whether the index can parse the query: words and spaces only (other signs mean something else, or fail)."""
-    return bool(re.fullmatch(r"[\w\s]+", query)) and bool(query_terms(query))
-
-
-def bm25(rows: DataFrame, query: str, columns: list[str], id_col: str = "id") -> DataFrame:
-    """id and score of the rows that hold every term of ``query`` in any of the columns.
+def bm25(rows: DataFrame, query: str, columns: list[str], id_col: str = "id", index: fts.Index | None = None) -> DataFrame:
+    """id and score of the rows that ``query`` matches, in the query language (words side by side must all occur).
 
-    Row count, mean length and document frequencies are over all rows.  Rows
-    without a term leave before the shuffle: only matches are grouped.
+    Row count, mean length and document frequencies are over all rows.  Without an index one is derived from the rows.
     """
-    terms = query_terms(query)
-    pooled = rows.select(F.col(id_col).alias("id"), tokens(F.concat_ws(" ", *columns)).alias("words"))
-    counted = pooled.select(
-        "id",
-        F.size("words").alias("length"),
-        *(occurrences(F.col("words"), t).alias(f"tf{k}") for k, t in enumerate(terms)),
-    )
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("length").alias("mean"),
-        *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))),
-    ).first()
-    if not terms or not stats["n"]:
-        return rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)[id_col]}, score double")
-    score = F.lit(0.0)
-    keep = F.lit(True)
-    for k in range(len(terms)):
-        tf = F.col(f"tf{k}").cast("double")
-        weight = F.greatest(F.log((F.lit(float(stats["n"])) - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)), F.lit(1e-6))
-        score = score + weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / stats["mean"]))
-        keep = keep & (F.col(f"tf{k}") > 0)
-    return counted.where(keep).select("id", score.alias("score"))
-
-
-def search(nodes: DataFrame, query: str, limit: int = 20, offset: int = 0, kind: str | None = None, columns: tuple[str, ...] = ("id", "name", "content")) -> DataFrame:
-    """id and score: everything for ``*`` or ``all``, BM25 where the query is plain, else a substring match."""
+    return fts.match(index or fts.index_of(rows, columns, id_col), fts.parse(query, columns))
+
+
+def search(
+    nodes: DataFrame,
+    query: str,
+    limit: int = 20,
+    offset: int = 0,
+    kind: str | None = None,
+    columns: tuple[str, ...] = ("id", "name", "content", "summary"),
+    index: fts.Index | None = None,
+) -> DataFrame:
+    """id and score: everything for ``*`` or ``all``, BM25 where the query language can read the query, else a substring match."""
+    pooled = [c for c in columns if c in nodes.columns]
     if query.strip().lower() in ("*", "all"):
         found = nodes.select("id", F.lit(1.0).alias("score"))
-    elif is_plain_query(query):
-        found = bm25(nodes, query, list(columns))
     else:
-        found = like(nodes, query, [c for c in ("name", "content", "file_path") if c in nodes.columns])
+        try:
+            parsed = fts.parse(query, pooled) if query.strip() else None
+        except fts.BadQuery:
+            parsed = None
+        if parsed is not None:
+            found = fts.match(index or fts.index_of(nodes, pooled), parsed)
+        else:
+            found = like(nodes, query, [c for c in ("name", "content", "file_path") if c in nodes.columns])
     if kind is not None:
         found = found.join(nodes.where(F.col("type") == kind).select("id"), "id", "left_semi")
     return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
@@ -115,9 +92,11 @@ def verify_exists(nodes: DataFrame, symbol: str, candidates: int = 8, nearest: i
 
 
 def rank_chunks(chunks: DataFrame, query: str, text: str = "text", id_col: str = "id") -> DataFrame:
-    """BM25 order of chunks; where the query is not plain, chunks with any term of more than two letters."""
-    if is_plain_query(query):
+    """BM25 order of chunks; where the query language cannot read the query, chunks with any term of more than two letters."""
+    try:
         return bm25(chunks, query, [text], id_col)
+    except fts.BadQuery:
+        pass
     hit = F.lit(False)
     for t in query_terms(query):
         if len(t) > 2:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import analytics, evals, linking, store, traverse
+from skein.plans import stored
 from skein.sources import driver_graph, files
 from skein.sources.driver_graph import oracle, table
 
@@ -27,7 +28,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return driver_graph.nodes(spark, sf), driver_graph.edges(spark, sf)
+    return stored.graph(spark, sf)
 
 
 # Scans and filters ---------------------------------------------------------

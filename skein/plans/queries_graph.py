@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.operators import analytics, evals, fusion, linking, search, store, traverse, vectors
+from skein.operators import analytics, evals, fts, fusion, linking, search, store, traverse, vectors
+from skein.plans import stored
 from skein.plans.queries import _graph, query
 from skein.sources import driver_graph, files, parsers
 from skein.sources.driver_graph import oracle, table
@@ -200,7 +201,16 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("name"), F.col("lang").alias("type"))
 
 
-_TOKENS = r"regexp_extract_all(lower(concat_ws(' ', text, source)), '([\p{L}\p{N}]+)', 1)"
+_FTS_COLUMNS = ["content", "name"]
+
+
+def _index(spark, sf):
+    """The stored index of the documents."""
+    path = stored.kept(spark, sf, "postings", lambda folder: fts.write_index(_docs(spark, sf), _FTS_COLUMNS, folder))
+    return fts.open_index(spark, path, _FTS_COLUMNS)
+
+
+_TOKENS = r"regexp_extract_all(strip_accents(lower(concat_ws(' ', text, source))), '([\p{L}\p{N}]+)', 1)"
 
 
 def _bm25(terms: list[str], extra: str = "") -> str:
@@ -215,13 +225,35 @@ def _bm25(terms: list[str], extra: str = "") -> str:
 
 @query(_bm25(["the", "only"]) + " SELECT id, round(score, 9) AS score FROM hits ORDER BY score DESC, id LIMIT 20")
 def fts_bm25(spark, sf):
-    found = search.search(_docs(spark, sf), "the only", 20, columns=("content", "name"))
+    found = search.search(_docs(spark, sf), "the only", 20, columns=_FTS_COLUMNS, index=_index(spark, sf))
     return found.select("id", F.round("score", 9).alias("score"))
 
 
 @query(_bm25(["the", "only"]) + " SELECT id, round(score, 9) AS score FROM hits")
 def fts_bm25_all(spark, sf):
-    return search.bm25(_docs(spark, sf), "the only", ["content", "name"]).select("id", F.round("score", 9).alias("score"))
+    return search.bm25(_docs(spark, sf), "the only", _FTS_COLUMNS).select("id", F.round("score", 9).alias("score"))
+
+
+_WORDS = f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w, regexp_extract_all(strip_accents(lower(source)), '([\\p{{L}}\\p{{N}}]+)', 1) AS s, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '([\\p{{L}}\\p{{N}}]+)', 1), ' ') || ' ' AS line FROM documents)"
+
+
+@query(f"{_WORDS} SELECT 'rows' AS what, count(*) AS n FROM d UNION ALL SELECT 'words', sum(len(w)) FROM d UNION ALL SELECT 'terms', count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)")
+def fts_index(spark, sf):
+    """Builds the stored index, if this session has none yet, and counts what is in it."""
+    index = _index(spark, sf)
+    told = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("words")).crossJoin(index.postings.agg(F.countDistinct("term").alias("terms")))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("n")) for c in ("rows", "words", "terms"))))
+    return told.select(pairs.alias("p")).select("p.what", "p.n")
+
+
+@query(
+    f"""{_WORDS} SELECT id FROM d WHERE
+    ((list_contains(w, 'the') AND list_contains(w, 'only') AND NOT list_contains(w, 'and')) OR line LIKE '% die und %' OR len(list_filter(s, lambda x: starts_with(x, 'src1'))) > 0)
+    AND NOT line LIKE '% of the %'"""
+)
+def fts_language(spark, sf):
+    query = '((the only NOT and) OR "die und" OR name: src1*) NOT (die NOT die OR of + the)'
+    return search.bm25(_docs(spark, sf), query, _FTS_COLUMNS, index=_index(spark, sf)).select("id")
 
 
 @query("SELECT doc_id AS id, CAST(1 AS DOUBLE) AS score FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20 OFFSET 5")
@@ -303,7 +335,7 @@ def vec_embedding_document(spark, sf):
 )
 def rnk_fusion(spark, sf):
     docs = table(spark, sf, "documents")
-    first = fusion.ranked(search.search(_docs(spark, sf), "the only", 40, columns=("content", "name")))
+    first = fusion.ranked(search.search(_docs(spark, sf), "the only", 40, columns=_FTS_COLUMNS, index=_index(spark, sf)))
     second = fusion.ranked(docs.select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "id").limit(40))
     return fusion.reciprocal_rank_fusion([first, second], 20).select("id", F.round("score", 9).alias("score"))
 
