@@ -82,6 +82,13 @@ def least_of(values: np.ndarray, spread: int) -> np.ndarray:
     return at
 
 
+def word_digests(texts: list[str | None], digest: Interned, split: Callable[[str | None], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all words of all texts, and where each text's begin."""
+    parts = [split(t) for t in texts]
+    ends = offsets([len(p) for p in parts])
+    return np.fromiter(map(digest.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=int(ends[-1])), ends
+
+
 class Paragraphs:
     """The paragraphs of a batch of texts."""
 
@@ -281,10 +288,10 @@ def _stretches(split):
         digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
-            found = Paragraphs(batch.column("text").to_pylist(), digest, split)
+            flat, ends = word_digests(batch.column("text").to_pylist(), digest, split)
             names, docs, starts = [], [], []
             for k, (doc, asked) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-                words = found.words[found.ends[k] : found.ends[k + 1]]
+                words = flat[ends[k] : ends[k + 1]]
                 around = {at for start in asked for at in range(max(0, start - LEAST + WIDTH), min(start, len(words) - LEAST) + 1)}
                 for at in around:
                     names.append(_signed_long(xxhash.xxh3_64_intdigest(words[at : at + LEAST].tobytes())))
@@ -323,10 +330,10 @@ def _fetched(split):
         digest = resident(("digests",), lambda: Interned(xxhash.xxh3_64_intdigest))
         for batch in pieces(batches):
             digest.trim()
-            found = Paragraphs(batch.column("text").to_pylist(), digest, split)
+            flat, ends = word_digests(batch.column("text").to_pylist(), digest, split)
             out: list[list] = [[] for _ in range(8)]
             for k, (doc, asked) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
-                words = found.words[found.ends[k] : found.ends[k + 1]]
+                words = flat[ends[k] : ends[k + 1]]
                 for q in asked:
                     low, high = q["low"], q["high"]
                     if high > len(words):
