@@ -110,28 +110,11 @@ def flt_definitions_by_name(spark, sf):
     return found.select("name", F.array_join("ids", ",").alias("ids"))
 
 
-@query(oracle("SELECT DISTINCT n.file_path FROM edges e JOIN nodes n ON n.id = e.source WHERE e.relationship = 'CALLS'"))
-def flt_referencing_files(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    return nodes.join(edges.where("relationship = 'CALLS'").select(F.col("source").alias("id")), "id", "left_semi").select("file_path").distinct()
-
-
 @query("SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 50")
 def flt_nodes_with_embeddings(spark, sf):
     return table(spark, sf, "embeddings").where("embedding is not null").orderBy("vec_id").limit(50).select("vec_id", "label")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'xx' ORDER BY doc_id LIMIT 16")
-def flt_pending_queue(spark, sf):
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return docs.where("lang <> 'xx'").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(16).select("doc_id")
-
-
-@query("SELECT event_id, event_type, value FROM events WHERE value >= 50 ORDER BY value DESC, event_id LIMIT 100")
-def flt_diagnostics(spark, sf):
-    return table(spark, sf, "events").where("value >= 50").orderBy(F.desc("value"), "event_id").limit(100).select("event_id", "event_type", "value")
-
-
 @query(oracle("SELECT source, target, relationship, provenance FROM edges WHERE provenance <= 1 AND relationship NOT IN ('CONTAINS', 'BELONGS_TO_MODULE')"))
 def flt_trusted_couplings(spark, sf):
     return traverse.couplings(driver_graph.edges(spark, sf), most_tier=1)
@@ -142,12 +125,6 @@ def flt_test_paths(spark, sf):
     return driver_graph.nodes(spark, sf).where(traverse.looks_like_test(F.col("file_path"))).select("id")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE lower(trim(coalesce(role, ''))) NOT IN ('system', 'assistant')")
-def flt_open_threads(spark, sf):
-    status = F.lower(F.trim(F.coalesce("role", F.lit(""))))
-    return table(spark, sf, "conversations").where(~status.isin("system", "assistant")).select("conv_id", "turn")
-
-
 # Aggregates ------------------------------------------------------------------
 
 
@@ -269,16 +246,3 @@ def agg_regression_gate(spark, sf):
     now = events.where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
     was = events.groupBy(F.col("user_id").alias("metric")).agg(F.avg("value").alias("value"))
     return evals.regressions(now, was)
-
-
-_WORDS_SQL = r"list_distinct(regexp_extract_all(lower({}), '([\p{{L}}\p{{N}}]{{3,}})', 1))"
-
-
-@query(
-    f"""SELECT b.item_id AS case_id, CAST(len(list_intersect({_WORDS_SQL.format('b.text')}, {_WORDS_SQL.format('d.text')})) AS INTEGER) AS shared
-    FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE len(list_intersect({_WORDS_SQL.format('b.text')}, {_WORDS_SQL.format('d.text')})) > 4"""
-)
-def agg_circularity(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("document"))
-    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("query")).join(docs, "case_id")
-    return evals.circular_cases(cases)

@@ -38,15 +38,6 @@ def grf_subgraph_edges(spark, sf):
     return traverse.subgraph(nodes, edges, ["R:1"], 2)[1]
 
 
-@query(oracle("SELECT * FROM (VALUES (0, 'R:1'), (2, 'R:0')) t(step, id) WHERE FALSE UNION ALL SELECT CAST(2 AS INTEGER) AS step, 'C:' || min(c_custkey) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND c_custkey = (SELECT min(c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)"))
-def grf_shortest_path(spark, sf):
-    nodes, edges = _graph(spark, sf)
-    home = table(spark, sf, "customer").join(table(spark, sf, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"))
-    goal = f"C:{home.agg(F.min('c_custkey')).first()[0]}"
-    path = traverse.shortest_path(nodes, edges, "R:1", goal, 3)
-    return spark.createDataFrame([(len(path) - 1, path[-1]["id"])], "step int, id string")
-
-
 @query(
     oracle(
         _walk("'S:1'", f"SELECT target AS u, source AS v, relationship FROM edges WHERE {_USED}", 2)
@@ -97,11 +88,6 @@ def grf_direct_references(spark, sf):
     return traverse.direct_references(nodes, edges, "C:1").select("relationship", "other", "provenance", "other_name", "group_size")
 
 
-@query(oracle(f" SELECT e.source AS id, relationship, provenance, CAST(NULL AS VARCHAR) AS line FROM edges e JOIN nodes n ON n.id = e.source WHERE target = 'C:1' AND {_USED}"))
-def grf_find_usages(spark, sf):
-    return traverse.find_usages(*_graph(spark, sf), "C:1")
-
-
 @query(oracle(" SELECT source AS id, relationship FROM edges WHERE target = '1-URGENT' AND relationship IN ('EXTENDS', 'IMPLEMENTS')"))
 def grf_implementations(spark, sf):
     return traverse.implementations_of(driver_graph.edges(spark, sf), "1-URGENT")
