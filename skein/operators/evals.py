@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.store import union_all
+
+#: Golden entries that are sent to every executor at once.
+ENTRIES_SENT = 10_000
+
 
 def golden_match(golden: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Golden entries (case_id, expected) and the nodes they mean: part of the id in any case, or the whole name."""
-    hit = F.contains(F.lower("id"), F.lower("expected")) | (F.lower("name") == F.lower("expected"))
-    return golden.join(nodes.select("id", "name"), hit).select("case_id", "expected", "id")
+    """Golden entries (case_id, expected) and the nodes they mean: part of the id in any case, or the whole name.
+
+    Whole names are joined by their value; parts of ids are sought in all nodes, so
+    many entries at a time, which are sent to every executor.
+    """
+    wanted = golden.select("case_id", "expected", F.lower("expected").alias("e"))
+    there = nodes.select("id", F.lower("id").alias("i"), F.lower("name").alias("n"))
+    named = wanted.join(there, F.col("n") == F.col("e")).select("case_id", "expected", "id")
+    blocks = max(1, -(-golden.count() // ENTRIES_SENT))
+    found = [named]
+    for k in range(blocks):
+        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("case_id", "expected"), F.lit(blocks)) == k)
+        part = there.join(F.broadcast(some), F.contains("i", F.col("e")) & ~F.col("n").eqNullSafe(F.col("e")))
+        found.append(part.select("case_id", "expected", "id"))
+    return union_all(found)
 
 
 def retrieval_metrics(ranked: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:
@@ -28,9 +45,16 @@ def retrieval_metrics(ranked: DataFrame, golden: DataFrame, k: int = 10) -> Data
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Cases (query, top1, matched) whose first hit changed: fixed, broken, or moved while as right as before."""
-    a = before.groupBy("query").agg(F.min(F.struct("top1", "matched")).alias("a"))
-    b = after.groupBy("query").agg(F.min(F.struct("top1", "matched")).alias("b"))
+    """Cases (query, top1, matched) whose first hit changed: fixed, broken, or moved while as right as before.
+
+    Of a query's several rows the first counts, by ``seq`` where there is such a column, else the least.
+    """
+
+    def first(runs: DataFrame, name: str) -> DataFrame:
+        told = F.struct("top1", "matched")
+        return runs.groupBy("query").agg((F.min_by(told, "seq") if "seq" in runs.columns else F.min(told)).alias(name))
+
+    a, b = first(before, "a"), first(after, "b")
     kind = F.when(~F.col("a.matched") & F.col("b.matched"), "fixed").when(F.col("a.matched") & ~F.col("b.matched"), "broken").otherwise("moved")
     return a.join(b, "query").where("not (a.top1 <=> b.top1)").select("query", F.col("a.top1").alias("before"), F.col("b.top1").alias("after"), kind.alias("verdict"))
 

@@ -155,11 +155,23 @@ def suspicious_nodes(nodes: DataFrame, types: tuple[str, ...] | None = SCANNED_T
     return used.where(suspicious(F.col("content"))).select("id", "name", "file_path")
 
 
+#: Lines of a stretch.
+LINES = 64
+
+
 def overlapping_lines(chunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Chunks and node spans (file_path, start_line, end_line) of one file that share a line: chunk_id, node_id."""
-    c = chunks.select("file_path", F.col("id").alias("chunk_id"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
-    n = spans.select("file_path", F.col("id").alias("node_id"), F.col("start_line").alias("ns"), F.col("end_line").alias("ne"))
-    return c.join(n, "file_path").where("ns <= ce and cs <= ne").select("chunk_id", "node_id")
+    """Chunks and node spans (file_path, start_line, end_line) of one file that share a line: chunk_id, node_id.
+
+    Both meet by file and stretch of LINES lines, so a long file is not one task; a pair counts where its first shared line lies.
+    """
+
+    def dealt(rows: DataFrame, id: str, start: str, end: str) -> DataFrame:
+        first, last = (F.floor(F.col(c) / LINES) for c in ("start_line", "end_line"))
+        named = rows.where("start_line <= end_line").select("file_path", F.col("id").alias(id), F.col("start_line").alias(start), F.col("end_line").alias(end), F.explode(F.sequence(first, last)).alias("stretch"))
+        return named
+
+    both = dealt(chunks, "chunk_id", "cs", "ce").join(dealt(spans, "node_id", "ns", "ne"), ["file_path", "stretch"])
+    return both.where((F.col("ns") <= F.col("ce")) & (F.col("cs") <= F.col("ne")) & (F.floor(F.greatest("cs", "ns") / LINES) == F.col("stretch"))).select("chunk_id", "node_id")
 
 
 def concept_neighbours(nodes: DataFrame, edges: DataFrame, most: int = 25, concept_type: str = "Concept") -> DataFrame:

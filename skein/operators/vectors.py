@@ -41,48 +41,88 @@ def nearest(rows: DataFrame, query: list[float], k: int = 10, least: float = 0.0
     return scored.where(~F.isnan("score") & (F.col("score") > 0) & (F.col("score") >= least)).orderBy(F.desc("score"), "id").limit(k)
 
 
-#: Rows of one block of the similarity join.
-BLOCK = 2048
+#: Rows of one block of the similarity join, and rows that stand for the regions that blocks lie in.
+BLOCK, PIVOTS = 2048, 256
 
 
-def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """a < b and score for all pairs with cosine of ``least`` or more.
 
-    Rows are packed into blocks; every pair of blocks is one matrix product in
-    one task.  This is the exact all-pairs join: its work is quadratic in the
-    rows, its memory two blocks per task.
+    Every row belongs to the region of its nearest pivot (some rows, by a hash).  Two regions whose
+    pivots are further apart than their radii and the angle of ``least`` together hold no such
+    pair, by the triangle inequality, and never meet.  Regions that may are packed into blocks; every pair of
+    blocks is one matrix product in one task, of two blocks' memory.  The result is exact; how much is
+    passed over depends on how the vectors cluster.
     """
-    kept = cut(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull()))
-    blocks = max(1, math.ceil(kept.count() / block))
-    placed = kept.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left = placed.withColumn("other", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long")))).select("block", "other", "id", "v", F.lit(0).alias("side"))
-    right = placed.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1))).where("block > 0").select(
-        F.col("first").alias("block"), F.col("block").alias("other"), "id", "v", F.lit(1).alias("side")
-    )
+    spark = rows.sparkSession
     kind = dict(rows.dtypes)[id_col]
+    given = cut(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where(F.col(vector).isNotNull()))
+    wanted = max(1, min(pivots, math.ceil(given.count() / block)))
+    chosen = [r["v"] for r in given.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()]
+    centres = [_unit_rows([v])[0] if len(v) else np.zeros(0) for v in chosen]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            region, angle = np.full(len(pdf), -1), np.full(len(pdf), math.pi)
+            lengths = pdf["v"].map(len).to_numpy()
+            for n in np.unique(lengths):
+                like = [k for k, c in enumerate(centres) if len(c) == n]
+                at = np.flatnonzero(lengths == n)
+                if like:
+                    near = np.clip(_unit_rows(pdf["v"].iloc[at]) @ np.stack([centres[k] for k in like]).T, -1.0, 1.0)
+                    best = near.argmax(axis=1)
+                    region[at], angle[at] = np.array(like)[best], np.arccos(near[np.arange(len(at)), best])
+            yield pdf.assign(region=region, angle=angle)
+
+    kept = cut(given.mapInPandas(place, f"id {kind}, v {dict(given.dtypes)['v']}, region long, angle double"), given)
+    told = {r["region"]: (r["n"], r["radius"]) for r in kept.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    reach = math.acos(max(-1.0, min(1.0, least))) + 1e-6
+
+    def may_meet(i: int, j: int) -> bool:
+        if i == j or -1 in (i, j):
+            return True
+        if len(centres[i]) != len(centres[j]):
+            return False
+        apart = math.acos(max(-1.0, min(1.0, float(centres[i] @ centres[j]))))
+        return apart <= told[i][1] + told[j][1] + reach
+
+    pairs = [(i, j, math.ceil(told[i][0] / block), math.ceil(told[j][0] / block)) for i in told for j in told if i <= j and may_meet(i, j)]
+    meets = F.broadcast(spark.createDataFrame(pairs, "i long, j long, mine long, theirs long"))
+    none = F.lit(0).cast("long")
+
+    def dealt(side: int) -> DataFrame:
+        own, other = ("i", "j") if side == 0 else ("j", "i")
+        count, others = ("mine", "theirs") if side == 0 else ("theirs", "mine")
+        placed = kept.join(meets, F.col("region") == F.col(own)).withColumn("own", F.pmod(F.xxhash64("id"), count))
+        met = placed.withColumn("other", F.explode(F.sequence(none, F.col(others) - 1)))
+        # Within a region a block meets itself and those after it.
+        met = met.where((F.col("i") != F.col("j")) | (F.col("own") <= F.col("other") if side == 0 else F.col("other") < F.col("own")))
+        ends = ("own", "other") if side == 0 else ("other", "own")
+        return met.select("i", "j", F.col(ends[0]).alias("left"), F.col(ends[1]).alias("right"), "id", "v", F.lit(side).alias("side"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, alone = [], key[0] == key[1] and key[2] == key[3]
         for _, same in pdf.groupby(pdf["v"].map(len)):
             a, b = same[same["side"] == 0], same[same["side"] == 1]
             m, n = _unit_rows(a["v"]), _unit_rows(b["v"])
             mine, theirs = a["id"].to_numpy(), b["id"].to_numpy()
-            if key[0] == key[1]:
+            if alone:
                 n, theirs = m, mine
             if not len(m) or not len(n):
                 continue
             score = m @ n.T
-            i, j = np.nonzero(score >= least)
-            x, y, s = mine[i], theirs[j], score[i, j]
-            if key[0] == key[1]:
-                up = x < y
-                x, y, s = x[up], y[up], s[up]
-            swap = x > y
-            found.append(pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y), "score": s}))
-        none = pd.Series([], dtype=pdf["id"].dtype)
-        return pd.concat(found) if found else pd.DataFrame({"a": none, "b": none, "score": pd.Series([], dtype=float)})
-
-    return left.unionByName(right).groupBy("block", "other").applyInPandas(run, f"a {kind}, b {kind}, score double")
+            x, y = np.nonzero(score >= least)
+            first, second, s = mine[x], theirs[y], score[x, y]
+            if alone:
+                up = first < second
+                first, second, s = first[up], second[up], s[up]
+            swap = first > second
+            found.append(pd.DataFrame({"a": np.where(swap, second, first), "b": np.where(swap, first, second), "score": s}))
+        empty = pd.Series([], dtype=pdf["id"].dtype)
+        return pd.concat(found) if found else pd.DataFrame({"a": empty, "b": empty, "score": pd.Series([], dtype=float)})
+
+    both = dealt(0).unionByName(dealt(1))
+    return both.groupBy("i", "j", "left", "right").applyInPandas(run, f"a {kind}, b {kind}, score double")
 
 
 def _unit_rows(vectors: Iterator) -> np.ndarray:

@@ -284,12 +284,11 @@ def vec_floor(spark, sf):
     return scored.agg(F.count_if(F.col("s") >= 0.2).alias("strong"), F.count_if((F.col("s") > 0) & (F.col("s") < 0.2)).alias("weak"))
 
 
-@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label <> b.label AND {_COS} >= 0.35")
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id <> a.vec_id + 1 AND {_COS} >= 0.35")
 def vec_surprising_pairs(spark, sf):
     rows = _vectors(spark, sf)
-    pairs = vectors.similar_pairs(rows, 0.35)
-    a, b = rows.select(F.col("id").alias("a"), F.col("label").alias("la")), rows.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(a, "a").join(b, "b").where("la <> lb").select("a", "b", F.round("score", 5).alias("score"))
+    linked = rows.select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    return vectors.surprising_pairs(rows, linked, 0.35).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS length FROM embeddings")
@@ -419,13 +418,13 @@ def jon_golden_match(spark, sf):
 
 
 @query(
-    """WITH e AS (SELECT user_id * 100 + hour(ts) AS query, event_type AS t, value >= 50 AS m, ts < TIMESTAMP '2024-01-15' AS early FROM events),
-    a AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE early GROUP BY 1), b AS (SELECT query, min(struct_pack(t := t, m := m)) AS s FROM e WHERE NOT early GROUP BY 1)
+    """WITH e AS (SELECT user_id * 100 + hour(ts) AS query, event_id AS seq, event_type AS t, value >= 50 AS m, ts < TIMESTAMP '2024-01-15' AS early FROM events),
+    a AS (SELECT query, arg_min(struct_pack(t := t, m := m), seq) AS s FROM e WHERE early GROUP BY 1), b AS (SELECT query, arg_min(struct_pack(t := t, m := m), seq) AS s FROM e WHERE NOT early GROUP BY 1)
     SELECT query, a.s.t AS before, b.s.t AS after, CASE WHEN NOT a.s.m AND b.s.m THEN 'fixed' WHEN a.s.m AND NOT b.s.m THEN 'broken' ELSE 'moved' END AS verdict FROM a JOIN b USING (query) WHERE a.s.t IS DISTINCT FROM b.s.t"""
 )
 def jon_compare_runs(spark, sf):
     events = table(spark, sf, "events")
-    runs = events.select((F.col("user_id") * 100 + F.hour("ts")).alias("query"), F.col("event_type").alias("top1"), (F.col("value") >= 50).alias("matched"), (F.col("ts") < F.lit("2024-01-15").cast("timestamp")).alias("early"))
+    runs = events.select(F.col("event_id").alias("seq"), (F.col("user_id") * 100 + F.hour("ts")).alias("query"), F.col("event_type").alias("top1"), (F.col("value") >= 50).alias("matched"), (F.col("ts") < F.lit("2024-01-15").cast("timestamp")).alias("early"))
     return evals.compare_runs(runs.where("early"), runs.where("not early"))
 
 

@@ -308,11 +308,10 @@ def scl_fence(spark, sf):
     round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (NOT answerable), 9) AS abstention_recall, round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (abstained), 9) AS abstention_precision FROM a"""
 )
 def agg_groundedness(spark, sf):
-    k = F.col("p_size") % 4
-    cite = F.concat(F.lit("["), F.when(k == 3, F.lit("Unknown")).otherwise(F.col("p_brand")), F.lit(" @ a.cs:1-2]"))
+    k, brand = F.col("p_size") % 4, F.coalesce("p_brand", F.lit("none"))
+    cite = F.concat(F.lit("["), F.when(k == 3, F.lit("Unknown")).otherwise(brand), F.lit(" @ a.cs:1-2]"))
     answer = F.when(k == 0, F.lit("I cannot tell.")).when(k == 2, F.concat(F.lit("One "), cite, F.lit("\n\nTwo [Other @ b.cs:1]"))).otherwise(F.concat(F.lit("One "), cite, F.lit("\n\nTwo.")))
-    names = F.array("p_brand", "p_type")
-    answers = table(spark, sf, "part").select(answer.alias("answer"), names.alias("valid_names"), F.array("p_brand").alias("must_cite"), (k == 0).alias("abstained"), (k != 3).alias("answerable"))
+    answers = table(spark, sf, "part").select(answer.alias("answer"), F.array(brand, F.col("p_type")).alias("valid_names"), F.array(brand).alias("must_cite"), (k == 0).alias("abstained"), (k != 3).alias("answerable"))
     found = evals.groundedness(answers)
     return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.embed import embedding
 from skein.operators import capsule
-from skein.sources import cms
+from skein.sources import cms, parsers
 
 G = "11111111-2222-3333-4444-{:012d}"
 
@@ -53,6 +53,32 @@ def test_config():
     assert len(nodes) == 4 and cms.parse_config("b.config", "<broken") == ([], [])
 
 
+def test_config_properties():
+    text = """<a><b><sitecore><pipelines><http><processor type="N.P"/><other type="N.No"/></http></pipelines>
+    <services><register serviceType="N.I, Asm" concreteType="N.C" lifetime="Singleton"/></services>
+    <events><event name="saved"><handler type="N.H"/></event></events><settings><setting name="One"/><setting/><setting name="Two"/></settings></sitecore></b></a>"""
+    nodes, edges = cms.parse_config("x/a.config", text)
+    assert {(e["target"], *sorted(e["properties"].items())) for e in edges} == {
+        ("clrtype:N.P", ("pipeline", "http")), ("clrtype:N.C", ("lifetime", "Singleton"), ("serviceType", "N.I")), ("clrtype:N.H", ("event", "saved")),
+    }
+    assert nodes[0]["properties"] == {"cms": "Sitecore", "settingCount": "2", "settings": "One,Two"} and nodes[0]["name"] == "a.config"
+    assert cms.parse_config("web.config", "<configuration><pipelines/></configuration>") == ([], [])
+
+
+def test_config_properties_reach_the_tables(spark):
+    files = spark.createDataFrame([("a.config", '<sitecore><events><event name="e"><handler type="N.H"/></event></events></sitecore>')], "path string, text string")
+    parsed = parsers.parse_files(files, {".config": cms.parse_config})
+    assert parsers.edges_of(parsed, properties=True).first()["properties"] == {"event": "e"}
+    assert {r["id"]: r["properties"] for r in parsers.nodes_of(parsed, properties=True).collect()}["clrtype:N.H"] == {"clrType": "N.H"}
+
+
+def test_module_metadata():
+    php = """<?php // 'extend' => ['No' => 'n']
+    $aModule = array('id' => 'x', 'title' => array('de' => 'T'), 'extend' => ['A\\B' => 'm/C', SomeClass::class => 'skip', 'D' => "m/E",], 'blocks' => []);"""
+    assert parsers.module_extensions(php) == [("A\\B", "m/C"), ("D", "m/E")]
+    assert parsers.module_extensions("") == [] and parsers.module_extensions("['extend' => 3]") == [] and parsers.module_extensions("]]'") == []
+
+
 def test_routes_and_types():
     route = '{"sitecore":{"route":{"name":"home","placeholders":{"main":[{"componentName":"Hero","placeholders":{"in":[{"componentName":"Text"}]}}]}}}}'
     assert links(cms.parse_route("r.json", route)[1]) == {("r.json", "xmcloud:component:hero", "RENDERS_COMPONENT"), ("r.json", "xmcloud:component:text", "RENDERS_COMPONENT")}

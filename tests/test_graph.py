@@ -1,9 +1,10 @@
 """Operators on small graphs whose answers are known."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import analytics, store, traverse, vectors
+from skein.operators import analytics, evals, linking, store, traverse, vectors
 
 
 def graph(spark, text, relationship="CALLS", tier=0, nodes=None):
@@ -130,3 +131,39 @@ def test_unit_length(spark):
     rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<float>").select("id", vectors.unit(F.col("v")).alias("u"))
     got = as_map(rows, "id", "u")
     assert got[1] == pytest.approx([0.6, 0.8]) and got[2] == [0.0, 0.0]
+
+
+def test_similar_pairs_of_regions(spark):
+    """Regions that cannot meet are passed over; no pair is lost, whatever the pivots and blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 8))
+    data = [(k, (centres[k % 6] + rng.normal(size=8) * 0.15).tolist()) for k in range(240)] + [(900, [0.0] * 8), (901, [1.0, 2.0]), (902, [2.0, 4.0]), (903, None), (904, [])]
+    rows = spark.createDataFrame(data, "id long, embedding array<double>")
+    units = {k: np.array(v) / (np.linalg.norm(v) or 1.0) for k, v in data if v}
+    for least in (0.5, 0.95):
+        want = {(a, b) for a in units for b in units if a < b and len(units[a]) == len(units[b]) and units[a] @ units[b] >= least}
+        for block, pivots in ((1000, 1), (20, 12), (7, 40)):
+            got = [(r["a"], r["b"]) for r in vectors.similar_pairs(rows, least, block=block, pivots=pivots).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lines_that_overlap_across_stretches(spark):
+    chunks = spark.createDataFrame([("f", "c1", 1, 500), ("f", "c2", 64, 64), ("g", "c3", 1, 9), ("f", "c4", 9, 3)], "file_path string, id string, start_line int, end_line int")
+    spans = spark.createDataFrame([("f", "n1", 60, 200), ("f", "n2", 500, 600), ("f", "n3", 501, 502), ("g", "n4", 9, 9)], "file_path string, id string, start_line int, end_line int")
+    got = sorted(tuple(r) for r in linking.overlapping_lines(chunks, spans).collect())
+    assert got == [("c1", "n1"), ("c1", "n2"), ("c2", "n1"), ("c3", "n4")]
+
+
+def test_golden_entries_in_blocks(spark, monkeypatch):
+    golden = spark.createDataFrame([(k, f"Name{k}") for k in range(7)], "case_id long, expected string")
+    nodes = spark.createDataFrame([("x/name3.cs", "other"), ("y", "NAME5"), ("name5", "name5"), ("z", None)], "id string, name string")
+    for sent in (100, 2):
+        monkeypatch.setattr(evals, "ENTRIES_SENT", sent)
+        assert sorted((r["case_id"], r["id"]) for r in evals.golden_match(golden, nodes).collect()) == [(3, "x/name3.cs"), (5, "name5"), (5, "y")]
+
+
+def test_first_of_several_runs(spark):
+    runs = spark.createDataFrame([("q", "b", True, 1), ("q", "a", False, 2)], "query string, top1 string, matched boolean, seq long")
+    after = spark.createDataFrame([("q", "c", False, 1)], runs.schema)
+    assert [tuple(r) for r in evals.compare_runs(runs, after).collect()] == [("q", "b", "c", "broken")]
+    assert [tuple(r) for r in evals.compare_runs(runs.drop("seq"), after.drop("seq")).collect()] == [("q", "a", "c", "moved")]
