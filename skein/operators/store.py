@@ -111,7 +111,8 @@ def concept_id(name: Column) -> Column:
 def add_concepts(nodes: DataFrame, edges: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``analysis`` (id, summary, concepts): summaries are set, concepts become nodes with RELATES_TO edges of tier inferred.
 
-    A concept that exists stays as it is, and so does the edge to it but for its tier.
+    A concept that exists stays as it is, and so does the edge to it but for its tier.  Where ``analysis`` has them,
+    prompt_tokens, completion_tokens and latency_ms go into the properties, and embedding with embedding_model into the node.
     """
     pairs = analysis.select("id", F.explode("concepts").alias("concept")).where(F.trim("concept") != "").withColumn("cid", concept_id(F.col("concept")))
     fresh = pairs.groupBy("cid").agg(F.min("concept").alias("concept")).join(nodes.select(F.col("id").alias("cid")), "cid", "left_anti")
@@ -128,7 +129,31 @@ def add_concepts(nodes: DataFrame, edges: DataFrame, analysis: DataFrame) -> tup
     merged = old.join(relates.withColumn("__new", F.col("provenance")).drop("provenance"), EDGE_KEY, "full_outer")
     tier = F.coalesce(F.when(F.col("__old").isNotNull(), F.least("provenance", "__new")), F.col("__new"))
     edges_out = merged.withColumn("provenance", tier).select(*edges.columns)
-    return told.select(*nodes.columns).unionByName(concepts), edges_out
+    return _measured(told.select(*nodes.columns), analysis).unionByName(concepts), edges_out
+
+
+# What the properties of an analysed node are called.
+MEASURES = {"PromptTokens": "prompt_tokens", "CompletionTokens": "completion_tokens", "LatencyMs": "latency_ms"}
+
+
+def _measured(nodes: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Nodes with what was measured of their analysis, and the vector that came with it."""
+    found = {k: c for k, c in MEASURES.items() if c in analysis.columns}
+    vector = "embedding" in analysis.columns and "embedding" in nodes.columns
+    if not (found and "properties" in nodes.columns) and not vector:
+        return nodes
+    told = analysis.select(F.col("id").alias("told_id"), *(F.col(c).cast("string").alias(f"told_{c}") for c in found.values()), *(F.col(c).alias(f"told_{c}") for c in ("embedding", "embedding_model") if vector))
+    both = nodes.join(told, nodes["id"] == told["told_id"], "left")
+    changed = {}
+    if found and "properties" in nodes.columns:
+        entries = F.create_map(*(x for k, c in found.items() for x in (F.lit(k), F.col(f"told_{c}"))))
+        rest = F.map_filter(F.coalesce("properties", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*found))
+        changed["properties"] = F.when(F.col("told_id").isNull(), F.col("properties")).otherwise(F.map_concat(rest, F.map_filter(entries, lambda k, v: v.isNotNull())))
+    if vector:
+        there = F.size("told_embedding") > 0
+        new = {"embedding": F.col("told_embedding"), "embedding_dim": F.size("told_embedding"), "embedding_model": F.col("told_embedding_model")}
+        changed |= {c: F.when(F.col("told_id").isNull(), F.col(c)).when(there, x.cast(dict(nodes.dtypes)[c])) for c, x in new.items() if c in nodes.columns}
+    return both.withColumns(changed).select(*nodes.columns)
 
 
 def set_embeddings(nodes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:

@@ -45,12 +45,16 @@ def frontier(starts: DataFrame, steps: DataFrame, hops: int) -> DataFrame:
     return union_all(layers)
 
 
-def subgraph(nodes: DataFrame, edges: DataFrame, seeds: list[str], hops: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Nodes within ``hops`` undirected steps (with their depth), and the edges among them."""
+def subgraph(nodes: DataFrame, edges: DataFrame, seeds: list[str], hops: int = 2, cap: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes within ``hops`` undirected steps, nearest first (then by id), with their depth, and the edges among them.
+
+    With ``cap`` only so many of the nearest.
+    """
     starts = nodes.where(F.col("id").isin(seeds)).select("id")
     found = frontier(starts, arcs(edges), hops)
-    kept = cut(nodes.join(found, "id").select(*nodes.columns, "depth"))
-    return kept, edges_among(edges, kept)
+    kept = nodes.join(found, "id").select(*nodes.columns, "depth")
+    kept = cut(kept if cap is None else kept.orderBy("depth", "id").limit(cap))
+    return kept.orderBy("depth", "id"), edges_among(edges, kept)
 
 
 def edges_among(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -18,6 +18,15 @@ STRUCTURAL = ("CONTAINS", "BELONGS_TO_MODULE")
 STAMP_EXEMPT = ("CONTAINS", "DEFINED_IN")
 DEFINITION_TYPES = ("Class", "Interface", "Record", "Struct", "Enum")
 DECLARATION_TYPES = (*DEFINITION_TYPES, "Method", "Property", "Constructor")
+#: What kinds of nodes there are: type, group, and whether one stands for a whole file.
+NODE_TYPES = (
+    ("File", "Files", True), ("MarkdownSection", "Documents", False), ("Class", "Code", False), ("Interface", "Code", False), ("Record", "Code", False), ("Struct", "Code", False),
+    ("Enum", "Code", False), ("Method", "Code", False), ("Constructor", "Code", False), ("Property", "Code", False), ("JSComponent", "Code", True), ("GraphQLQuery", "Code", True),
+    ("GraphQLFragment", "Code", True), ("GraphQLMutation", "Code", True), ("SitecoreItem", "CMS", True), ("SitecoreConfig", "CMS", True), ("ClrType", "Code", False),
+    ("XmCloudComponent", "CMS", True), ("XmCloudRouteData", "CMS", True), ("OptiPageType", "CMS", False), ("OptiBlockType", "CMS", False), ("OptiProperty", "CMS", False),
+    ("KenticoModule", "CMS", False), ("KenticoPageType", "CMS", False), ("KenticoFormComponent", "CMS", False), ("HelixModule", "Architecture", False), ("Concept", "Concepts", False),
+    ("Decision", "Memory", False), ("Milestone", "Memory", False), ("Task", "Memory", False), ("Question", "Memory", False),
+)
 MEMORY_TYPES = ("Decision", "Milestone", "Task", "Question")
 CLOSED_STATUS = ("done", "closed", "resolved", "completed", "cancelled")
 HEURISTIC_RELATIONS = ("RELATES_TO", "IMPORTS", "OVERRIDES_BLOCK", "BINDS_TO")

@@ -7,13 +7,15 @@ so the functions are idempotent: they write a batch's outcome under its number.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.store import first_per
+from skein.lineage import cut
+from skein.operators.store import add_concepts, first_per, prune_orphan_concepts, set_embeddings
 from skein.sources.files import drift, pushed_files
 
 
@@ -41,6 +43,49 @@ def enrichment_work(analyse: Callable[[DataFrame], DataFrame], out: str, batch:
     return work
 
 
+def store_work(
+    folder: str, analyse: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame] | None = None, model: str = "", batch: int = 16
+) -> Callable[[DataFrame, int], None]:
+    """Analyse queued nodes (id) and write the outcome back: batch k makes version k + 1 of the tables under ``folder`` from version k.
+
+    A batch that runs again makes the same version again.  When nothing waits any more, concepts that no edge
+    reaches go, and with ``embed`` (id, content to id, embedding) those without a vector get one.
+    """
+
+    def work(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        nodes, edges = (spark.read.parquet(f"{folder}/v{number}/{t}") for t in ("nodes", "edges"))
+        waits = F.col("needs_analysis") & (F.col("type") != "Concept")
+        queued = nodes.where(waits).join(rows.select("id").distinct(), "id", "left_semi")
+        calls = queued.withColumn("call", F.floor(F.monotonically_increasing_id() / batch))
+        nodes, edges = add_concepts(nodes, edges, cut(analyse(calls)))
+        nodes = cut(nodes)
+        if nodes.where(waits).isEmpty():
+            nodes = prune_orphan_concepts(nodes, edges)
+            if embed is not None:
+                bare = nodes.where((F.col("type") == "Concept") & F.col("embedding").isNull()).select("id", F.coalesce("content", "name").alias("content"))
+                nodes = set_embeddings(nodes, embed(bare), model)
+        for name, rows_of in (("nodes", nodes), ("edges", edges)):
+            rows_of.write.mode("overwrite").parquet(f"{folder}/v{number + 1}/{name}")
+
+    return work
+
+
+def patient(work: Callable[[DataFrame, int], None], tries: int = 5, wait: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """``work``, tried again after ``backoff`` when it fails; the last failure ends the loop, whose checkpoint repeats the batch."""
+
+    def run(rows: DataFrame, number: int) -> None:
+        for failures in range(tries):
+            try:
+                return work(rows, number)
+            except Exception:
+                if failures == tries - 1:
+                    raise
+                wait(backoff(failures))
+
+    return run
+
+
 def mock_analysis(rows: DataFrame) -> DataFrame:
     """A stand-in for a model: the first line as summary, the longest words as concepts."""
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"([A-Z][\p{L}]{3,})"), F.lit(1)))
