@@ -34,25 +34,27 @@ def normalised(text: str = "text"):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.  Up to 62 ``salts``."""
     # Rows without an id are told apart by what else they have.
     others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind and kind not in ("void", "variant")]
     bare = F.xxhash64(*(F.col(f"`{c}`") for c in others)) if others else F.lit(0).cast("long")
     salt = F.pmod(F.when(F.col(id_col).isNull(), bare).otherwise(F.xxhash64(id_col)), F.lit(salts))
     base = docs.select(F.col(id_col).alias("doc_id"), salt.alias("salt"), normalised(text_col).alias("norm"))
     base = base.withColumn("digest", F.unhex(F.sha2(F.col("norm"), 256)))
-    salted = base.groupBy("digest", "salt", "norm").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")
-    )
-    whole = salted.groupBy("digest", "norm").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+    salted = base.groupBy("digest", "salt", "norm").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    # The salts that occur, as the bits of a number.
+    bits = F.array(*(F.lit(1 << k).cast("long") for k in range(salts)))
+    met = F.bit_or(F.element_at(bits, F.col("salt").cast("int") + 1))
+    whole = salted.groupBy("digest", "norm").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"), met.alias("met"))
     # The texts have been compared; from here on the digest names its text.  Two
     # texts under one digest (a SHA-256 collision) stop the query, never mix.
     one = F.when(F.count(F.lit(1)) == 1, F.min("keep_id")).otherwise(
         F.raise_error(F.lit("two different texts have one SHA-256 digest")).cast("long")
     )
-    groups = whole.groupBy("digest").agg(one.alias("keep_id"), F.min("group_size").alias("group_size"))
+    groups = whole.groupBy("digest").agg(one.alias("keep_id"), F.min("group_size").alias("group_size"), F.bit_or("met").alias("met"))
     # The answer goes to each salt under which the digest occurs, and the rows meet it there.
-    answers = salted.select("digest", "salt").join(groups, "digest").repartition("digest", "salt")
+    there = F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.element_at(bits, s + 1).bitwiseAND(F.col("met")) != 0)
+    answers = groups.select("digest", "keep_id", "group_size", F.explode(F.transform(there, lambda s: s.cast("long"))).alias("salt")).repartition("digest", "salt")
     return base.select("doc_id", "digest", "salt").join(answers, ["digest", "salt"]).select(
         "doc_id",
         "keep_id",
