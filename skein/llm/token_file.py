@@ -43,13 +43,14 @@ from skein.llm.common import offsets, pieces, small_batches
 from skein.llm.tokens import worker_encoder
 
 BLOCK = 4096
-CHAPTER = 4 << 20
+CHAPTER = 6 << 20
 MAGIC = b"SKT2"
 NULL_ID = -(1 << 63)
 _TOP = np.uint64((1 << 64) - 1)
 #: After a look at the bytes every interval is this wide: room for a decision and a choice, and some more.
 _NARROW = np.uint64(1 << 40)
-_HEAD, _HEAD_BIT = np.uint64(56), np.uint64(1 << 56)
+_HEAD = np.uint64(56)
+_AGREE = [np.uint64(1 << n) for n in (56, 48, 40)]
 _EIGHT = np.uint64(8)
 
 
@@ -72,6 +73,7 @@ class Lanes:
             self.at += 8
         else:
             self.bytes = np.zeros((lanes, room), dtype=np.uint8)
+        self.flat, self.width = self.bytes.reshape(-1), self.bytes.shape[1]
 
     def begin(self, rows: np.ndarray) -> None:
         """From here on the lanes ``rows`` take part."""
@@ -86,31 +88,39 @@ class Lanes:
             self.code[self.rows] = self.x
 
     def settle(self) -> None:
-        """Shift out the bytes on which both ends agree; cut an interval that became too narrow."""
+        """Shift out the leading bytes on which both ends agree; cut an interval that is still too narrow."""
         while True:
-            same = (self.a ^ self.b) < _HEAD_BIT
-            tight = self.b - self.a < _NARROW
-            tight &= ~same
-            if tight.any():
-                border = (self.b >> _HEAD) << _HEAD
-                upper = tight & (self.b - border >= border - self.a)
-                lower = tight & ~upper
-                self.a = np.where(upper, border, self.a)
-                self.b = np.where(lower, border - np.uint64(1), self.b)
-                same |= tight
-            k = np.flatnonzero(same)
-            if not len(k):
+            differ = self.a ^ self.b
+            count = (differ < _AGREE[0]).astype(np.uint64)
+            count += differ < _AGREE[1]
+            count += differ < _AGREE[2]
+            k = np.flatnonzero(count)
+            if len(k):
+                lane, n = self.rows[k], count[k]
+                at, shift = self.at[lane], n * _EIGHT
+                a = self.a[k]
+                if self.decoding:
+                    place = lane * self.width + at
+                    word = self.flat.take(place).astype(np.uint64) << np.uint64(16)
+                    word |= self.flat.take(place + 1).astype(np.uint64) << _EIGHT
+                    word |= self.flat.take(place + 2)
+                    self.x[k] = (self.x[k] << shift) | (word >> (np.uint64(24) - shift))
+                else:
+                    for j in range(int(n.max())):
+                        more = n > j
+                        self.flat[(lane * self.width + at)[more] + j] = (a[more] >> np.uint64(56 - 8 * j)) & np.uint64(255)
+                self.at[lane] = at + n.astype(np.int64)
+                self.a[k] = a << shift
+                self.b[k] = (self.b[k] << shift) | ((np.uint64(1) << shift) - np.uint64(1))
+            tight = np.flatnonzero(self.b - self.a < _NARROW)
+            if not len(tight):
                 return
-            lane = self.rows[k]
-            at = self.at[lane]
-            a, b = self.a[k], self.b[k]
-            if self.decoding:
-                self.x[k] = (self.x[k] << _EIGHT) | self.bytes[lane, at]
-            else:
-                self.bytes[lane, at] = a >> _HEAD
-            self.at[lane] = at + 1
-            self.a[k] = a << _EIGHT
-            self.b[k] = (b << _EIGHT) | np.uint64(255)
+            a, b = self.a[tight], self.b[tight]
+            border = (b >> _HEAD) << _HEAD
+            apart = border > a
+            upper = apart & (b - border >= border - a)
+            self.a[tight] = np.where(upper, border, a)
+            self.b[tight] = np.where(apart & ~upper, border - np.uint64(1), b)
 
     def decide(self, share: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
         """Code one yes or no per lane, yes with a probability of share / 65536.  Takes up to 12 bits of width."""
@@ -126,9 +136,11 @@ class Lanes:
         if self.decoding:
             target = np.minimum((self.x - self.a) // step, sums[:, -1].astype(np.uint64) - np.uint64(1))
             digit = (sums <= target[:, None]).sum(axis=1)
-        lane = np.arange(len(digit))
-        above = sums[lane, digit].astype(np.uint64)
-        below = np.where(digit > 0, sums[lane, digit - 1], 0).astype(np.uint64)
+        at = np.arange(0, sums.size, sums.shape[1]) + digit
+        flat = sums.ravel()
+        above = flat.take(at).astype(np.uint64)
+        below = flat.take(at - (digit > 0)).astype(np.uint64)
+        below[digit == 0] = 0
         self.b = self.a + step * above - np.uint64(1)
         self.a = self.a + step * below
         return digit
@@ -143,8 +155,8 @@ class Lanes:
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
     """ln(p / (1 - p)) of 12-bit probabilities in steps of 1/256, and its inverse from -2047 on."""
     p = (np.arange(4096) + 0.5) / 4096
-    stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int64)
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int64)
+    stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32)
+    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int32)
     return stretch, squash
 
 
@@ -159,20 +171,24 @@ class Mixer:
     """
 
     def __init__(self, lanes: int, states: list[int]):
-        self.tables = [np.full((lanes, n), 1 << 14, dtype=np.int64) for n in states]
-        self.weights = np.full((len(states), lanes), 28_000, dtype=np.int64)
+        self.states = states
+        self.tables = [np.full(lanes * n, 1 << 14, dtype=np.int32) for n in states]
+        self.weights = [np.full(lanes, 28_000, dtype=np.int32) for _ in states]
 
     def code(self, coder: Lanes, rows: np.ndarray, states: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        known = [t[rows, s] for t, s in zip(self.tables, states, strict=True)]
-        logits = np.stack([_STRETCH[p >> 4] for p in known])
-        weights = self.weights[:, rows]
-        mixed = (weights * logits).sum(axis=0) >> 16
-        p = _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
+        slots = [rows * n + s for n, s in zip(self.states, states, strict=True)]
+        known = [t.take(k) for t, k in zip(self.tables, slots, strict=True)]
+        logits = [_STRETCH.take(p >> 4) for p in known]
+        weights = [w.take(rows) for w in self.weights]
+        mixed = weights[0] * logits[0]
+        for w, x in zip(weights[1:], logits[1:], strict=True):
+            mixed = mixed + w * x
+        p = _SQUASH.take(np.clip(mixed >> 16, -2047, 2047) + 2047)
         yes = coder.decide(p << 4, bit)
-        right = yes.astype(np.int64)
-        self.weights[:, rows] = weights + ((logits * ((right << 12) - p)) >> 9)
-        for t, s, q in zip(self.tables, states, known, strict=True):
-            t[rows, s] = q + (((right * 65_535) - q) >> 5)
+        miss = (yes.astype(np.int32) << 12) - p
+        for table, w, slot, q, old, x in zip(self.tables, self.weights, slots, known, weights, logits, strict=True):
+            w[rows] = np.clip(old + ((x * miss) >> 9), -200_000, 200_000)
+            table[slot] = q + ((np.where(yes, 65_535, 0).astype(np.int32) - q) >> 5)
         return yes
 
 
@@ -202,18 +218,21 @@ class Frequencies:
 
     def seen(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """How often an id came, in classes."""
-        node, digit = rows * 4096 + (ids >> 4), ids & 15
-        sums = self.sums[3]
-        count = sums[node, digit].astype(np.int64) - np.where(digit > 0, sums[node, digit - 1], 0)
-        return _CLASS[np.minimum(count // _SIGHT[3], 15)]
+        at, flat = rows * (1 << 16) + ids, self.sums[3].ravel()
+        first = ids & 15 == 0
+        below = flat.take(at - ~first).astype(np.int64)
+        below[first] = 0
+        return _CLASS.take(np.minimum((flat.take(at) - below) // _SIGHT[3], 15))
 
     def code(self, coder: Lanes, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         node, found = rows, np.zeros(len(rows), dtype=np.int64)
         for level in range(4):
-            sums = self.sums[level][node]
+            sums = self.sums[level].take(node, axis=0)
             digit = coder.choose(sums, None if ids is None else (ids >> (12 - 4 * level)) & 15)
-            coder.settle()
-            self.sums[level][node] = sums + self.add[level][digit]
+            if level == 1:
+                coder.settle()
+            sums += self.add[level].take(digit, axis=0)
+            self.sums[level][node] = sums
             node, found = node * 16 + digit, found * 16 + digit
         return found
 
@@ -228,8 +247,8 @@ def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None, top: int
     out = np.zeros(int(sizes.sum()), dtype=np.uint32) if ids is None else ids
     slots = 1 << max(4, int(sizes.max() - 1).bit_length())
     #: By the last two ids, and by the last: the id that followed (0: none yet), and how often it did, up to 3.
-    guess2, guess1 = np.zeros((n, slots), dtype=np.uint32), np.zeros((n, slots), dtype=np.uint32)
-    sure2, sure1 = np.zeros((n, slots), dtype=np.uint8), np.zeros((n, slots), dtype=np.uint8)
+    guess2, guess1 = np.zeros(n * slots, dtype=np.uint32), np.zeros(n * slots, dtype=np.uint32)
+    sure2, sure1 = np.zeros(n * slots, dtype=np.uint8), np.zeros(n * slots, dtype=np.uint8)
     first, second = Mixer(n, [4, 9, 8]), Mixer(n, [4, 8])
     frequencies = Frequencies(n, int(sizes.max()))
     high = max(0, (top >> 16).bit_length())
@@ -238,10 +257,10 @@ def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None, top: int
     for t in range(int(sizes.max())):
         rows = every if sizes[-1] > t else every[sizes > t]
         u, w = last[rows], before[rows]
-        slot1 = ((u * 40_503) >> 6) & (slots - 1)
-        slot2 = ((u * 40_503 + w * 30_011) >> 5) & (slots - 1)
-        g2, g1 = guess2[rows, slot2].astype(np.int64), guess1[rows, slot1].astype(np.int64)
-        s2, s1 = sure2[rows, slot2], sure1[rows, slot1]
+        slot1 = rows * slots + (((u * 40_503) >> 6) & (slots - 1))
+        slot2 = rows * slots + (((u * 40_503 + w * 30_011) >> 5) & (slots - 1))
+        g2, g1 = guess2.take(slot2).astype(np.int64), guess1.take(slot1).astype(np.int64)
+        s2, s1 = sure2.take(slot2), sure1.take(slot1)
         token = None if ids is None else out[starts[rows] + t].astype(np.int64) + 1
         found = np.zeros(len(rows), dtype=np.int64)
         rest = np.arange(len(rows))
@@ -279,8 +298,8 @@ def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None, top: int
             out[starts[rows] + t] = found - 1
         for guess, sure, slot, g, s in ((guess2, sure2, slot2, g2, s2), (guess1, sure1, slot1, g1, s1)):
             right = found == g
-            sure[rows, slot] = np.where(right, np.minimum(s + 1, 3), s >> 1)
-            guess[rows, slot] = np.where(right | (s == 0), found, g)
+            sure[slot] = np.where(right, np.minimum(s + 1, 3), s >> 1)
+            guess[slot] = np.where(right | (s == 0), found, g)
         before[rows], last[rows] = u, found
     return out
 
