@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing
-from skein.llm.common import shared_folder
+from skein.llm.common import remove, shared_folder
 
 #: Near copies: Jaccard similarity of five-word shingles.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
@@ -63,4 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # what the stage before wrote has been read
+                remove(spark, f"{folder}/{k - 1}")
     return docs
