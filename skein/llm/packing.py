@@ -34,7 +34,8 @@ from skein.llm.common import cut, pieces, small_batches
 from skein.llm.tokens import worker_encoder
 
 CAPACITY = 2048
-CELLS = 256
+#: Cells of a length at least, and rows of one that are ranked in one task at most, but for chance.
+CELLS, CELL_ROWS = 256, 50_000
 
 
 def _cut_pieces(path: str | None, end_id: int, capacity: int, with_ids: bool):
@@ -176,10 +177,11 @@ def _place(where: dict[int, np.ndarray]):
 
 def place(parts: DataFrame, capacity: int = CAPACITY, cells: int = CELLS) -> DataFrame:
     """``parts`` (doc_id, piece, length and more) with sequence_id and offset.  Read twice: write it down first."""
-    cell = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells))
-    parts = parts.withColumn("cell", cell)
+    totals = parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
+    # The commonest length (whole pieces, as a rule) decides how many cells keep every cell's rows few.
+    cells = max(cells, *(-(-r["n"] // CELL_ROWS) for r in totals), 1)
+    parts = parts.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)))
     counted = parts.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most ``capacity`` rows
     where = segments(plan({r["length"]: r["n"] for r in totals}, capacity))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("length", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
