@@ -141,3 +141,42 @@ def test_grounding_flags_and_abstains(spark):
     found = spark.createDataFrame([("security.x", "b")], "code string, node_id string")
     assert [tuple(r) for r in loops.grounding(hits, found, 0.5).collect()] == [("a", 0.9, False), ("b", 0.6, True)]
     assert loops.grounding(hits, found, 0.95).count() == 0
+
+
+def test_typescript():
+    text = """import { x } from './x';
+// class Not {}
+export interface Shape<T> extends Base, React.Props { readonly name: string; area(scale?: number): number; [key: string]: unknown }
+interface Base { id: number }
+@dec({a: 1})
+export abstract class Box<T extends Base> extends Root implements Shape<T>, Base {
+  private static count = 0;
+  items: Array<{ a: string }> = [];
+  constructor(private readonly a: string, b = () => { return 1; }) { super(); }
+  get size(): number { return 1; }
+  set size(v) { this.x = { class: 2 }; }
+  load(id: string): void;
+  load(id: number): void;
+  async load(id: any) { if (id) { function inner() {} } }
+  arrow = (x: number) => { return x; };
+}
+class Root {}
+export enum Color { Red, Blue }
+export type Id = string | number;
+export default async function run<T>(a: T) { const f = class Inner {}; return `class ${a} {}`; }
+const type = 3; let interface_ = "enum X {}";
+"""
+    nodes, edges = parsers.parse_typescript("src/box.ts", text)
+    top = "src/box.ts::box"
+    kinds = {n["id"].removeprefix(top): n["type"] for n in nodes}
+    assert kinds == {
+        "": "JSComponent", "::Shape": "Interface", "::Shape::name": "Property", "::Shape::area": "Method", "::Base": "Interface", "::Base::id": "Property", "::Box": "Class",
+        "::Box::count": "Property", "::Box::items": "Property", "::Box::constructor": "Method", "::Box::size:get": "Method", "::Box::size:set": "Method", "::Box::load": "Method", "::Box::arrow": "Property",
+        "::Root": "Class", "::Color": "Enum", "::Id": "TypeAlias", "::run": "Function",
+    }
+    links = {(e["source"].removeprefix(top), e["target"].removeprefix(top), e["relationship"]) for e in edges if e["relationship"] in ("EXTENDS", "IMPLEMENTS", "IMPORTS")}
+    assert links == {("::Shape", "::Base", "EXTENDS"), ("::Box", "::Root", "EXTENDS"), ("::Box", "::Shape", "IMPLEMENTS"), ("::Box", "::Base", "IMPLEMENTS"), ("src/box.ts", "src/x", "IMPORTS")}
+    spans = {n["name"]: (n["start_line"], n["end_line"]) for n in nodes if n["type"] != "JSComponent"}
+    assert spans["load"] == (14, 14) and spans["Box"] == (6, 16) and len([e for e in edges if e["target"].endswith("::load")]) == 1
+    for odd in ("", "class", "class X", "interface Y {", "class Z { m( }", "export type", "}}}", "class A { @", "function *g() {}"):
+        parsers.parse_typescript("o.ts", odd)
