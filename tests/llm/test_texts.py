@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,6 +103,46 @@ def test_shards(spark):
     assert sharding.shard_rows(spark.createDataFrame([(None, "a"), (None, "a"), (5, None)], "doc_id long, text string"), 8).count() == 3
 
 
+def walked(counts, nodes, caps):
+    """Where each key of each cell goes, key by key: home if there is room, else on clockwise, after all keys that are at home."""
+    room, where, later = list(caps), {}, []
+    for cell in sorted(counts):
+        home = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        for rank in range(counts[cell]):
+            if room[nodes[home][1]]:
+                room[nodes[home][1]] -= 1
+                where[cell, rank] = nodes[home][1]
+            else:
+                later.append((home, cell, rank))
+    for home, cell, rank in later:
+        while not room[nodes[home][1]]:
+            home = (home + 1) % len(nodes)
+        room[nodes[home][1]] -= 1
+        where[cell, rank] = nodes[home][1]
+    return where
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 255), st.integers(1, 30), max_size=40), st.integers(1, 5), st.sampled_from([0.0, 0.1, 1.0]))
+def test_settling_is_the_walk_key_by_key(counts, shards, slack):
+    nodes, caps = sharding.ring(shards, vnodes=7, cell_bits=8), sharding.capacities(sum(counts.values()), shards, slack)
+    got = {(c, r): s for c, lo, hi, s in sharding.settle(counts, nodes, caps) for r in range(lo, hi)}
+    assert got == walked(counts, nodes, caps)
+
+
+def test_shards_against_the_walk(spark):
+    texts = [f"t{k}" if k % 5 else None for k in range(300)]
+    docs = table(spark, texts).unionByName(table(spark, ["x"] * 40).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(table(spark, ["twice"], 7))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.shiftrightunsigned(key, 48).alias("cell")).collect()
+    cells: dict[int, list] = {}
+    for r in sorted(keyed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, zlib.crc32(r["t"].encode()))):
+        cells.setdefault(r["cell"], []).append((r["doc_id"], zlib.crc32(r["t"].encode())))
+    where = walked({c: len(v) for c, v in cells.items()}, sharding.ring(6), sharding.capacities(len(keyed), 6))
+    want = Counter((*row, where[c, k]) for c, rows in cells.items() for k, row in enumerate(rows))
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in sharding.shard_rows(docs, 6).collect()) == want
+
+
 def test_ring_fills_every_shard_and_moves_little():
     random.seed(1)
     counts = {c: random.randrange(1, 9) for c in random.sample(range(1 << 16), 5000)}
@@ -312,6 +351,22 @@ def test_suffix_automaton_parses_greedily(sample, text):
     assert langid.SuffixAutomaton(sample).phrases(text) == phrases(sample, text)
 
 
+def test_languages_against_plain_parsing(spark):
+    rng = random.Random(7)
+    rows = [(k, "".join(rng.choices("abcde ÉÖ1" if k % 2 else "cdefg éö!", k=rng.randrange(0, 80))), ("xx", "yy", None)[k % 3]) for k in range(90)] + [(200, None, "xx"), (201, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, chars_per_lang=300)
+    assert model.langs == ["xx", "yy"] and all(len(t) <= 302 for t in model.texts)
+    for r in langid.identify(docs.drop("lang"), model).collect():
+        text = dict((a, b) for a, b, _ in rows)[r["doc_id"]]
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        bits = [sum(phrases(t, f" {w} ") for w in words) * (np.log2(len(t)) + langid.LENGTH_BITS) for t in model.texts]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        else:
+            assert r["lang_pred"] == model.langs[int(np.argmin(bits))] and r["score"] == pytest.approx(1 - min(bits) / max(max(bits), 1))
+
+
 def test_languages(spark):
     rng = random.Random(5)
     words = {"x": ["the", "and", "over"], "y": ["der", "und", "über"]}
