@@ -41,6 +41,11 @@ def token_estimate(text: Column) -> Column:
     return F.aggregate(runs, F.lit(0), lambda a, r: a + cost(r))
 
 
+def tokens_of_chars(chars: Column, per_token: float = 3.5) -> Column:
+    """Tokens of so many characters, rounded up: what a budget reckons with."""
+    return F.ceil(chars / F.lit(per_token)).cast("int")
+
+
 def trim_middle(text: str, most_tokens: int, mark: str = "\n…\n") -> str:
     """Head (60 %) and tail of a text, cut at line ends, so that both and the mark fit the budget."""
     if estimate_tokens(text) <= most_tokens:

@@ -95,11 +95,11 @@ _CITATION = r"\[([^@\[\]]+?)\s*@\s*[^\]]+\]"
 
 
 def cited_names(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_CITATION), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_CITATION), F.lit(1)), lambda n: F.trim(n))
 
 
 def paragraphs(answer: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n\n"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def groundedness(answers: DataFrame) -> DataFrame:

@@ -359,3 +359,17 @@ def grf_find_usages(spark, sf):
     name = table(spark, sf, "customer").where("c_custkey = 1").first()["c_name"]
     body = F.when(F.col("start_line") % 2 == 0, F.lit(f"first\n  uses {name} here  \nlast {name}")).otherwise("nothing")
     return traverse.find_usages(nodes.withColumn("content", body), edges, "C:1")
+
+
+@query("SELECT doc_id, CAST(ceil(n_chars / 3.5) AS INTEGER) AS tokens FROM documents")
+def scl_tokens_of_chars(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.tokens_of_chars(F.col("n_chars")).alias("tokens"))
+
+
+@query("SELECT DISTINCT 'Class' || CAST(p_size AS VARCHAR) AS type_name, 'f' || CAST(p_partkey AS VARCHAR) || '.cs::Own' AS node_id FROM part")
+def src_csharp_references(spark, sf):
+    """The types that parsed code names, by node: the parser's properties, read back as references."""
+    code = F.concat(F.lit("class Own { // Not\n  Class"), F.col("p_size").cast("string"), F.lit(' x = null; string s = "Nor"; }'))
+    files = table(spark, sf, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.lit(".cs")).alias("path"), code.alias("text"))
+    nodes = parsers.nodes_of(parsers.parse_files(files, {".cs": parsers.parse_csharp}), properties=True)
+    return store.type_references(nodes).select("type_name", "node_id")
