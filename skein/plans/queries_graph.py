@@ -223,7 +223,7 @@ def fts_bm25_all(spark, sf):
 _WORDS = f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w, regexp_extract_all(strip_accents(lower(source)), '([\\p{{L}}\\p{{N}}]+)', 1) AS s, ' ' || array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '([\\p{{L}}\\p{{N}}]+)', 1), ' ') || ' ' AS line FROM documents)"
 
 
-@query(f"{_WORDS} SELECT 'rows' AS what, count(*) AS n FROM d UNION ALL SELECT 'words', sum(len(w)) FROM d UNION ALL SELECT 'terms', count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)")
+@query(f"{_WORDS} SELECT 'rows' AS what, count(*) AS n FROM d UNION ALL SELECT 'words', CAST(sum(len(w)) AS BIGINT) FROM d UNION ALL SELECT 'terms', count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM d)")
 def fts_index(spark, sf):
     """Builds the stored index, if this session has none yet, and counts what is in it."""
     index = _index(spark, sf)

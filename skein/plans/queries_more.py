@@ -205,7 +205,7 @@ def fts_rank_chunks(spark, sf):
 
 @query(
     """SELECT e.vec_id AS id, CASE WHEN e.vec_id % 2 = 0 THEN 'm2' ELSE 'm1' END AS embedding_model, CAST(CASE WHEN e.vec_id % 2 = 0 THEN len(e.embedding) ELSE 3 END AS INTEGER) AS embedding_dim,
-    round(CASE WHEN e.vec_id % 2 = 0 THEN CASE WHEN list_inner_product(e.embedding, e.embedding) > 0 THEN 1.0 ELSE 0.0 END ELSE 14.0 END, 3) AS squared FROM embeddings e"""
+    CAST(CASE WHEN e.vec_id % 2 = 0 THEN CASE WHEN list_inner_product(e.embedding, e.embedding) > 0 THEN 1 ELSE 0 END ELSE 14 END AS DOUBLE) AS squared FROM embeddings e"""
 )
 def snk_set_embeddings(spark, sf):
     rows = table(spark, sf, "embeddings")
