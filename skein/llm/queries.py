@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, passages, quality, secrets, sharding, token_file
+from skein.llm import decontaminate, exact_dedup, infill, langid, mixing, ngram_join, packing, passages, quality, secrets, sharding, token_file, whitening
 from skein.llm.common import crc32_of_id, shared_folder, table
 
 
@@ -61,9 +61,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256")
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_passages, op4_token_files, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_join, op3_passages, op4_token_files, op5_language, op6_quality, op7_packing, op8_secrets, op9_sharding, op10_exact_dedup, op11_mixing, op12_fill_in_middle, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL, "op11_mixing": mixing.ORACLE_SQL, "op12_fill_in_middle": infill.ORACLE_SQL}
