@@ -14,6 +14,13 @@ from skein.streaming import loops
 
 # Walks -------------------------------------------------------------------------
 
+
+@query(oracle(" SELECT source AS u, target AS v, relationship, provenance, true AS forward FROM edges UNION ALL SELECT target, source, relationship, provenance, false FROM edges"))
+def grf_adjacency(spark, sf):
+    """Stores the graph for walks, if this session has not yet, and returns its arcs."""
+    return stored.walks(spark, sf)[1].leaving(None).drop("v_bucket")
+
+
 _BOTH = ", arcs AS (SELECT source AS u, target AS v FROM edges UNION ALL SELECT target, source FROM edges)"
 _USED = "relationship NOT IN ('CONTAINS', 'BELONGS_TO_MODULE')"
 
@@ -28,13 +35,13 @@ _REGION = f", walk(id, depth) AS (SELECT 'R:1', 0 UNION SELECT arcs.v, depth + 1
 
 @query(oracle(f"{_BOTH}{_REGION} SELECT n.id, n.type, n.name, f.depth FROM found f JOIN nodes n USING (id)"))
 def grf_subgraph_nodes(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = stored.walks(spark, sf)
     return traverse.subgraph(nodes, edges, ["R:1"], 2)[0].select("id", "type", "name", "depth")
 
 
 @query(oracle(f"{_BOTH}{_REGION}, k AS (SELECT id FROM found WHERE id IN (SELECT id FROM nodes)) SELECT * FROM edges WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)"))
 def grf_subgraph_edges(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = stored.walks(spark, sf)
     return traverse.subgraph(nodes, edges, ["R:1"], 2)[1]
 
 
@@ -46,23 +53,33 @@ def grf_subgraph_edges(spark, sf):
     )
 )
 def grf_impact(spark, sf):
-    return traverse.impact(*_graph(spark, sf), ["S:1"], 2)
+    return traverse.impact(*stored.walks(spark, sf), ["S:1"], 2)
 
 
-_BLAST = f"""
-, s AS (SELECT target AS u, source AS v, min(provenance) AS p FROM edges WHERE {_USED} AND source <> target GROUP BY 1, 2),
+_BLAST_STEPS = f", s AS (SELECT target AS u, source AS v, min(provenance) AS p FROM edges WHERE {_USED} AND source <> target GROUP BY 1, 2)"
+_BLAST = f"""{_BLAST_STEPS},
 walk(id, depth, tier) AS (SELECT 'S:1', 0, 0 UNION SELECT s.v, depth + 1, greatest(tier, p) FROM walk JOIN s ON s.u = walk.id WHERE depth < 5)
 SELECT id, CAST(min(depth) AS INTEGER) AS depth, CAST(min(tier) AS INTEGER) AS tier FROM walk WHERE id <> 'S:1' GROUP BY id"""
 
 
 @query(oracle(_BLAST))
 def grf_blast_radius(spark, sf):
-    return traverse.blast_radius(driver_graph.edges(spark, sf), ["S:1"], 5)[0]
+    return traverse.blast_radius(stored.walks(spark, sf)[1], ["S:1"], 5).found
+
+
+@query(
+    oracle(
+        f"""{_BLAST_STEPS}, walk(id, depth, tier) AS (SELECT 'S:1', 0, 0 UNION SELECT s.v, depth + 1, greatest(tier, p) FROM walk JOIN s ON s.u = walk.id WHERE depth < 2)
+        SELECT DISTINCT source, target, relationship, provenance FROM edges JOIN walk ON id = target WHERE depth < 2 AND {_USED} AND source <> target"""
+    )
+)
+def grf_blast_radius_edges(spark, sf):
+    return traverse.blast_radius(stored.walks(spark, sf)[1], ["S:1"], 2).walked
 
 
 @query(oracle(_walk("'P:1'", "SELECT target AS u, source AS v FROM edges WHERE relationship = 'CALLS'", 3) + " SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk WHERE id <> 'P:1' GROUP BY id"))
 def grf_call_hierarchy(spark, sf):
-    return traverse.call_hierarchy(*_graph(spark, sf), "P:1", "callers", 3)
+    return traverse.call_hierarchy(*stored.walks(spark, sf), "P:1", "callers", 3)
 
 
 @query(
@@ -72,7 +89,7 @@ def grf_call_hierarchy(spark, sf):
     )
 )
 def grf_dependency_tree(spark, sf):
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = stored.walks(spark, sf)
     seed = nodes.where("type = 'Order'").agg(F.min("id")).first()[0]
     return traverse.dependency_tree(edges, seed, 2)
 
@@ -100,7 +117,7 @@ def grf_implementations(spark, sf):
     )
 )
 def grf_related_tests(spark, sf):
-    return traverse.related_tests(*_graph(spark, sf), "S:1", 3)
+    return traverse.related_tests(*stored.walks(spark, sf), "S:1", 3)
 
 
 @query(
@@ -111,7 +128,7 @@ def grf_related_tests(spark, sf):
     )
 )
 def grf_review_impact(spark, sf):
-    return traverse.review_impact(*_graph(spark, sf), ["src/supply/suppliers.cs"], 2)
+    return traverse.review_impact(*stored.walks(spark, sf), ["src/supply/suppliers.cs"], 2)
 
 
 @query(oracle(f" SELECT n.file_path, count(*) AS sites, (SELECT count(*) FROM nodes WHERE name = 'FRANCE') AS collisions FROM edges e JOIN nodes n ON n.id = e.source WHERE target = 'C:1' AND {_USED} GROUP BY 1"))
@@ -121,7 +138,7 @@ def grf_rename_plan(spark, sf):
 
 @query(oracle(" SELECT 'N:1' AS id, CAST(0 AS INTEGER) AS depth, name, start_line FROM nodes WHERE id = 'N:1' UNION ALL SELECT target, 1, n.name, n.start_line FROM edges JOIN nodes n ON n.id = target WHERE source = 'N:1' AND relationship = 'CONTAINS'"))
 def grf_outline(spark, sf):
-    return traverse.outline(*_graph(spark, sf), "N:1")
+    return traverse.outline(*stored.walks(spark, sf), "N:1")
 
 
 @query(

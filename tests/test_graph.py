@@ -62,8 +62,8 @@ BLAST = [
 def blast(spark, **options):
     rows = [(s, t, "REFERENCES_TYPE", p) for s, t, p in BLAST] + [("A.cs", "A", "CONTAINS", 0)]
     edges = spark.createDataFrame(rows, "source string, target string, relationship string, provenance int")
-    found, truncated = traverse.blast_radius(edges, ["A"], **options)
-    return {r["id"]: (r["depth"], r["tier"]) for r in found.collect()}, truncated
+    radius = traverse.blast_radius(edges, ["A"], **options)
+    return {r["id"]: (r["depth"], r["tier"]) for r in radius.found.collect()}, radius.truncated
 
 
 def test_blast_radius_takes_depth_and_trust_apart(spark):
