@@ -1,10 +1,9 @@
-"""Full-text search: the query language, an index of postings, and BM25 over phrases.
+"""Full-text search: the query language, postings, and BM25 over phrases.
 
-An index is a table of postings (term, id, col, positions), a table of lengths
-(id, length) and two numbers.  A query reads the postings of its terms only; a
-stored index keeps them sorted by term within buckets, so most files and row
-groups are passed over.  Without a stored index the same is derived from the
-rows as the query runs.
+An index gives the postings of a query's terms (term, id, col, positions,
+length: of the row, in words) and knows how many rows there are and how long
+they are on average.  ``segments`` keeps one on disk; without, the same is
+derived from the rows for one query.
 """
 
 from __future__ import annotations
@@ -12,15 +11,23 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.lineage import cut
+
 # Fixed values of the ranking formula.
 K1, B = 1.2, 0.75
-BUCKETS = 64
+#: Bytes of words that are sorted at once.
+BATCH_BYTES = 8 << 20
+SPLIT_BYTES = 128 << 20
 
 
 def _marked() -> tuple[str, str]:
@@ -38,20 +45,20 @@ _MARKED, _PLAIN = _marked()
 _TABLE = str.maketrans(_MARKED, _PLAIN)
 
 
-def fold(text: Column) -> Column:
-    """Lower case, without marks."""
-    return F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}", ""), _MARKED, _PLAIN)
+#: Marks that stand apart from their letter.
+_MARKS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Mn")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+def _plain(text: str) -> str:
+    """Lower case, without separate marks."""
+    text = text.lower()
+    return text if text.isascii() or _MARKS.isdisjoint(text) else "".join(c for c in text if c not in _MARKS)
 
 
 def terms_of(text: str) -> list[str]:
-    """``tokens`` of a piece of a query."""
-    plain = "".join(c for c in text.lower() if unicodedata.category(c) != "Mn").translate(_TABLE)
-    return re.findall(r"[^\W_]+", plain)
+    """Runs of letters and digits, in lower case, without marks."""
+    return [w.translate(_TABLE) for w in _WORD.findall(_plain(text))]
 
 
 # The query language -------------------------------------------------------------
@@ -215,63 +222,106 @@ def parse(text: str, columns: list[str]) -> Query:
     return _Parser(text, columns).whole()
 
 
-# The index ----------------------------------------------------------------------
+# Postings -----------------------------------------------------------------------
+
+ENTRY = "struct<term: string, col: string, positions: array<int>, times: int, first: boolean>"
+
+
+class _Coded(dict):
+    """word -> number of its term, in the order in which terms are met."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.terms: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = self.terms.setdefault(word if word.isascii() else word.translate(_TABLE), len(self.terms))
+        return code
+
+
+def _entries(texts: list[list[str | None]], columns: list[str]) -> tuple[pa.Array, pa.Array]:
+    """Of rows of texts, one a column: the length of each row, and its entries."""
+    coded = _Coded()
+    words = [_WORD.findall(_plain(t)) if t else () for row in zip(*texts, strict=True) for t in row]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    code = np.fromiter(map(coded.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum()))
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, col = cell // len(columns), cell % len(columns)
+    key = row * max(1, len(coded.terms)) + code
+    order = np.argsort(key, kind="stable")  # by row and term; columns and positions stay in order
+    key, col, pos = key[order], col[order], pos[order]
+    new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
+    begins = np.flatnonzero(new_key | np.append(True, col[1:] != col[:-1])[: len(key)])
+    times = np.diff(np.append(np.flatnonzero(new_key), len(key)))
+    first = new_key[begins]
+
+    def named(names: list[str], at: np.ndarray) -> pa.Array:
+        return pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+
+    found = [
+        named(list(coded.terms), code[order][begins]), named(columns, col[begins]),
+        pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)), pa.int32()), pa.array(pos, pa.int32())),
+        pa.array(times[np.cumsum(first) - 1] if len(first) else [], pa.int32()), pa.array(first, pa.bool_()),
+    ]
+    entries = pa.StructArray.from_arrays(found, names=["term", "col", "positions", "times", "first"])
+    ends = np.searchsorted(row[order][begins], np.arange(len(texts[0]) + 1))
+    return pa.array(sizes.reshape(-1, len(columns)).sum(axis=1), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores if they are estimated to be less than a split for each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SPLIT_BYTES else rows
+
+
+def analysed(rows: DataFrame, columns: list[str], id_col: str = "id", more: dict[str, Column] | None = None) -> DataFrame:
+    """id, length and entries of every row: a term in a column with its positions there, the times it occurs in all columns, and whether this is its first column.
+
+    ``more`` names further columns, put between.  Words are sorted in the rows'
+    own task; nothing is shuffled.
+    """
+    more, rows = more or {}, _spread(rows)
+    texts = [F.col(c).cast("string").alias(f"text {k}") for k, c in enumerate(columns)]
+    given = rows.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in more.items()), *texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            step = max(1, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                kept = part.columns[: -len(columns)]
+                length, entries = _entries([c.to_pylist() for c in part.columns[-len(columns) :]], columns)
+                yield pa.RecordBatch.from_arrays([*kept, length, entries], names=[*part.schema.names[: len(kept)], "length", "entries"])
+
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in ["id", *more]) + f", length int, entries array<{ENTRY}>")
 
 
 @dataclass
 class Index:
-    postings: DataFrame
-    lengths: DataFrame
+    """``read`` gives the postings of terms and of prefixes, in a table that may hold those of other terms, too.
+
+    ``frequencies`` gives the number of rows that hold a term, where that is known without its postings.
+    """
+
     columns: list[str]
     rows: int
     mean: float
-
-
-def _occurrences(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """A row per occurrence of a term: term, id, col, positions (one)."""
-    each = F.array(*(F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in columns))
-    by_column = rows.select(F.col(id_col).alias("id"), F.explode(each).alias("e")).select("id", "e.col", F.posexplode("e.words").alias("pos", "term"))
-    return by_column.select("term", "id", "col", F.array("pos").alias("positions"))
-
-
-def _lengths(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    return rows.select(F.col(id_col).alias("id"), sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)).alias("length"))
+    read: Callable[[list[str], list[str]], DataFrame]
+    frequencies: Callable[[list[str]], dict[str, int]] | None = None
+    best: Callable[[Query, int], DataFrame | None] | None = None
 
 
 def index_of(rows: DataFrame, columns: list[str], id_col: str = "id") -> Index:
-    """An index that is derived as it is read."""
-    lengths = _lengths(rows, columns, id_col)
-    told = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    return Index(_occurrences(rows, columns, id_col), lengths, columns, told["n"], told["mean"] or 0.0)
-
-
-def write_index(rows: DataFrame, columns: list[str], path: str, id_col: str = "id", buckets: int = BUCKETS) -> None:
-    """Postings under path/postings by bucket of the term, sorted by it; lengths under path/lengths."""
-    found = _occurrences(rows, columns, id_col).groupBy("term", "id", "col").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    dealt = found.select("*", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    _lengths(rows, columns, id_col).write.parquet(f"{path}/lengths")
-
-
-def open_index(spark: SparkSession, path: str, columns: list[str]) -> Index:
-    lengths = spark.read.parquet(f"{path}/lengths")
-    told = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    return Index(spark.read.parquet(f"{path}/postings"), lengths, columns, told["n"], told["mean"] or 0.0)
-
-
-def refresh_index(index: Index, gone: DataFrame, rows: DataFrame, path: str, id_col: str = "id") -> Index:
-    """A new stored index: without the ids in ``gone`` (id), with ``rows`` (which replace those of their ids)."""
-    spark = rows.sparkSession
-    left = gone.select("id").unionByName(rows.select(F.col(id_col).alias("id"))).distinct()
-    fresh = index_of(rows, index.columns, id_col)
-    found = index.postings.select("term", "id", "col", "positions").join(left, "id", "left_anti").unionByName(
-        fresh.postings.groupBy("term", "id", "col").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")).select("term", "id", "col", "positions")
-    )
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    found.select("*", bucket).repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index.lengths.join(left, "id", "left_anti").unionByName(fresh.lengths).write.parquet(f"{path}/lengths")
-    return open_index(spark, path, index.columns)
+    """An index for few queries: the rows are analysed once, and each query reads all postings."""
+    found = cut(analysed(rows, columns, id_col))
+    told = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    postings = found.select("id", "length", F.explode("entries").alias("e")).select("e.term", "id", "e.col", "e.positions", "length")
+    return Index(columns, told["n"], told["mean"] or 0.0, lambda terms, prefixes: postings)
 
 
 # Matching -----------------------------------------------------------------------
@@ -300,25 +350,37 @@ def _near(parts: list[int], distance: int, phrases: list[Phrase]) -> Column:
     return reduce(Column.__or__, (from_first(a) for a in parts))
 
 
-def match(index: Index, query: Query) -> DataFrame:
-    """id and score of the rows that the query matches.  A phrase's weight is by the rows that hold it; more occurrences count for more."""
-    spark, phrases = index.postings.sparkSession, query.phrases
-    kind = dict(index.lengths.dtypes)["id"]
-    if query.tree is None or not index.rows or any(not p.terms for p in phrases):
-        return spark.createDataFrame([], f"id {kind}, score double")
+def plain_terms(query: Query) -> list[str] | None:
+    """The terms of a query whose phrases are all single words anywhere in a row; else None."""
+    if any(len(p.terms) != 1 or p.prefix or p.first or p.columns is not None for p in query.phrases):
+        return None
+    return [p.terms[0] for p in query.phrases] if query.tree is not None else None
+
+
+def weight_of(rows: int, having: int) -> float:
+    """The weight of a phrase that ``having`` of ``rows`` hold."""
+    return max(float(np.log((rows - having + 0.5) / (having + 0.5))), 1e-6)
+
+
+def gain(times: Column, length: Column, mean: float) -> Column:
+    """What a phrase that occurs so often adds, before its weight: more with more occurrences, less in a longer row."""
+    return times * (K1 + 1) / (times + K1 * (1 - B + B * length / mean))
+
+
+def counted(postings: DataFrame, query: Query) -> tuple[DataFrame, Callable[[tuple], Column]]:
+    """id, length and t0, t1, ... (the times of each phrase) of the rows in ``postings``, and what tells whether a tree holds for them."""
+    phrases = query.phrases
     keys = list(dict.fromkeys((t, p.prefix and k == len(p.terms) - 1) for p in phrases for k, t in enumerate(p.terms)))
     held = {key: f"p{k}" for k, key in enumerate(keys)}
 
     def is_term(key: tuple[str, bool]) -> Column:
         return F.startswith(F.col("term"), F.lit(key[0])) if key[1] else F.col("term") == key[0]
 
-    postings = index.postings
-    if "bucket" in postings.columns and not any(prefix for _, prefix in keys):
-        wanted = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int") for t, _ in keys)).first()
-        postings = postings.where(F.col("bucket").isin(*set(wanted)))
     rows = postings.where(reduce(Column.__or__, map(is_term, keys))).repartition("id")
-    by_column = rows.groupBy("id", "col").agg(*(F.flatten(F.collect_list(F.when(is_term(key), F.col("positions")))).alias(name) for key, name in held.items()))
-    hits = by_column.select("id", *(_phrase_hits(p, held).alias(f"h{k}") for k, p in enumerate(phrases)))
+    by_column = rows.groupBy("id", "col").agg(
+        F.first("length").alias("length"), *(F.flatten(F.collect_list(F.when(is_term(key), F.col("positions")))).alias(name) for key, name in held.items())
+    )
+    hits = by_column.select("id", "length", *(_phrase_hits(p, held).alias(f"h{k}") for k, p in enumerate(phrases)))
     nears: list[tuple] = []
 
     def collect(tree: tuple) -> None:
@@ -329,7 +391,8 @@ def match(index: Index, query: Query) -> DataFrame:
             collect(tree[2])
 
     collect(query.tree)
-    counted = hits.groupBy("id").agg(
+    found = hits.groupBy("id").agg(
+        F.first("length").alias("length"),
         *(F.sum(F.size(f"h{k}")).alias(f"t{k}") for k in range(len(phrases))),
         *(F.max(_near(parts, distance, phrases)).alias(f"n{k}") for k, (_, parts, distance) in enumerate(nears)),
     )
@@ -342,10 +405,42 @@ def match(index: Index, query: Query) -> DataFrame:
         left, right = truth(tree[1]), truth(tree[2])
         return left & right if tree[0] == "and" else left | right if tree[0] == "or" else left & ~right
 
-    have = counted.agg(*(F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(phrases)))).first()
+    return found, truth
+
+
+def scored(postings: DataFrame, query: Query, weights: list[float], mean: float) -> DataFrame:
+    """id and score of the rows in ``postings`` that the query matches."""
+    found, truth = counted(postings, query)
+    return found.where(truth(query.tree)).select("id", _score(weights, mean).alias("score"))
+
+
+def _score(weights: list[float], mean: float) -> Column:
     score = F.lit(0.0)
-    for k in range(len(phrases)):
-        times, n = F.col(f"t{k}").cast("double"), have[f"d{k}"]
-        weight = F.greatest(F.log((F.lit(float(index.rows)) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + weight * times * (K1 + 1) / (times + K1 * (1 - B + B * F.col("length") / index.mean))
-    return counted.where(truth(query.tree)).join(index.lengths, "id").select("id", score.alias("score"))
+    for k, weight in enumerate(weights):
+        score = score + F.lit(weight) * gain(F.col(f"t{k}").cast("double"), F.col("length"), mean)
+    return score
+
+
+def match(index: Index, query: Query) -> DataFrame:
+    """id and score of the rows that the query matches.  A phrase's weight is by the rows that hold it; more occurrences count for more."""
+    phrases = query.phrases
+    nothing = query.tree is None or not index.rows or any(not p.terms for p in phrases)
+    whole = [t for p in phrases for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)]
+    postings = index.read([] if nothing else whole, [] if nothing else [p.terms[-1] for p in phrases if p.prefix])
+    if nothing:
+        return postings.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
+    terms = plain_terms(query)
+    if terms is not None and index.frequencies is not None:
+        having = index.frequencies(terms)
+        return scored(postings, query, [weight_of(index.rows, having.get(t, 0)) for t in terms], index.mean)
+    found, truth = counted(postings, query)
+    found = cut(found)  # read for the weights, then for the scores
+    have = found.agg(*(F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(phrases)))).first()
+    weights = [weight_of(index.rows, n) for n in have]
+    return found.where(truth(query.tree)).select("id", _score(weights, index.mean).alias("score"))
+
+
+def best(index: Index, query: Query, most: int) -> DataFrame:
+    """The ``most`` best rows that the query matches: id and score, by score, then id."""
+    found = index.best(query, most) if index.best is not None else None
+    return (match(index, query) if found is None else found).orderBy(F.desc("score"), "id").limit(most)

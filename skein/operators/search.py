@@ -43,7 +43,9 @@ def search(
         except fts.BadQuery:
             parsed = None
         if parsed is not None:
-            found = fts.match(index or fts.index_of(nodes, pooled), parsed)
+            index = index or fts.index_of(nodes, pooled)
+            # Which rows are best is known from few postings only where nothing else picks among them.
+            found = fts.match(index, parsed) if kind is not None else fts.best(index, parsed, offset + limit)
         else:
             found = like(nodes, query, [c for c in ("name", "content", "file_path") if c in nodes.columns])
     if kind is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.operators import analytics, evals, fts, fusion, linking, search, store, traverse, vectors
+from skein.operators import analytics, evals, fusion, linking, search, segments, store, traverse, vectors
 from skein.plans import stored
 from skein.plans.queries import _graph, query
 from skein.sources import driver_graph, files, parsers
@@ -209,8 +209,8 @@ _FTS_COLUMNS = ["content", "name"]
 
 def _index(spark, sf):
     """The stored index of the documents."""
-    path = stored.kept(spark, sf, "postings", lambda folder: fts.write_index(_docs(spark, sf), _FTS_COLUMNS, folder))
-    return fts.open_index(spark, path, _FTS_COLUMNS)
+    path = stored.kept(spark, sf, "postings", lambda folder: segments.write_index(_docs(spark, sf), _FTS_COLUMNS, folder))
+    return stored.opened(path, lambda: segments.open_index(spark, path))
 
 
 _TOKENS = r"regexp_extract_all(strip_accents(lower(concat_ws(' ', text, source))), '([\p{L}\p{N}]+)', 1)"
@@ -244,7 +244,8 @@ _WORDS = f"WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w, regexp_extract_all(st
 def fts_index(spark, sf):
     """Builds the stored index, if this session has none yet, and counts what is in it."""
     index = _index(spark, sf)
-    told = index.lengths.agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("words")).crossJoin(index.postings.agg(F.countDistinct("term").alias("terms")))
+    terms = index._read("blocks", (f"seg={s.name}" for s in index.manifest.segments)).agg(F.countDistinct("term").alias("terms"))
+    told = index.lengths().agg(F.count(F.lit(1)).alias("rows"), F.sum("length").alias("words")).crossJoin(terms)
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).cast("long").alias("n")) for c in ("rows", "words", "terms"))))
     return told.select(pairs.alias("p")).select("p.what", "p.n")
 

@@ -14,7 +14,14 @@ from skein.operators.adjacency import Adjacency, write_adjacency
 from skein.sources import driver_graph
 
 _KEPT: dict[tuple[str, str, str, str], str] = {}
-_OPENED: dict[str, Adjacency] = {}
+_OPENED: dict[str, object] = {}
+
+
+def opened[T](path: str, how: Callable[[], T]) -> T:
+    """What ``how`` opens at a kept folder, opened once."""
+    if path not in _OPENED:
+        _OPENED[path] = how()
+    return _OPENED[path]  # type: ignore[return-value]
 
 
 def state_of(spark: SparkSession, folder: str) -> str:
@@ -53,6 +60,5 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def walks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Adjacency]:
     """Nodes, and the graph stored for walks."""
     path = kept(spark, sf_dir, "adjacency", lambda folder: write_adjacency(*graph(spark, sf_dir), folder))
-    if path not in _OPENED:
-        _OPENED[path] = Adjacency(spark, path)
-    return _OPENED[path].nodes(), _OPENED[path]
+    found = opened(path, lambda: Adjacency(spark, path))
+    return found.nodes(), found

@@ -4,7 +4,7 @@ import sqlite3
 
 import pytest
 
-from skein.operators import fts, search
+from skein.operators import fts, search, segments
 
 ROWS = [
     ("1", "Alpha One", "foo bar baz foo", "sum up"), ("2", "beta", "bar foo. The end of it", None), ("3", "gamma café", "Résumé of foo_bar; prefix preface", "alpha"),
@@ -22,11 +22,11 @@ def tables(spark, tmp_path_factory):
     columns = ["name", "content", "summary"]
     rows = spark.createDataFrame(ROWS, "id string, name string, content string, summary string").repartition(3)
     path = str(tmp_path_factory.mktemp("fts") / "index")
-    fts.write_index(rows, columns, path)
+    segments.write_index(rows, columns, path, block_rows=2, range_postings=7)
     db = sqlite3.connect(":memory:")
     db.execute("create virtual table t using fts5(id unindexed, name, content, summary)")
     db.executemany("insert into t values (?, ?, ?, ?)", ROWS)
-    return rows, columns, fts.open_index(spark, path, columns), db
+    return rows, columns, segments.open_index(spark, path), db
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -53,18 +53,6 @@ def test_what_cannot_be_read_is_a_substring(tables, query):
     assert found == {r[0] for r in ROWS if any(query.lower() in (x or "").lower() for x in r[1:3])}
 
 
-def test_a_refreshed_index_is_a_new_one(spark, tables, tmp_path):
-    rows, columns, stored, _ = tables
-    changed = spark.createDataFrame([("2", "delta", "foo foo new", None), ("9", "nine", "bar new", None)], rows.schema)
-    gone = spark.createDataFrame([("1",)], "id string")
-    fresh = fts.refresh_index(stored, gone, changed, str(tmp_path / "next"))
-    whole = rows.where("id not in ('1', '2')").unionByName(changed)
-    for query in ("foo", "new", "beta", "bar NOT new"):
-        a, b = ({r["id"]: r["score"] for r in found.collect()} for found in (fts.match(fresh, fts.parse(query, columns)), search.bm25(whole, query, columns)))
-        assert a == pytest.approx(b)
-    assert (fresh.rows, fresh.mean) == (7, fts.index_of(whole, columns).mean)
-
-
 def test_located(spark):
     nodes = spark.createDataFrame([("a", "Foo", "x", "src/a.cs", 3), ("b", "Bar", "foo foo foo", None, None)], "id string, name string, content string, file_path string, start_line int")
     assert {r["line"] for r in search.locate(nodes, "foo", base="src").collect()} == {"Foo -> @/a.cs:3", "Bar -> b"}
