@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import LANGUAGES, estimate_tokens, trim_middle
+from skein.functions.text import estimate_tokens, language_of, trim_middle
 from skein.operators import analytics, fusion, traverse
 
 MOST_NODES = 40
@@ -40,39 +40,52 @@ def synthesize(nodes: DataFrame, edges: DataFrame, seeds: list[str], cap: int =
     return "\n".join(out)
 
 
-def budgeted(nodes: DataFrame, edges: DataFrame, seeds: list[str], cap: int = MOST_NODES, budget_chars: int = 12_000) -> str:
-    """One entry per node, seeds first, then by edges at it: what it is, signature, summary, and its body while the budget lasts.
+def rendered_capsules(entries: DataFrame, budget_chars: int = 12_000) -> DataFrame:
+    """capsule and text of each: its entries in order, and bodies as far as the budget goes.
 
-    A seed's body is always there and costs nothing; another that does not fit is left out by name, and later ones
-    that fit still follow.  At most ``cap`` rows (or the seeds) come to the driver.
+    ``entries``: capsule, id, type, name, content, file_path, start_line,
+    end_line, summary, signature, degree, seed; a capsule has a bounded number.
+    An entry says what a node is.  Bodies of seeds are free; of the others each
+    takes its characters from what is left, and is named by its size where that
+    does not suffice.
     """
+    path = F.coalesce("file_path", F.lit(""))
+    file = F.when(path == "", F.lit("no file")).otherwise(F.element_at(F.split(path, "/"), -1))
+    lines = F.when((F.col("start_line") > 0) & (F.col("end_line") > 0), F.format_string(", lines %d-%d", "start_line", "end_line")).otherwise("")
+    told = F.concat(
+        F.lit("### "), "type", F.lit(" "), F.coalesce("name", F.lit("")), F.lit(" ("), file, lines, F.lit(")"), F.when(F.col("seed"), F.lit(", asked for")).otherwise("")
+    )
+    signature = F.when(F.trim(F.coalesce("signature", F.lit(""))) != "", F.concat(F.lit("`"), "signature", F.lit("`")))
+    summary = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.concat(F.lit("> "), "summary"))
+    body = F.rtrim(F.coalesce("content", F.lit("")))
+    entry = F.struct(
+        (~F.col("seed")).alias("after"), (-F.col("degree")).alias("fewer"), path.alias("path"), F.coalesce("start_line", F.lit(0)).alias("line"), F.col("id").alias("id"),
+        F.concat_ws("\n", told, signature, summary).alias("head"), body.alias("body"), language_of(path).alias("language"),
+    )
+    listed = entries.where(~((F.col("type") == "File") & (body == ""))).groupBy("capsule").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    def add(state: Column, e: Column) -> Column:
+        size = F.length(e["body"])
+        fits = ~e["after"] | (size <= state["left"])
+        shown = F.when(size == 0, e["head"]).when(fits, F.concat_ws("\n", e["head"], F.concat(F.lit("```"), e["language"]), e["body"], F.lit("```")))
+        shown = F.coalesce(shown, F.concat_ws("\n", e["head"], F.format_string("(body of %d characters left out)", size)))
+        left = state["left"] - F.when(e["after"] & fits, size).otherwise(0)
+        return F.struct(left.alias("left"), (state["omitted"] + F.when(fits, 0).otherwise(1)).alias("omitted"), F.concat(state["shown"], F.array(shown)).alias("shown"))
+
+    begin = F.struct(F.lit(budget_chars).alias("left"), F.lit(0).alias("omitted"), F.array().cast("array<string>").alias("shown"))
+    done = listed.select("capsule", F.aggregate("entries", begin, add).alias("s"))
+    note = F.when(F.col("s.omitted") > 0, F.format_string(f"%d bodies were left out to stay within {budget_chars} characters.", "s.omitted")).otherwise("")
+    return done.select("capsule", F.concat(F.array_join("s.shown", "\n\n"), F.lit("\n\n"), note).alias("text"))
+
+
+def budgeted(nodes: DataFrame, edges: DataFrame, seeds: list[str], cap: int = MOST_NODES, budget_chars: int = 12_000) -> str:
+    """The capsule of the seeds and of the nodes with most edges, ``cap`` of them or the seeds."""
     chosen = fusion.cap_nodes(nodes, edges, seeds, cap)
     absent = {c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("end_line", "int"), ("properties", "map<string,string>")) if c not in nodes.columns}
     told = (nodes.withColumns(absent) if absent else nodes).join(chosen, "id")
-    rows = told.select("id", "type", "name", "content", "file_path", "start_line", "end_line", "summary", "properties", "degree").collect()
-    rows.sort(key=lambda r: (r["id"] not in seeds, -r["degree"], r["file_path"] or "", r["start_line"] or 0, r["id"]))
-    out, left, omitted = [], budget_chars, 0
-    for r in rows:
-        body = (r["content"] or "").rstrip()
-        if r["type"] == "File" and not body:
-            continue
-        path = r["file_path"] or ""
-        lines = f", lines {r['start_line']}-{r['end_line']}" if r["start_line"] and r["end_line"] else ""
-        out.append(f"### {r['type']} {r['name']} ({path.split('/')[-1] or 'no file'}{lines}){', asked for' if r['id'] in seeds else ''}")
-        out += [f"`{s}`" for s in [(r["properties"] or {}).get("signature", "")] if s.strip()]
-        out += [f"> {r['summary']}"] if (r["summary"] or "").strip() else []
-        free = r["id"] in seeds
-        if body and (free or len(body) <= left):
-            left -= 0 if free else len(body)
-            dot = path.rfind(".")
-            out += [f"```{LANGUAGES.get(path[dot:].lower(), 'text') if dot >= 0 else 'text'}", body, "```"]
-        elif body:
-            omitted += 1
-            out.append(f"(body of {len(body)} characters left out)")
-        out.append("")
-    if omitted:
-        out.append(f"{omitted} bodies were left out to stay within {budget_chars} characters.")
-    return "\n".join(out)
+    entries = told.withColumns({"capsule": F.lit(0), "seed": F.col("id").isin(seeds), "signature": F.try_element_at("properties", F.lit("signature"))})
+    row = rendered_capsules(entries, budget_chars).first()
+    return row["text"].rstrip("\n") if row else ""
 
 
 def prompt(question: str, sources: list[dict], budget_chars: int, flagged: set[str] = frozenset(), history: list[tuple[str, str]] = (), abstain: str = "The sources do not answer this.") -> str:

@@ -91,38 +91,67 @@ def circular_cases(cases: DataFrame, stop: tuple[str, ...] = (), most: int = 4)
     return cases.withColumn("shared", shared).where(F.col("shared") > most).select("case_id", "shared")
 
 
-_CITATION = r"\[([^@\[\]]+?)\s*@\s*[^\]]+\]"
-
-
-def cited_names(answer: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(_CITATION), F.lit(1)), lambda n: F.trim(n))
+def citations(answer: Column) -> Column:
+    """The names that an answer cites, as ``[name @ place]``: bracketed texts with an @ that has something on either side."""
+    inside = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\[([^\[\]]*)\]"), F.lit(1))
+    told = F.filter(inside, lambda x: (F.instr(x, "@") > 1) & (F.trim(F.substring_index(x, "@", 1)) != "") & (F.length(x) > F.instr(x, "@")))
+    return F.transform(told, lambda x: F.trim(F.substring_index(x, "@", 1)))
 
 
 def paragraphs(answer: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
 
 
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(F.coalesce(whole, F.lit(0)) > 0, part / whole).otherwise(0.0)
+
+
 def groundedness(answers: DataFrame) -> DataFrame:
-    """``answers`` (answer, valid_names, must_cite, abstained, answerable): citation validity, must-cite recall, uncited paragraphs, abstention."""
-    names = cited_names(F.col("answer"))
-    valid = F.size(F.filter(names, lambda n: F.array_contains(F.col("valid_names"), n)))
-    per = answers.select(
-        F.size(names).alias("cited"),
-        valid.alias("valid"),
-        F.size(F.array_intersect("must_cite", names)).alias("got"),
-        F.size("must_cite").alias("must"),
-        F.size(paragraphs(F.col("answer"))).alias("paras"),
-        F.size(F.filter(paragraphs(F.col("answer")), lambda p: ~p.rlike(_CITATION))).alias("uncited"),
+    """How far ``answers`` keep to their sources, in one row of shares (0 where nothing counts).
+
+    ``answers``: answer, valid_names, must_cite, abstained, answerable, and if
+    wanted must_contain, must_not_contain.  Names and contents are compared
+    whatever the case.  Citations, paragraphs and must-cite are counted over the
+    cases that have an answer; such a case is hit if any name it must cite is
+    part of a cited one.  Contents are checked in all cases.
+    """
+    none = F.array().cast("array<string>")
+    absent = {c: none for c in ("must_contain", "must_not_contain") if c not in answers.columns}
+    rows = answers.withColumns(absent) if absent else answers
+
+    def small(names: Column) -> Column:
+        return F.transform(F.coalesce(names, none), lambda n: F.lower(n))
+
+    answer = F.lower(F.coalesce("answer", F.lit("")))
+    said = small(citations(F.col("answer")))
+    known, must = small(F.col("valid_names")), small(F.col("must_cite"))
+    hit = F.exists(must, lambda m: F.exists(said, lambda n: F.contains(n, m)))
+    texts = paragraphs(F.col("answer"))
+    wanted, unwanted = small(F.col("must_contain")), small(F.col("must_not_contain"))
+    per = rows.select(
         "abstained",
         "answerable",
+        F.size(said).alias("cited"),
+        F.size(F.filter(said, lambda n: F.array_contains(known, n))).alias("valid"),
+        (F.size(must) > 0).cast("int").alias("must"),
+        hit.cast("int").alias("got"),
+        F.size(texts).alias("paras"),
+        F.size(F.filter(texts, lambda p: F.size(citations(p)) == 0)).alias("uncited"),
+        (F.size(wanted) + F.size(unwanted)).alias("checks"),
+        (F.size(F.filter(wanted, lambda c: F.contains(answer, c))) + F.size(F.filter(unwanted, lambda c: ~F.contains(answer, c)))).alias("passed"),
     )
+
+    def added(c: str) -> Column:
+        return F.sum(F.when(F.col("answerable"), F.col(c)))
+
     right = F.count_if(F.col("abstained") & ~F.col("answerable"))
     return per.agg(
-        (F.sum("valid") / F.sum("cited")).alias("citation_validity"),
-        (F.sum("got") / F.sum("must")).alias("must_cite_recall"),
-        (F.sum("uncited") / F.sum("paras")).alias("uncited_rate"),
-        (right / F.count_if(~F.col("answerable"))).alias("abstention_recall"),
-        (right / F.count_if(F.col("abstained"))).alias("abstention_precision"),
+        _share(added("valid"), added("cited")).alias("citation_validity"),
+        _share(added("got"), added("must")).alias("must_cite_recall"),
+        _share(added("uncited"), added("paras")).alias("uncited_rate"),
+        _share(right, F.count_if(~F.col("answerable"))).alias("abstention_recall"),
+        _share(right, F.count_if("abstained")).alias("abstention_precision"),
+        _share(F.sum("passed"), F.sum("checks")).alias("content_check_rate"),
     )
 
 

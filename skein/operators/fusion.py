@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators import fts
 from skein.operators.search import search
 from skein.operators.vectors import nearest
 
@@ -27,11 +28,22 @@ def reciprocal_rank_fusion(lists: list[DataFrame], most: int = 10, k0: int = K0)
     return fused.orderBy(F.desc("score"), "first.list", "first.rank").limit(most).select("id", "score")
 
 
-def hybrid(nodes: DataFrame, query: str, vector: list[float] | None, k: int = 10) -> DataFrame:
-    """Keyword and vector search, twice ``k`` each, fused; without a vector the keyword list alone."""
-    lists = [ranked(search(nodes, query, 2 * k))]
-    if vector is not None:
-        lists.append(ranked(nearest(nodes, vector, 2 * k)))
+def hybrid(
+    nodes: DataFrame,
+    query: str,
+    vector: list[float] | None,
+    k: int = 10,
+    columns: tuple[str, ...] = ("id", "name", "content", "summary"),
+    index: fts.Index | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Keyword and vector search, twice ``k`` each, fused; without a vector the keyword list alone.
+
+    ``vectors`` (id, embedding) are the nodes themselves if not given.
+    """
+    lists = [ranked(search(nodes, query, 2 * k, columns=columns, index=index))]
+    if vector:
+        lists.append(ranked(nearest(nodes if vectors is None else vectors, vector, 2 * k)))
     return reciprocal_rank_fusion(lists, k)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import location
@@ -61,12 +61,12 @@ def like(rows: DataFrame, query: str, columns: list[str], id_col: str = "id") ->
     return rows.where(hit).select(F.col(id_col).alias("id"), F.lit(1.0).alias("score"))
 
 
-def locate(nodes: DataFrame, query: str, limit: int = 15, base: str = "") -> DataFrame:
-    """The hits of a query in order, each as one line that tells where it is."""
-    hits = search(nodes, query, limit).join(nodes, "id")
+def locate(nodes: DataFrame, query: str, limit: int = 15, base: str = "", **options) -> DataFrame:
+    """The hits of a query in order, each as one line that tells where it is; ``options`` as of ``search``."""
+    hits = search(nodes, query, limit, **options).join(nodes, "id")
     absent = {c: F.lit(None).cast(t) for c, t in (("start_line", "int"), ("summary", "string")) if c not in nodes.columns}
     hits = hits.withColumns(absent) if absent else hits
-    line = location(F.col("name"), F.col("id"), F.col("file_path"), F.col("start_line"), F.col("summary"), base)
+    line = location(F.col("name"), F.col("id").cast("string"), F.col("file_path"), F.col("start_line"), F.col("summary"), base)
     return hits.select("id", "score", line.alias("line")).orderBy(F.desc("score"), "id")
 
 
@@ -76,13 +76,22 @@ def attach_edges(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.select("id").join(ends, "id")
 
 
-def resolve_definition(nodes: DataFrame, symbol: str, candidates: int = 8) -> DataFrame:
-    """The best of the first hits: exact name and declaration, exact name, declaration, any."""
-    hits = search(nodes, symbol, candidates).join(nodes, "id")
-    exact, declared = F.lower("name") == symbol.lower(), F.col("type").isin(*DECLARATION_TYPES)
+def resolve_definition(nodes: DataFrame, symbol: str, candidates: int = 8, index: fts.Index | None = None) -> DataFrame:
+    """The best of the first hits: exact name and declaration, exact name, declaration, any; its rank says which.
+
+    A script component has no edges of its own but its file's; where there is
+    such a file node (whose id is the component's path), that stands for it.
+    """
+    hits = search(nodes, symbol, candidates, index=index).join(nodes, "id")
+    exact, declared = F.lower("name") == symbol.strip('"').lower(), F.col("type").isin(*DECLARATION_TYPES)
     rank = F.when(exact & declared, 0).when(exact, 1).when(declared, 2).otherwise(3)
-    best = Window.orderBy("rank", F.desc("score"), "id")
-    return hits.withColumn("rank", rank).withColumn("rn", F.row_number().over(best)).where("rn = 1").select("id", "name", "type", "rank")
+    best = hits.withColumn("rank", rank).orderBy("rank", F.desc("score"), "id").limit(1)
+    if "file_path" not in nodes.columns:
+        return best.select("id", "name", "type", "rank")
+    files = nodes.where("type = 'File'").select(F.col("id").alias("file_id"), F.col("name").alias("file_name"), F.col("type").alias("file_type"))
+    carrier = F.when(F.col("type") == "JSComponent", F.col("file_path"))
+    found = files.join(F.broadcast(best.select("id", "name", "type", "rank", carrier.alias("file_id"))), "file_id", "right")
+    return found.select(*(F.coalesce(f"file_{c}", c).alias(c) if c != "id" else F.coalesce(F.when(F.col("file_name").isNotNull(), F.col("file_id")), "id").alias("id") for c in ("id", "name", "type")), "rank")
 
 
 def verify_exists(nodes: DataFrame, symbol: str, candidates: int = 8, nearest: int = 5) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.operators import evals, fusion, linking, reindex, search, store, traverse, vectors
+from skein.operators import evals, fts, fusion, linking, reindex, search, store, traverse, vectors
 from skein.plans.queries import _graph, query
-from skein.plans.queries_graph import _FTS_COLUMNS, _bm25, _docs, _index
+from skein.plans.queries_graph import _COS, _FTS_COLUMNS, _SELF, _bm25, _docs, _index, _probe, _vectors
 from skein.sources import parsers
 from skein.sources.driver_graph import oracle, table
 
@@ -67,7 +67,7 @@ def flt_content_hashes(spark, sf):
 
 _LAYERS = """WITH n AS (SELECT 'C:' || c_custkey AS id, CASE c_nationkey % 3 WHEN 0 THEN 'Foundation' WHEN 1 THEN 'Feature' ELSE 'Project' END AS layer, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS module,
     CASE c_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS r FROM customer WHERE c_nationkey % 5 <> 0),
-  e AS (SELECT 'C:' || o_custkey AS s, 'C:' || (o_orderkey % 1000 + 1) AS t FROM orders WHERE o_orderkey % 7 = 0)"""
+  e AS (SELECT 'C:' || o_custkey AS s, 'C:' || (o_orderkey % 1000 + 1) AS t FROM orders)"""
 
 
 def _layered(spark, sf):
@@ -75,7 +75,7 @@ def _layered(spark, sf):
     path = F.when(F.col("c_nationkey") % 5 == 0, "other/x.cs").otherwise(F.concat(F.lit("src/"), layer, F.lit("/"), "c_mktsegment", F.lit("/x.cs")))
     nodes = table(spark, sf, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("id"), path.alias("file_path"))
     target = F.concat(F.lit("C:"), (F.col("o_orderkey") % 1000 + 1).cast("string"))
-    edges = table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.concat(F.lit("C:"), "o_custkey").alias("source"), target.alias("target"), F.lit("CALLS").alias("relationship"))
+    edges = table(spark, sf, "orders").select(F.concat(F.lit("C:"), "o_custkey").alias("source"), target.alias("target"), F.lit("CALLS").alias("relationship"))
     return nodes, edges
 
 
@@ -163,23 +163,48 @@ def str_reindex_edges(spark, sf):
 @query(_bm25(["the", "only"]) + " SELECT id, round(score, 9) AS score, source || ' -> ' || CAST(id AS VARCHAR) AS line FROM (SELECT h.*, source FROM hits h JOIN documents d ON d.doc_id = h.id) ORDER BY score DESC, id LIMIT 15")
 def fts_locate(spark, sf):
     docs = _docs(spark, sf).withColumn("file_path", F.lit(None).cast("string"))
-    hits = search.search(docs, "the only", 15, columns=_FTS_COLUMNS, index=_index(spark, sf)).join(docs, "id")
-    line = tx.location(F.col("name"), F.col("id").cast("string"), F.col("file_path"), F.lit(None).cast("int"), F.lit(None).cast("string"))
-    return hits.select("id", F.round("score", 9).alias("score"), line.alias("line"))
+    found = search.locate(docs, "the only", 15, columns=_FTS_COLUMNS, index=_index(spark, sf))
+    return found.select("id", F.round("score", 9).alias("score"), "line")
 
 
 _NAMED = "SELECT 'S:' || s_suppkey AS id, s_name AS name FROM supplier"
+_SYMBOLS = r"""WITH n AS (
+    SELECT 'P:' || p_partkey AS id, split_part(p_name, ' ', 1) AS name, CASE WHEN p_name LIKE 'hot %' THEN 'JSComponent' WHEN p_size % 2 = 0 THEN 'Class' ELSE 'Note' END AS type, 'js/' || p_brand AS file_path, p_type AS content FROM part
+    UNION ALL SELECT DISTINCT 'js/' || p_brand, 'file', 'File', 'js/' || p_brand, '' FROM part),
+  w AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', id, name, content)), '([\p{L}\p{N}]+)', 1) AS words FROM n),
+  s AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w)"""
 
 
-def _declared(spark, sf):
-    """Suppliers as declarations: search for one of their names finds that name only."""
-    return table(spark, sf, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("content"), F.lit("Class").alias("type"))
+def _resolved(symbol: str) -> str:
+    return f"""(WITH c AS (SELECT *, CAST(len(list_filter(words, lambda x: x = '{symbol}')) AS DOUBLE) AS t FROM w),
+      h AS (SELECT c.*, greatest(ln((s.n - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * len(words) / mean)) AS score FROM c, s, (SELECT count(*) FILTER (t > 0) AS d FROM c) WHERE t > 0),
+      b AS (SELECT *, CASE WHEN name = '{symbol}' THEN CASE WHEN type = 'Class' THEN 0 ELSE 1 END WHEN type = 'Class' THEN 2 ELSE 3 END AS rank FROM (SELECT * FROM h ORDER BY score DESC, id LIMIT 8) ORDER BY rank, score DESC, id LIMIT 1)
+      SELECT '{symbol}' AS symbol, CASE WHEN type = 'JSComponent' THEN file_path ELSE id END AS id, CASE WHEN type = 'JSComponent' THEN 'file' ELSE name END AS name, CASE WHEN type = 'JSComponent' THEN 'File' ELSE type END AS type, rank FROM b)"""
+
+
+def _symbols(spark, sf):
+    """Parts by the first word of their name, some of them script components of their brand's file."""
+    parts = table(spark, sf, "part")
+    path = F.concat(F.lit("js/"), "p_brand")
+    kind = F.when(F.startswith("p_name", F.lit("hot ")), "JSComponent").when(F.col("p_size") % 2 == 0, "Class").otherwise("Note")
+    own = parts.select(F.concat(F.lit("P:"), "p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), kind.alias("type"), path.alias("file_path"), F.col("p_type").alias("content"))
+    return own.unionByName(parts.select(path.alias("id"), F.lit("file").alias("name"), F.lit("File").alias("type"), path.alias("file_path"), F.lit("").alias("content")).distinct())
 
 
-@query(f"SELECT id, name, 'Class' AS type, 0 AS rank FROM ({_NAMED}) WHERE id = 'S:3'")
+_WANTED = ["small", "hot", "economy"]
+
+
+@query(f"{_SYMBOLS} " + " UNION ALL ".join(f"SELECT * FROM {_resolved(s)}" for s in _WANTED))
 def fts_resolve_definition(spark, sf):
-    name = table(spark, sf, "supplier").where("s_suppkey = 3").first()["s_name"]
-    return search.resolve_definition(_declared(spark, sf), f'"{name}"').select("id", "name", "type", F.lit(0).alias("rank"))
+    nodes = _symbols(spark, sf)
+    index = fts.index_of(nodes, ["id", "name", "content"])
+    found = [search.resolve_definition(nodes, s, index=index).select(F.lit(s).alias("symbol"), "id", "name", "type", "rank") for s in _WANTED]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _declared(spark, sf):
+    """Suppliers as declarations: search for one of their names finds that name only."""
+    return table(spark, sf, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("").alias("content"), F.lit("Class").alias("type"))
 
 
 @query(f"SELECT name, FALSE AS exact FROM ({_NAMED}) WHERE id = 'S:4'")
@@ -190,8 +215,19 @@ def fts_verify_exists(spark, sf):
 
 @query(_bm25(["the", "only"]) + ", v AS (SELECT doc_id AS id FROM documents WHERE FALSE) SELECT id, round(1 / (60.0 + row_number() OVER (ORDER BY score DESC, id)), 9) AS score FROM (SELECT * FROM hits ORDER BY score DESC, id LIMIT 20) ORDER BY score DESC LIMIT 10")
 def rnk_hybrid_without_vector(spark, sf):
-    first = fusion.ranked(search.search(_docs(spark, sf), "the only", 20, columns=_FTS_COLUMNS, index=_index(spark, sf)))
-    return fusion.reciprocal_rank_fusion([first], 10).select("id", F.round("score", 9).alias("score"))
+    found = fusion.hybrid(_docs(spark, sf), "the only", None, 10, columns=_FTS_COLUMNS, index=_index(spark, sf))
+    return found.select("id", F.round("score", 9).alias("score"))
+
+
+@query(
+    _bm25(["the", "only"])
+    + f""", a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits ORDER BY rank LIMIT 20),
+    v AS (SELECT a.vec_id AS id, {_COS} AS c FROM {_SELF} WHERE {_COS} > 0), b AS (SELECT id, row_number() OVER (ORDER BY c DESC, id) AS rank FROM v ORDER BY rank LIMIT 20)
+    SELECT id, round(sum(1 / (60.0 + rank)), 9) AS score FROM (SELECT *, 0 AS l FROM a UNION ALL SELECT *, 1 FROM b) GROUP BY id ORDER BY sum(1 / (60.0 + rank)) DESC, min(l), min(rank) LIMIT 10"""
+)
+def rnk_hybrid(spark, sf):
+    found = fusion.hybrid(_docs(spark, sf), "the only", _probe(spark, sf), 10, columns=_FTS_COLUMNS, index=_index(spark, sf), vectors=_vectors(spark, sf))
+    return found.select("id", F.round("score", 9).alias("score"))
 
 
 @query(r"SELECT turn, conv_id, CAST(1 AS DOUBLE) AS score FROM conversations WHERE contains(lower(text), 'the')")
@@ -301,17 +337,28 @@ def scl_fence(spark, sf):
 # Answers --------------------------------------------------------------------------
 
 
+# The answers as they are made below: brands and names in small letters or not, a case in four abstained, one in four without an answer.
+_ANSWERS = """WITH t AS (SELECT p_size % 4 AS k, p_brand, p_name, p_partkey FROM part),
+    a AS (SELECT k = 0 AS abstained, k <> 3 AS answerable, CASE WHEN k = 0 THEN 0 ELSE 1 + CAST(k = 2 AS INTEGER) END AS cited, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS valid,
+      CASE WHEN k = 2 OR (k = 1 AND p_partkey % 2 = 0) THEN 1 ELSE 0 END AS got, CASE WHEN k = 0 THEN 1 ELSE 2 END AS paras, CASE WHEN k = 2 THEN 0 ELSE 1 END AS uncited,
+      2 AS checks, CAST(k = 0 AS INTEGER) + CAST(k <> 2 AS INTEGER) AS passed FROM t)"""
+
+
 @query(
-    """WITH t AS (SELECT p_size % 4 AS k, p_brand, p_name FROM part), a AS (SELECT CASE WHEN k = 0 THEN 0 ELSE 1 + CAST(k = 2 AS INTEGER) END AS cited, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS valid, CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS got,
-    CASE WHEN k = 0 THEN 1 ELSE 2 END AS paras, CASE WHEN k = 2 THEN 0 ELSE 1 END AS uncited, k = 0 AS abstained, k <> 3 AS answerable FROM t)
-    SELECT round(sum(valid) / sum(cited), 9) AS citation_validity, round(sum(got) / count(*), 9) AS must_cite_recall, round(sum(uncited) / sum(paras), 9) AS uncited_rate,
-    round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (NOT answerable), 9) AS abstention_recall, round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (abstained), 9) AS abstention_precision FROM a"""
+    f"""{_ANSWERS} SELECT round(sum(valid) FILTER (answerable) / sum(cited) FILTER (answerable), 9) AS citation_validity, round(sum(got) FILTER (answerable) / count(*) FILTER (answerable), 9) AS must_cite_recall,
+    round(sum(uncited) FILTER (answerable) / sum(paras) FILTER (answerable), 9) AS uncited_rate, CASE WHEN count(*) FILTER (NOT answerable) = 0 THEN 0 ELSE round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (NOT answerable), 9) END AS abstention_recall,
+    round(count(*) FILTER (abstained AND NOT answerable) / count(*) FILTER (abstained), 9) AS abstention_precision, round(sum(passed) / sum(checks), 9) AS content_check_rate FROM a"""
 )
 def agg_groundedness(spark, sf):
-    k, brand = F.col("p_size") % 4, F.coalesce("p_brand", F.lit("none"))
+    k, brand = F.col("p_size") % 4, F.lower("p_brand")
     cite = F.concat(F.lit("["), F.when(k == 3, F.lit("Unknown")).otherwise(brand), F.lit(" @ a.cs:1-2]"))
     answer = F.when(k == 0, F.lit("I cannot tell.")).when(k == 2, F.concat(F.lit("One "), cite, F.lit("\n\nTwo [Other @ b.cs:1]"))).otherwise(F.concat(F.lit("One "), cite, F.lit("\n\nTwo.")))
-    answers = table(spark, sf, "part").select(answer.alias("answer"), F.array(brand, F.col("p_type")).alias("valid_names"), F.array(brand).alias("must_cite"), (k == 0).alias("abstained"), (k != 3).alias("answerable"))
+    # Part of a cited name will do: a brand without its last sign, and where the key is odd a name that is nowhere.
+    must = F.when((k == 1) & (F.col("p_partkey") % 2 == 1), F.lit("nowhere")).otherwise(F.upper(F.expr("left(p_brand, length(p_brand) - 1)")))
+    answers = table(spark, sf, "part").select(
+        answer.alias("answer"), F.array("p_brand", "p_type").alias("valid_names"), F.array(must, F.lit("absent")).alias("must_cite"), (k == 0).alias("abstained"), (k != 3).alias("answerable"),
+        F.array(F.lit("CANNOT")).alias("must_contain"), F.array(F.lit("other")).alias("must_not_contain"),
+    )
     found = evals.groundedness(answers)
     return found.select(*(F.round(c, 9).alias(c) for c in found.columns))
 

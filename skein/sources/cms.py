@@ -197,6 +197,7 @@ def parse_registrations(path: str, text: str) -> tuple[list[dict], list[dict]]:
     code = blank_out(text)
     found = []
     if re.search(r"\[\s*(?:assembly:\s*)?RegisterModule\b", code):
+        # Fixed value: the name that such nodes have in graphs on disk.
         found.append(("KenticoModule", "Kentico Module Registration", f"{path}::KenticoModule"))
     for kind, base in (("KenticoPageType", r"TreeNode"), ("KenticoFormComponent", r"FormComponent<[^>]*>")):
         found += [(kind, m[1], f"{path}::{m[1]}") for m in re.finditer(rf"\bclass\s+(\w+)\s*:\s*[^{{]*\b{base}", code)]

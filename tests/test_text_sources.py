@@ -1,5 +1,6 @@
 """Parsers, scalar functions, fusion and loops on literal input."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
@@ -121,10 +122,34 @@ def test_suspicious_text(spark):
 
 
 def test_groundedness(spark):
-    answer = "Uses [Foo @ a.cs:1-2] here.\n\nNothing cited.\n\n[Bar @ b.cs]"
-    rows = spark.createDataFrame([(answer, ["Foo"], ["Foo", "Baz"], False, True), ("I do not know", ["Foo"], ["Foo"], True, False)], "answer string, valid_names array<string>, must_cite array<string>, abstained boolean, answerable boolean")
-    m = evals.groundedness(rows).first()
-    assert (m["citation_validity"], m["abstention_recall"], m["abstention_precision"]) == (0.5, 1.0, 1.0) and abs(m["uncited_rate"] - 0.5) < 1e-9
+    """Counted as the reference counts: cases with an answer only, names whatever the case, any expected name as part of any cited one."""
+    schema = "answer string, valid_names array<string>, must_cite array<string>, abstained boolean, answerable boolean, must_contain array<string>, must_not_contain array<string>"
+    rows = [
+        ("Uses [foo @ a.cs:1-2] here.\n\nNothing cited.\n\n[Bar @ b.cs] and [x] and [@ y]", ["FOO"], ["OO", "Baz"], False, True, ["NOTHING"], ["cited", "absent"]),
+        ("Not [Bar2 @ c]", ["Bar"], ["other"], False, True, [], []),
+        ("I do not know", ["Foo"], [], True, True, [], []),
+        ("I do not know [Foo @ a]", ["Foo"], ["Foo"], True, False, ["know"], []),
+        ("It is [Foo @ a]", ["Foo"], ["Foo"], False, False, [], []),
+        (None, None, None, False, True, None, None),
+    ]
+    m = evals.groundedness(spark.createDataFrame(rows, schema)).first()
+    assert m["citation_validity"] == pytest.approx(1 / 3) and m["must_cite_recall"] == 0.5 and m["uncited_rate"] == pytest.approx(2 / 5)
+    assert (m["abstention_recall"], m["abstention_precision"], m["content_check_rate"]) == (0.5, 0.5, 0.75)
+    assert evals.groundedness(spark.createDataFrame([], schema)).first() == (0.0,) * 6
+
+
+def test_links_of_markdown():
+    text = "[a](x/b.md) [b](<c d>) ![i](img.png) [t](y.md 'title') [w](https://h/x) [m](mailto:x@y) [f](#part) [g](z.md#part) [n](//host/x) [e](a%20b.md)"
+    assert parsers.linked_files(text) == ["x/b.md", "img.png", "y.md", "z.md", "a b.md"]
+
+
+def test_a_component_gives_way_to_its_file(spark):
+    rows = [("f.js", "file", "File", "f.js", ""), ("c1", "api", "JSComponent", "f.js", ""), ("c2", "lone", "JSComponent", "g.js", ""), ("c3", "other api", "Note", "n", "api api")]
+    nodes = spark.createDataFrame(rows, "id string, name string, type string, file_path string, content string")
+    assert search.resolve_definition(nodes, "api").collect() == [("f.js", "file", "File", 1)]
+    assert search.resolve_definition(nodes, "lone").collect() == [("c2", "lone", "JSComponent", 1)]
+    assert search.resolve_definition(nodes, "absent").count() == 0
+    assert search.verify_exists(nodes, "API").select("name", "exact").collect() == [("api", True)]
 
 
 def test_enrichment_loop(spark, tmp_path):
