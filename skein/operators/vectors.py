@@ -74,6 +74,9 @@ def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str
                     region[at], angle[at] = np.array(like)[best], np.arccos(near[np.arange(len(at)), best])
             yield pdf.assign(region=region, angle=angle)
 
+    if wanted == 1:  # all rows fit one block, which meets itself only
+        found = given.select("id", "v", F.lit(0).alias("side")).withColumns({c: F.lit(0) for c in ("i", "j", "left", "right")})
+        return found.groupBy("i", "j", "left", "right").applyInPandas(_compare(least), f"a {kind}, b {kind}, score double")
     kept = cut(given.mapInPandas(place, f"id {kind}, v {dict(given.dtypes)['v']}, region long, angle double"), given)
     told = {r["region"]: (r["n"], r["radius"]) for r in kept.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
     reach = math.acos(max(-1.0, min(1.0, least))) + 1e-6
@@ -100,6 +103,13 @@ def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str
         ends = ("own", "other") if side == 0 else ("other", "own")
         return met.select("i", "j", F.col(ends[0]).alias("left"), F.col(ends[1]).alias("right"), "id", "v", F.lit(side).alias("side"))
 
+    both = dealt(0).unionByName(dealt(1))
+    return both.groupBy("i", "j", "left", "right").applyInPandas(_compare(least), f"a {kind}, b {kind}, score double")
+
+
+def _compare(least: float):
+    """What finds the pairs of two blocks (side 0 and 1), or of one with itself."""
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found, alone = [], key[0] == key[1] and key[2] == key[3]
         for _, same in pdf.groupby(pdf["v"].map(len)):
@@ -121,8 +131,7 @@ def similar_pairs(rows: DataFrame, least: float, id_col: str = "id", vector: str
         empty = pd.Series([], dtype=pdf["id"].dtype)
         return pd.concat(found) if found else pd.DataFrame({"a": empty, "b": empty, "score": pd.Series([], dtype=float)})
 
-    both = dealt(0).unionByName(dealt(1))
-    return both.groupBy("i", "j", "left", "right").applyInPandas(run, f"a {kind}, b {kind}, score double")
+    return run
 
 
 def _unit_rows(vectors: Iterator) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.operators import analytics, evals, fusion, linking, search, segments, store, traverse, vectors
+from skein.operators import analytics, evals, fusion, linking, search, segments, store, traverse, vector_index, vectors
 from skein.plans import stored
 from skein.plans.queries import _graph, query
 from skein.sources import driver_graph, files, parsers
@@ -309,6 +309,26 @@ def vec_surprising_pairs(spark, sf):
     return vectors.surprising_pairs(rows, linked, 0.35).select("a", "b", F.round("score", 5).alias("score"))
 
 
+def _vector_index(spark, sf):
+    """The stored index of the embeddings."""
+    path = stored.kept(spark, sf, "vectors", lambda folder: vector_index.write_vectors(_vectors(spark, sf), folder))
+    return stored.opened(path, lambda: vector_index.VectorIndex(spark, path))
+
+
+@query()
+def vec_indexed_neighbours(spark, sf):
+    """About the ten nearest of every row whose id is divisible by 20 (approximate, so no SQL; its recall is held below and in tests)."""
+    queries = _vectors(spark, sf).where("id % 20 = 0")
+    return _vector_index(spark, sf).search_many(queries, 10).select("query", "id", F.round("score", 5).alias("score"))
+
+
+@query("SELECT least(count(*), 500) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vec_index_recall(spark, sf):
+    """Whether a search finds at least 0.9 of the exact ten best, over the first 500 such rows at most."""
+    queries = _vectors(spark, sf).where("id % 20 = 0").orderBy("id").limit(500)
+    return _vector_index(spark, sf).recall(queries, 10).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 5) AS length FROM embeddings")
 def vec_lengths(spark, sf):
     return _vectors(spark, sf).select("id", F.round(vectors.norm(F.col("embedding")), 5).alias("length"))
