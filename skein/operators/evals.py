@@ -5,28 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.store import union_all
-
-#: Golden entries that are sent to every executor at once.
-ENTRIES_SENT = 10_000
-
+from skein.operators.substrings import contained
 
 def golden_match(golden: DataFrame, nodes: DataFrame) -> DataFrame:
     """Golden entries (case_id, expected) and the nodes they mean: part of the id in any case, or the whole name.
 
-    Whole names are joined by their value; parts of ids are sought in all nodes, so
-    many entries at a time, which are sent to every executor.
+    Whole names are joined by their value, parts of ids by their rarest trigram.
     """
     wanted = golden.select("case_id", "expected", F.lower("expected").alias("e"))
-    there = nodes.select("id", F.lower("id").alias("i"), F.lower("name").alias("n"))
+    there = nodes.select("id", F.lower("name").alias("n"))
     named = wanted.join(there, F.col("n") == F.col("e")).select("case_id", "expected", "id")
-    blocks = max(1, -(-golden.count() // ENTRIES_SENT))
-    found = [named]
-    for k in range(blocks):
-        some = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("case_id", "expected"), F.lit(blocks)) == k)
-        part = there.join(F.broadcast(some), F.contains("i", F.col("e")) & ~F.col("n").eqNullSafe(F.col("e")))
-        found.append(part.select("case_id", "expected", "id"))
-    return union_all(found)
+    parts = contained(wanted.select(F.struct("case_id", "expected").alias("needle_id"), F.col("expected").alias("needle")), nodes.select("id", F.col("id").alias("text")))
+    return named.unionByName(parts.select("needle_id.case_id", "needle_id.expected", "id")).distinct()
 
 
 def retrieval_metrics(ranked: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:

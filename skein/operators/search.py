@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import location
+from skein.lineage import MOST_SENT, cut
 from skein.operators import fts
+from skein.operators.substrings import Grams
 from skein.schema import DECLARATION_TYPES
 
 
@@ -53,11 +55,18 @@ def search(
     return found.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
-def like(rows: DataFrame, query: str, columns: list[str], id_col: str = "id") -> DataFrame:
-    """Rows with the query as a substring of a column, whatever the case (% and _ are wildcards); score 1."""
+def like(rows: DataFrame, query: str, columns: list[str], id_col: str = "id", grams: Grams | None = None) -> DataFrame:
+    """Rows with the query as a substring of a column, whatever the case (% and _ are wildcards); score 1.
+
+    With stored ``grams`` of the columns only rows that have the query's trigrams are looked at.
+    """
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.col(c).ilike(f"%{query}%"), F.lit(False))
+    some = grams.candidates(query) if grams is not None else None
+    if some is not None:
+        ids = cut(some.where(F.col("col").isin(*columns)).select(F.col("id").alias(id_col)).distinct())
+        rows = rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, id_col, "left_semi")
     return rows.where(hit).select(F.col(id_col).alias("id"), F.lit(1.0).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
-from skein.operators import analytics, evals, fusion, linking, search, segments, store, traverse, vector_index, vectors
+from skein.operators import analytics, evals, fusion, linking, search, segments, store, substrings, traverse, vector_index, vectors
 from skein.plans import stored
 from skein.plans.queries import _graph, query
 from skein.sources import driver_graph, files, parsers
@@ -277,6 +277,12 @@ def fts_like(spark, sf):
     return search.like(_docs(spark, sf), "the. on", ["content", "name"])
 
 
+@query("SELECT doc_id AS id, CAST(1 AS DOUBLE) AS score FROM documents WHERE text ILIKE '%only_th%' OR source ILIKE '%only_th%'")
+def fts_like_indexed(spark, sf):
+    path = stored.kept(spark, sf, "grams", lambda folder: substrings.write_grams(_docs(spark, sf), ["content", "name"], folder))
+    return search.like(_docs(spark, sf), "only_th", ["content", "name"], grams=substrings.Grams(spark, path))
+
+
 @query(oracle(" SELECT n.id, source, target, relationship FROM nodes n JOIN edges ON n.id = source OR n.id = target WHERE n.type = 'Nation'"))
 def fts_attach_edges(spark, sf):
     nodes, edges = _graph(spark, sf)
@@ -462,6 +468,16 @@ def jon_golden_match(spark, sf):
     return evals.golden_match(golden, driver_graph.nodes(spark, sf))
 
 
+@query(f"SELECT case_id, expected, 'D:' || doc_id AS id FROM (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS expected, doc_id AS case_id FROM documents WHERE doc_id % 20 = 0 AND length(split_part(text, ' ', 2)) > 0) q JOIN documents d ON contains(lower(d.text), lower(expected))")
+def jon_contained_texts(spark, sf):
+    """Where the first two words of every document whose id is divisible by 20 stand, in all documents."""
+    docs = table(spark, sf, "documents")
+    words = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
+    needles = docs.where((F.col("doc_id") % 20 == 0) & (F.length(words[1]) > 0)).select(F.struct(F.col("doc_id").alias("case_id"), F.concat_ws(" ", *words).alias("expected")).alias("needle_id"), F.concat_ws(" ", *words).alias("needle"))
+    found = substrings.contained(needles, docs.select(F.concat(F.lit("D:"), "doc_id").alias("id"), "text"))
+    return found.select("needle_id.case_id", "needle_id.expected", "id")
+
+
 @query(
     """WITH e AS (SELECT user_id * 100 + hour(ts) AS query, event_id AS seq, event_type AS t, value >= 50 AS m, ts < TIMESTAMP '2024-01-15' AS early FROM events),
     a AS (SELECT query, arg_min(struct_pack(t := t, m := m), seq) AS s FROM e WHERE early GROUP BY 1), b AS (SELECT query, arg_min(struct_pack(t := t, m := m), seq) AS s FROM e WHERE NOT early GROUP BY 1)
