@@ -29,6 +29,8 @@ from skein.llm.common import offsets, pieces, small_batches
 DOCS_PER_LABEL = 600
 CHARS_PER_DOC = 50_000
 STEPS = 80
+#: A text of so many line ends is scored by itself, in stretches of so many lines.
+LONG_LINES, STRETCH = 2_000, 1 << 15
 RIDGE = 1e-3
 
 _UPPER = bytes(range(65, 91))
@@ -149,11 +151,82 @@ class LineField:
         return self._lattice(lines)[0]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        lines = Lines(texts)
-        weighted = np.add.reduceat(self.line_marginals(lines) * lines.sizes, lines.starts[:-1])
-        return np.clip(weighted / np.add.reduceat(lines.sizes, lines.starts[:-1]), 0.0, 1.0)
+        out = np.zeros(len(texts))
+        long = np.array([text is not None and text.count("\n") >= LONG_LINES for text in texts], dtype=bool)
+        for k in np.flatnonzero(long):
+            out[k] = self._score_long(texts[k].encode())
+        if short := [texts[k] for k in np.flatnonzero(~long)]:
+            lines = Lines(short)
+            weighted = np.add.reduceat(self.line_marginals(lines) * lines.sizes, lines.starts[:-1])
+            out[~long] = weighted / np.add.reduceat(lines.sizes, lines.starts[:-1])
+        return np.clip(out, 0.0, 1.0)
+
+    def _score_long(self, data: bytes) -> float:
+        """The score of one text of many lines: features by stretches of lines, of which one number a line is kept."""
+        ends = np.append(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10), len(data))
+        n, seen = len(ends), set()
+        good = np.zeros(n)
+        good[1:] += self.weights[3 * OWN]
+        good[:-1] += self.weights[3 * OWN + 1]
+        here, before, after = (self.weights[k * OWN : (k + 1) * OWN] for k in range(3))
+        for at in range(0, n, STRETCH):
+            stop = ends[at : at + STRETCH].tolist()
+            start = [int(ends[at - 1]) + 1 if at else 0, *(e + 1 for e in stop[:-1])]
+            own = np.array([line_features(data[a:b], seen) for a, b in zip(start, stop, strict=True)])
+            to = at + len(own)
+            good[at:to] += own @ here
+            good[at + 1 : to + 1] += (own @ before)[: n - 1 - at]
+            good[max(0, at - 1) : to - 1] += (own @ after)[0 if at else 1 :]
+        sizes = np.diff(ends, prepend=-1)
+        return float((_chain_marginals(good, np.exp(self.ties)) * sizes).sum() / sizes.sum())
+
+
+def _chain_marginals(good: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Marginals of label 1 along one chain of lines, whose logits are ``good``.
+
+    The chain is cut into about as many blocks as a block has lines.  The blocks'
+    products of 2 x 2 steps are formed side by side, carried over from block to
+    block, and then all blocks run forward and backward side by side: two times the
+    square root of the number of lines in steps, not the number itself.
+    """
+    n = len(good)
+    length = max(1, int(np.sqrt(n)))
+    blocks = -(-n // length)
+    # The emissions of label 1, label 0 having those of 1 / x; lines beyond the end pass on what they get.
+    up = np.ones(blocks * length)
+    np.exp(np.clip(good, -30, 30) / 2, out=up[:n])
+    up, past = up.reshape(blocks, length), np.arange(blocks * length).reshape(blocks, length) >= n
+
+    def step(t: int) -> np.ndarray:
+        m = tie * np.stack([1 / up[:, t], up[:, t]], axis=1)[:, None, :]
+        m[past[:, t]] = np.eye(2)
+        if t == 0:  # the first line of all has no line before it
+            m[0] = np.array([1 / up[0, 0], up[0, 0]])
+        return m
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / x.reshape(len(x), -1).sum(axis=1).reshape(-1, *[1] * (x.ndim - 1))
+
+    whole = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(length):
+        whole = scaled(whole @ step(t))
+    left, right = np.full((blocks, 2), 0.5), np.full((blocks, 2), 0.5)
+    for b in range(1, blocks):
+        left[b] = left[b - 1] @ whole[b - 1]
+        left[b] /= left[b].sum()
+    for b in range(blocks - 2, -1, -1):
+        right[b] = whole[b + 1] @ right[b + 1]
+        right[b] /= right[b].sum()
+    ahead = np.empty((blocks, length))  # the share of label 1; that of label 0 is the rest
+    for t in range(length):
+        left = scaled((left[:, None, :] @ step(t))[:, 0])
+        ahead[:, t] = left[:, 1]
+    for t in range(length - 1, -1, -1):
+        one = ahead[:, t] * right[:, 1]
+        nought = (1 - ahead[:, t]) * right[:, 0]
+        right = scaled((step(t) @ right[:, :, None])[:, :, 0])
+        ahead[:, t] = one / (one + nought)
+    return ahead.reshape(-1)[:n]
 
 
 def learn(

@@ -33,14 +33,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(crc32_of_id() % 5 != 0))
-    held_out = (crc32_of_id() % 5 == 0).alias("held_out")
+    held_out = F.coalesce(crc32_of_id() % 5 == 0, F.lit(False)).alias("held_out")
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = quality.learn(docs, labels.where(crc32_of_id() % 3 != 1))
-    held_out = (crc32_of_id() % 3 == 1).alias("held_out")
+    held_out = F.coalesce(crc32_of_id() % 3 == 1, F.lit(False)).alias("held_out")
     return quality.score_quality(docs, field).select("doc_id", held_out, "score", "predicted")
 
 

@@ -426,10 +426,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     "ids_crc32": pa.array([zlib.crc32(little[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.int64()),
                 }
                 if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict(columns)
 
     small_batches(spark)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     return rows.select("part", "content").mapInArrow(run, schema)
 

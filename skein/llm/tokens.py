@@ -10,10 +10,13 @@ to go to the library once per worker (until the remembered words exceed
   NFC changes nothing, and lower-casing A-Z first saves remembering both cases.
 * Other texts are cut at ASCII white space only, which no word crosses.
 * Texts with a special token's opening ``<|`` go to the library whole.
+
+A tokenizer with other rules gets every text whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import defaultdict
@@ -29,6 +32,22 @@ _WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc3\x80-\xbf]+|[0-9]|[^\sa-z0
 _LATIN = bytes(range(128)) + b"\xc3" + bytes(range(0x80, 0xC0))
 
 
+#: The rules, as a tokenizer's file states them, under which words can be encoded on their own.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def goes_by_word(path: str) -> bool:
+    """Whether the tokenizer of this file normalises, cuts and marks special tokens as is said above."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    normal, before = told.get("normalizer") or {}, told.get("pre_tokenizer") or {}
+    cuts = before.get("pretokenizers") or [{}]
+    whole = cuts[-1].get("type") == "ByteLevel" and not cuts[-1].get("add_prefix_space") and not cuts[-1].get("use_regex")
+    special = all(t["content"].startswith("<|") for t in told.get("added_tokens") or ())
+    return normal.get("normalizers") == _NORMALIZER and cuts[:-1] == [_SPLIT] and whole and special and told.get("post_processor") is None
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -46,6 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        self.by_word = goes_by_word(path or default_path())
         self.most = most
         self._forget()
 
@@ -108,7 +128,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if "<|" in text:
+            if not self.by_word or "<|" in text:
                 out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
                 continue
             raw = text.encode().lower()
