@@ -77,12 +77,23 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+_GUID = r"(?i)\{?([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})\}?"
+
+
+def _dashed(hit: Column) -> Column:
+    plain = F.replace(F.lower(hit), F.lit("-"), F.lit(""))
+    return F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
 def guid(text: Column) -> Column:
     """Lower-case digits of the first GUID, with dashes and braces or without; null without one."""
-    hit = F.regexp_extract(text, r"(?i)\{?([0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12})\}?", 1)
-    plain = F.replace(F.lower(hit), F.lit("-"), F.lit(""))
-    dashed = F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return F.when(hit != "", dashed)
+    hit = F.regexp_extract(text, _GUID, 1)
+    return F.when(hit != "", _dashed(hit))
+
+
+def guids(text: Column) -> Column:
+    """All GUIDs of a text, as ``guid`` gives one, each once, in the order of their first places."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_GUID), F.lit(1)), _dashed))
 
 
 def handle(path: Column, base: str) -> Column:

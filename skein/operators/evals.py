@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,25 @@ def citations(answer: Column) -> Column:
     return F.transform(told, lambda x: F.trim(F.substring_index(x, "@", 1)))
 
 
+def annotate(answer: Column, valid_names: Column, note: str = "Not among the sources: ") -> Column:
+    """The answer, with a last line that names what it cites without a source of that name (whatever the case), each once; else as it is."""
+    known = F.transform(F.coalesce(valid_names, F.array().cast("array<string>")), lambda n: F.lower(n))
+    wrong = F.filter(citations(answer), lambda n: ~F.array_contains(known, F.lower(n)))
+    # Of names that differ in case only the first counts.
+    once = F.filter(wrong, lambda n, k: F.array_position(F.transform(wrong, lambda x: F.lower(x)), F.lower(n)) == k + 1)
+    return F.when(F.size(once) > 0, F.concat(F.rtrim(answer), F.lit(f"\n\n{note}"), F.array_join(once, ", "))).otherwise(answer)
+
+
+def contamination(ranked: DataFrame, nodes: DataFrame, excluded: list[str]) -> DataFrame:
+    """Files that an index should not have (their path matches one of ``excluded``, with * and ?) and how many results show them; none: clean."""
+    patterns = ["^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p) + "$" for p in excluded]
+    bad = F.lit(False)
+    for p in patterns:
+        bad = bad | F.coalesce(F.col("file_path").rlike(p), F.lit(False))
+    meant = nodes.where(bad).select("id", "file_path")
+    return ranked.join(meant, "id").groupBy("file_path").agg(F.count(F.lit(1)).alias("results"))
+
+
 def paragraphs(answer: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
 

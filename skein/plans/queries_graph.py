@@ -217,7 +217,7 @@ _FTS_COLUMNS = ["content", "name"]
 def _index(spark, sf):
     """The stored index of the documents."""
     path = stored.kept(spark, sf, "postings", lambda folder: segments.write_index(_docs(spark, sf), _FTS_COLUMNS, folder))
-    return stored.opened(path, lambda: segments.open_index(spark, path))
+    return stored.opened(path, lambda: segments.open_index(spark, path, 1))
 
 
 _TOKENS = r"regexp_extract_all(strip_accents(lower(concat_ws(' ', text, source))), '([\p{L}\p{N}]+)', 1)"
@@ -267,6 +267,21 @@ def fts_language(spark, sf):
     return search.bm25(_docs(spark, sf), query, _FTS_COLUMNS, index=_index(spark, sf)).select("id")
 
 
+_CHANGED = "(SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' the only' ELSE text END AS text, source FROM documents WHERE source <> 'src1' OR source IS NULL)"
+
+
+@query(_bm25(["the", "only"]).replace("FROM documents)", f"FROM {_CHANGED})", 1) + " SELECT id, round(score, 9) AS score FROM hits")
+def snk_refresh_index(spark, sf):
+    """The stored index after a source went and a language changed: the next version, of two segments."""
+    index, docs = _index(spark, sf), _docs(spark, sf)
+    known = segments.versions(spark, index.path)
+    if len(known) == 1:
+        coming = docs.where("type = 'de' AND (name <> 'src1' OR name IS NULL)").withColumn("content", F.concat("content", F.lit(" the only")))
+        segments.refresh(index, docs.where("name = 'src1'").select("id"), coming)
+    latest = segments.open_index(spark, index.path)
+    return search.bm25(docs, "the only", _FTS_COLUMNS, index=latest).select("id", F.round("score", 9).alias("score"))
+
+
 @query("SELECT doc_id AS id, CAST(1 AS DOUBLE) AS score FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20 OFFSET 5")
 def fts_match_all(spark, sf):
     return search.search(_docs(spark, sf), "*", 20, 5, kind="de")

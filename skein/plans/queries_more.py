@@ -273,6 +273,12 @@ def flt_diagnostics(spark, sf):
     return reindex.findings(told, "click", 50).select("event_id", "severity")
 
 
+@query("SELECT event_id, CAST(floor(value) AS INTEGER) AS severity FROM events ORDER BY severity DESC NULLS LAST, event_id LIMIT 25")
+def flt_gravest_diagnostics(spark, sf):
+    told = table(spark, sf, "events").select("event_id", F.col("event_type").alias("code"), F.floor("value").cast("int").alias("severity"))
+    return reindex.findings(told, limit=25, ties=("event_id",)).select("event_id", "severity")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE lower(trim(coalesce(role, ''))) NOT IN ('system', 'assistant')")
 def flt_open_threads(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", F.lit("Task").alias("type"), F.create_map(F.lit("status"), F.col("role")).alias("properties"))
@@ -334,6 +340,32 @@ def scl_fence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.fence(F.col("text")).alias("line"))
 
 
+@query(
+    r"""SELECT doc_id, g1 || CASE WHEN g2 <> g1 THEN ' ' || g2 ELSE '' END AS guids FROM (SELECT doc_id, regexp_replace(m, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS g1,
+    regexp_replace(md5(lang), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS g2 FROM (SELECT *, md5(text) AS m FROM documents))"""
+)
+def scl_guids(spark, sf):
+    text = F.concat(F.lit("{"), F.upper(F.md5("text")), F.lit("} and "), tx.guid(F.md5("lang")), F.lit(", again "), F.md5("text"))
+    found = table(spark, sf, "documents").select("doc_id", tx.guids(text).alias("guids"))
+    return found.select("doc_id", F.array_join("guids", " ").alias("guids"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'See [' || source || ' @ x]' ELSE 'See [' || upper(source) || ' @ x] and [Other @ y] and [OTHER @ z]' || chr(10) || chr(10) || 'Not among the sources: Other' END AS answer FROM documents"""
+)
+def scl_annotate(spark, sf):
+    source = F.col("source")
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("See ["), source, F.lit(" @ x]"))).otherwise(F.concat(F.lit("See ["), F.upper(source), F.lit(" @ x] and [Other @ y] and [OTHER @ z]")))
+    return table(spark, sf, "documents").select("doc_id", evals.annotate(answer, F.array("source")).alias("answer"))
+
+
+@query("SELECT 'docs/' || source || '/' || lang AS file_path, count(*) AS results FROM documents WHERE n_chars > 1000 AND (source LIKE 'src1_' OR lang = 'de') GROUP BY 1")
+def agg_contamination(spark, sf):
+    docs = table(spark, sf, "documents")
+    nodes = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("docs/"), "source", F.lit("/"), "lang").alias("file_path"))
+    return evals.contamination(docs.where("n_chars > 1000").select(F.col("doc_id").alias("id")), nodes, ["docs/src1?/*", "*/de"])
+
+
 # Answers --------------------------------------------------------------------------
 
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.lineage import cut
+from skein.operators.reindex import reindex, reindex_closure  # noqa: F401  (the closure is part of this module's interface)
 from skein.operators.store import add_concepts, first_per, prune_orphan_concepts, set_embeddings
+from skein.sources import parsers
 from skein.sources.files import drift, pushed_files
 
 
@@ -107,27 +109,32 @@ def drift_work(indexed: Callable[[], DataFrame], out: str) -> Callable[[DataFram
     return work
 
 
-def push_work(out: str) -> Callable[[DataFrame, int], None]:
-    """Files named by push payloads, for reindexing."""
+def push_work(folder: str, read: Callable[[DataFrame], DataFrame], parse: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Index the files that push payloads name anew: batch k makes version k + 1 of the graph under ``folder`` from version k.
+
+    ``read`` gives path and text of the files (file_path) that still exist, and
+    ``parse`` what ``parse_files`` makes of them.  A file that is gone, or of no
+    known kind, loses its nodes.  A batch that runs again makes the same version
+    again, and payloads without files carry the version over.
+    """
 
     def work(rows: DataFrame, number: int) -> None:
-        pushed_files(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = rows.sparkSession
+        nodes, edges = (spark.read.parquet(f"{folder}/v{number}/{t}") for t in ("nodes", "edges"))
+        pushed = cut(pushed_files(rows).select(F.col("file").alias("file_path")))
+        if not pushed.isEmpty():
+            parsed = cut(parse(read(pushed)))
+            fresh = [_as(nodes, parsers.nodes_of(parsed, properties=True)), _as(edges, parsers.edges_of(parsed, properties=True))]
+            nodes, edges = reindex(nodes, edges, pushed, *fresh)
+        for name, rows_of in (("nodes", nodes), ("edges", edges)):
+            rows_of.write.mode("overwrite").parquet(f"{folder}/v{number + 1}/{name}")
 
     return work
 
 
-def reindex_closure(changed: DataFrame, old_definitions: DataFrame, new_definitions: DataFrame, references: DataFrame, semantic: bool = False) -> DataFrame:
-    """Files to link again: the changed ones and those that refer to a definition of theirs.
-
-    Old and new definitions (file_path, name) of the changed files; with
-    ``semantic`` all of them count, else only names that came or went.
-    """
-    files = changed.select("file_path").distinct()
-    was = old_definitions.join(files, "file_path", "left_semi").select("name").distinct()
-    now = new_definitions.join(files, "file_path", "left_semi").select("name").distinct()
-    names = was.union(now).distinct() if semantic else was.exceptAll(now).union(now.exceptAll(was)).distinct()
-    hit = references.join(names.withColumnRenamed("name", "type_name"), "type_name", "left_semi").select("file_path").where("file_path is not null")
-    return files.union(hit).distinct()
+def _as(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table``; what they lack is null."""
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in table.dtypes))
 
 
 def freshness(indexed: DataFrame, present: DataFrame, paths: DataFrame) -> DataFrame:

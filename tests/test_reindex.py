@@ -1,10 +1,12 @@
 """Reindexing, processors over the graph, and the expressions that present it."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
 from skein.operators import capsule, reindex, traverse
 from skein.schema import CLOSED_STATUS, DIAGNOSTIC_SCHEMA, EDGE_SCHEMA, MEMORY_TYPES, NODE_SCHEMA
+from skein.sources import parsers
 from skein.streaming import loops
 
 
@@ -163,3 +165,35 @@ def test_budgeted_capsules_and_prompts(spark):
 def test_catalogue(spark):
     got = {r["type"]: (r["group"], r["nodes"]) for r in reindex.type_catalogue(nodes_of(spark, node("a"), node("b", "Odd"))).collect()}
     assert got["Class"] == ("Code", 1) and got["Odd"] == ("Other", 1) and got["Task"] == ("Memory", 0)
+
+
+def test_pushes_reindex(spark, tmp_path):
+    """A push's files are parsed anew; a batch that is run again gives the same version; a failing batch is made up for."""
+    graph, folder, check = str(tmp_path / "graph"), str(tmp_path / "in"), str(tmp_path / "check")
+    texts = {"a.md": "# One\nsee [b](b.md)\n", "b.md": "# Two\n"}
+    nodes = nodes_of(spark, node("a.md", "File", path="a.md"), node("old", "MarkdownSection", path="a.md"), node("gone", path="gone.md"), node("kept", path="kept.cs"))
+    nodes.write.parquet(f"{graph}/v0/nodes")
+    edges_of(spark, "old kept REFERENCES", "kept old REFERENCES").write.parquet(f"{graph}/v0/edges")
+
+    def read(paths):
+        return spark.createDataFrame(list(texts.items()), "path string, text string").join(paths.select(F.col("file_path").alias("path")), "path", "left_semi")
+
+    calls = []
+
+    def parse(files):
+        calls.append(1)
+        if len(calls) == 1:
+            raise ValueError("the first try fails")
+        return parsers.parse_files(files, {".md": parsers.parse_markdown})
+
+    pushes = spark.createDataFrame([('{"commits": [{"added": ["b.md"], "modified": ["a.md"], "removed": ["gone.md"]}]}',)], "payload string")
+    pushes.coalesce(1).write.parquet(folder)
+    work = loops.push_work(graph, read, parse)
+    with pytest.raises(Exception, match="first try fails"):
+        loops.each_batch(spark, "payload string", folder, check, work).awaitTermination()
+    for _ in range(2):
+        loops.each_batch(spark, "payload string", folder, check, work).awaitTermination()
+    after = {r["id"]: r["name"] for r in spark.read.parquet(f"{graph}/v1/nodes").collect()}
+    assert after == {"a.md::section::0::One": "One", "b.md::section::0::Two": "Two", "kept": "kept"} and len(calls) == 2
+    found = {(r["source"], r["target"], r["relationship"]) for r in spark.read.parquet(f"{graph}/v1/edges").collect()}
+    assert found == {("kept", "old", "REFERENCES"), ("a.md", "a.md::section::0::One", "CONTAINS"), ("b.md", "b.md::section::0::Two", "CONTAINS"), ("a.md::section::0::One", "b.md", "REFERENCES")}
