@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,6 +155,35 @@ def embedding_document(kind: Column, name: Column, signature: Column, summary: C
     return F.concat_ws("\n", F.concat_ws(" ", kind, name), F.when(signature != "", signature), F.when(summary != "", summary), short)
 
 
+#: Tokens of a body that an embedder's window takes.
+BODY_TOKENS = 375
+
+
+def within_tokens(text: Column, most_tokens: int = BODY_TOKENS) -> Column:
+    """``trim_middle`` of a column, in Arrow batches; only texts that may be too long are looked at word by word."""
+
+    def trim(texts: pd.Series) -> pd.Series:
+        # A text of no more characters than tokens fits whatever it holds.
+        return texts.map(lambda t: t if t is None or len(t) <= most_tokens else trim_middle(t, most_tokens))
+
+    return F.pandas_udf(trim, "string")(text)
+
+
+def embedding_document_by_tokens(kind: Column, name: Column, signature: Column, summary: Column, body: Column, most_tokens: int = BODY_TOKENS) -> Column:
+    """What is embedded for a node: type and name, signature, summary, and of the body what fits the tokens."""
+    def said(c: Column) -> Column:
+        return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
+
+    return F.concat_ws("\n", F.concat_ws(" ", kind, name), said(signature), said(summary), within_tokens(F.coalesce(body, F.lit("")), most_tokens))
+
+
+def concept_document(name: Column, summary: Column, names: Column) -> Column:
+    """What is embedded for a concept, which has no body: its name, summary, and the names linked to it (an array; blank ones left out)."""
+    near = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.trim(F.coalesce(n, F.lit(""))) != "")
+    told = F.when(F.trim(F.coalesce(summary, F.lit(""))) != "", summary)
+    return F.concat_ws("\n", F.concat(F.lit("Concept "), name), told, F.when(F.size(near) > 0, F.concat(F.lit("Related: "), F.array_join(near, ", "))))
+
+
 def map_to_json(properties: Column) -> Column:
     """A map as a JSON object; null or empty is {}."""
     return F.coalesce(F.to_json(properties), F.lit("{}"))

@@ -375,6 +375,19 @@ def vec_embedding_document(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(doc, 256).alias("document"))
 
 
+@query()
+def vec_embedding_document_by_tokens(spark, sf):
+    """Documents as they are embedded, within 375 tokens (a search for the cut, so no SQL; held against plain code in tests)."""
+    doc = tx.embedding_document_by_tokens(F.col("lang"), F.col("source"), F.lit(""), F.lit(None).cast("string"), F.col("text"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(doc, 256).alias("document"))
+
+
+@query(oracle(" , x AS (SELECT DISTINCT i, name FROM (SELECT source AS i, target AS o FROM edges UNION ALL SELECT target, source FROM edges) JOIN nodes ON nodes.id = o WHERE i <> o AND i LIKE 'N:%'), y AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY name) AS rn FROM x) SELECT i AS id, 'Concept ' || i || chr(10) || 'Related: ' || string_agg(name, ', ' ORDER BY name) AS document FROM y WHERE rn <= 25 GROUP BY i"))
+def vec_concept_document(spark, sf):
+    near = linking.concept_neighbours(*_graph(spark, sf), 25, "Nation")
+    return near.select("id", tx.concept_document(F.col("id"), F.lit(None).cast("string"), F.split("names", ",")).alias("document"))
+
+
 # Fusion and budgets ------------------------------------------------------------------
 
 

@@ -205,3 +205,13 @@ const type = 3; let interface_ = "enum X {}";
     assert spans["load"] == (14, 14) and spans["Box"] == (6, 16) and len([e for e in edges if e["target"].endswith("::load")]) == 1
     for odd in ("", "class", "class X", "interface Y {", "class Z { m( }", "export type", "}}}", "class A { @", "function *g() {}"):
         parsers.parse_typescript("o.ts", odd)
+
+
+def test_embedding_documents(spark):
+    body = "line of words\n" * 400
+    rows = spark.createDataFrame([("Class", "A", "sig()", "told", body), ("Class", "B", None, " ", "short"), ("X", "C", "", None, None)], "kind string, name string, sig string, summary string, body string")
+    doc = tx.embedding_document_by_tokens(F.col("kind"), F.col("name"), F.col("sig"), F.col("summary"), F.col("body"), 60)
+    got = [r[0] for r in rows.select(doc.alias("d")).collect()]
+    assert got[0] == "Class A\nsig()\ntold\n" + tx.trim_middle(body, 60) and got[1:] == ["Class B\nshort", "X C\n"]
+    named = spark.createDataFrame([("K", "told", ["a", " ", "b", None]), ("L", None, []), ("M", "", None)], "name string, summary string, names array<string>")
+    assert [r[0] for r in named.select(tx.concept_document(F.col("name"), F.col("summary"), F.col("names")).alias("d")).collect()] == ["Concept K\ntold\nRelated: a, b", "Concept L", "Concept M"]
