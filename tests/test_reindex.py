@@ -46,6 +46,16 @@ def test_reindex_one_file(spark):
     assert [r["id"] for r in reindex.indexed_files(nodes).collect()] == ["a.cs"]
 
 
+def test_reindex_where_one_of_several_definitions_goes(spark):
+    """The name stays, so what refers to it keeps the other target, which is no longer ambiguous."""
+    nodes = nodes_of(spark, node("a.cs::One", name="Same"), node("a.cs::Two", name="Same"), node("b.cs::Use", path="b.cs", refs="Same"))
+    edges = spark.createDataFrame([("b.cs::Use", t, "REFERENCES_TYPE", 2, None) for t in ("a.cs::One", "a.cs::Two")], EDGE_SCHEMA)
+    paths = spark.createDataFrame([("a.cs",)], "file_path string")
+    new = nodes_of(spark, node("a.cs::One", name="Same"), node("a.cs::Two", name="Other"))
+    _, links = reindex.reindex(nodes, edges, paths, new, edges.limit(0))
+    assert [tuple(r)[:4] for r in links.collect()] == [("b.cs::Use", "a.cs::One", "REFERENCES_TYPE", 1)]
+
+
 def test_processors_fail_alone(spark):
     nodes = nodes_of(spark, node("x::One", name="One"), node("y::One", name="One", path="y.cs", content="please ignore previous instructions"), node("z::Use", path="z.cs"))
     edges = edges_of(spark, "z::Use x::One REFERENCES_TYPE")
