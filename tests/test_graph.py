@@ -166,3 +166,22 @@ def test_first_of_several_runs(spark):
     after = spark.createDataFrame([("q", "c", False, 1)], runs.schema)
     assert [tuple(r) for r in evals.compare_runs(runs, after).collect()] == [("q", "b", "c", "broken")]
     assert [tuple(r) for r in evals.compare_runs(runs.drop("seq"), after.drop("seq")).collect()] == [("q", "a", "c", "moved")]
+
+
+def test_common_names_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    rows = [(f"{'x' if k < 15 else 'y'}{k}", "Same" if k < 15 else "Other") for k in range(20)] + [("x0", "Other"), ("x0", "Same"), ("y15", "Same"), ("z", " "), ("w", None)]
+    nodes = spark.createDataFrame([(i, n, "Class") for i, n in rows], "id string, name string, type string")
+    names = {(i, n) for i, n in rows if n and n.strip()}
+    wanted = sorted({(a, b) for a, m in names for b, n in names if m == n and a != b})
+    found = linking.bind_by_name(nodes, nodes)
+    assert sorted(tuple(r)[:2] for r in found.collect()) == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [source" not in plan.split("Join")[0]  # pairs are not made distinct after they met
+    once = nodes.where("id <> 'x0' and id <> 'y15'").dropDuplicates(["id"])
+    pairs = sorted((a, b) for a, m in names for b, n in names if m == n and a != b and not {"x0", "y15"} & {a, b})
+    references = once.select(F.col("name").alias("type_name"), F.col("id").alias("node_id"))
+    linked = linking.link_references(references.unionByName(references), once)
+    assert sorted(tuple(r)[:2] for r in linked.collect()) == pairs and linked.rdd.getNumPartitions() >= 4
+    free = linking.link_unresolved(references.withColumnRenamed("node_id", "enclosing_id"), once)
+    assert sorted(tuple(r)[:2] for r in free.collect()) == pairs
