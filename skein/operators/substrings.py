@@ -3,8 +3,11 @@
 A text that contains a needle contains all of its trigrams.  In a join every
 needle waits at the one of its trigrams that fewest texts have, and only texts
 with that trigram are compared with it; a needle with a trigram that no text
-has is not compared at all.  Needles of fewer than three characters, which have
-no trigram, are sought in all texts.
+has is not compared at all.  Needles go to the texts, a bounded number at once,
+and are compared where a text is read, so neither trigrams nor pairs are written
+down; only needles that would take more than PASSES readings of the texts meet
+them by a shuffle of the trigrams waited at.  Needles of fewer than three
+characters, which have no trigram, are sought in all texts.
 
 Stored postings lie in buckets of the trigram.  A pattern's literal runs give
 the trigrams that a match must have; texts that have all of them are verified.
@@ -20,20 +23,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.lineage import MOST_SENT, cut, release
+from skein.lineage import MOST_SENT, cut
+from skein.operators.store import union_all
 
 GRAM = 3
+#: Needles that are sent to the texts at once, and how many times the texts are read for that at most.
+SENT, PASSES = 200_000, 16
 #: Tasks that the texts of one trigram are dealt to at most, one for so many texts; short needles that are sent at once; buckets of stored postings.
 SALTS, ROWS_A_SALT, NEEDLES_SENT, BUCKETS = 16, 100_000, 10_000, 64
 
 
 def grams(text: Column) -> Column:
     """The distinct trigrams of a text; a shorter one has none."""
-    signs = F.split(text, "")
-    pairs = F.zip_with(signs, F.slice(signs, F.lit(2), F.length(text)), lambda a, b: F.concat(a, b))
-    whole = F.zip_with(pairs, F.slice(signs, F.lit(3), F.length(text)), lambda ab, c: F.concat(ab, c))
-    found = F.array_distinct(F.filter(whole, lambda g: g.isNotNull()))
-    return F.when(F.length(text) >= GRAM, found).otherwise(F.array().cast("array<string>"))
+    # At every place but the second half of a surrogate pair.
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?![\uDC00-\uDFFF])(?=(...))"), F.lit(1)))
 
 
 def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -43,31 +46,47 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """
     wanted = cut(needles.where("needle is not null").select("needle_id", F.lower("needle").alias("needle")).distinct())
     there = texts.where("text is not null").select("id", F.lower("text").alias("text"))
-    asked = wanted.where(F.length("needle") >= GRAM).select("needle_id", "needle", F.explode(grams(F.col("needle"))).alias("gram"))
+    met = there.select("id", "text", F.explode(grams(F.col("text"))).alias("gram"))
+    long, short = wanted.where(F.length("needle") >= GRAM), cut(wanted.where(F.length("needle") < GRAM))
+    asked = long.select("needle", F.explode(grams(F.col("needle"))).alias("gram")).distinct()
     named = cut(asked.select("gram").distinct())
     sent = F.broadcast(named) if named.count() <= MOST_SENT else named
-    met = cut(there.select("id", F.explode(grams(F.col("text"))).alias("gram")).join(sent, "gram", "left_semi"))
-    counts = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = met.select("gram").join(sent, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # The needle's rarest trigram; of a needle with one that no text has, none.
-    least = asked.join(counts, "gram", "left").groupBy("needle_id", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-    salts = F.least(F.lit(SALTS), F.ceil(F.col("best.n") / ROWS_A_SALT)).cast("int").alias("salts")
-    waiting = cut(least.where("best.n > 0").select("needle_id", "needle", F.col("best.gram").alias("gram"), salts))
-    places = cut(waiting.select("gram", "salts").distinct())
-    dealt = met.join(F.broadcast(places) if places.count() <= MOST_SENT else places, "gram")
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
-    spread = waiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    pairs = dealt.join(spread, ["gram", "salt"]).select("needle_id", "needle", "id")
-    found = [pairs.join(there, "id").where(F.contains("text", F.col("needle"))).select("needle_id", "id")]
-    short = cut(wanted.where(F.length("needle") < GRAM))
-    blocks = -(-short.count() // NEEDLES_SENT)
-    for k in range(blocks):
-        some = short.where(F.pmod(F.xxhash64("needle", "needle_id"), F.lit(blocks)) == k)
+    least = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    waiting = cut(long.join(least.where("best.n > 0"), "needle").select("needle_id", "needle", F.col("best.gram").alias("gram"), F.col("best.n").alias("n")), named)
+    found = []
+    passes = -(-waiting.count() // SENT)
+    for some in _parts(waiting, passes) if passes <= PASSES else []:
+        # Equal needles are compared once; the ids come after.
+        once = F.broadcast(some.select("gram", "needle").distinct())
+        pairs = met.join(once, "gram").where(F.contains("text", F.col("needle"))).select("id", "needle")
+        found.append(pairs.join(F.broadcast(some.select("needle", "needle_id")), "needle").select("needle_id", "id"))
+    if passes > PASSES:
+        salts = F.least(F.lit(SALTS), F.ceil(F.col("n") / ROWS_A_SALT)).cast("int").alias("salts")
+        waiting = waiting.select("needle_id", "needle", "gram", salts)
+        places = cut(waiting.select("gram", "salts").distinct())
+        dealt = met.select("id", "gram").join(F.broadcast(places) if places.count() <= MOST_SENT else places, "gram")
+        dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
+        spread = waiting.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        pairs = dealt.join(spread, ["gram", "salt"]).select("needle_id", "needle", "id")
+        found.append(pairs.join(there, "id").where(F.contains("text", F.col("needle"))).select("needle_id", "id"))
+    for some in _parts(short, -(-short.count() // NEEDLES_SENT)):
         found.append(there.join(F.broadcast(some), F.contains("text", F.col("needle"))).select("needle_id", "id"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    release(named)
-    return out.distinct()
+    if not found:
+        return wanted.join(there.select("id").limit(0)).select("needle_id", "id")
+    out = union_all(found)
+    # A pair can come twice only where an id or a needle's id has several rows.
+    return out.distinct() if _repeats(wanted, "needle_id") or _repeats(there, "id") else out
+
+
+def _parts(rows: DataFrame, number: int) -> list[DataFrame]:
+    """``rows`` (needle_id, needle and more) in so many parts."""
+    return [rows.where(F.pmod(F.xxhash64("needle", "needle_id"), F.lit(number)) == k) for k in range(number)]
+
+
+def _repeats(rows: DataFrame, column: str) -> bool:
+    return not rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 # Stored postings ------------------------------------------------------------------

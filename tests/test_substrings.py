@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import search, substrings
 
@@ -35,6 +36,40 @@ def test_nothing_is_contained_in_nothing(spark):
     assert substrings.contained(spark.createDataFrame([(1, "abc")], none.schema), some.limit(0)).count() == 0
 
 
+def scratch(spark):
+    """Bytes that shuffles and cuts have written since the session began: of the shared folder, and of all tasks' shuffle files."""
+    status = spark.sparkContext._jsc.sc().statusStore()
+    stages = status.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() + stages.apply(k).outputBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("passes", [16, 0])
+def test_needles_in_parts_and_by_shuffle(spark, monkeypatch, passes):
+    monkeypatch.setattr(substrings, "SENT", 7)
+    monkeypatch.setattr(substrings, "PASSES", passes)
+    rows = [(k, f"t{k % 50} \U0001f600{k % 7} common") for k in range(120)] + [(0, "another t1 common"), (3, "t3 common")]
+    needles = [(k, n) for k, n in enumerate(["common", "COMMON", "t1 \U0001f600", "\U0001f6003 c", "0 common", "t4", "mon", "xyz", *(f"t{k} " for k in range(30))])] + [(0, "t1 ")]
+    want = {(k, i) for k, x in needles for i, t in rows if x.lower() in t.lower()}
+    got = substrings.contained(spark.createDataFrame(needles, "needle_id long, needle string"), spark.createDataFrame(rows, "id long, text string")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_trigrams(spark):
+    table = spark.createDataFrame([(t,) for _, t in texts(5)] + [("\U0001f600ab\n\U0001f600ab",), ("a\U0001f600",)], "text string")
+    for r in table.select("text", substrings.grams(F.col("text")).alias("grams")).collect():
+        assert r["grams"] == (None if r["text"] is None else list(dict.fromkeys(r["text"][k : k + 3] for k in range(len(r["text"]) - 2))))
+
+
+def test_nothing_of_the_size_of_texts_or_pairs_is_written(spark):
+    """200 needles stand in each of 500 texts: before, their trigrams, the texts and the pairs were all shuffled."""
+    words = [f"word{k:03}" for k in range(200)]
+    table = spark.createDataFrame([(k, " ".join([*words, str(k)])) for k in range(500)], "id long, text string")
+    needles = spark.createDataFrame(list(enumerate(words)), "needle_id long, needle string")
+    before = scratch(spark)
+    assert substrings.contained(needles, table).count() == 100_000
+    assert scratch(spark) - before < 300_000
+
+
 def test_patterns(spark, tmp_path):
     rows = [(k, t, "Name%d" % (k % 5)) for k, t in texts(3)]
     table = spark.createDataFrame(rows, "id long, content string, name string")
