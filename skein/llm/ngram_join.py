@@ -522,19 +522,47 @@ def _grams(words: int, split):
     return run
 
 
-def _links(num: int, den: int):
-    """Links of one block."""
+#: Finds the links of one block: sets (or what they have beside a trunk), sizes of the sets, metric.
+Finder = Callable[[list[np.ndarray], np.ndarray, Metric], list[tuple[int, int]]]
+
+
+def _links(num: int, den: int, finder: Finder):
+    """Links of all blocks that lie in a task, one block after another as they come."""
     metric = Metric(num, den)
 
-    def run(rows: pa.Table) -> pa.Table:
-        found = block_links(_as_sets(rows.column("grams")), rows.column("n").to_numpy(), metric)
-        reps = rows.column("rep").to_numpy()
-        a, b = (np.array([pair[k] for pair in found], dtype=np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(reps[a]), "b": pa.array(reps[b])})
+    def of(blocks: pa.Table) -> pa.RecordBatch:
+        comps, reps, sizes = (blocks.column(c).to_numpy() for c in ("comp", "rep", "n"))
+        sets, pairs = _as_sets(blocks.column("grams")), []
+        starts = np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1]])).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(comps)], strict=True):
+            if hi - lo > 1:
+                pairs += [(lo + a, lo + b) for a, b in finder(sets[lo:hi], sizes[lo:hi], metric)]
+        a, b = (np.array([pair[k] for pair in pairs], dtype=np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            comp = batch.column("comp").to_numpy()
+            # The last block may go on in the next batch.
+            last = int(np.searchsorted(comp, comp[-1]))
+            if last or (waiting and waiting[-1].column("comp")[0].as_py() != comp[0]):
+                yield of(pa.Table.from_batches([*waiting, batch.slice(0, last)]))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield of(pa.Table.from_batches(waiting))
 
     return run
 
 
+def _linked(state: DataFrame, num: int, den: int, finder: Finder) -> DataFrame:
+    """Links (a, b) inside the blocks of ``state``, which come to a task as a whole, in order."""
+    return state.select("comp", "rep", "n", "grams").repartition("comp").sortWithinPartitions("comp").mapInArrow(_links(num, den, finder), _LINKS)
+
+
 def _trunk(rows: pa.Table) -> pa.Table:
     return pa.table({"comp": rows.column("comp").slice(0, 1), "base": pa.array([trunk(_as_sets(rows.column("grams"))).tobytes()], pa.binary())})
 
@@ -676,8 +704,11 @@ def _sent(table: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     return F.broadcast(table) if size <= most_bytes else table
 
 
-def connect(sets: DataFrame, num: int, den: int, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
-    """rep and root (the least rep that links reach) of ``sets`` (comp, rep, n, grams: sorted digests) that links connect in their blocks."""
+def connect(sets: DataFrame, num: int, den: int, chunk: int = CHUNK, levels: int = LEVELS, finder: Finder = block_links) -> DataFrame:
+    """rep and root (the least rep that links reach) of ``sets`` (comp, rep, n, grams: sorted digests) that links connect in their blocks.
+
+    ``finder`` finds the links of one block; the trie does if none is named.
+    """
     spark = sets.sparkSession
     links = []
     state = cut(sets)
@@ -687,16 +718,16 @@ def connect(sets: DataFrame, num: int, den: int, chunk: int = CHUNK, levels: int
         large = cut(large.select("comp", "k", chunks).where("k > 2 and chunks > 1").drop("k"))
         some = large.count()
         if not some:
-            links.append(state.groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+            links.append(_linked(state, num, den, finder))
             break
         few = F.broadcast(large) if some <= MOST_SENT else large
-        links.append(state.join(few, "comp", "left_anti").groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+        links.append(_linked(state.join(few, "comp", "left_anti"), num, den, finder))
         wide = state.join(few, "comp").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
         if level == levels:
             # What shares one deviation after another without linking: every chunk meets every other.
             pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
             met = wide.withColumn("other", pair).withColumn("comp", F.xxhash64("comp", F.least("chunk", "other"), F.greatest("chunk", "other")))
-            links.append(met.select("comp", "rep", "n", "grams").groupBy("comp").applyInArrow(_links(num, den), _LINKS))
+            links.append(_linked(met, num, den, finder))
             break
         bases = cut(wide.where("chunk = 0").select("comp", "grams").groupBy("comp").applyInArrow(_trunk, "comp long, base binary"))
         based = wide.join(_sent(bases), "comp", "left").select("comp", "rep", "n", "grams", F.coalesce("base", F.lit(b"")).alias("base"))

@@ -6,8 +6,8 @@ there are two kinds of paragraphs, and a text shorter than LEAST words has none:
 * Lines of LEAST words or more.  Their word 5-grams get BANDS * ROWS MinHash
   values; different lines that agree on all rows of a band collide (at a
   similarity of 0.8 with probability 0.995).  Colliding lines form blocks, in
-  which exact Jaccard similarity (num / den at least) links them, by the trie
-  of the n-gram join.  Linked lines are one class (components).
+  which exact Jaccard similarity (num / den at least) links them: of few lines all
+  overlaps at once, of more by the trie of the n-gram join.  Linked lines are one class (components).
 * Windows of WIDTH words, cut by content: of every SPREAD consecutive word
   n-grams the one with the least digest is an anchor; the WIDTH words from an
   anchor on are a window, and the WIDTH words that end CORE words after it are
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import MOST_SENT, Interned, cut, join_ids, offsets, pieces, resident, small_batches
 from skein.llm.components import components
-from skein.llm.ngram_join import block_ranges, connect, mix, split_words
+from skein.llm.ngram_join import Metric, Union, block_links, block_ranges, connect, mix, split_words
 
 GRAM = 5
 LEAST = 50
@@ -82,23 +82,64 @@ def least_of(values: np.ndarray, spread: int) -> np.ndarray:
     return at
 
 
+#: ASCII white space; a number for each byte; words whose bytes are summed up at once.
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_AT_ONCE = 1 << 14
+
+
+def _summed(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Digest of each word: its bytes' numbers, each times one for its place in the word, summed up."""
+    places = mix(np.arange(1, int(sizes.max(initial=0)) + 1, dtype=np.uint64) << np.uint64(9)) | np.uint64(1)
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in range(0, len(starts), _AT_ONCE):
+        some, size = starts[k : k + _AT_ONCE], sizes[k : k + _AT_ONCE]
+        first = offsets(size)
+        place = np.arange(int(first[-1])) - np.repeat(first[:-1], size)
+        values = _BYTES[raw[np.repeat(some, size) + place]] * places[place]
+        out[k : k + _AT_ONCE] = mix(np.add.reduceat(values, first[:-1]))
+    return out
+
+
+def digested(texts: list[str | None], digest: Interned, split: Callable[[str | None], list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of all words of all texts, the number of words of each line (a text without any may count as lines, too), and of each text."""
+    if split is not split_words:
+        lines = [[split(line) for line in t.split("\n")] if t else [] for t in texts]
+        per_line = np.fromiter((len(w) for text in lines for w in text), dtype=np.int64)
+        per_text = np.fromiter((sum(map(len, text)) for text in lines), dtype=np.int64, count=len(texts))
+        words = chain.from_iterable(chain.from_iterable(lines))
+        return np.fromiter(map(digest.__getitem__, words), dtype=np.uint64, count=int(per_text.sum())), per_line, per_text
+    # The words of ``split_words`` are found and digested in the bytes of all texts at once.
+    parts = [t.encode() if t else b"" for t in texts]
+    raw = np.frombuffer(b"\n".join(parts).lower(), dtype=np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    newlines = np.flatnonzero(raw == ord("\n"))
+    per_line = np.diff(np.searchsorted(starts, np.concatenate([[0], newlines, [len(raw)]])))
+    begins = offsets([len(p) + 1 for p in parts])
+    per_text = np.diff(np.searchsorted(starts, begins))
+    return _summed(raw, starts, ends - starts), per_line, per_text
+
+
 def word_digests(texts: list[str | None], digest: Interned, split: Callable[[str | None], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all words of all texts, and where each text's begin."""
-    parts = [split(t) for t in texts]
-    ends = offsets([len(p) for p in parts])
-    return np.fromiter(map(digest.__getitem__, chain.from_iterable(parts)), dtype=np.uint64, count=int(ends[-1])), ends
+    flat, _, per_text = digested(texts, digest, split)
+    return flat, offsets(per_text)
+
+
+def _marked(at: np.ndarray, total: int) -> np.ndarray:
+    """The different numbers, below ``total``, in order."""
+    marks = np.zeros(total, dtype=bool)
+    marks[at] = True
+    return np.flatnonzero(marks)
 
 
 class Paragraphs:
     """The paragraphs of a batch of texts."""
 
     def __init__(self, texts: list[str | None], digest: Interned, split: Callable[[str | None], list[bytes]]):
-        lines = [[split(line) for line in t.split("\n")] if t else [] for t in texts]
-        per_line = np.fromiter((len(w) for text in lines for w in text), dtype=np.int64)
-        per_text = np.fromiter((sum(map(len, text)) for text in lines), dtype=np.int64, count=len(texts))
-        total = int(per_text.sum())
-        words = chain.from_iterable(chain.from_iterable(lines))
-        self.words = np.fromiter(map(digest.__getitem__, words), dtype=np.uint64, count=total)
+        self.words, per_line, per_text = digested(texts, digest, split)
+        total = len(self.words)
         self.ends = offsets(per_text)
         self.rolled = grams(self.words)
         row = np.repeat(np.arange(len(texts)), per_text)
@@ -106,12 +147,12 @@ class Paragraphs:
         if total >= LEAST:
             spread = least_of(self.rolled[: total - CORE + 1], SPREAD)
             whole = place[: len(spread)] + LEAST <= per_text[row[: len(spread)]]
-            anchor = np.unique(spread[whole])
+            anchor = _marked(spread[whole], total)
         else:
             anchor = np.zeros(0, dtype=np.int64)
         at = anchor[place[anchor] + WIDTH <= per_text[row[anchor]]]
         before = anchor[place[anchor] >= WIDTH - CORE] - (WIDTH - CORE)
-        at = np.unique(np.concatenate([at, before]))
+        at = _marked(np.concatenate([at, before]), total)
         #: Row, start word and name of each window.
         self.window_row, self.window_start = row[at], place[at]
         self.window_name = np.full(len(at), 1, dtype=np.uint64)
@@ -281,6 +322,30 @@ def _merge(atoms: DataFrame, width: int) -> DataFrame:
     return windows.mapInArrow(_merged(width), _RUNS)
 
 
+#: Cells of the table of lines by n-grams in which the overlaps of a block are counted; a larger block goes to the trie.
+TABLE = 1 << 22
+
+
+def line_links(sets: list[np.ndarray], sizes: np.ndarray, metric: Metric) -> list[tuple[int, int]]:
+    """Pairs of linked lines, enough to connect all that links connect, by the overlaps of all lines of a block."""
+    counts = np.array([len(s) for s in sets], dtype=np.int64)
+    needs = metric.need(counts, sizes)
+    if len(sets) == 2:
+        overlap = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if overlap * metric.unit >= needs.sum() else []
+    _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = often > 1
+    if len(sets) * int(several.sum()) > TABLE:
+        return block_links(sets, sizes, metric)
+    column, kept = np.cumsum(several) - 1, several[number]
+    table = np.zeros((len(sets), int(several.sum())), dtype=np.float32)
+    table[np.repeat(np.arange(len(sets)), counts)[kept], column[number[kept]]] = 1
+    overlaps = (table @ table.T).astype(np.int64)
+    union = Union(len(sets))
+    linked = np.argwhere(np.triu(overlaps * metric.unit >= needs[:, None] + needs, 1)).tolist()
+    return [(a, b) for a, b in linked if union.join(a, b)]
+
+
 def _stretches(split):
     """Every stretch of LEAST words around the windows that are asked for: its name, doc and start."""
 
@@ -457,7 +522,7 @@ def repeated_passages(
     # A name is the digest of the line's n-grams.
     sets = named.where("body = name").groupBy("name").agg(F.first("comp").alias("comp"), F.first("grams").alias("grams"))
     sets = sets.select("comp", F.col("name").alias("rep"), (F.length("grams") / 8).cast("long").alias("n"), "grams")
-    classes = connect(sets, num, den).select(F.col("rep").alias("name"), F.col("root").alias("class_id"))
+    classes = connect(sets, num, den, finder=line_links).select(F.col("rep").alias("name"), F.col("root").alias("class_id"))
     classed = cut(lines.select("name", "doc", "start", "end").join(classes, "name"))
     firsts = classed.groupBy("class_id").agg(F.min(place).alias("p"), F.max("doc").alias("last")).where("p.doc <> last")
     shared = classed.join(firsts, "class_id").where((F.col("doc") != F.col("p.doc")) | (F.col("start") == F.col("p.start")))

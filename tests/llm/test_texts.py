@@ -6,15 +6,17 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, langid, packing, passages, quality, secrets, sharding, token_file
+from skein.llm import decontaminate, exact_dedup, langid, ngram_join, packing, passages, quality, secrets, sharding, token_file
 from skein.llm.tokens import Encoder, default_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -542,6 +544,53 @@ def test_two_texts_among_many_are_found(spark):
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["kept"]) for r in found} == {(700, 20, 75, True), (2100, 0, 55, False)}
 
 
+def test_words_are_digested_as_they_are_split():
+    rng, split = random.Random(8), passages.split_words
+    texts = ["A b\tc\n\nd e\r\nf", "", None, " ", "\n", "x\n", "\nlong é word\x85y\x0bz", "Z" * 3000, "z" * 3000]
+    texts += ["".join(rng.choice("aB é\n\t") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for some in (texts, texts[::-1], [None], []):
+        digest = passages.Interned(passages.xxhash.xxh3_64_intdigest)
+        words, per_line, per_text = passages.digested(some, digest, split)
+        plain, lines, sizes = passages.digested(some, digest, lambda t: split(t))
+        assert per_text.tolist() == sizes.tolist() and [n for n in per_line if n] == [n for n in lines if n]
+        assert len(set(zip(words.tolist(), plain.tolist(), strict=True))) == len(set(words.tolist())) == len(set(plain.tolist()))
+
+
+@pytest.mark.parametrize("most", [1 << 22, 50])
+def test_lines_of_a_block_are_linked_as_by_all_pairs(monkeypatch, most):
+    monkeypatch.setattr(passages, "TABLE", most)
+    rng, metric = random.Random(4), passages.Metric(80, 100)
+    for k in (2, 2, 2, 3, 7, 30):
+        bases = [rng.sample(range(400), 60) for _ in range(3)]
+        sets = [np.array(sorted(set(rng.choice(bases)) ^ set(rng.sample(range(400), rng.randrange(8)))), dtype=np.uint64) for _ in range(k)]
+        groups, want = passages.Union(k), passages.Union(k)
+        for a, b in passages.line_links(sets, np.array([len(x) for x in sets]), metric):
+            groups.join(a, b)
+        for a, b in combinations(range(k), 2):
+            if 100 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 80 * len(set(sets[a].tolist()) | set(sets[b].tolist())):
+                want.join(a, b)
+        assert [groups.find(x) for x in range(k)] == [want.find(x) for x in range(k)]
+
+
+def test_blocks_of_one_task_are_told_apart():
+    """Batches end anywhere, blocks go on over them; each block is handed over once and whole."""
+    rng, seen = random.Random(5), []
+
+    def finder(sets, sizes, metric):
+        seen.append([int(s[0]) for s in sets])
+        return [(0, k) for k in range(1, len(sets))]
+
+    comps = sorted(rng.randrange(12) for _ in range(60))
+    rows = pa.table({"comp": comps, "rep": list(range(60)), "n": [1] * 60, "grams": [np.array([k], dtype=np.uint64).tobytes() for k in range(60)]})
+    rows = rows.set_column(3, "grams", rows.column("grams").cast(pa.binary()))
+    blocks = [[k for k in range(60) if comps[k] == c] for c in sorted(set(comps))]
+    for size in (1, 2, 7, 60):
+        seen.clear()
+        out = pa.Table.from_batches(ngram_join._links(80, 100, finder)(iter(rows.combine_chunks().to_batches(max_chunksize=size)))).to_pydict()
+        assert seen == [b for b in blocks if len(b) > 1]
+        assert list(zip(out["a"], out["b"], strict=True)) == [(b[0], x) for b in blocks for x in b[1:]]
+
+
 def test_passages_against_all_pairs(spark):
     """Runs of 50 words and more exactly; lines whose similarity is 0.8 or more, at a recall of 0.9 or more; others not at all."""
     rng = random.Random(21)
