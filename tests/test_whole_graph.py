@@ -1,6 +1,8 @@
 """Measures of the whole graph of small tables, against brute force."""
 
 import random
+import warnings
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -111,6 +113,27 @@ def test_communities_of_planted_groups(spark):
     assert found == {r["id"]: r["community"] for r in analytics.modularity_communities(nodes.repartition(3), edges.repartition(2)).collect()}
 
 
+def test_communities_end_where_no_merger_gains(spark):
+    """After the first level nothing stops short, and hubs and levels whose places are not sent give the same."""
+    rng = random.Random(5)
+    ids = [f"n{k:03}" for k in range(150)]
+    links = sorted({tuple(sorted(rng.sample(ids, 2))) for _ in range(330)} | {(ids[0], x) for x in ids[100:]})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([(a, b, "CALLS", 0) for a, b in links], "source string, target string, relationship string, provenance int")
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        found = {r["id"]: r["community"] for r in analytics.modularity_communities(nodes, edges).collect()}
+        again = {r["id"]: r["community"] for r in analytics.modularity_communities(nodes, edges, most_places=0, wide=20).collect()}
+    assert sum("communities" in str(t.message) for t in told) <= 2
+    assert found == again and all(found[c] == c and c <= i for i, c in found.items())
+    between, mass = Counter(), Counter()
+    for a, b in links:
+        between[frozenset((found[a], found[b]))] += 1
+        mass[found[a]] += 1
+        mass[found[b]] += 1
+    assert len(mass) > 1 and not any(between[frozenset((a, b))] - mass[a] * mass[b] / (2 * len(links)) > 1e-6 for a, b in combinations(mass, 2))
+
+
 def test_unsettled_components_raise(spark):
     nodes = spark.createDataFrame([(f"n{k:03}",) for k in range(200)], "id string")
     edges = spark.createDataFrame([(f"n{k:03}", f"n{(k + 1):03}", "CALLS", 0) for k in range(199)], "source string, target string, relationship string, provenance int")
