@@ -185,3 +185,16 @@ def test_common_names_are_dealt_into_blocks(spark, monkeypatch):
     assert sorted(tuple(r)[:2] for r in linked.collect()) == pairs and linked.rdd.getNumPartitions() >= 4
     free = linking.link_unresolved(references.withColumnRenamed("node_id", "enclosing_id"), once)
     assert sorted(tuple(r)[:2] for r in free.collect()) == pairs
+
+
+def test_copies_of_a_common_names_rows_do_not_grow(spark, monkeypatch):
+    """However common a name, it is dealt into no more blocks than keep the tasks busy; all its pairs are made."""
+    monkeypatch.setattr(linking, "BLOCK", 4)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    for rows in (10, 400, 1200):
+        left = spark.range(rows).select(F.lit("a").alias("k"), F.concat(F.lit("s"), "id").alias("source"))
+        right = spark.range(rows).select(F.lit("a").alias("k"), F.concat(F.lit("t"), "id").alias("target"))
+        joined = linking._met(left, right, "k")
+        assert joined.count() == joined.distinct().count() == rows * rows
+        blocks = linking._blocks(left, right, "k", tasks, linking.BLOCK).first()
+        assert blocks["__m"] * blocks["__n"] <= max(9, 1.3 * tasks * linking.BLOCKS_A_TASK)
