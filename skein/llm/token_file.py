@@ -1,30 +1,31 @@
-"""Token ids in files, compressed by an adaptive context-mixing range coder.
+"""Token ids in files, compressed by a context-mixing range coder.
 
 A file is a Parquet file of chapters.  A chapter holds whole documents in
-ascending id order; its ids are cut into blocks of at most BLOCK ids.  Every
-block is coded on its own: models and coder start afresh, and the block's crc32
-is checked when it is read.  The blocks of a chapter are coded in step, as the
-lanes of arrays.
-
-The two ids before an id foretell it (order 2), so does the one before it
-(order 1), each by what followed there last and how often it did; and there are
-the frequencies of all ids so far in the block (order 0), a tree of four
-hexadecimal digits whose counts grow with every id.  Whether the id that order 2
-foretells is right is one decision, whose probability mixes what all three
-orders say of that id (a probability for each state, learnt as it goes; their
-logits are summed with weights that are learnt too).  If it is not, the same is
-asked of order 1, mixed with order 0; an id that neither foretold is coded by its
-frequencies.  All this drives a carry-less range coder with 64 bits of state, in
-whole numbers, so every machine decodes alike.
-
-Chapter layout (little-endian): magic "SKT2", u32 documents, u64 ids, u64 ids
-of the same part before it, u32 block size, u32 largest id, then per document i64 id and u64
-length (ids equal to NULL_ID stand for a null), per block u32 coded bytes and u32 crc32 of its ids
+ascending id order; its ids are cut into blocks of at most BLOCK ids.  A section
+is up to SECTION blocks and the counts that foretell their ids: how often every
+id comes (order 0), what follows an id (order 1) and what follows a pair (order 2),
+so far as an entry saves more bits than it takes.  From these counts and its own
+bytes every block is coded on its own: mixers and coder start afresh, and the
+block's crc32 is checked when it is read.  The blocks of a section are coded in
+step, as the lanes of arrays.
+
+The longest context that the section knows is asked first.  Whether it lists the
+id is one decision, whose probability mixes how often that context was right,
+how often the shorter one was, and how often the block's contexts were of late
+(their logits are summed with weights that are learnt as the block goes).  If
+not, the shorter context is asked likewise, and last all ids of the section.  The
+id is then one choice by its count there.  All this drives a range coder with 64
+bits of state, in whole numbers, so every machine decodes alike.
+
+Chapter layout (little-endian): magic "SKT3", u32 documents, u64 ids, u64 ids
+of the same part before it, u32 block size, then per document i64 id and u64
+length (ids equal to NULL_ID stand for a null), then the sections: u32 bytes and u32 crc32 of the
+counts, the counts, per block u32 coded bytes and u32 crc32 of its ids
 as unsigned 32-bit numbers, then the coded blocks.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an
-id follow one another in no fixed order; ids may have 32 bits (all but the last
-value); a document of any length lies in one chapter; an empty table gives no chapters and an
+id follow one another in no fixed order; ids may have 32 bits; a document of any
+length lies in one chapter; an empty table gives no chapters and an
 empty result.
 """
 
@@ -43,309 +44,425 @@ from skein.llm.common import offsets, pieces, small_batches
 from skein.llm.tokens import worker_encoder
 
 BLOCK = 4096
+SECTION = 1536
 CHAPTER = 6 << 20
-MAGIC = b"SKT2"
+MAGIC = b"SKT3"
 NULL_ID = -(1 << 63)
 _TOP = np.uint64((1 << 64) - 1)
-#: After a look at the bytes every interval is this wide: room for a decision and a choice, and some more.
-_NARROW = np.uint64(1 << 40)
-_HEAD = np.uint64(56)
-_AGREE = [np.uint64(1 << n) for n in (56, 48, 40)]
-_EIGHT = np.uint64(8)
+#: Before a choice, and before the first decision, every interval is at least this wide.
+_NARROW = np.uint64(1 << 32)
+_WORD, _SHARE, _ONE = np.uint64(32), np.uint64(16), np.uint64(1)
 
 
 class Lanes:
     """Range coder of many blocks in step.  With ``coded`` it decodes, else it encodes."""
 
     def __init__(self, lanes: int, room: int, coded: list[bytes] | None = None):
-        self.low = np.zeros(lanes, dtype=np.uint64)
-        self.high = np.full(lanes, _TOP)
-        self.at = np.zeros(lanes, dtype=np.int64)
         self.decoding = coded is not None
+        width = max(map(len, coded)) // 4 + 2 if self.decoding else room
+        self.words = np.zeros((lanes, width), dtype="<u4")
+        self.flat, self.width = self.words.reshape(-1), width
+        self.start = np.arange(lanes) * width
+        self.at = np.zeros(lanes, dtype=np.int64)
+        self.range = np.full(lanes, _TOP)
+        #: The interval's lower end; when decoding, how far the code lies above it.
+        self.low = np.zeros(lanes, dtype=np.uint64)
         if self.decoding:
-            width = max(map(len, coded)) + 16
-            self.bytes = np.zeros((lanes, width), dtype=np.uint8)
             for k, c in enumerate(coded):
-                self.bytes[k, : len(c)] = np.frombuffer(c, dtype=np.uint8)
-            self.code = np.zeros(lanes, dtype=np.uint64)
-            for k in range(8):
-                self.code = (self.code << _EIGHT) | self.bytes[:, k]
-            self.at += 8
+                self.words[k, : len(c) // 4] = np.frombuffer(c, dtype="<u4", count=len(c) // 4)
+            self.low = self.words[:, 0].astype(np.uint64) << _WORD | self.words[:, 1]
+            self.at += 2
+
+    def _carry(self, k: np.ndarray) -> None:
+        place = self.start[k] + self.at[k] - 1
+        while len(place):
+            self.flat[place] += np.uint32(1)
+            place = place[self.flat[place] == 0] - 1
+
+    def _move(self, rows, add: np.ndarray, width: np.ndarray) -> None:
+        """Go to the part of the interval that begins ``add`` above its lower end."""
+        if self.decoding:
+            self.low[rows] -= add
         else:
-            self.bytes = np.zeros((lanes, room), dtype=np.uint8)
-        self.flat, self.width = self.bytes.reshape(-1), self.bytes.shape[1]
-
-    def begin(self, rows: np.ndarray) -> None:
-        """From here on the lanes ``rows`` take part."""
-        self.rows = rows
-        self.a, self.b = self.low[rows], self.high[rows]
-        self.x = self.code[rows] if self.decoding else None
-
-    def end(self) -> None:
-        self.settle()
-        self.low[self.rows], self.high[self.rows] = self.a, self.b
+            low = self.low[rows] + add
+            self.low[rows] = low
+            over = np.flatnonzero(low < add)
+            if len(over):
+                self._carry(over if isinstance(rows, slice) else rows[over])
+        self.range[rows] = width
+
+    def _settle(self, rows: slice) -> None:
+        """Shift out a word where the interval is narrow."""
+        k = np.flatnonzero(self.range[rows] < _NARROW)
+        place = self.start[k] + self.at[k]
         if self.decoding:
-            self.code[self.rows] = self.x
-
-    def settle(self) -> None:
-        """Shift out the leading bytes on which both ends agree; cut an interval that is still too narrow."""
-        while True:
-            differ = self.a ^ self.b
-            count = (differ < _AGREE[0]).astype(np.uint64)
-            count += differ < _AGREE[1]
-            count += differ < _AGREE[2]
-            k = np.flatnonzero(count)
-            if len(k):
-                lane, n = self.rows[k], count[k]
-                at, shift = self.at[lane], n * _EIGHT
-                a = self.a[k]
-                if self.decoding:
-                    place = lane * self.width + at
-                    word = self.flat.take(place).astype(np.uint64) << np.uint64(16)
-                    word |= self.flat.take(place + 1).astype(np.uint64) << _EIGHT
-                    word |= self.flat.take(place + 2)
-                    self.x[k] = (self.x[k] << shift) | (word >> (np.uint64(24) - shift))
-                else:
-                    for j in range(int(n.max())):
-                        more = n > j
-                        self.flat[(lane * self.width + at)[more] + j] = (a[more] >> np.uint64(56 - 8 * j)) & np.uint64(255)
-                self.at[lane] = at + n.astype(np.int64)
-                self.a[k] = a << shift
-                self.b[k] = (self.b[k] << shift) | ((np.uint64(1) << shift) - np.uint64(1))
-            tight = np.flatnonzero(self.b - self.a < _NARROW)
-            if not len(tight):
-                return
-            a, b = self.a[tight], self.b[tight]
-            border = (b >> _HEAD) << _HEAD
-            apart = border > a
-            upper = apart & (b - border >= border - a)
-            self.a[tight] = np.where(upper, border, a)
-            self.b[tight] = np.where(apart & ~upper, border - np.uint64(1), b)
-
-    def decide(self, share: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Code one yes or no per lane, yes with a probability of share / 65536.  Takes up to 12 bits of width."""
-        middle = self.a + ((self.b - self.a) >> np.uint64(16)) * share.astype(np.uint64)
-        yes = self.x <= middle if self.decoding else bit
-        self.b = np.where(yes, middle, self.b)
-        self.a = np.where(yes, self.a, middle + np.uint64(1))
+            place = np.minimum(place, self.start[k] + self.width - 1)
+            self.low[k] = self.low[k] << _WORD | self.flat[place]
+        else:
+            self.flat[place] = self.low[k] >> _WORD
+            self.low[k] <<= _WORD
+        self.range[k] <<= _WORD
+        self.at[k] += 1
+
+    def decide(self, rows, share: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        """Code one yes or no per lane of ``rows``, yes with a probability of share / 65536; twice at most between choices."""
+        width = self.range[rows]
+        part = (width >> _SHARE) * share.astype(np.uint64)
+        yes = self.low[rows] < part if self.decoding else bit
+        no = (~yes).astype(np.uint64)
+        self._move(rows, part * no, part + (width - part - part) * no)
         return yes
 
-    def choose(self, sums: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
-        """Code one of the columns of ``sums``, running sums of their frequencies.  Takes up to 16 bits of width."""
-        step = (self.b - self.a) // sums[:, -1]
+    def choose(self, rows: slice, model: Model, node: np.ndarray, entry: np.ndarray | None) -> np.ndarray:
+        """Code one entry of each lane's ``node``."""
+        self._settle(rows)
+        unit = self.range[rows] >> np.uint64(model.bits)
         if self.decoding:
-            target = np.minimum((self.x - self.a) // step, sums[:, -1].astype(np.uint64) - np.uint64(1))
-            digit = (sums <= target[:, None]).sum(axis=1)
-        at = np.arange(0, sums.size, sums.shape[1]) + digit
-        flat = sums.ravel()
-        above = flat.take(at).astype(np.uint64)
-        below = flat.take(at - (digit > 0)).astype(np.uint64)
-        below[digit == 0] = 0
-        self.b = self.a + step * above - np.uint64(1)
-        self.a = self.a + step * below
-        return digit
+            at = np.minimum(self.low[rows] // unit, np.uint64((1 << model.bits) - 1)).astype(np.int64)
+            entry = model.find(node, at)
+        self._move(rows, unit * model.below.take(entry, mode="clip"), unit * model.share.take(entry, mode="clip"))
+        self._settle(rows)
+        return entry
 
     def finish(self) -> list[bytes]:
-        """The coded bytes of every lane."""
-        for k in range(8):
-            self.bytes[np.arange(len(self.at)), self.at + k] = (self.low >> np.uint64(56 - 8 * k)).astype(np.uint8)
-        return [self.bytes[k, : n + 8].tobytes() for k, n in enumerate(self.at)]
+        """The coded bytes of every lane; what a reader finds beyond them counts as zeros."""
+        last = self.low + (_NARROW - _ONE)
+        self._carry(np.flatnonzero(last < self.low))
+        self.flat[self.start + self.at] = last >> _WORD
+        return [self.words[k, : n + 1].tobytes() for k, n in enumerate(self.at)]
 
 
 def _logistic() -> tuple[np.ndarray, np.ndarray]:
-    """ln(p / (1 - p)) of 12-bit probabilities in steps of 1/256, and its inverse from -2047 on."""
+    """ln(p / (1 - p)) of 12-bit probabilities in steps of 1/256, and its inverse from -2047 on, of 65536."""
     p = (np.arange(4096) + 0.5) / 4096
     stretch = np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32)
-    squash = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 16, 4080).astype(np.int32)
+    squash = np.clip(np.rint(65_536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65_504).astype(np.int32)
     return stretch, squash
 
 
 _STRETCH, _SQUASH = _logistic()
 
 
+#: How slowly the mixers' weights move, as a power of two.
+RATE = 14
+
+
 class Mixer:
-    """Whether a guessed id is right, told by the contexts that speak of it.
+    """Whether a context lists the next id, told by that context, by the shorter one and by the block so far.
 
-    Every context's state (how often it was right before) has an adaptive
-    probability; the probabilities' logits are summed with adaptive weights.
+    Their logits are summed with weights that every block learns; at first the context itself is believed.
     """
 
-    def __init__(self, lanes: int, states: list[int]):
-        self.states = states
-        self.tables = [np.full(lanes * n, 1 << 14, dtype=np.int32) for n in states]
-        self.weights = [np.full(lanes, 28_000, dtype=np.int32) for _ in states]
-
-    def code(self, coder: Lanes, rows: np.ndarray, states: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        slots = [rows * n + s for n, s in zip(self.states, states, strict=True)]
-        known = [t.take(k) for t, k in zip(self.tables, slots, strict=True)]
-        logits = [_STRETCH.take(p >> 4) for p in known]
-        weights = [w.take(rows) for w in self.weights]
-        mixed = weights[0] * logits[0]
-        for w, x in zip(weights[1:], logits[1:], strict=True):
-            mixed = mixed + w * x
-        p = _SQUASH.take(np.clip(mixed >> 16, -2047, 2047) + 2047)
-        yes = coder.decide(p << 4, bit)
-        miss = (yes.astype(np.int32) << 12) - p
-        for table, w, slot, q, old, x in zip(self.tables, self.weights, slots, known, weights, logits, strict=True):
-            w[rows] = np.clip(old + ((x * miss) >> 9), -200_000, 200_000)
-            table[slot] = q + ((np.where(yes, 65_535, 0).astype(np.int32) - q) >> 5)
+    def __init__(self, lanes: int):
+        self.weights = np.repeat(np.array([[1 << 16], [0], [0]], dtype=np.int32), lanes, axis=1)
+        self.late = np.full(lanes, 1 << 15, dtype=np.int32)
+
+    def code(self, coder: Lanes, rows, model: Model, node: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
+        late, weights = self.late[rows], self.weights[:, rows]
+        logits = np.empty_like(weights)
+        model.own.take(node, out=logits[0], mode="clip")
+        model.shorter.take(node, out=logits[1], mode="clip")
+        _STRETCH.take(late >> 4, out=logits[2], mode="clip")
+        mixed = weights * logits
+        mixed = (mixed[0] + mixed[1] + mixed[2]) >> 16
+        p = _SQUASH.take(mixed + 2047, mode="clip")
+        np.putmask(p, node == 0, 1 << 16)  # all ids are listed there
+        yes = coder.decide(rows, p, bit)
+        right = yes.astype(np.int32) << 16
+        logits *= right - p
+        logits >>= RATE
+        logits += weights
+        np.minimum(logits, 200_000, out=logits)
+        self.weights[:, rows] = np.maximum(logits, -200_000, out=logits)
+        self.late[rows] = late + ((right - (right >> 16) - late) >> 5)
         return yes
 
 
-def _prior() -> list[np.ndarray]:
-    """Running sums of the first frequencies at every node: 16 children of a node, low ids likelier."""
-    mass = 1.0 / (np.arange(1 << 16) + 512.0)
-    out = []
-    for level in range(4):
-        share = mass.reshape(16 ** (level + 1), -1).sum(axis=1).reshape(-1, 16)
-        share = np.maximum(1, np.rint(16 * (4 - level) * share / share.sum(axis=1, keepdims=True)))
-        out.append(np.cumsum(share, axis=1).astype(np.int64))
-    return out
+#: An entry of the counts takes about so many bits; so many are lost by an id that its context does not list.
+_ENTRY_BITS = 20.0
+SLACK = 0.5
+#: Counts are kept to an eighth of a power of two: 0, then 2 ** (k / 8).
+_COUNT = np.concatenate([[0], np.rint(2.0 ** (np.arange(255) / 8))]).astype(np.int64)
+
+
+def _rounded(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, 1 + np.rint(8 * np.log2(np.maximum(counts, 1))), 0).astype(np.uint8)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``keys``, ascending, how often each comes, and the places of the keys in that order."""
+    if not len(keys):
+        return keys, keys, keys
+    bits = len(keys).bit_length()
+    if int(keys.max()) >> (63 - bits):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    else:  # key and place in one number sort faster
+        keys = keys << bits
+        keys |= np.arange(len(keys))
+        keys.sort()
+        order = (keys & ((1 << bits) - 1)).astype(np.int32)
+        keys >>= bits
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys))), order
 
-_PRIOR = _prior()
-#: What one sight of an id adds to the frequency of each of its four digits.
-_SIGHT = (6, 8, 10, 12)
-
-
-class Frequencies:
-    """Order 0: how often each id came so far (ids that a longer context foretold aside), in a tree of four hexadecimal digits."""
-
-    def __init__(self, lanes: int, block: int):
-        kind = np.uint16 if max(_SIGHT) * block + 256 < 1 << 16 else np.uint32
-        self.sums = [np.broadcast_to(p.astype(kind), (lanes, *p.shape)).reshape(-1, 16).copy() for p in _PRIOR]
-        self.add = [(np.tri(16, dtype=kind).T * kind(s)) for s in _SIGHT]
-
-    def seen(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """How often an id came, in classes."""
-        at, flat = rows * (1 << 16) + ids, self.sums[3].ravel()
-        first = ids & 15 == 0
-        below = flat.take(at - ~first).astype(np.int64)
-        below[first] = 0
-        return _CLASS.take(np.minimum((flat.take(at) - below) // _SIGHT[3], 15))
-
-    def code(self, coder: Lanes, rows: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        node, found = rows, np.zeros(len(rows), dtype=np.int64)
-        for level in range(4):
-            sums = self.sums[level].take(node, axis=0)
-            digit = coder.choose(sums, None if ids is None else (ids >> (12 - 4 * level)) & 15)
-            if level == 1:
-                coder.settle()
-            sums += self.add[level].take(digit, axis=0)
-            self.sums[level][node] = sums
-            node, found = node * 16 + digit, found * 16 + digit
-        return found
-
-
-_CLASS = np.array([0, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5, 5, 5, 5, 6])
-
-
-def _transform(sizes: np.ndarray, lanes: Lanes, ids: np.ndarray | None, top: int) -> np.ndarray:
-    """Code ``ids`` (block after block), none above ``top``, or decode them; sizes must not increase but for the last."""
-    n = len(sizes)
-    starts = offsets(sizes)[:-1]
-    out = np.zeros(int(sizes.sum()), dtype=np.uint32) if ids is None else ids
-    slots = 1 << max(4, int(sizes.max() - 1).bit_length())
-    #: By the last two ids, and by the last: the id that followed (0: none yet), and how often it did, up to 3.
-    guess2, guess1 = np.zeros(n * slots, dtype=np.uint32), np.zeros(n * slots, dtype=np.uint32)
-    sure2, sure1 = np.zeros(n * slots, dtype=np.uint8), np.zeros(n * slots, dtype=np.uint8)
-    first, second = Mixer(n, [4, 9, 8]), Mixer(n, [4, 8])
-    frequencies = Frequencies(n, int(sizes.max()))
-    high = max(0, (top >> 16).bit_length())
-    before, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    every = np.arange(n)
-    for t in range(int(sizes.max())):
-        rows = every if sizes[-1] > t else every[sizes > t]
-        u, w = last[rows], before[rows]
-        slot1 = rows * slots + (((u * 40_503) >> 6) & (slots - 1))
-        slot2 = rows * slots + (((u * 40_503 + w * 30_011) >> 5) & (slots - 1))
-        g2, g1 = guess2.take(slot2).astype(np.int64), guess1.take(slot1).astype(np.int64)
-        s2, s1 = sure2.take(slot2), sure1.take(slot1)
-        token = None if ids is None else out[starts[rows] + t].astype(np.int64) + 1
-        found = np.zeros(len(rows), dtype=np.int64)
-        rest = np.arange(len(rows))
-        # Order 2 guesses; orders 1 and 0 have their say in how likely that is.
-        ask = np.flatnonzero(g2 > 0)
-        if len(ask):
-            r, g = rows[ask], g2[ask]
-            lanes.begin(r)
-            other = np.where(g1[ask] == g, 4 + s1[ask], np.where(g1[ask] > 0, s1[ask], 8))
-            hit = first.code(lanes, r, [s2[ask], other, frequencies.seen(r, (g - 1) & 0xFFFF)], None if token is None else token[ask] == g)
-            lanes.end()
-            found[ask[hit]] = g[hit]
-            rest = np.flatnonzero(found == 0)
-        # Then order 1, where it says otherwise.
-        ask = rest[(g1[rest] > 0) & (g1[rest] != g2[rest])]
-        if len(ask):
-            r, g = rows[ask], g1[ask]
-            lanes.begin(r)
-            hit = second.code(lanes, r, [s1[ask], frequencies.seen(r, (g - 1) & 0xFFFF)], None if token is None else token[ask] == g)
-            lanes.end()
-            found[ask[hit]] = g[hit]
-            rest = np.flatnonzero(found == 0)
-        if len(rest):
-            r = rows[rest]
-            lanes.begin(r)
-            tok = None if token is None else token[rest] - 1
-            over = np.zeros(len(r), dtype=np.int64)
-            for k in range(0, high, 8):
-                even = np.broadcast_to(np.arange(1, 257, dtype=np.uint64), (len(r), 256))
-                over |= lanes.choose(even, None if tok is None else (tok >> (16 + k)) & 255) << k
-                lanes.settle()
-            found[rest] = (over << 16 | frequencies.code(lanes, r, None if tok is None else tok & 0xFFFF)) + 1
-            lanes.end()
-        if ids is None:
-            out[starts[rows] + t] = found - 1
-        for guess, sure, slot, g, s in ((guess2, sure2, slot2, g2, s2), (guess1, sure1, slot1, g1, s1)):
-            right = found == g
-            sure[slot] = np.where(right, np.minimum(s + 1, 3), s >> 1)
-            guess[slot] = np.where(right | (s == 0), found, g)
-        before[rows], last[rows] = u, found
+
+def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each of ``keys`` lies among ``sorted_keys``, -1 if it does not."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, dtype=np.int32)
+    at = np.searchsorted(sorted_keys, keys).astype(np.int32)
+    at[sorted_keys.take(at, mode="clip") != keys] = -1
+    return at
+
+
+class Model:
+    """The counts of a section as a table of contexts (nodes) and the ids that they list (entries).
+
+    Node 0 lists all ids; then come the ids that list followers, then the pairs that do.  A pair is an
+    entry of the second kind.  ``then`` is the longest context known after an entry.
+    """
+
+    def __init__(self, ids, codes, pairs, pair_codes, pair_misses, triples, triple_codes, triple_misses):
+        self.ids, n, m = ids, len(ids), len(pairs)
+        self.pairs, self.triples = pairs, triples
+        self.parts = (ids, codes, pairs, pair_codes, pair_misses, triples, triple_codes, triple_misses)
+        one, two = np.unique(pairs // n), np.unique(triples // n)
+        after_one, after_two = np.zeros(n, dtype=np.int64), np.zeros(m, dtype=np.int64)
+        after_one[one] = 1 + np.arange(len(one))
+        after_two[two] = 1 + len(one) + np.arange(len(two))
+        node = np.concatenate([np.zeros(n, dtype=np.int64), after_one[pairs // n], after_two[triples // n]])
+        symbol = np.concatenate([np.arange(n), pairs % n, triples % n])
+        last = pairs[triples // n] % n if m else triples
+        pair = np.concatenate([np.full(n, -1), np.arange(m), _places(pairs, last * n + triples % n)])
+        self.node, self.symbol = node, symbol
+        self.then = after_one[symbol]
+        if m:
+            longer = np.where(pair >= 0, after_two[pair], 0)
+            self.then = np.where(longer > 0, longer, self.then)
+        # The ids' shares of 1 << bits within their nodes.
+        self.bits = max(24, n.bit_length() + 2)
+        counts = _COUNT[np.concatenate([codes, pair_codes, triple_codes])]
+        begin = np.flatnonzero(np.diff(node, prepend=-1))
+        sums, sizes = np.add.reduceat(counts, begin), np.diff(np.append(begin, len(node)))
+        whole = 1 << self.bits
+        share = 1 + counts * (whole - sizes[node]) // sums[node]
+        share[np.append(begin[1:], len(node)) - 1] += whole - np.add.reduceat(share, begin)
+        below = np.cumsum(share) - share
+        below -= below[begin][node]
+        self.keys = (node << self.bits) + below
+        self.below, self.share = below.astype(np.uint64), share.astype(np.uint64)
+        # Where a search begins: each node is cut into equal parts, four an entry or more.
+        cuts = np.ceil(np.log2(4 * sizes)).astype(np.int64)
+        self.shift, self.first = self.bits - cuts, offsets(1 << cuts)[:-1]
+        place = np.repeat(np.arange(len(sizes)), 1 << cuts)
+        place = (place << self.bits) + ((np.arange(len(place)) - self.first[place]) << self.shift[place])
+        self.begin = np.searchsorted(self.keys, place, side="right") - 1
+        self.above = np.append(self.keys[1:], np.int64(len(sizes) << self.bits))
+        # How often a context is right, as a logit, and the same of the shorter one.
+        misses = _COUNT[np.concatenate([[0], pair_misses, triple_misses]).astype(np.int64)]
+        self.own = _STRETCH[np.minimum(4095, sums * 4096 // (sums + misses))]
+        self.less = np.concatenate([np.zeros(1 + len(one), dtype=np.int64), after_one[pairs[two] % n] if m else two])
+        self.shorter = np.where(self.less > 0, self.own[self.less], 0).astype(np.int32)
+
+    def find(self, node: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The entry of each node that holds the place ``at`` of its 1 << bits."""
+        entry = self.begin.take(self.first.take(node, mode="clip") + (at >> self.shift.take(node, mode="clip")), mode="clip")
+        at += node << self.bits
+        more = np.flatnonzero(self.above.take(entry, mode="clip") <= at)
+        if len(more):
+            entry[more] = np.searchsorted(self.keys, at[more], side="right") - 1
+        return entry
+
+    def to_bytes(self) -> bytes:
+        ids, codes, pairs, pair_codes, pair_misses, triples, triple_codes, triple_misses = self.parts
+        n = len(ids)
+        columns = [_planes(np.diff(ids.astype(np.int64), prepend=0)), codes.tobytes()]
+        for keys, contexts, counted, missed in ((pairs, n, pair_codes, pair_misses), (triples, len(pairs), triple_codes, triple_misses)):
+            columns += [_planes(np.bincount(keys // n, minlength=contexts)), _planes(keys % n), counted.tobytes(), missed.tobytes()]
+        return struct.pack("<5I", n, len(pairs), len(triples), len(pair_misses), len(triple_misses)) + zlib.compress(b"".join(columns), 4)
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Model:
+        n, m, k, ones, twos = struct.unpack_from("<5I", raw)
+        data, at = np.frombuffer(zlib.decompress(raw[20:]), dtype=np.uint8), 0
+
+        def small(size: int) -> np.ndarray:
+            nonlocal at
+            at += size
+            return data[at - size : at]
+
+        def large(size: int) -> np.ndarray:
+            return np.ascontiguousarray(small(4 * size).reshape(4, size).T).view("<u4").reshape(-1).astype(np.int64)
+
+        parts = [np.cumsum(large(n)).astype(np.uint32), small(n)]
+        for contexts, size, missed in ((n, m, ones), (m, k, twos)):
+            parts += [np.repeat(np.arange(contexts), large(contexts)) * n + large(size), small(size), small(missed)]
+        return cls(*parts)
+
+
+def _kept(keys: np.ndarray, counts: np.ndarray, seen: np.ndarray, n: int, lower: np.ndarray):
+    """Which entries save more bits than they take, of contexts that come as often as ``seen``; how often these list nothing."""
+    context = keys // n
+    keep = counts * (np.log2(counts / seen[context]) - np.log2(lower) + SLACK) > _ENTRY_BITS
+    return keep, seen - np.bincount(context[keep], weights=counts[keep], minlength=len(seen)).astype(np.int64)
+
+
+def _numbered(keep: np.ndarray, counts: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+    """For each place, the number of its group among those kept, or -1."""
+    out = np.full(size, -1, dtype=np.int32)
+    out[order[np.repeat(keep, counts)]] = np.repeat(np.arange(keep.sum(), dtype=np.int32), counts[keep])
     return out
 
 
+def _learn(ids: np.ndarray, block: int) -> tuple[Model, np.ndarray]:
+    """The counts of these ids, and the entry by which each id is coded."""
+    top = int(ids.max())
+    if top < 1 << 22:
+        often = np.bincount(ids)
+        known = np.flatnonzero(often)
+        rank = np.zeros(top + 1, dtype=np.int32)
+        rank[known] = np.arange(len(known))
+        often, rank = often[known], rank[ids]
+    else:
+        known, rank, often = np.unique(ids, return_inverse=True, return_counts=True)
+    n = len(known)
+    # Order 1: what follows an id; a block's first id follows nothing, here number n.
+    keys = np.empty(len(ids), dtype=np.int64)
+    np.multiply(rank[:-1], n, out=keys[1:], dtype=np.int64)
+    keys[::block] = n * n
+    keys += rank
+    seen = often - np.bincount(rank[block - 1 :: block], minlength=n)
+    seen[rank[-1]] -= len(ids) % block > 0
+    pairs, pair_counts, order = _grouped(keys)
+    del keys
+    share, keep = often / len(ids), pair_counts > 1
+    keep[pairs >= n * n] = False
+    keep[keep], missed = _kept(pairs[keep], pair_counts[keep], seen, n, share[pairs[keep] % n])
+    place = _numbered(keep, pair_counts, order, len(ids))
+    pairs, pair_counts = pairs[keep], pair_counts[keep]
+    m = len(pairs)
+    # Order 2: what follows a pair that is listed.
+    before = np.empty_like(place)
+    before[1:] = place[:-1]
+    before[::block] = -1
+    at = np.flatnonzero(before >= 0)
+    before = before[at]
+    pair_seen = np.bincount(before, minlength=m)
+    keys = before.astype(np.int64)
+    keys *= n
+    keys += rank[at]
+    triples, triple_counts, order = _grouped(keys)
+    del keys
+    keep = triple_counts > 1
+    some = triples[keep]
+    last = pairs[some // n] % n
+    pair = _places(pairs, last * n + some % n)
+    lower = np.maximum(missed[last], 0.5) / np.maximum(seen[last], 1) * share[some % n]
+    if m:
+        lower = np.where(pair >= 0, pair_counts[pair] / np.maximum(seen[last], 1), lower)
+    keep[keep], lost = _kept(some, triple_counts[keep], pair_seen, n, lower)
+    entry = np.where(place >= 0, place + n, rank)
+    entry[at[order[np.repeat(keep, triple_counts)]]] = np.repeat(np.arange(n + m, n + m + keep.sum(), dtype=np.int32), triple_counts[keep])
+    triples, triple_counts = triples[keep], triple_counts[keep]
+    model = Model(
+        known, _rounded(often),
+        pairs, _rounded(pair_counts), _rounded(missed[np.unique(pairs // n)]),
+        triples, _rounded(triple_counts), _rounded(lost[np.unique(triples // n)]),
+    )
+    return model, entry
+
+
+def _transform(model: Model, sizes: np.ndarray, coder: Lanes, entries: np.ndarray | None) -> np.ndarray:
+    """Code the entries (block after block) or decode them; sizes must not differ but for a smaller last."""
+    lanes, longest = len(sizes), int(sizes[0])
+    steps = np.zeros((longest, lanes), dtype=np.int32)
+    if entries is not None:
+        full = entries[: len(entries) // longest * longest].reshape(-1, longest)
+        steps[:, : len(full)] = full.T
+        steps[: len(entries) - full.size, len(full) :] = entries[full.size :, None]
+    first, second = Mixer(lanes), Mixer(lanes)
+    node = np.zeros(lanes, dtype=np.int64)
+    for t in range(longest):
+        n = lanes if t < sizes[-1] else lanes - 1
+        node, rows = node[:n], slice(0, n)
+        entry = None if entries is None else steps[t, :n].astype(np.int64)
+        where = None if entry is None else model.node.take(entry, mode="clip")
+        yes = first.code(coder, rows, model, node, None if where is None else where == node)
+        no = np.flatnonzero(~yes)
+        if len(no):
+            node[no] = less = model.less.take(node[no])
+            ask = np.flatnonzero(less)
+            no, less = no[ask], less[ask]
+            if len(no):
+                yes = second.code(coder, no, model, less, None if where is None else where[no] == less)
+                node[no[~yes]] = 0
+        entry = coder.choose(rows, model, node, entry)
+        if entries is None:
+            steps[t, :n] = entry
+        node = model.then.take(entry, mode="clip")
+    if entries is not None:
+        return entries
+    return np.concatenate([steps[:, :-1].T.reshape(-1), steps[: sizes[-1], -1]])
+
+
 def _block_sizes(total: int, block: int) -> np.ndarray:
     return np.array([block] * (total // block) + ([total % block] if total % block else []), dtype=np.int64)
 
 
-def write_chapter(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], before: int, block: int = BLOCK) -> bytes:
-    ids = ids.astype("<u4")
-    top = int(ids.max()) if len(ids) else 0
-    if top == (1 << 32) - 1:
-        raise ValueError("the largest 32-bit number cannot be an id")
+def _section(ids: np.ndarray, block: int) -> list[bytes]:
+    model, entries = _learn(ids, block)
     sizes = _block_sizes(len(ids), block)
-    lanes = Lanes(len(sizes), 8 * block + 64)
-    if len(sizes):
-        _transform(sizes, lanes, ids, top)
-    coded = lanes.finish()
-    ends = offsets(sizes)
+    coder = Lanes(len(sizes), 2 * int(sizes[0]) + 4)
+    _transform(model, sizes, coder, entries)
+    coded, counts, ends = coder.finish(), model.to_bytes(), offsets(sizes)
     table = b"".join(
         struct.pack("<II", len(c), zlib.crc32(ids[a:b].tobytes())) for c, a, b in zip(coded, ends, ends[1:], strict=False)
     )
+    return [struct.pack("<II", len(counts), zlib.crc32(counts)), counts, table, *coded]
+
+
+def write_chapter(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], before: int, block: int = BLOCK) -> bytes:
+    ids = ids.astype("<u4")
     docs = np.empty(len(lengths), dtype=[("id", "<i8"), ("n", "<u8")])
     docs["id"] = [NULL_ID if d is None else d for d in doc_ids]
     docs["n"] = lengths
-    return b"".join([MAGIC, struct.pack("<IQQII", len(lengths), len(ids), before, block, top), docs.tobytes(), table, *coded])
+    out = [MAGIC, struct.pack("<IQQI", len(lengths), len(ids), before, block), docs.tobytes()]
+    for a in range(0, len(ids), SECTION * block):
+        out += _section(ids[a : a + SECTION * block], block)
+    return b"".join(out)
 
 
 def read_chapter(raw: bytes) -> tuple[list[int | None], np.ndarray, int, np.ndarray]:
     """(document ids, their lengths, ids of the part before the chapter, all ids)."""
     if raw[:4] != MAGIC:
         raise ValueError("not a chapter of token ids")
-    n, total, before, block, top = struct.unpack_from("<IQQII", raw, 4)
-    at = 4 + struct.calcsize("<IQQII")
+    n, total, before, block = struct.unpack_from("<IQQI", raw, 4)
+    at = 4 + struct.calcsize("<IQQI")
     docs = np.frombuffer(raw, dtype=[("id", "<i8"), ("n", "<u8")], count=n, offset=at)
     at += docs.nbytes
-    sizes = _block_sizes(total, block)
-    table = np.frombuffer(raw, dtype="<u4", count=2 * len(sizes), offset=at).reshape(-1, 2)
-    at += table.nbytes
-    begin = at + offsets(table[:, 0])
-    coded = [raw[a:b] for a, b in zip(begin, begin[1:], strict=False)]
-    ids = _transform(sizes, Lanes(len(sizes), 0, coded), None, top) if len(sizes) else np.zeros(0, dtype=np.uint32)
-    ends = offsets(sizes)
-    for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-        if zlib.crc32(ids[a:b].astype("<u4").tobytes()) != table[k, 1]:
-            raise ValueError(f"block {k} is damaged")
+    ids = np.zeros(total, dtype="<u4")
+    for start in range(0, total, SECTION * block):
+        size, crc = struct.unpack_from("<II", raw, at)
+        counts = raw[at + 8 : at + 8 + size]
+        at += 8 + size
+        if zlib.crc32(counts) != crc:
+            raise ValueError(f"the counts before block {start // block} are damaged")
+        model = Model.from_bytes(counts)
+        sizes = _block_sizes(min(total - start, SECTION * block), block)
+        table = np.frombuffer(raw, dtype="<u4", count=2 * len(sizes), offset=at).reshape(-1, 2)
+        begin = at + table.nbytes + offsets(table[:, 0])
+        at = int(begin[-1])
+        entries = _transform(model, sizes, Lanes(len(sizes), 0, [raw[a:b] for a, b in zip(begin, begin[1:], strict=False)]), None)
+        ends = start + offsets(sizes)
+        ids[start : ends[-1]] = model.ids[model.symbol[entries]]
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False), start // block):
+            if zlib.crc32(ids[a:b].tobytes()) != table[k - start // block, 1]:
+                raise ValueError(f"block {k} is damaged")
     return [None if d == NULL_ID else int(d) for d in docs["id"]], docs["n"].astype(np.int64), before, ids
 
 

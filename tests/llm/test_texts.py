@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -312,6 +313,33 @@ def test_coder_predicts():
             assert coded < 1.25 * -(p * np.log2(p)).sum()
 
 
+def test_counts_of_a_section_foretell_its_blocks():
+    """Blocks need not learn a source of 2 bits anew, whose ids alone would take 7."""
+    rng = np.random.default_rng(4)
+    follows = rng.integers(0, 128, (128, 4))
+    ids = [0]
+    for pick in rng.integers(0, 4, 60_000):
+        ids.append(int(follows[ids[-1], pick]))
+    ids = np.array(ids, dtype="<u4")
+    raw = token_file.write_chapter(ids, [1], [len(ids)], 0, block=500)
+    assert 8 * len(raw) / len(ids) < 3
+    assert (token_file.read_chapter(raw)[3] == ids).all()
+
+
+@pytest.mark.parametrize("ids", [np.arange(9000) % 1201, np.full(4100, 2**32 - 1), np.arange(7001) * 613_566])
+def test_sections_round_trip(monkeypatch, ids):
+    monkeypatch.setattr(token_file, "SECTION", 3)
+    raw = token_file.write_chapter(ids.astype("<u4"), [1], [len(ids)], 0, block=700)
+    assert (token_file.read_chapter(raw)[3] == ids).all()
+
+
+def test_damaged_counts_are_noticed():
+    raw = bytearray(token_file.write_chapter(np.arange(5000, dtype=np.uint32), [1], [5000], 0))
+    raw[4 + struct.calcsize("<IQQI") + 16 + 8 + 40] ^= 1
+    with pytest.raises(ValueError, match="damaged"):
+        token_file.read_chapter(bytes(raw))
+
+
 def test_damage_is_noticed():
     raw = bytearray(token_file.write_chapter(np.arange(5000, dtype=np.uint32), [1], [5000], 0))
     raw[-1500] ^= 64
