@@ -67,6 +67,8 @@ class Lanes:
         self.range = np.full(lanes, _TOP)
         #: The interval's lower end; when decoding, how far the code lies above it.
         self.low = np.zeros(lanes, dtype=np.uint64)
+        #: The lower end when it was last shifted; it has passed 64 bits, once at most, where it lies below that.
+        self.base = np.zeros(lanes, dtype=np.uint64)
         if self.decoding:
             for k, c in enumerate(coded):
                 self.words[k, : len(c) // 4] = np.frombuffer(c, dtype="<u4", count=len(c) // 4)
@@ -84,23 +86,21 @@ class Lanes:
         if self.decoding:
             self.low[rows] -= add
         else:
-            low = self.low[rows] + add
-            self.low[rows] = low
-            over = np.flatnonzero(low < add)
-            if len(over):
-                self._carry(over if isinstance(rows, slice) else rows[over])
+            self.low[rows] += add
         self.range[rows] = width
 
     def _settle(self, rows: slice) -> None:
         """Shift out a word where the interval is narrow."""
-        k = np.flatnonzero(self.range[rows] < _NARROW)
+        k = (self.range[rows] < _NARROW).nonzero()[0]
         place = self.start[k] + self.at[k]
         if self.decoding:
             place = np.minimum(place, self.start[k] + self.width - 1)
             self.low[k] = self.low[k] << _WORD | self.flat[place]
         else:
-            self.flat[place] = self.low[k] >> _WORD
-            self.low[k] <<= _WORD
+            low = self.low[k]
+            self._carry(k[low < self.base[k]])
+            self.flat[place] = low >> _WORD
+            self.low[k] = self.base[k] = low << _WORD
         self.range[k] <<= _WORD
         self.at[k] += 1
 
@@ -127,7 +127,7 @@ class Lanes:
     def finish(self) -> list[bytes]:
         """The coded bytes of every lane; what a reader finds beyond them counts as zeros."""
         last = self.low + (_NARROW - _ONE)
-        self._carry(np.flatnonzero(last < self.low))
+        self._carry(np.flatnonzero(last < self.base))
         self.flat[self.start + self.at] = last >> _WORD
         return [self.words[k, : n + 1].tobytes() for k, n in enumerate(self.at)]
 
@@ -178,8 +178,8 @@ class Mixer:
         return yes
 
 
-#: An entry of the counts takes about so many bits; so many are lost by an id that its context does not list.
-_ENTRY_BITS = 20.0
+#: An entry of the counts must save so many bits (it takes some 17 and a place in a table); so many are lost by an id that its context does not list.
+_ENTRY_BITS = 30.0
 SLACK = 0.5
 #: Counts are kept to an eighth of a power of two: 0, then 2 ** (k / 8).
 _COUNT = np.concatenate([[0], np.rint(2.0 ** (np.arange(255) / 8))]).astype(np.int64)
@@ -194,7 +194,7 @@ def _planes(numbers: np.ndarray) -> bytes:
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct ``keys``, ascending, how often each comes, and the places of the keys in that order."""
+    """The distinct ``keys`` (which are used up), ascending, how often each comes, and the places of the keys in that order."""
     if not len(keys):
         return keys, keys, keys
     bits = len(keys).bit_length()
@@ -202,10 +202,13 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
     else:  # key and place in one number sort faster
-        keys = keys << bits
-        keys |= np.arange(len(keys))
+        keys <<= bits
+        for a in range(0, len(keys), 1 << 16):
+            part = keys[a : a + (1 << 16)]
+            part |= np.arange(a, a + len(part))
         keys.sort()
-        order = (keys & ((1 << bits) - 1)).astype(np.int32)
+        order = np.empty(len(keys), dtype=np.int32)
+        np.bitwise_and(keys, (1 << bits) - 1, out=order, casting="unsafe")
         keys >>= bits
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.diff(np.append(first, len(keys))), order
@@ -273,7 +276,7 @@ class Model:
         """The entry of each node that holds the place ``at`` of its 1 << bits."""
         entry = self.begin.take(self.first.take(node, mode="clip") + (at >> self.shift.take(node, mode="clip")), mode="clip")
         at += node << self.bits
-        more = np.flatnonzero(self.above.take(entry, mode="clip") <= at)
+        more = (self.above.take(entry, mode="clip") <= at).nonzero()[0]
         if len(more):
             entry[more] = np.searchsorted(self.keys, at[more], side="right") - 1
         return entry
@@ -393,10 +396,10 @@ def _transform(model: Model, sizes: np.ndarray, coder: Lanes, entries: np.ndarra
         entry = None if entries is None else steps[t, :n].astype(np.int64)
         where = None if entry is None else model.node.take(entry, mode="clip")
         yes = first.code(coder, rows, model, node, None if where is None else where == node)
-        no = np.flatnonzero(~yes)
+        no = (~yes).nonzero()[0]
         if len(no):
             node[no] = less = model.less.take(node[no])
-            ask = np.flatnonzero(less)
+            ask = less.nonzero()[0]
             no, less = no[ask], less[ask]
             if len(no):
                 yes = second.code(coder, no, model, less, None if where is None else where[no] == less)
