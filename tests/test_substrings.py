@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,27 @@ def test_nothing_of_the_size_of_texts_or_pairs_is_written(spark):
     assert scratch(spark) - before < 300_000
 
 
+@pytest.mark.parametrize("stretch, step", [(16, substrings.STEP), (64, 1), (substrings.STRETCH, 3)])
+def test_many_needles_in_one_reading(monkeypatch, stretch, step):
+    """Common beginnings, needles across stretches and texts, and hashes that are equal for needles of equal bytes (step 1)."""
+    monkeypatch.setattr(substrings, "STRETCH", stretch)
+    monkeypatch.setattr(substrings, "STEP", step)
+    monkeypatch.setattr(substrings, "BACK", pow(step, -1, 1 << 64))
+    rng = random.Random(4)
+    rows = ["".join(rng.choice(["ab", "ba", "src/path/", "é", "\U0001f600", "\0"]) for _ in range(rng.choice([0, 1, 5, 60]))) for _ in range(80)]
+    needles = sorted({t[i : i + rng.randint(1, 40)] for t in rows if t for i in (rng.randrange(len(t)) for _ in range(5))} | {"src/path/ab", "src/path/ba", "abba", "baab", "nowhere at all"})
+    want = {(i, k) for i, t in enumerate(rows) for k, n in enumerate(needles) if n in t}
+    got = [(int(i), int(k)) for a, b in substrings.Needles(needles).found(pa.array(rows[:3] + rows).slice(3)) for i, k in zip(a, b, strict=True)]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_trigrams_of_texts_are_not_counted(spark):
+    """Before, every text's trigrams were listed twice, whatever the needles were."""
+    table = spark.createDataFrame([(1, "some text"), (2, "other")], "id long, text string")
+    plan = substrings.contained(spark.createDataFrame([(1, "text")], "needle_id long, needle string"), table)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
 def test_patterns(spark, tmp_path):
     rows = [(k, t, "Name%d" % (k % 5)) for k, t in texts(3)]
     table = spark.createDataFrame(rows, "id long, content string, name string")
