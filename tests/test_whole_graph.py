@@ -147,3 +147,21 @@ REFERENCES = [(f"P:{a}", f"P:{b}", "REFERENCES_TYPE") for a in (1, 2, 4) for b i
 @pytest.mark.parametrize("name", ["jon_link_references", "jon_link_unresolved"])
 def test_links_to_all_definitions(spark, sf, name):
     assert sorted(run(spark, sf, name)) == [(*r, 2) for r in REFERENCES]
+
+
+def test_rounds_of_components_read_fewer_links(spark, monkeypatch):
+    """Before, the first round wrote most of the links once more, as pairs with least neighbours."""
+    rng, written = random.Random(12), []
+    pairs = sorted({tuple(sorted(rng.sample(range(200), 2))) for _ in range(2000)})
+    nodes = spark.createDataFrame([(f"n{k:03}",) for k in range(203)], "id string")
+    edges = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", "CALLS", 0) for a, b in pairs], "source string, target string, relationship string, provenance int")
+
+    def counted(df, *spent, plain=analytics.cut):
+        out = plain(df, *spent)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(analytics, "cut", counted)
+    found = {r["id"]: r["component"] for r in analytics.connected_components(nodes, edges).collect()}
+    assert found == {f"n{k:03}": "n000" if k < 200 else f"n{k:03}" for k in range(203)}
+    assert written[0] == len(pairs) and max(written[1:]) < len(pairs) / 4
